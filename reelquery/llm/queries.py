@@ -6,19 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import decontam, neardup, packing, rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizers keep a file; its content is read, never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_harmonic_packing, op7_substring_dedup, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -41,5 +64,34 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+_OP7 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)
+), low AS (SELECT g, min(doc_id) AS low FROM win GROUP BY g
+), hit AS (SELECT doc_id, i FROM win JOIN low USING (g) WHERE low < doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM hit
+), per AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id
+), word AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p FROM w JOIN per USING (doc_id)
+), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM w LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_OP3 = r"""
+WITH s AS (
+  SELECT kind, id, array_to_string(ws[i : i + 4], ' ') AS g FROM (
+    SELECT kind, id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM (
+      SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)
+    ) WHERE len(ws) > 0)
+), b AS (SELECT DISTINCT id, g FROM s WHERE kind = 'b'), d AS (SELECT DISTINCT id, g FROM s WHERE kind = 'd'
+), n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n)::BIGINT AS n_item, count(*)::BIGINT AS n_found
+FROM b JOIN d USING (g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n.n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash_near_dedup": _OP10}
+    return {"op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
