@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, rules, substring
+from . import decontam, neardup, packing, pii, rules, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,22 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url contract (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled through the number that ends their path, a doc_id: bad if of low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.regexp_extract(urls.host_path(F.col("url"))[1], "([0-9]{1,18})[^0-9]*$", 1).try_cast("long")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    return urls.judge(pages, URL_RULES, pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +58,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_harmonic_packing, op7_substring_dedup, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op7_substring_dedup, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
