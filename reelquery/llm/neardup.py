@@ -6,7 +6,8 @@ steps instead of in all pairs:
 
 1. every member with the bucket's smallest doc_id; accepted links give provisional components;
 2. in buckets that still hold several components, the members outside the bucket's largest component with all members
-   of other components, in blocks of bounded size that run as separate tasks.
+   of other components, in blocks of bounded size that run as separate tasks; rounds that take each member's likeliest
+   pair only come first, so that a large loose group grows together before the full round.
 
 A pair that shares a bucket is thus either compared or already connected, which is all that components need.  Each
 comparison first goes through signature slices: with m of n minima equal, the pair is dropped once the posterior
@@ -97,7 +98,7 @@ _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 
 
 def _alike(a: np.ndarray, b: np.ndarray, steps: list[int], least: list[int]) -> np.ndarray:
-    """Which pairs of signature rows survive all slices.
+    """The number of equal minima of each pair of signature rows; 0 for pairs that a slice dropped.
 
     Signatures keep the low byte of each minimum; chance agreement only ever keeps a pair longer.
     """
@@ -108,8 +109,8 @@ def _alike(a: np.ndarray, b: np.ndarray, steps: list[int], least: list[int]) ->
         equal[alive] += (a[alive, last:to] == b[alive, last:to]).sum(1, dtype=np.int32)
         alive = alive[equal[alive] >= m]
         last = to
-    out = np.zeros(len(a), bool)
-    out[alive] = True
+    out = np.zeros(len(a), np.int32)
+    out[alive] = equal[alive]
     return out
 
 
@@ -123,15 +124,17 @@ def _pruner(steps: list[int], least: list[int]):
         for b in batches:
             if not b.num_rows:
                 continue
-            keep = _alike(_signatures(b.column(2)), _signatures(b.column(3)), steps, least)
+            keep = _alike(_signatures(b.column(2)), _signatures(b.column(3)), steps, least) > 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return prune
 
 
-def _blocks(steps: list[int], least: list[int]):
+def _blocks(steps: list[int], least: list[int], best: bool):
     """Rows (block, minor, doc, comp, sig) sorted by block: pairs of a minority member and a member of another component.
 
+    With ``best``, each minority member's likeliest pair of the block only.
+
     A block has at most a few thousand rows by construction, so carrying one block over a batch edge is bounded.
     """
 
@@ -142,7 +145,11 @@ def _blocks(steps: list[int], least: list[int]):
             other = comp[x] != comp[y]
             x, y = x[other], y[other]
             if len(x):
-                good = _alike(sig[x], sig[y], steps, least)
+                equal = _alike(sig[x], sig[y], steps, least)
+                good = np.flatnonzero(equal)
+                if best and len(good):
+                    good = good[np.lexsort((y[good], -equal[good], x[good]))]
+                    good = good[np.concatenate(([True], x[good][1:] != x[good][:-1]))]
                 x, y = doc[x[good]], doc[y[good]]
                 yield np.minimum(x, y), np.maximum(x, y)
 
@@ -248,19 +255,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     edges = C.materialize(checked(likely), "links")
     label = components(edges)
 
-    named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
-    size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
-    row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others")).join(sig.withColumnRenamed("doc_id", "doc"), "doc")
-    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = row.where("small").select("*", own("parts").alias("i"), every("others").alias("j"), F.lit(True).alias("minor"))
-    right = row.select("*", every("parts").alias("i"), own("others").alias("j"), F.lit(False).alias("minor"))
-    blocks = left.unionByName(right).select(F.xxhash64("bucket", "i", "j").alias("block"), "minor", "doc", "comp", "sig")
-    blocks = blocks.repartition("block").sortWithinPartitions("block")
-    more = C.materialize(blocks.mapInArrow(_blocks(steps, least), "a long, b long").distinct(), "pairs")
-    if more.limit(1).count():
-        label = components(edges.union(checked(more)))
+    def across(label: DataFrame, best: bool) -> DataFrame:
+        """Likely pairs between different components of ``label`` that share a bucket."""
+        named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
+        size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+        row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others")).join(sig.withColumnRenamed("doc_id", "doc"), "doc")
+        own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = row.where("small").select("*", own("parts").alias("i"), every("others").alias("j"), F.lit(True).alias("minor"))
+        right = row.select("*", every("parts").alias("i"), own("others").alias("j"), F.lit(False).alias("minor"))
+        blocks = left.unionByName(right).select(F.xxhash64("bucket", "i", "j").alias("block"), "minor", "doc", "comp", "sig")
+        blocks = blocks.repartition("block").sortWithinPartitions("block")
+        return C.materialize(blocks.mapInArrow(_blocks(steps, least, best), "a long, b long").distinct(), "pairs")
+
+    # Members of one group that missed its pivot join it by their likeliest pairs first; what is still apart when a round
+    # links nothing more is compared in full, so no pair is skipped.
+    best = True
+    while True:
+        pairs = across(label, best)
+        found = C.materialize(checked(pairs), "links") if pairs.limit(1).count() else None
+        if found is not None and found.limit(1).count():
+            edges = edges.union(found)
+            label = components(edges)
+        elif best and found is not None:
+            best = False
+            continue
+        else:
+            break
+        if not best:
+            break
 
     rep = signed.select("doc_id", *same).join(first, same, "left")
     out = rep.join(label.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
