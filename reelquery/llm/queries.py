@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, pii, rules, substring, urls
+from . import common, decontam, language, neardup, packing, pii, quality, rules, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,22 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").where(common.fold("doc_id", 3) != 1))
+    return quality.score(docs, model).select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    prototypes = language.fit(docs.where(common.fold("doc_id", 4) != 2))
+    return language.predict(docs, prototypes).select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,7 +70,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op7_substring_dedup, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
