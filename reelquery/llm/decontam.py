@@ -23,7 +23,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -66,7 +65,7 @@ class _Index:
                 self.minima[k, j] = low[order], np.array(items)[order], near
 
 
-def _search(held, percent: int, size: int):
+def _search(held, percent: int, size: int, pairs: bool):
     def candidates(index: _Index, x: np.ndarray, first: np.ndarray, rows: int) -> set[tuple[int, int]]:
         """(text, item) pairs with an equal minimum; ``first``: where each text's shingles begin."""
         flip, times = _constants()
@@ -96,54 +95,73 @@ def _search(held, percent: int, size: int):
                         found.update((int(text[h]), int(i)) for i in items[a:b])
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matches(index: _Index, ids: list, rows: int, texts: C.Texts) -> list[tuple]:
+        """(text, item id, item size, found) of the verified pairs."""
+        hashed, text = C.shingles(C.word_table(texts, lower=True), size)
+        if not len(hashed):
+            return []
+        first = np.searchsorted(text, np.arange(rows + 1))
+        out = []
+        doc, own = None, None
+        for t, i in sorted(candidates(index, (hashed >> np.uint64(32)).astype(np.uint32), first, rows)):
+            if t != doc:
+                doc, own = t, np.unique(hashed[first[t] : first[t + 1]])
+            n = int(np.isin(index.sets[i], own, assume_unique=True).sum())
+            if 100 * n >= percent * len(index.sets[i]):
+                out.append((t, ids[i], len(index.sets[i]), n))
+        return out
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets = held.value
         index = _Index(sets)
         for part, texts in C.groups(batches):
-            hashed, text = C.shingles(C.word_table(texts, lower=True), size)
-            if not len(hashed):
-                continue
-            first = np.searchsorted(text, np.arange(part.num_rows + 1))
-            rows = []
-            doc, own = None, None
-            for t, i in sorted(candidates(index, (hashed >> np.uint64(32)).astype(np.uint32), first, part.num_rows)):
-                if t != doc:
-                    doc, own = t, np.unique(hashed[first[t] : first[t + 1]])
-                n = int(np.isin(sets[i], own, assume_unique=True).sum())
-                if 100 * n >= percent * len(sets[i]):
-                    rows.append((t, ids[i], len(sets[i]), n))
+            rows = matches(index, ids, part.num_rows, texts)
             if rows:
                 t, item, total, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(item, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "n_item", "n_found"])
 
-    return run
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets = held.value
+        index = _Index(sets)
+        for part, texts in C.groups(batches):
+            keep = np.ones(part.num_rows, bool)
+            keep[[m[0] for m in matches(index, ids, part.num_rows, texts)]] = False
+            yield part.filter(pa.array(keep))
 
+    return report if pairs else clean
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """doc_id, item_id, n_item, n_found: every pair in which the document holds ``percent`` of the item's shingles."""
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    docs = C.id_text(docs)
-    schema = "doc_id long, item_id long, n_item long, n_found long"
-    found: list[DataFrame] = []
+
+def _blocks(benchmark: DataFrame, size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """The items, a partition at a time, as blocks of at most ``BLOCK`` shingles."""
     ids: list[int | None] = []
     sets: list[np.ndarray] = []
-
-    def flush() -> None:
-        if sets:
-            held = spark.sparkContext.broadcast((list(ids), list(sets)))
-            found.append(docs.mapInArrow(_search(held, percent, size), schema))
-            ids.clear()
-            sets.clear()
-
+    held = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         s = _item_set(row["text"] or "", size)
         if len(s):
-            if sum(map(len, sets)) + len(s) > BLOCK:
-                flush()
+            if sets and held + len(s) > BLOCK:
+                yield ids, sets
+                ids, sets, held = [], [], 0
             ids.append(row["item_id"])
             sets.append(s)
-    flush()
-    if not found:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.union, found).distinct()
+            held += len(s)
+    if sets:
+        yield ids, sets
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id, item_id, n_item, n_found: every pair in which the document holds ``percent`` of the item's shingles."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    schema = "doc_id long, item_id long, n_item long, n_found long"
+    found = [C.id_text(docs).mapInArrow(_search(spark.sparkContext.broadcast(block), percent, size, True), schema) for block in _blocks(benchmark, size)]
+    return reduce(DataFrame.union, found).distinct() if found else spark.createDataFrame([], schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` that match no item; one scan for each block of items, no shuffle."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    for block in _blocks(benchmark, size):
+        docs = docs.mapInArrow(_search(spark.sparkContext.broadcast(block), percent, size, False), docs.schema)
+    return docs

@@ -165,16 +165,27 @@ def select_cutoffs(counts: dict[tuple[str, int, int, int], int], strata: list[st
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, key: str = "doc_id") -> DataFrame:
-    """doc_id, the counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang, anything else)."""
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    given = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    measured = C.materialize(given.mapInArrow(_measure, f"doc_id long, stratum string, {_COUNTS}"), "measured")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    counted = measured.where(f"not ({_BASE})").join(known, "doc_id").select("stratum", "quality", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin", "quality").count()
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    C.small_batches(docs.sparkSession)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return given.mapInArrow(_measure, f"doc_id long, stratum string, {_COUNTS}")
+
+
+def certify(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> dict[tuple[str, int], int]:
+    """Certified cutoffs from the labelled rows; one count for each stratum, rule, bin and label reaches the driver."""
+    counted = measured.where(f"not ({_BASE})").join(_known(labels), "doc_id").select("stratum", "quality", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin", "quality").count()
     counts = {(x["stratum"], x["rule"], x["bin"], x["quality"]): x["count"] for x in counted.toLocalIterator()}
-    cutoffs = select_cutoffs(counts, sorted({k[0] for k in counts}), risk, delta)
+    return select_cutoffs(counts, sorted({k[0] for k in counts}), risk, delta)
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """doc_id, the counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang, anything else)."""
+    measured = C.materialize(_measured(docs), "measured")
+    cutoffs = certify(measured, labels, risk, delta)
     hit = F.lit(False)
     if cutoffs:  # literals: one array for each certified stratum, which takes thousands of labels each
         by = F.create_map(*(F.lit(x) for s in sorted({k[0] for k in cutoffs}) for x in (s, [cutoffs.get((s, r), BINS + 1) for r in range(len(RULES))])))
@@ -182,7 +193,22 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float =
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(_BASE).alias("base_failed"), (~F.expr(_BASE) & ~hit).alias("kept"))
 
 
+def _keep(cutoffs: dict[tuple[str, int], int], text: int, lang: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _ in C.groups(iter([batch]), batch.schema.names[text]):
+                strata = part.column(lang).fill_null("")
+                given = pa.RecordBatch.from_arrays([strata, part.column(text).fill_null("")], names=["stratum", "text"])
+                m = pa.Table.from_batches(list(_measure(iter([given]))))
+                n, repeat = m.column("n_words").to_numpy(), m.column("n_repeat_words").to_numpy()
+                bins = np.asarray(m.column("bins").combine_chunks().flatten()).reshape(-1, len(RULES))
+                limit = np.array([[cutoffs.get((s, r), BINS + 1) for r in range(len(RULES))] for s in strata.to_pylist()])
+                yield part.filter(pa.array((n >= 50) & (100 * repeat <= 50 * n) & (bins < limit).all(1)))
+
+    return run
+
+
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; a doc_id of which one row is rejected goes with all its rows."""
-    gone = judge(docs, labels, risk, delta).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of ``docs`` that are kept, judged row by row; rows are measured again instead of shuffled."""
+    cutoffs = certify(_measured(docs), labels, risk, delta)
+    return docs.mapInArrow(_keep(cutoffs, docs.columns.index("text"), docs.columns.index("lang")), docs.schema)
