@@ -1,27 +1,57 @@
-"""The corpus pipeline: documents pass through the stages in order, each a table in the shared folder."""
+"""The corpus pipeline: documents pass through the stages in order, each a table in the shared folder.
+
+Every stage works on all rows that its predecessor kept and returns the columns of ``documents``; the last returns the
+packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import common, neardup
+from reelquery.llm import common, decontam, neardup, packing, pii, rules
+from reelquery.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a certified cutoff rejects go."""
+    return rules.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (similarity 0.8 or more) stays: the one with the smallest doc_id."""
-    found = neardup.near_duplicates(docs, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item (0.8 of its shingles or more) go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("pii", redact_pii),
+    ("harmonic_packing", harmonic_packing),
+]
 
 #: Stages learn thresholds and models, and cut texts by a tokenizer, which SQL can't express; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; the result is the last stage's, lazily."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
