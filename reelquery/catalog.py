@@ -1,15 +1,684 @@
-"""Every registered query of the retrieval operators, with its SQL oracle."""
+"""Every registered query of the retrieval operators, with its SQL oracle.
+
+Each query applies one operator to a whole table (through the views of ``proxies``); scores are rounded to 6 digits
+before they are ranked, so that both engines rank the same numbers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import proxies as P
+from .functions import text as X
+from .functions import times as T
+from .operators import islands, metrics, nms, rank, sampling, search, tracks, vectors, wavelet
+from .plans import combine as plan_combine
+from .plans import planner
+from .proxies import with_views
+from .sources import sinks, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _oracles[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+# ---------------------------------------------------------------- scoring and ranks
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.score_frames(P.frames(spark, d), F.broadcast(P.queries(spark, d)), [])  # three query vectors
+
+
+def _one(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where("qid = 'Q1'").select("video_id", "frame_idx", "score")
+
+
+def _pct(spark: SparkSession, d: str) -> DataFrame:
+    return rank.percentile(_scores(spark, d), ["qid", "video_id"])
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return plan_combine.combine(_pct(spark, d), "Q1 AND (Q2 OR Q3)", ["video_id"])
+
+
+_BASE = ("frames", "q", "scores")
+_RANKED = (*_BASE, "pct", "ranks")
+
+
+@query(with_views(*_BASE, body="SELECT qid, video_id, frame_idx, score FROM scores"))
+def cosine_score(spark, d):
+    return _scores(spark, d)
+
+
+@query(with_views(*_BASE, "pct", body="SELECT qid, video_id, frame_idx, score, pct FROM pct"))
+def percentile_rank(spark, d):
+    return _pct(spark, d)
+
+
+@query(with_views(*_RANKED, "merged", body="SELECT video_id, frame_idx, score FROM merged"))
+def combine_and_or(spark, d):
+    return _merged(spark, d)
+
+
+@query(with_views(*_BASE, "pct", body="SELECT video_id, frame_idx, max(pct) AS score FROM pct GROUP BY ALL"))
+def combine_or_all(spark, d):
+    return plan_combine.combine(_pct(spark, d), "", ["video_id"])
+
+
+@query(with_views(*_RANKED, body="SELECT video_id, frame_idx, 0.0::DOUBLE AS score FROM ranks"))
+def combine_missing_leaf(spark, d):
+    return plan_combine.combine(_pct(spark, d), "Q1 AND Q9", ["video_id"])
+
+
+_PLANS = [(0, "Q1 AND Q2"), (1, "Q1 OR Q2 AND Q3"), (2, "(Q1 OR Q2) AND Q3"), (3, ""), (4, "Q1 AND"), (5, "q1 and Q2"), (6, "Q3"), (7, "Q7"), (8, "((Q1 or Q3"), (9, "Q2 Q1")]
+
+
+@query(
+    with_views(
+        *_RANKED,
+        body="""SELECT video_id, frame_idx, CASE video_id WHEN 0 THEN least(q1, q2) WHEN 1 THEN greatest(q1, least(q2, q3)) WHEN 2 THEN least(greatest(q1, q2), q3)
+  WHEN 5 THEN 0.0 WHEN 6 THEN q3 WHEN 8 THEN greatest(q1, q3) WHEN 9 THEN q2 ELSE greatest(q1, q2, q3) END AS score FROM ranks WHERE video_id <> 7""",
+    )
+)
+def combine_by_plan(spark, d):
+    plans = spark.createDataFrame(_PLANS, "video_id int, combine string")
+    return plan_combine.combine_plans(_pct(spark, d), plans, "video_id")
+
+
+@query("SELECT k, n, round(CASE WHEN k <= 0 THEN 0 ELSE least(n / 2.0 / (2 * k), 10.0) END, 6) AS tau FROM (SELECT o_orderkey % 9 AS k, o_custkey AS n FROM orders)")
+def auto_tau(spark, d):
+    rows = P.table(spark, d, "orders").select((F.col("o_orderkey") % 9).alias("k"), F.col("o_custkey").alias("n"))
+    return rows.select("k", "n", F.round(nms.auto_tau(F.col("n"), F.lit(2.0), F.col("k")), 6).alias("tau"))
+
+
+_FOLD = """, ordered AS (SELECT video_id, frame_idx, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) AS rn, count(*) OVER (PARTITION BY video_id) AS n FROM {src}),
+cfg AS (SELECT DISTINCT video_id, n, k, {gap} AS gap FROM ordered, (SELECT unnest([{ks}]) AS k)),
+fold(video_id, k, rn, kept) AS (
+  SELECT video_id, k, 0::BIGINT, []::INT[] FROM cfg
+  UNION ALL
+  SELECT f.video_id, f.k, f.rn + 1, CASE WHEN {whole} OR (len(f.kept) < f.k AND NOT list_bool_or([abs(y - o.frame_idx) < c.gap FOR y IN f.kept])) THEN list_append(f.kept, o.frame_idx) ELSE f.kept END
+  FROM fold f JOIN cfg c ON c.video_id = f.video_id AND c.k = f.k JOIN ordered o ON o.video_id = f.video_id AND o.rn = f.rn + 1
+), last AS (SELECT video_id, k, arg_max(kept, rn) AS kept FROM fold GROUP BY ALL)
+"""
+_NEVER = "FALSE"
+
+
+def _fold_sql(src: str, views: tuple[str, ...], ks: str, gap: str, whole: str, body: str) -> str:
+    text = _FOLD.format(src=src, ks=ks, gap=gap, whole=whole).replace("list_bool_or([", "coalesce(list_bool_or([").replace("FOR y IN f.kept])", "FOR y IN f.kept]), FALSE)")
+    return with_views(*views, body=text.lstrip() + body, recursive=True)
+
+
+@query(_fold_sql("one", (*_BASE, "one"), "8", "3", _NEVER, "SELECT video_id, unnest(generate_series(0, len(kept) - 1)) AS place, unnest(kept) AS frame_idx FROM last"))
+def nms_topk(spark, d):
+    picks = nms.greedy_gap(_one(spark, d), ["video_id"], 8, 3)
+    return picks.select("video_id", F.posexplode("picks").alias("place", "frame_idx")).withColumn("place", F.col("place").cast("long"))
+
+
+_POOL_GAP = "trunc(least(n / 2.0 / (2 * k), 10.0) * 2.0)::INT"
+
+
+@query(_fold_sql("merged", (*_RANKED, "merged"), "4, 8, 16, 32, 64", _POOL_GAP, "c.n <= c.k", "SELECT video_id, k, unnest(generate_series(0, len(kept) - 1)) AS place, unnest(kept) AS frame_idx FROM last"))
+def pool_multi_k(spark, d):
+    pools = nms.pools(_merged(spark, d), ["video_id"], [4, 8, 16, 32, 64])
+    return pools.select("video_id", "k", F.posexplode("picks").alias("place", "frame_idx")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_fold_sql("merged", (*_RANKED, "merged"), "8", _POOL_GAP, "c.n <= c.k", "SELECT video_id, array_to_string(list_sort(kept), ',') AS frames_used, array_to_string([format('{:.1f}', x / 2.0) FOR x IN list_sort(kept)], ',') AS timestamps_used FROM last"))
+def plan_merge(spark, d):
+    """The flagship: score, rank, combine, suppress, and put eight frames of every video in time order."""
+    final = nms.final_frames(nms.pools(_merged(spark, d), ["video_id"], [8]), ["video_id"], 8)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return final.select("video_id", text("frames_used").alias("frames_used"), text("timestamps_used").alias("timestamps_used"))
+
+
+@query(with_views(*_BASE, "one", body="SELECT video_id, frame_idx, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) AS rank FROM one) WHERE rank <= 5"))
+def topk_head(spark, d):
+    return rank.top_k(_one(spark, d), ["video_id"], 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(with_views(*_BASE, "one", body="SELECT DISTINCT ON (video_id) video_id, frame_idx, score FROM one ORDER BY video_id, score DESC, frame_idx"))
+def best_frame(spark, d):
+    return rank.best_frame(_one(spark, d), ["video_id"])
+
+
+# ---------------------------------------------------------------- regions and tracks
+
+def _regions(spark, d):
+    parts = P.frames(spark, d).select("video_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("region_idx"), "emb")
+    return parts.where("(frame_idx + region_idx) % 5 > 0").select("video_id", "frame_idx", "region_idx", F.slice("emb", F.col("region_idx") * 16 + 1, F.lit(16)).alias("tok"))
+
+
+_REGIONS = "regions AS (SELECT video_id, frame_idx, r AS region_idx, emb[r * 16 + 1 : r * 16 + 16] AS tok FROM frames, (SELECT unnest([0, 1, 2, 3]) AS r) WHERE (frame_idx + r) % 5 > 0), qv AS (SELECT q[1:16] AS v FROM q WHERE qid = 'Q1')"
+
+
+def _region_query(spark, d):
+    return F.broadcast(P.queries(spark, d).where("qid = 'Q1'").select(F.slice("q", 1, 16).alias("v")))  # one row
+
+
+@query(with_views("frames", "q", body=f", {_REGIONS} SELECT f.video_id, f.frame_idx, round(coalesce(max(list_cosine_similarity(tok, v)), 0), 6) AS score FROM frames f LEFT JOIN regions USING (video_id, frame_idx) CROSS JOIN qv GROUP BY ALL".lstrip()))
+def region_max(spark, d):
+    regions = _regions(spark, d).join(_region_query(spark, d), F.lit(True))
+    return vectors.score_regions(P.frames(spark, d), regions, F.col("v"))
+
+
+_TRACKS = """, tracks AS (SELECT video_id, region_idx AS track_id, arg_min(tok, frame_idx) AS tok FROM regions GROUP BY ALL), sim AS (SELECT video_id, track_id, list_cosine_similarity(tok, v) AS sim FROM tracks CROSS JOIN qv),
+active AS (SELECT * FROM sim WHERE sim >= 0.18 UNION ALL SELECT video_id, track_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY sim DESC, track_id) AS rn, max(sim) OVER (PARTITION BY video_id) AS top FROM sim) WHERE top < 0.18 AND rn = 1)"""
+
+
+def _tracks(spark, d):
+    return _regions(spark, d).groupBy("video_id", F.col("region_idx").alias("track_id")).agg(F.min_by("tok", "frame_idx").alias("tok")).join(_region_query(spark, d), F.lit(True))
+
+
+@query(with_views("frames", "q", body=f", {_REGIONS}{_TRACKS} SELECT f.video_id, f.frame_idx, round(greatest(coalesce(max(sim), 0), 0), 6) AS score FROM frames f LEFT JOIN (SELECT r.video_id, r.frame_idx, sim FROM regions r JOIN active a ON a.video_id = r.video_id AND a.track_id = r.region_idx) m USING (video_id, frame_idx) GROUP BY ALL".lstrip()))
+def track_score(spark, d):
+    members = _regions(spark, d).select("video_id", F.col("region_idx").alias("track_id"), "frame_idx")
+    return vectors.score_tracks(P.frames(spark, d), _tracks(spark, d), members, F.col("v"))
+
+
+@query(with_views("frames", "q", body=f", {_REGIONS}{_TRACKS} SELECT DISTINCT r.video_id, r.frame_idx FROM regions r JOIN active a ON a.video_id = r.video_id AND a.track_id = r.region_idx".lstrip()))
+def track_frames(spark, d):
+    members = _regions(spark, d).select("video_id", F.col("region_idx").alias("track_id"), "frame_idx")
+    return vectors.track_frames(_tracks(spark, d), members, F.col("v"))
+
+
+@query(with_views("frames", "q", body=f", {_REGIONS} SELECT video_id, frame_idx, round(a * b, 6) AS score FROM (SELECT video_id, frame_idx, max(list_cosine_similarity(tok, v)) AS a, max(list_cosine_similarity(tok, v[9:16] || v[1:8])) AS b FROM regions CROSS JOIN qv GROUP BY ALL) WHERE a * b >= 0.05".lstrip()))
+def patch_match(spark, d):
+    turned = F.concat(F.slice("v", 9, 8), F.slice("v", 1, 8))
+    out = vectors.patch_match(_regions(spark, d).join(_region_query(spark, d), F.lit(True)), F.col("v"), turned, 0.05)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(with_views("frames", "q", body=f", {_REGIONS} SELECT video_id, pos, round(avg(x), 6) AS x FROM (SELECT video_id, unnest(generate_series(0, 15)) AS pos, unnest(tok) AS x FROM regions) GROUP BY ALL".lstrip()))
+def group_mean_vector(spark, d):
+    return vectors.group_means(_regions(spark, d), ["video_id"]).select("video_id", F.posexplode("mean").alias("pos", "x")).select("video_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query()
+def region_tracker(spark, d):
+    out = tracks.track(_regions(spark, d))
+    return out.select("video_id", "track_id", F.size("members").alias("n_members"), F.round(vectors.norm(F.col("tok")), 6).alias("norm"))
+
+
+@query()
+def track_compression(spark, d):
+    return tracks.compression(tracks.track(_regions(spark, d)))
+
+
+@query()
+def region_components(spark, d):
+    boxed = _regions(spark, d).withColumns({"x1": F.col("region_idx") * 4.0, "y1": F.lit(0.0), "x2": F.col("region_idx") * 4.0 + 5, "y2": F.lit(5.0)})
+    return tracks.region_groups(boxed, tracks.adjacency(boxed, 0.3, 0.2))
+
+
+# ---------------------------------------------------------------- on-screen text
+
+_SEGMENTS = """, shown AS (SELECT *, lower(txt) AS norm FROM ocr WHERE trim(txt) <> ''), fresh AS (SELECT *, CASE WHEN norm = lag(norm) OVER w AND frame_idx - lag(frame_idx) OVER w <= 25 THEN 0 ELSE 1 END AS fresh FROM shown WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+island AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM fresh),
+seg AS (SELECT video_id, (island - 1)::BIGINT AS seg_id, arg_min(txt, frame_idx) AS text, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame FROM island GROUP BY video_id, island)"""
+
+
+def _segments(spark, d):
+    return islands.text_segments(P.screen_text(spark, d), 5.0)
+
+
+@query(with_views("ocr", body=f"{_SEGMENTS} SELECT *, start_frame / 5.0::DOUBLE AS start_time, end_frame / 5.0::DOUBLE AS end_time FROM seg"))
+def ocr_segments(spark, d):
+    return _segments(spark, d)
+
+
+@query(with_views("ocr", body=f"{_SEGMENTS} SELECT DISTINCT video_id, unnest(generate_series(start_frame, end_frame))::INT AS frame_idx FROM seg"))
+def segments_to_frames(spark, d):
+    return islands.segment_frames(_segments(spark, d))
+
+
+@query(with_views("ocr", body=f"{_SEGMENTS}, u AS (SELECT video_id, lower(text) AS norm, arg_min(text, seg_id) AS text, min(seg_id) AS first, count(*) AS n FROM seg GROUP BY ALL) SELECT video_id, norm, text, n, (rn - 1) // 20 AS batch, ((rn - 1) % 20 + 1)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first) AS rn FROM u)".replace("GROUP BY ALL)", "GROUP BY video_id, lower(text))")))
+def judge_batches(spark, d):
+    out = islands.judge_batches(islands.unique_texts(_segments(spark, d)))
+    return out.select("video_id", "norm", "text", F.size("seg_ids").cast("long").alias("n"), "batch", "place")
+
+
+_CLUSTERS = """, conf AS (SELECT video_id, frame_idx FROM frames WHERE (frame_idx * 7) % 11 < 3), fresh AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM conf WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+island AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM fresh), rep AS (SELECT video_id, list_sort(list(frame_idx))[count(*) // 2 + 1] AS frame_idx FROM island GROUP BY video_id, island)"""
+
+
+def _clusters(spark, d):
+    confirmed = P.frames(spark, d).where("(frame_idx * 7) % 11 < 3").select("video_id", "frame_idx")
+    return islands.clusters(confirmed, ["video_id"], 2)
+
+
+@query(with_views("frames", body=f"{_CLUSTERS} SELECT video_id, frame_idx FROM rep"))
+def ocr_islands(spark, d):
+    return _clusters(spark, d)
+
+
+@query(with_views(*_RANKED, "merged", body=f"{_CLUSTERS} SELECT video_id, frame_idx, CASE WHEN r.frame_idx IS NOT NULL THEN 1.0::DOUBLE ELSE m.score END AS score, m.score IS NULL AS is_new FROM (SELECT * FROM merged WHERE frame_idx % 2 = 0) m FULL JOIN rep r USING (video_id, frame_idx)"))
+def ocr_inject(spark, d):
+    return islands.inject(_merged(spark, d).where("frame_idx % 2 = 0"), _clusters(spark, d), ["video_id"])
+
+
+# ---------------------------------------------------------------- selectors
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("video_id", F.explode("picks").alias("frame_idx"))
+
+
+_GRID = "(CASE WHEN i = {k} - 1 THEN {n} - 1 ELSE trunc(i * (({n} - 1)::DOUBLE / ({k} - 1))) END)::INT"
+
+
+@query("SELECT doc_id AS video_id, unnest(CASE WHEN n_chars <= 8 THEN generate_series(0, n_chars - 1) ELSE [CASE WHEN i = 7 THEN n_chars - 1 ELSE trunc(i * ((n_chars - 1)::DOUBLE / 7))::BIGINT END FOR i IN generate_series(0, 7)] END)::INT AS frame_idx FROM documents")
+def uniform_frames(spark, d):
+    rows = P.table(spark, d, "documents")
+    return _flat(rows.select(F.col("doc_id").alias("video_id"), sampling.uniform(F.col("n_chars"), 8).alias("picks")))
+
+
+@query(
+    """WITH v AS (SELECT doc_id AS video_id, greatest(0, round_even(doc_id % 50 * 3.5, 0))::INT AS a, least(n_chars - 1, round_even((doc_id % 50 + doc_id % 7) * 3.5, 0))::INT AS b FROM documents)
+SELECT video_id, unnest(CASE WHEN b - a < 1 THEN [a] WHEN b - a + 1 <= 8 THEN generate_series(a, b) ELSE [CASE WHEN i = 7 THEN b ELSE trunc(a + i * ((b - a)::DOUBLE / 7))::INT END FOR i IN generate_series(0, 7)] END)::INT AS frame_idx FROM v"""
+)
+def oracle_uniform(spark, d):
+    rows = P.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), (F.col("doc_id") % 50).alias("s"), (F.col("doc_id") % 50 + F.col("doc_id") % 7).alias("e"), "n_chars")
+    return _flat(rows.select("video_id", sampling.inside(F.col("s"), F.col("e"), F.col("n_chars"), F.lit(3.5), 8).alias("picks")))
+
+
+_FILL = """, filled AS (SELECT video_id, n, p, CASE WHEN n <= {k} THEN generate_series(0, n - 1)::INT[] WHEN len(p) < {k} THEN list_sort(list_distinct(list_concat(p, [CASE WHEN i = {k} - 1 THEN n - 1 ELSE trunc(i * ((n - 1)::DOUBLE / ({k} - 1))) END::INT FOR i IN generate_series(0, {k} - 1)])))[1:{k}] ELSE p[1:{k}] END AS f FROM picked)
+SELECT video_id, unnest(f)::INT AS frame_idx FROM filled"""
+
+
+@query(
+    with_views(
+        *_BASE,
+        "one",
+        body=""", r AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM one WINDOW w AS (PARTITION BY video_id)), p AS (SELECT video_id, frame_idx, (score - lo) / (hi - lo) AS w FROM r),
+c AS (SELECT video_id, frame_idx, sum(w / total) OVER (PARTITION BY video_id ORDER BY frame_idx) AS cdf FROM (SELECT *, sum(w) OVER (PARTITION BY video_id) AS total FROM p)),
+u AS (SELECT CASE WHEN i = 7 THEN 1 - 1 / 8.0::DOUBLE ELSE 1 / 8.0::DOUBLE + i * ((1 - 2 / 8.0::DOUBLE) / 7) END AS u FROM (SELECT unnest(generate_series(0, 7)) AS i)),
+h AS (SELECT video_id, u, min(frame_idx) AS f FROM c JOIN u ON cdf >= u GROUP BY ALL),
+picked AS (SELECT video_id, (SELECT count(*) FROM one o WHERE o.video_id = h.video_id)::INT AS n, list_sort(list_distinct(list(f)))::INT[] AS p FROM h GROUP BY video_id)"""
+        + _FILL.format(k=8),
+    )
+)
+def its_sample(spark, d):
+    return _flat(sampling.inverse_cdf(_one(spark, d), ["video_id"], 8))
+
+
+_SPLIT = """, norm AS (SELECT video_id, frame_idx AS f, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s, count(*) OVER w AS n FROM one WINDOW w AS (PARTITION BY video_id)),
+d0 AS (SELECT *, 0 AS a, n AS len, NULL::INT AS at_, FALSE AS take FROM norm)"""
+for _d in range(4):
+    _whole = "top - mean > 0.3 AND std > -100" if _d < 3 else "TRUE"
+    _SPLIT += f""",
+r{_d} AS (SELECT *, row_number() OVER (PARTITION BY video_id, a, len ORDER BY s DESC, f) AS rn FROM d{_d}),
+t{_d} AS (SELECT *, avg(s) FILTER (rn <= 8) OVER w AS top, avg(s) OVER w AS mean, stddev_pop(s) OVER w AS std FROM r{_d} WINDOW w AS (PARTITION BY video_id, a, len)),
+w{_d} AS (SELECT * REPLACE (CASE WHEN at_ IS NULL AND ({_whole}) THEN rn <= {8 // 2**_d} ELSE take END AS take, CASE WHEN at_ IS NULL AND ({_whole}) THEN {_d} ELSE at_ END AS at_) FROM t{_d}),
+d{_d + 1} AS (SELECT video_id, f, s, n, CASE WHEN at_ IS NULL AND f - a >= len // 2 THEN a + len // 2 ELSE a END AS a, CASE WHEN at_ IS NOT NULL THEN len WHEN f - a < len // 2 THEN len // 2 ELSE len - len // 2 END AS len, at_, take FROM w{_d})"""
+
+
+@query(with_views(*_BASE, "one", body=_SPLIT + ", picked AS (SELECT video_id, any_value(n)::INT AS n, list_sort(list(f) FILTER (take))::INT[] AS p FROM d4 GROUP BY video_id)" + _FILL.format(k=8).replace("n <= 8", "n < 8")))
+def adaptive_split(spark, d):
+    return _flat(sampling.adaptive_split(_one(spark, d), ["video_id"], 8, t1=0.3, depth=3))
+
+
+@query(_fold_sql("one", (*_BASE, "one"), "8", _POOL_GAP, _NEVER, "SELECT video_id, unnest(kept) AS frame_idx FROM last"))
+def cosine_nms(spark, d):
+    n = _one(spark, d).groupBy("video_id").agg(F.count("*").alias("n"))
+    rows = nms._ordered(_one(spark, d), ["video_id"], [])
+    gap = (nms.auto_tau(F.col("n"), F.lit(2.0), 8) * 2.0).cast("int")
+    return _flat(rows.select("video_id", nms.gap_fold(F.col("ordered"), F.lit(8), gap).alias("picks")))
+
+
+@query()
+def wavelet_mmr(spark, d):
+    scored = _one(spark, d).join(P.frames(spark, d), ["video_id", "frame_idx"]).withColumn("score", (F.col("score") + 1) / 2)
+    return _flat(wavelet.wavelet_select(scored, "video_id", 8))
+
+
+def _stand_in_detector(video, frames, names):
+    """Finds every name on frames whose number it divides evenly; for tests and the registered query."""
+    return [[(name, 0.9 - 0.01 * i, (4.0 * i, 0.0, 4.0 * i + 6, 6.0)) for i, name in enumerate(names) if f % (i + 2) == 0] for f in frames]
+
+
+@query()
+def relation_search(spark, d):
+    n = P.frames(spark, d).groupBy("video_id").agg(F.count("*").cast("int").alias("n"))
+    relation = F.array(F.struct(F.lit("cup").alias("a"), F.lit("hand").alias("b"), F.lit("time").alias("type")))
+    videos = n.select(F.col("video_id").cast("string").alias("uid"), F.col("video_id"), "n", F.array(F.lit("cup")).alias("targets"), F.array(F.lit("hand")).alias("cues"), relation.alias("relations"))
+    return search.relation_search(videos, _stand_in_detector, 8).select("uid", F.explode("picks").alias("frame_idx"))
+
+
+@query("SELECT o_orderkey AS uid, unnest(generate_series(0, n - 1, greatest(1, n // 8)))::INT AS frame_idx FROM (SELECT o_orderkey, o_custkey % 400 + 8 AS n FROM orders)")
+def stride_sample(spark, d):
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), (F.col("o_custkey") % 400 + 8).alias("n"))
+    return rows.select("uid", F.explode(sampling.stride_sample(F.col("n"), 8)).alias("frame_idx"))
+
+
+@query(with_views(*_BASE, "one", body="SELECT video_id, frame_idx, round(exp((score - m) / 0.5) / sum(exp((score - m) / 0.5)) OVER (PARTITION BY video_id), 6) AS share FROM (SELECT *, max(score) OVER (PARTITION BY video_id) AS m FROM one)"))
+def softmax_share(spark, d):
+    return _one(spark, d).select("video_id", "frame_idx", F.round(sampling.softmax(F.col("score"), ["video_id"], 0.5), 6).alias("share"))
+
+
+@query(with_views(*_BASE, "one", body="SELECT video_id, frame_idx // 10 AS seg, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, max(score) AS max, round(var_pop(score), 6) AS var FROM one GROUP BY ALL"))
+def segment_stats(spark, d):
+    out = sampling.segment_stats(_one(spark, d).withColumn("seg", F.floor(F.col("frame_idx") / 10).cast("int")), ["video_id", "seg"])
+    return out.select("video_id", "seg", *(F.round(c, 6).alias(c) for c in ("mean", "std")), "max", F.round("var", 6).alias("var"))
+
+
+# ---------------------------------------------------------------- metrics
+
+_TIMES = ("truth", "picks")
+
+
+@query(with_views(*_TIMES, body="SELECT uid, EXISTS (SELECT 1 FROM picks p WHERE p.uid = truth.uid AND p.t BETWEEN start_s AND end_s) AS hit FROM truth"))
+def hit_at_k(spark, d):
+    return metrics.hit_at_k(P.picks(spark, d), P.truth(spark, d))
+
+
+_LISTS = "lists AS (SELECT uid, list(t ORDER BY t) AS ts FROM picks GROUP BY uid)"
+
+
+def _lists(spark, d):
+    return P.picks(spark, d).groupBy("uid").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+
+
+@query(with_views(*_TIMES, body=f", {_LISTS}, m AS (SELECT uid, k, method, CASE method WHEN 'head' THEN ts[1:k] ELSE ts[-k:] END AS times FROM lists, (SELECT unnest([1, 2, 4, 8]) AS k), (SELECT unnest(['head', 'tail']) AS method)) SELECT method, k, sum(len(list_filter(times, lambda t: t BETWEEN start_s AND end_s)) > 0)::BIGINT AS hits, count(*) AS items, round(avg((len(list_filter(times, lambda t: t BETWEEN start_s AND end_s)) > 0)::INT), 4) AS rate FROM m JOIN truth USING (uid) GROUP BY method, k".lstrip()))
+def hit_grid(spark, d):
+    rows = _lists(spark, d).withColumn("k", F.explode(F.array(*(F.lit(k) for k in (1, 2, 4, 8)))))
+    head, tail = F.slice("ts", F.lit(1), F.col("k")), F.slice("ts", F.greatest(F.lit(1), F.size("ts") - F.col("k") + 1), F.col("k"))
+    picks = rows.select("uid", "k", F.lit("head").alias("method"), head.alias("times")).union(rows.select("uid", "k", F.lit("tail"), tail))
+    return metrics.hit_grid(picks, P.truth(spark, d))
+
+
+_PAIRS = """pr AS (SELECT user_id::VARCHAR AS uid, floor(epoch(ts) / 3600) AS t, event_type FROM events), both_ AS (SELECT uid, list(t ORDER BY t) FILTER (event_type = 'purchase') AS gt, list(t ORDER BY t) FILTER (event_type = 'click') AS pred FROM pr GROUP BY uid),
+near AS (SELECT uid, [list_min([abs(x - y) FOR y IN pred]) FOR x IN gt] AS g, [list_min([abs(x - y) FOR y IN gt]) FOR x IN pred] AS p FROM both_ WHERE len(gt) > 0 AND len(pred) > 0)"""
+
+
+def _both(spark, d):
+    e = P.table(spark, d, "events").select(F.col("user_id").cast("string").alias("uid"), F.floor(F.unix_timestamp("ts") / 3600).cast("double").alias("t"), "event_type")
+    pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.col("t"))))
+    return e.groupBy("uid").agg(pick("purchase").alias("gt"), pick("click").alias("pred"))
+
+
+@query(f"WITH {_PAIRS}, s AS (SELECT uid, len(list_filter(p, lambda x: x <= 5)) / len(p)::DOUBLE AS a, len(list_filter(g, lambda x: x <= 5)) / len(g)::DOUBLE AS b FROM near) SELECT uid, round(a, 6) AS precision, round(b, 6) AS recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS f1 FROM s")
+def prf(spark, d):
+    return metrics.prf(_both(spark, d), 5.0).select("uid", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"WITH {_PAIRS}, s AS (SELECT len(list_filter(p, lambda x: x <= 5)) / len(p)::DOUBLE AS a, len(list_filter(g, lambda x: x <= 5)) / len(g)::DOUBLE AS b FROM near) SELECT round(avg(a), 6) AS precision, round(avg(b), 6) AS recall, round(avg(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END), 6) AS f1, round(2 * avg(a) * avg(b) / (avg(a) + avg(b)), 6) AS f1_of_means, count(*) AS n FROM s")
+def prf_macro(spark, d):
+    return metrics.macro(metrics.prf(_both(spark, d), 5.0))
+
+
+@query(f"WITH {_PAIRS} SELECT uid, len(list_filter(g, lambda x: x <= 5))::INT AS covered, round(len(list_filter(g, lambda x: x <= 5)) / len(p)::DOUBLE, 6) AS precision, round(len(list_filter(g, lambda x: x <= 5)) / len(g)::DOUBLE, 6) AS recall FROM near")
+def prf_covered(spark, d):
+    out = metrics.prf_covered(_both(spark, d).where("size(gt) > 0 and size(pred) > 0"), 5.0)
+    return out.select("uid", "covered", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {_PAIRS} SELECT uid, round(list_avg(g), 6) AS to_pred, round(list_avg(p), 6) AS to_truth, round((list_avg(g) + list_avg(p)) / 2, 6) AS annd FROM near")
+def annd(spark, d):
+    return metrics.annd(_both(spark, d)).select("uid", *(F.round(c, 6).alias(c) for c in ("to_pred", "to_truth", "annd")))
+
+
+@query(f"WITH {_PAIRS} SELECT uid::INT % 2 = 0 AS correct, round(avg(dist / 720.0), 6) AS error FROM (SELECT uid, unnest(g) AS dist FROM near) GROUP BY 1")
+def relative_errors(spark, d):
+    rows = _both(spark, d).withColumns({"correct": F.col("uid").cast("int") % 2 == 0, "duration": F.lit(720.0)})
+    return metrics.relative_errors(rows).withColumn("error", F.round("error", 6))
+
+
+def _answers(spark, d):
+    letter = lambda c: F.char(65 + F.col(c))
+    rows = P.table(spark, d, "labels").join(P.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    error = F.when(F.col("doc_id") % 10 == 0, "failed")
+    return rows.select(F.col("doc_id").alias("uid"), F.col("lang").alias("grp"), F.when(F.col("doc_id") % 17 == 0, F.lit(" ")).otherwise(F.lower(letter("quality"))).alias("answer"), letter("toxic").alias("gold"), error.alias("error"))
+
+
+_ANSWERS = "answers AS (SELECT doc_id AS uid, lang AS grp, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE lower(chr(65 + quality)) END AS answer, chr(65 + toxic) AS gold, CASE WHEN doc_id % 10 = 0 THEN 'failed' END AS error FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {_ANSWERS}, f AS (SELECT *, error IS NOT NULL OR trim(answer) = '' AS bad FROM answers) SELECT coalesce(grp, 'total') AS g, sum((NOT bad)::INT)::BIGINT AS answered, sum((NOT bad AND lower(answer) = lower(gold))::INT)::BIGINT AS correct, sum(bad::INT)::BIGINT AS errors, round(coalesce(sum((NOT bad AND lower(answer) = lower(gold))::INT) / nullif(sum((NOT bad)::INT), 0), 0), 6) AS accuracy FROM f GROUP BY GROUPING SETS ((grp), ())")
+def accuracy_by_group(spark, d):
+    return metrics.accuracy_by_group(_answers(spark, d))
+
+
+@query(f"WITH {_ANSWERS} SELECT count(*) AS total, sum((upper(answer) IS NOT DISTINCT FROM gold)::INT)::BIGINT AS correct, round(avg((upper(answer) IS NOT DISTINCT FROM gold)::INT), 4) AS accuracy FROM answers")
+def accuracy(spark, d):
+    return metrics.accuracy(_answers(spark, d).withColumn("answer", F.upper("answer")))
+
+
+@query(with_views(*_TIMES, body=", c AS (SELECT uid, start_s, end_s, count(t) FILTER (t BETWEEN start_s AND end_s) AS inside FROM truth LEFT JOIN picks USING (uid) GROUP BY ALL) SELECT uid, round(least(1.0, inside / greatest(1, least(8, floor((end_s - start_s) / 10) + 1))), 6) AS reward FROM c".lstrip()))
+def frames_in_gt(spark, d):
+    rows = P.truth(spark, d).join(P.picks(spark, d), "uid", "left").groupBy("uid", "start_s", "end_s").agg(F.count_if(F.col("t").between(F.col("start_s"), F.col("end_s"))).alias("inside"))
+    return rows.select("uid", F.round(planner.frames_in_truth(F.col("inside"), F.col("start_s"), F.col("end_s"), 8, 0.0), 6).alias("reward"))
+
+
+@query("WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM orders), e AS (SELECT *, sum((before IS NULL OR o_totalprice > before)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS era FROM r) SELECT o_custkey, o_orderkey, o_totalprice, best, (row_number() OVER (PARTITION BY o_custkey, era ORDER BY o_orderkey) - 1)::INT AS patience FROM e")
+def running_best(spark, d):
+    return rank.running_best(P.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "o_totalprice").withColumn("patience", F.col("patience").cast("int"))
+
+
+@query()
+def image_similarity(spark, d):
+    e = P.table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("img"))
+    first = e.groupBy("label").agg(F.min_by("img", "vec_id").alias("other"))
+    return e.join(first, "label").select("vec_id", F.round(metrics.image_ssim(F.col("img"), F.col("other"), F.lit(8)), 6).alias("ssim"))
+
+
+# ---------------------------------------------------------------- plans, prompts, replies
+
+_REPLY = "CASE conv_id % 5 WHEN 0 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{\"queries\": [{\"tool\": \"siglip\", \"query\": \"a\", \"id\": \"Q1\"}, {\"tool\": \"tren\", \"query\": \"b\", \"id\": \"Q2\"}], \"combine\": \"Q1 AND Q2\"}' || chr(10) || '```' WHEN 1 THEN 'so {\"queries\": [{\"tool\": \"ocr\", \"query\": \"c\", \"id\": \"Q1\"}], \"combine\": \"Q1 OR Q3\"} done' WHEN 2 THEN '{\"queries\": [{\"tool\": \"siglip\", \"id\": \"Q1\"}, {\"tool\": \"siglip\", \"query\": \"d\", \"id\": \"Q2\"}], \"combine\": \"Q2\"}' WHEN 3 THEN text ELSE '{\"queries\": [' END"
+
+
+def _replies(spark, d):
+    return P.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_REPLY.replace("'```json'", "'```json'").replace("chr(10)", "char(10)")).alias("reply"))
+
+
+_PLAN_COUNTS = "CASE conv_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT conv_id, turn, {_PLAN_COUNTS} AS n_queries, CASE conv_id % 5 WHEN 0 THEN 'Q1 AND Q2' WHEN 1 THEN 'Q1 OR Q3' WHEN 2 THEN 'Q2' ELSE '' END AS combine, CASE conv_id % 5 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n_available FROM conversations")
+def plan_parse(spark, d):
+    rows = _replies(spark, d).withColumn("plan", planner.parse_plan(F.col("reply")))
+    left = planner.available(F.col("plan.queries"), F.array(F.lit("siglip")))
+    return rows.select("conv_id", "turn", F.size("plan.queries").alias("n_queries"), F.col("plan.combine").alias("combine"), F.size(left).alias("n_available"))
+
+
+@query("SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE -1.0 END::DOUBLE AS reward FROM conversations")
+def consistency(spark, d):
+    return _replies(spark, d).select("conv_id", "turn", planner.consistency(F.col("reply")).alias("reward"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(r, '\\bQ\\d+\\b')).list_sort(), ',') AS ids FROM (SELECT conv_id, turn, 'Q' || turn || ' AND (Q2 OR Q' || (conv_id % 9) || ') xQ5' AS r FROM conversations)")
+def combine_ids(spark, d):
+    rows = P.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Q"), F.col("turn"), F.lit(" AND (Q2 OR Q"), F.col("conv_id") % 9, F.lit(") xQ5")).alias("r"))
+    return rows.select("conv_id", "turn", F.array_join(F.array_sort(planner.combine_ids(F.col("r"))), ",").alias("ids"))
+
+
+def _options(n: str = "item_id"):
+    return F.create_map(F.lit("B"), F.substring("text", 5, 6), F.lit("A"), F.substring("text", 1, 4))
+
+
+@query("SELECT item_id, '  A: ' || substring(text, 1, 4) || chr(10) || '  B: ' || substring(text, 5, 6) AS options, text || ' ' || substring(text, 1, 4) || ' ' || substring(text, 5, 6) AS query FROM benchmark")
+def prompt_parts(spark, d):
+    rows = P.table(spark, d, "benchmark")
+    return rows.select("item_id", X.format_options(_options()).alias("options"), X.retrieval_query(F.col("text"), _options()).alias("query"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'B' WHEN turn % 3 = 1 THEN 'A' ELSE upper(substring(trim(text), 1, 1)) END AS answer, CASE WHEN turn % 3 = 0 THEN (conv_id % 6)::INT ELSE -1 END AS confidence FROM conversations")
+def answer_parse(spark, d):
+    rows = P.table(spark, d, "conversations")
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("It's (B). Confidence: "), F.col("conv_id") % 6)).when(F.col("turn") % 3 == 1, F.lit("B? No, A")).otherwise(F.regexp_replace("text", r"\b[AB]\b", "x"))
+    options = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y"))
+    return rows.withColumn("reply", F.when(F.col("turn") % 3 == 2, F.concat(F.upper(F.substring(F.trim("text"), 1, 1)), F.lit("zz"))).otherwise(reply)).select("conv_id", "turn", X.parse_answer(F.col("reply"), options).alias("answer"), F.coalesce(X.parse_confidence(F.col("reply")), F.lit(-1)).alias("confidence"))
+
+
+@query("SELECT conv_id, turn, i, CASE i WHEN 1 THEN FALSE WHEN 3 THEN turn % 2 = 0 ELSE TRUE END AS vote FROM conversations, (SELECT unnest([1, 2, 3, 4]) AS i)")
+def judge_votes(spark, d):
+    rows = P.table(spark, d, "conversations")
+    reply = F.concat(F.lit("1. NO\n2) yes\n3: "), F.when(F.col("turn") % 2 == 0, "YES").otherwise("NO"), F.lit("\nnothing"))
+    out = rows.select("conv_id", "turn", F.posexplode(X.judge_votes(reply, F.lit(4))).alias("i", "vote"))
+    return out.withColumn("i", F.col("i") + 1)
+
+
+@query("SELECT item_id, 2 AS n_targets, 'lamp' AS cue, 'cup' AS a, 'table' AS b, 'spatial' AS type FROM benchmark")
+def grounding_parse(spark, d):
+    reply = F.lit("Key Objects: cup, table\nCue Objects: lamp\nRel: (cup; spatial; table), (broken; x)")
+    g = P.table(spark, d, "benchmark").select("item_id", X.parse_grounding(reply).alias("g"))
+    return g.select("item_id", F.size("g.targets").alias("n_targets"), F.col("g.cues")[0].alias("cue"), F.explode("g.relations").alias("r")).select("item_id", "n_targets", "cue", "r.*")
+
+
+# ---------------------------------------------------------------- times
+
+@query("SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN epoch(ts) % 86400 WHEN 1 THEN minute(ts) * 60 + second(ts) WHEN 2 THEN value END, 6) AS seconds FROM events")
+def parse_hms(spark, d):
+    e = P.table(spark, d, "events")
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.date_format("ts", "HH:mm:ss.SSSSSS")).when(kind == 1, F.date_format("ts", "mm:ss")).when(kind == 2, F.col("value").cast("string")).otherwise("soon")
+    return e.select("event_id", F.round(T.parse_clock(text, (2, 3)), 6).alias("seconds"))
+
+
+@query("SELECT o_orderkey, unnest(list_sort(list_distinct([trunc(i * (1.0::DOUBLE / 2))::INT FOR i IN generate_series(0, o_orderkey % 40)]))) AS frame FROM orders")
+def fps_rescale(spark, d):
+    rows = P.table(spark, d, "orders").select("o_orderkey", F.sequence(F.lit(0), (F.col("o_orderkey") % 40).cast("int")).alias("f"))
+    return rows.select("o_orderkey", F.explode(T.rescale_frames(F.col("f"), F.lit(2.0), F.lit(1.0))).alias("frame"))
+
+
+@query("WITH v AS (SELECT o_orderkey, o_custkey % 900 + 30 AS total FROM orders), n AS (SELECT *, greatest(2, floor(least(total / 29.97::DOUBLE * 2.0, total) / 2) * 2)::INT AS nf FROM v) SELECT o_orderkey, nf, k::INT AS k, least(trunc(k / 2.0::DOUBLE * 29.97::DOUBLE)::INT, total - 1)::INT AS native FROM (SELECT *, unnest(generate_series(0, nf - 1)) AS k FROM n)")
+def frame_index_plan(spark, d):
+    rows = P.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 900 + 30).alias("total"))
+    plan = rows.select("o_orderkey", T.cached_frames(F.col("total"), F.lit(29.97)).alias("nf"), F.posexplode(T.frame_plan(F.col("total"), F.lit(29.97))).alias("k", "native"))
+    return plan.select("o_orderkey", "nf", "k", "native")
+
+
+# ---------------------------------------------------------------- boxes
+
+@query(with_views("boxes", body="SELECT a.image_id, a.box_id AS a, b.box_id AS b, round(ix * iy / (aa + ab - ix * iy), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS ix, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS iy, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.label = b.label AND a.box_id // 10 = b.box_id // 10 AND a.box_id < b.box_id)"))
+def box_iou(spark, d):
+    b = P.boxes(spark, d).withColumn("grp", F.floor(F.col("box_id") / 10))
+    one, two = (b.select("image_id", "label", "grp", *(F.col(c).alias(p + c) for c in ("box_id", "x1", "y1", "x2", "y2"))) for p in "ab")
+    pairs = one.join(two, ["image_id", "label", "grp"]).where("abox_id < bbox_id")
+    corner = lambda p: [F.col(p + c) for c in ("x1", "y1", "x2", "y2")]
+    return pairs.select("image_id", F.col("abox_id").alias("a"), F.col("bbox_id").alias("b"), F.round(nms.iou(corner("a"), corner("b")), 6).alias("iou"))
+
+
+_BOX_FOLD = with_views(
+    "boxes",
+    recursive=True,
+    body=""", o AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, box_id) AS rn FROM boxes WHERE score > 0.3),
+fold(image_id, label, rn, kept) AS (
+  SELECT DISTINCT image_id, label, 0::BIGINT, []::STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, s DOUBLE)[] FROM o
+  UNION ALL
+  SELECT f.image_id, f.label, f.rn + 1, CASE WHEN coalesce(list_bool_or([greatest(0, least(y.x2, o.x2) - greatest(y.x1, o.x1)) * greatest(0, least(y.y2, o.y2) - greatest(y.y1, o.y1)) / ((y.x2 - y.x1) * (y.y2 - y.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(y.x2, o.x2) - greatest(y.x1, o.x1)) * greatest(0, least(y.y2, o.y2) - greatest(y.y1, o.y1))) > 0.5 FOR y IN f.kept]), FALSE) THEN f.kept ELSE list_append(f.kept, {'id': o.box_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 's': o.score}) END
+  FROM fold f JOIN o ON o.image_id = f.image_id AND o.label = f.label AND o.rn = f.rn + 1
+), last AS (SELECT image_id, label, arg_max(kept, rn) AS kept FROM fold GROUP BY ALL), flat AS (SELECT image_id, label, unnest(kept) AS b FROM last)
+SELECT * FROM (SELECT image_id, label, b.id AS box_id, b.s AS score, row_number() OVER (PARTITION BY image_id ORDER BY b.s DESC, b.id) AS rank FROM flat) WHERE rank <= 20""".lstrip(),
+)
+
+
+@query(_BOX_FOLD)
+def box_nms(spark, d):
+    return nms.box_nms(P.boxes(spark, d), 0.5, 0.3, keep=20).select("image_id", "label", "box_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(with_views("boxes", body="SELECT image_id, box_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS rank FROM boxes WHERE score > 0.5) WHERE rank <= 10"))
+def top_detections(spark, d):
+    return nms.top_detections(P.boxes(spark, d), 0.5, 10).select("image_id", "box_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(with_views("boxes", body="SELECT image_id, box_id, least(x1, 40) AS left, least(y1, 30) AS top, least(x2, 40) - least(x1, 40) AS width, least(y2, 30) - least(y1, 30) AS height, score FROM boxes WHERE label = 0 AND score >= 0.4"))
+def left_top_boxes(spark, d):
+    return nms.left_top(P.boxes(spark, d), 0.4, 40.0, 30.0)
+
+
+@query(with_views("boxes", body="SELECT image_id, box_id, round(greatest(0, least((x1 - 2) / 1.5, 20)), 6) AS x1, round(greatest(0, least((y1 - 1) / 2, 16)), 6) AS y1, round(greatest(0, least((x2 - 2) / 1.5, 20)), 6) AS x2, round(greatest(0, least((y2 - 1) / 2, 16)), 6) AS y2 FROM boxes"))
+def rescale_boxes(spark, d):
+    out = nms.finish_boxes(P.boxes(spark, d), F.lit(20), F.lit(16), 2.0, 1.0, 1.5, 2.0)
+    return out.select("image_id", "box_id", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(with_views("boxes", body="SELECT image_id, cell, max(score * CASE WHEN label = 0 THEN 1.0 ELSE 0.5 END) AS score FROM (SELECT *, (least(3, floor((y1 + y2) / 2 / 12)) * 4 + least(3, floor((x1 + x2) / 2 / 14)))::INT AS cell FROM boxes) GROUP BY ALL"))
+def grid_cells(spark, d):
+    rows = P.boxes(spark, d).withColumn("kind", F.when(F.col("label") == 0, "target").otherwise("cue"))
+    return search.cell_scores(rows, 56.0, 48.0, 4, 4)
+
+
+@query()
+def one_box_per_class(spark, d):
+    return nms.one_box_per_class(P.boxes(spark, d), 200.0).select("image_id", "label", "box_id")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@query("SELECT o_orderkey AS uid FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def resume_anti(spark, d):
+    orders = P.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("uid"))
+    done = P.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("uid"))
+    return sinks.not_done(orders, done).select(F.col("o_orderkey").alias("uid"))
+
+
+@query("SELECT o_custkey::VARCHAR AS uid, o_orderkey AS ordinal, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def dedup_last_wins(spark, d):
+    rows = P.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("uid"), F.col("o_orderkey").alias("ordinal"), "o_totalprice")
+    return rank.last_by(rows, "uid", "ordinal")
+
+
+@query("SELECT doc_id AS video_id, CASE WHEN doc_id % 2 = 0 THEN n_chars WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS num_frames, CASE WHEN doc_id % 3 = 0 THEN 5.0 ELSE 2.0 END::DOUBLE AS fps FROM documents")
+def bind_caches(spark, d):
+    docs = P.table(spark, d, "documents")
+    items = docs.select(F.col("doc_id").alias("video_id"))
+    feats = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("video_id"), F.col("n_chars").alias("num_frames"))
+    text = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("video_id"), F.col("doc_id").alias("num_frames"), F.lit(5.0).alias("fps"))
+    return tables.bind_caches(items, feats, text, None)
+
+
+@query("SELECT o_orderkey::VARCHAR AS uid, CASE WHEN o_orderkey % 4 = 0 THEN -1 WHEN o_orderkey % 4 = 1 THEN 0 ELSE o_orderkey % 6 // 2 + 1 END::INT AS n FROM orders")
+def judged_frames(spark, d):
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), "o_orderkey")
+    frames = F.when(F.col("o_orderkey") % 4 == 1, F.lit([]).cast("array<int>")).otherwise(F.sequence(F.lit(0), (F.col("o_orderkey") % 6).cast("int")))
+    judged = rows.where("o_orderkey % 4 > 0").select("uid", frames.alias("frames"), F.lit(None).cast("double").alias("fps"))
+    out = tables.judged_frames(rows, judged, 1.0)
+    return out.select("uid", F.when(F.col("frames").isNotNull(), F.size("frames")).otherwise(-1).alias("n"))
+
+
+@query("SELECT c_nationkey AS video_id, place, n FROM (SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey) - 1 AS place, count(*) AS n FROM customer GROUP BY c_nationkey) WHERE place >= 3 AND place < 15".replace("AS place,", "::INT AS place,").replace("- 1 ::INT", "- 1"))
+def video_ids(spark, d):
+    items = P.table(spark, d, "customer").select(F.col("c_nationkey").alias("video_id"), F.col("c_custkey").alias("uid"))
+    return tables.video_ids(items, 3, 20, 12).select("video_id", F.col("place").cast("long").alias("place"), F.size("uids").cast("long").alias("n"))
+
+
+@query("SELECT count(*) AS n_clips, sum(p_size)::DOUBLE AS seconds FROM (SELECT DISTINCT ON (p_brand) p_brand, p_size FROM part ORDER BY p_brand, p_partkey)")
+def distinct_clip_seconds(spark, d):
+    rows = P.table(spark, d, "part").select(F.col("p_brand").alias("uid"), F.col("p_partkey").alias("ordinal"), F.lit(0.0).alias("start"), F.col("p_size").cast("double").alias("end"))
+    return tables.distinct_clip_seconds(rows)
+
+
+@query("SELECT p_partkey AS box, dense_rank() OVER (ORDER BY p_type) - 1 AS label FROM part")
+def merge_class_texts(spark, d):
+    rows = P.table(spark, d, "part").select(F.col("p_partkey").alias("box"), F.col("p_type").alias("text"))
+    return tables.merge_class_texts(rows).select("box", F.col("label").cast("long").alias("label"))
+
+
+@query("WITH b AS (SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 100 >= 32 AND o_orderkey % 7 > 0 AND l_linenumber < 7 AND l_quantity <= 32), f AS (SELECT l_returnflag || l_linestatus AS name, min(l_orderkey * 10 + l_linenumber) AS first FROM b GROUP BY 1), ids AS (SELECT name, row_number() OVER (ORDER BY first, name) - 1 AS label FROM f) SELECT l_orderkey AS image_id, l_orderkey * 10 + l_linenumber AS ordinal, label FROM b JOIN ids ON name = l_returnflag || l_linestatus")
+def grounding_boxes(spark, d):
+    orders, items = P.table(spark, d, "orders"), P.table(spark, d, "lineitem").where("l_quantity <= 32")
+    images = orders.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 100).alias("width"), F.lit(100).alias("height"))
+    boxes = items.select(F.col("l_orderkey").alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("w"), F.lit(5.0).alias("h"), F.lit(25.0).alias("area"), (F.col("l_linenumber") >= 7).alias("ignore"), F.lit(None).cast("int").alias("iscrowd"))
+    ignored = orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("image_id"))
+    out = tables.grounding_boxes(images, boxes, 32, True, ignored)
+    return out.select("image_id", "ordinal", F.col("label").cast("long").alias("label"))
