@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, language, neardup, packing, pii, quality, rules, substring, urls
+from . import common, decontam, language, lm, neardup, packing, pii, quality, rules, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_known", F.round("log_score", 2).alias("log_score"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
@@ -70,7 +74,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op6_lm_scoring, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -122,5 +126,19 @@ FROM b JOIN d USING (g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * c
 """
 
 
+_OP6 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), t AS (SELECT doc_id, unnest(ws) AS y, unnest(list_concat([NULL], ws[:-2])) AS x FROM w WHERE len(ws) > 0
+), one AS (SELECT y AS w, count(*) AS c FROM t GROUP BY y
+), per AS (SELECT doc_id, x, y, count(*) AS n FROM t GROUP BY ALL
+), two AS (SELECT x, y, sum(n) AS c2 FROM per WHERE x IS NOT NULL GROUP BY ALL
+), met AS (SELECT per.*, c2, coalesce(c2 > n, FALSE) AS known FROM per LEFT JOIN two USING (x, y)
+), s AS (SELECT doc_id, sum(n)::BIGINT AS n_words, sum(CASE WHEN known THEN n ELSE 0 END)::BIGINT AS n_known,
+  sum(CASE WHEN known THEN n * (ln(c2::DOUBLE) - ln(c::DOUBLE)) ELSE n * (ln(c::DOUBLE) - ln((SELECT count(*) FROM t)::DOUBLE) + CASE WHEN x IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) END) AS s
+  FROM met JOIN one ON w = CASE WHEN known THEN x ELSE y END GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, round(round(coalesce(s, 0), 4), 2) AS log_score FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
+    return {"op6_lm_scoring": _OP6, "op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
