@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Texts are handled in groups of about this many bytes, so that the scratch arrays stay in cache.
 GROUP_BYTES = 1 << 20
 #: A single word longer than this is hashed by blake2b instead of the polynomial.
@@ -66,7 +68,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, because one row can hold a very long text."""
+    """Arrow batches of few rows, because one row can hold a very long text; workers get this package's sources."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -7,7 +7,8 @@ steps instead of in all pairs:
 1. every member with the bucket's smallest doc_id; accepted links give provisional components;
 2. in buckets that still hold several components, the members outside the bucket's largest component with all members
    of other components, in blocks of bounded size that run as separate tasks; rounds that take each member's likeliest
-   pair only come first, so that a large loose group grows together before the full round.
+   pair only come first, so that a large loose group grows together; the full round then takes intersections of whole
+   sets within blocks, so only pairs that reach the threshold become rows.
 
 A pair that shares a bucket is thus either compared or already connected, which is all that components need.  Each
 comparison first goes through signature slices: with m of n minima equal, the pair is dropped once the posterior
@@ -130,39 +131,84 @@ def _pruner(steps: list[int], least: list[int]):
     return prune
 
 
-def _blocks(steps: list[int], least: list[int], best: bool):
-    """Rows (block, minor, doc, comp, sig) sorted by block: pairs of a minority member and a member of another component.
+def _likeliest(steps: list[int], least: list[int]):
+    """Of one block, each minority member's pair of most equal minima with a member of another component."""
 
-    With ``best``, each minority member's likeliest pair of the block only.
-
-    A block has at most a few thousand rows by construction, so carrying one block over a batch edge is bounded.
-    """
-
-    def pairs(minor: np.ndarray, doc: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(minor: np.ndarray, doc: np.ndarray, comp: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sig = _signatures(column)
         a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
         for at in range(0, len(a), 16):
             x, y = (z.ravel() for z in np.meshgrid(a[at : at + 16], b, indexing="ij"))
             other = comp[x] != comp[y]
             x, y = x[other], y[other]
-            if len(x):
-                equal = _alike(sig[x], sig[y], steps, least)
-                good = np.flatnonzero(equal)
-                if best and len(good):
-                    good = good[np.lexsort((y[good], -equal[good], x[good]))]
-                    good = good[np.concatenate(([True], x[good][1:] != x[good][:-1]))]
-                x, y = doc[x[good]], doc[y[good]]
-                yield np.minimum(x, y), np.maximum(x, y)
+            equal = _alike(sig[x], sig[y], steps, least)
+            good = np.flatnonzero(equal)
+            if len(good):
+                good = good[np.lexsort((y[good], -equal[good], x[good]))]
+                good = good[np.concatenate(([True], x[good][1:] != x[good][:-1]))]
+                yield x[good], y[good]
+
+    return pairs
+
+
+def _overlapping(percent: int):
+    """Of one block, all pairs of a minority member and a member of another component that reach the threshold.
+
+    Sets are arrays of 32-bit shingle hashes; intersections of a few members with all others are one matrix product
+    over the few members' shingles.  A hash collision can only let a pair through to the exact check.
+    """
+
+    def pairs(minor: np.ndarray, doc: np.ndarray, comp: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        flat = C.texts_of(column)
+        hashed, first = flat.data.view(np.uint32), flat.offsets // 4
+        size = np.diff(first)
+        a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
+        owner = np.repeat(np.arange(len(b)), size[b])
+        theirs = np.concatenate([hashed[first[i] : first[i + 1]] for i in b]) if len(b) else hashed[:0]
+        for at in range(0, len(a), 32):
+            mine = a[at : at + 32]
+            own = np.concatenate([hashed[first[i] : first[i + 1]] for i in mine])
+            row = np.repeat(np.arange(len(mine)), size[mine])
+            known, place = np.unique(own, return_inverse=True)
+            where = np.minimum(np.searchsorted(known, theirs), max(0, len(known) - 1))
+            shared = np.flatnonzero(known[where] == theirs) if len(known) else where[:0]
+            both = np.zeros((len(mine), len(b)), np.float32)
+            for k in range(0, len(known), 4096):
+                left = np.zeros((len(mine), min(4096, len(known) - k)), np.float32)
+                inside = (place >= k) & (place < k + 4096)
+                left[row[inside], place[inside] - k] = 1
+                right = np.zeros((left.shape[1], len(b)), np.float32)
+                w = shared[(where[shared] >= k) & (where[shared] < k + 4096)]
+                right[where[w] - k, owner[w]] = 1
+                both += left @ right
+            union = size[mine][:, None] + size[b][None, :] - both
+            x, y = np.nonzero((100 * both >= percent * union) & (comp[mine][:, None] != comp[b][None, :]))
+            yield mine[x], b[y]
+
+    return pairs
+
+
+def _blocks(pairs):
+    """Rows (block, minor, doc, comp, payload) sorted by block to the pairs that ``pairs`` finds in each block.
+
+    A block has at most a few thousand rows by construction, so carrying one block over a batch edge is bounded.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             block, minor, doc, comp = (t.column(k).to_numpy() for k in range(4))
-            sig = _signatures(t.column(4))
+            payload = t.column(4).combine_chunks()
             edge = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            out = []
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                for x, y in pairs(minor[i:j], doc[i:j], comp[i:j], sig[i:j]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                for x, y in pairs(minor[i:j], doc[i:j], comp[i:j], payload.slice(i, j - i)):
+                    x, y = doc[i:j][x], doc[i:j][y]
+                    out.append((np.minimum(x, y), np.maximum(x, y)))
+            if out:
+                x, y = (np.concatenate(z) for z in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -180,6 +226,17 @@ def _blocks(steps: list[int], least: list[int], best: bool):
     return run
 
 
+def _set_bytes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in C.groups(batches):
+            hashed, text = C.distinct(*C.shingles(C.word_table(texts, lower=True), size))
+            first = np.searchsorted(text, np.arange(part.num_rows + 1))
+            short = (hashed >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(short[i:j]).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc", "payload"])
+
+    return run
+
+
 def _verifier(percent: int, size: int):
     """Exact check of pairs (a, b, text_a, text_b): 100 * intersection >= percent * union."""
 
@@ -239,7 +296,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     sigs = C.materialize(real.select("doc_id", "bands", "sig").dropDuplicates(["doc_id"]).join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
     banded = sigs.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"))
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last")
-    members = C.materialize(banded.join(shared, "bucket"), "members").where("doc != pivot")
+    members = C.materialize(banded.join(shared, "bucket"), "members")
+    # buckets of the same members are compared once
+    marks = [F.bit_xor(F.xxhash64("doc")).alias("m1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("m2"), F.count("*").alias("n")]
+    kept = members.groupBy("bucket").agg(*marks).groupBy("m1", "m2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = C.materialize(members.join(kept, "bucket", "left_semi"), "members").where("doc != pivot")
 
     involved = members.select("doc").union(members.select("pivot")).distinct().withColumnRenamed("doc", "doc_id")
     texts = C.materialize(docs.where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -260,14 +321,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
         named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
         size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
-        row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others")).join(sig.withColumnRenamed("doc_id", "doc"), "doc")
+        row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others"))
+        payload = sig.select(F.col("doc_id").alias("doc"), F.col("sig").alias("payload")) if best else texts.mapInArrow(_set_bytes(size), "doc long, payload binary")
+        row = row.join(payload, "doc")
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         left = row.where("small").select("*", own("parts").alias("i"), every("others").alias("j"), F.lit(True).alias("minor"))
         right = row.select("*", every("parts").alias("i"), own("others").alias("j"), F.lit(False).alias("minor"))
-        blocks = left.unionByName(right).select(F.xxhash64("bucket", "i", "j").alias("block"), "minor", "doc", "comp", "sig")
+        blocks = left.unionByName(right).select(F.xxhash64("bucket", "i", "j").alias("block"), "minor", "doc", "comp", "payload")
         blocks = blocks.repartition("block").sortWithinPartitions("block")
-        return C.materialize(blocks.mapInArrow(_blocks(steps, least, best), "a long, b long").distinct(), "pairs")
+        return C.materialize(blocks.mapInArrow(_blocks(_likeliest(steps, least) if best else _overlapping(percent)), "a long, b long").distinct(), "pairs")
 
     # Members of one group that missed its pivot join it by their likeliest pairs first; what is still apart when a round
     # links nothing more is compared in full, so no pair is skipped.
