@@ -18,6 +18,7 @@ from .operators import islands, metrics, nms, rank, sampling, search, tracks, ve
 from .plans import combine as plan_combine
 from .plans import planner
 from .proxies import with_views
+from .session import ship
 from .sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,11 @@ _oracles: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _queries[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _queries[f.__name__] = run
         if sql is not None:
             _oracles[f.__name__] = sql
         return f
