@@ -6,15 +6,15 @@ bigram table on the pair, then what each pair still needs meets the unigram tabl
 previous word where the pair is known, that of the word itself where it backs off.  A document's score is the sum of
 the logarithms, and per word.
 
-A pair counts as known if it also occurs outside the document: its own occurrences alone would make every pair known.
+A pair counts as known if it also occurs outside the text: its own occurrences alone would make every pair known.
 Known: count(pair) / count(previous word); else ``backoff`` * count(word) / all words.  The first word of a text has no
 previous word and takes the unigram share itself.
 
 Both tables grow with the corpus and are partitioned by hash; hot words meet partial sums and joins that adaptive
 execution splits.
 
-Edge cases: null and empty texts, and texts without words, have no words and score 0; rows that repeat a doc_id are one
-document; rows with null doc_id are scored together as one; other columns are ignored.
+Edge cases: null and empty texts, and texts without words, have no words and score 0; rows that repeat a doc_id are
+scored one by one and add up; so are rows with null doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,10 +56,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     pairs = docs.mapInArrow(_pairs, "doc_id long, x long, y long, n long")
     one = C.materialize(pairs.groupBy("y").agg(F.sum("n").alias("c")), "unigrams")
     total = one.agg(F.sum("c").alias("c")).first()["c"] or 1
-    # one row per pair and document; ids that repeat add up
-    per = pairs.groupBy("x", "y", "doc_id").agg(F.sum("n").alias("n"))
     two = pairs.where(f"x <> {START}").groupBy("x", "y").agg(F.sum("n").alias("c2"))
-    met = per.join(two, ["x", "y"], "left").withColumn("known", F.coalesce(F.col("c2") > F.col("n"), F.lit(False)))
+    met = pairs.join(two, ["x", "y"], "left").withColumn("known", F.coalesce(F.col("c2") > F.col("n"), F.lit(False)))
     need = met.groupBy("doc_id", F.when(F.col("known"), F.col("x")).otherwise(F.col("y")).alias("w"), "known").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("known"), F.col("n") * F.log(F.col("c2").cast("double"))).otherwise(0.0)).alias("up"),

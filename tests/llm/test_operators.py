@@ -453,3 +453,35 @@ def test_long_words_and_pieces_hash_alike(monkeypatch):
     whole = common.word_table(texts)
     monkeypatch.setattr(common, "GROUP_BYTES", 1000)
     assert (common.word_table(texts).hash == whole.hash).all() and len(whole.hash) == len(t.split())
+
+
+def test_backoff_scores_match_brute_force(spark, docs):
+    import math
+
+    from reelquery.llm import lm
+
+    rows = [*docs, (0, "abc abc again"), (None, "abc ab")]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(i, words((t or "").translate(low))) for i, t in rows]
+    one, two = Counter(), Counter()
+    for _, w in texts:
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+    total = sum(one.values())
+    expected = defaultdict(lambda: [0, 0, 0.0])
+    for i, w in texts:
+        own = Counter(zip(w, w[1:], strict=False))
+        e = expected[i]
+        for k, y in enumerate(w):
+            e[0] += 1
+            if k and two[w[k - 1], y] > own[w[k - 1], y]:
+                e[1] += 1
+                e[2] += math.log(two[w[k - 1], y] / one[w[k - 1]])
+            else:
+                e[2] += math.log(one[y] / total) + (math.log(0.4) if k else 0)
+        expected[i] = e
+    got = {r.doc_id: r for r in lm.score(frame(spark, rows)).collect()}
+    assert got.keys() == expected.keys()
+    for i, (n, known, s) in expected.items():
+        assert (got[i].n_words, got[i].n_known) == (n, known) and abs(got[i].log_score - s) < 0.01
+    assert lm.score(frame(spark, [])).count() == 0
