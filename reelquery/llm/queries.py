@@ -126,6 +126,37 @@ FROM b JOIN d USING (g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * c
 """
 
 
+def _op2_sql(depth: int = 6, many: int = 20, seldom: float = 3.0, block_at: float = 0.8, strength: float = 10.0, z: float = 1.96) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    levels = ""
+    for d in range(1, depth + 1):
+        levels += f""", k{d} AS (SELECT *, parts[{d + 1}] AS token FROM t{d - 1}
+), l{d} AS (SELECT host, tree, TRUE AS loose FROM (SELECT host, tree, token, sum(n) AS n FROM k{d} WHERE token IS NOT NULL GROUP BY ALL) GROUP BY host, tree HAVING count(*) >= {many} AND sum(n) < {seldom} * count(*)
+), t{d} AS (SELECT host, shape, n, seen, bad, parts, tree || CASE WHEN token IS NULL THEN '' WHEN loose AND token <> '' THEN '/*' ELSE '/' || token END AS tree FROM k{d} LEFT JOIN l{d} USING (host, tree))"""
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{of(v, h, p)}'" for v, h, p in rules) + " END"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), base AS (SELECT *, regexp_replace(path, '[0-9]+', '{{n}}', 'g') AS shape FROM b
+), lab AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id
+), known AS (SELECT page_id, bad FROM (SELECT page_id, try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM base) JOIN lab USING (doc_id)
+), t0 AS (SELECT host, shape, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(shape, '/') AS parts, '' AS tree FROM base LEFT JOIN known USING (page_id) GROUP BY host, shape
+){levels.rstrip()}, tree AS (SELECT host, shape, seen, bad, tree || CASE WHEN len(parts) > {depth + 1} THEN '/**' ELSE '' END AS tree FROM t{depth}
+), branch AS (SELECT host, tree, sum(seen) AS seen, sum(bad) AS bad, regexp_replace(tree, '/[^/]*$', '') AS up FROM tree GROUP BY host, tree
+), pooled AS (SELECT host, up, (sum(bad) + 1) / (sum(seen) + 2) AS rate FROM branch GROUP BY host, up
+), kept AS (SELECT host, tree, seen, bad, CASE WHEN abs(bad - seen * rate) > {z} * sqrt(seen * rate * (1 - rate)) AND seen >= 5 THEN tree ELSE up || '/*' END AS template FROM branch JOIN pooled USING (host, up)
+), merged AS (SELECT host, template, sum(seen) AS seen, sum(bad) AS bad FROM kept GROUP BY host, template
+), total AS (SELECT (sum(bad) + 1) / (sum(seen) + 2) AS prior FROM merged
+), hosts AS (SELECT host, (sum(bad) + {strength} * any_value(prior)) / (sum(seen) + {strength}) AS host_rate FROM merged CROSS JOIN total GROUP BY host
+), judged AS (SELECT host, template, CASE WHEN (bad + {strength} * host_rate) / (seen + {strength}) >= {block_at} THEN 'block' ELSE 'allow' END AS by_template FROM merged JOIN hosts USING (host)
+)
+SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, by_template) AS verdict, host || template AS template
+FROM base JOIN tree USING (host, shape) JOIN kept USING (host, tree) JOIN judged USING (host, template)
+"""
+
+
 _OP6 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), t AS (SELECT doc_id, unnest(ws) AS y, unnest(list_concat([NULL], ws[:-2])) AS x FROM w WHERE len(ws) > 0
@@ -141,4 +172,4 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lm_scoring": _OP6, "op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
+    return {"op2_url_filter": _op2_sql(), "op6_lm_scoring": _OP6, "op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10}

@@ -23,7 +23,7 @@ def same(df, sql):
     assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op7_substring_dedup", "op10_minhash_near_dedup"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op6_lm_scoring", "op3_benchmark_decontamination", "op7_substring_dedup", "op10_minhash_near_dedup"])
 def test_oracles(spark, name):
     from reelquery.llm import queries
 
