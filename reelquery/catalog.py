@@ -487,7 +487,7 @@ def image_similarity(spark, d):
 
 # ---------------------------------------------------------------- plans, prompts, replies
 
-_REPLY = "CASE conv_id % 5 WHEN 0 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{\"queries\": [{\"tool\": \"siglip\", \"query\": \"a\", \"id\": \"Q1\"}, {\"tool\": \"tren\", \"query\": \"b\", \"id\": \"Q2\"}], \"combine\": \"Q1 AND Q2\"}' || chr(10) || '```' WHEN 1 THEN 'so {\"queries\": [{\"tool\": \"ocr\", \"query\": \"c\", \"id\": \"Q1\"}], \"combine\": \"Q1 OR Q3\"} done' WHEN 2 THEN '{\"queries\": [{\"tool\": \"siglip\", \"id\": \"Q1\"}, {\"tool\": \"siglip\", \"query\": \"d\", \"id\": \"Q2\"}], \"combine\": \"Q2\"}' WHEN 3 THEN text ELSE '{\"queries\": [' END"
+_REPLY = "CASE conv_id % 5 WHEN 0 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{\"queries\": [{\"tool\": \"image\", \"query\": \"a\", \"id\": \"Q1\"}, {\"tool\": \"region\", \"query\": \"b\", \"id\": \"Q2\"}], \"combine\": \"Q1 AND Q2\"}' || chr(10) || '```' WHEN 1 THEN 'so {\"queries\": [{\"tool\": \"text\", \"query\": \"c\", \"id\": \"Q1\"}], \"combine\": \"Q1 OR Q3\"} done' WHEN 2 THEN '{\"queries\": [{\"tool\": \"image\", \"id\": \"Q1\"}, {\"tool\": \"image\", \"query\": \"d\", \"id\": \"Q2\"}], \"combine\": \"Q2\"}' WHEN 3 THEN text ELSE '{\"queries\": [' END"
 
 
 def _replies(spark, d):
@@ -500,7 +500,7 @@ _PLAN_COUNTS = "CASE conv_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE
 @query(f"SELECT conv_id, turn, {_PLAN_COUNTS} AS n_queries, CASE conv_id % 5 WHEN 0 THEN 'Q1 AND Q2' WHEN 1 THEN 'Q1 OR Q3' WHEN 2 THEN 'Q2' ELSE '' END AS combine, CASE conv_id % 5 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n_available FROM conversations")
 def plan_parse(spark, d):
     rows = _replies(spark, d).withColumn("plan", planner.parse_plan(F.col("reply")))
-    left = planner.available(F.col("plan.queries"), F.array(F.lit("siglip")))
+    left = planner.available(F.col("plan.queries"), F.array(F.lit("image")))
     return rows.select("conv_id", "turn", F.size("plan.queries").alias("n_queries"), F.col("plan.combine").alias("combine"), F.size(left).alias("n_available"))
 
 

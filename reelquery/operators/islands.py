@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def clusters(frames: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """keys, frame_idx: one frame (upper median) of each run whose steps are at most ``gap``."""
+def clusters(frames: DataFrame, keys: list[str], gap: int | Column) -> DataFrame:
+    """keys, frame_idx: one frame (upper median) of each run whose steps are at most ``gap`` (a number or a column)."""
     w = Window.partitionBy(*keys).orderBy("frame_idx")
     fresh = F.coalesce((F.col("frame_idx") - F.lag("frame_idx").over(w) > gap).cast("int"), F.lit(1))
-    marked = frames.select(*keys, "frame_idx", fresh.alias("fresh")).withColumn("island", F.sum("fresh").over(w))
+    marked = frames.withColumn("fresh", fresh).select(*keys, "frame_idx", "fresh").withColumn("island", F.sum("fresh").over(w))
     lists = marked.groupBy(*keys, "island").agg(F.array_sort(F.collect_list("frame_idx")).alias("f"))
     return lists.select(*keys, F.element_at("f", (F.size("f") / 2).cast("int") + 1).alias("frame_idx"))
 

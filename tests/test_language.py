@@ -99,7 +99,7 @@ def test_bounds_and_commutativity(spark):
 def test_plan_replies(spark):
     from reelquery.plans import planner
 
-    good = '{"queries": [{"tool": "siglip", "query": "a", "id": "Q1"}], "combine": "Q1"}'
+    good = '{"queries": [{"tool": "image", "query": "a", "id": "Q1"}], "combine": "Q1"}'
     rows = [("x\n```json\n" + good + "\n```", 1, "Q1", 1.0), ("so " + good + " ok", 1, "Q1", 1.0), ("nothing", 0, "", -1.0), ("{broken", 0, "", -1.0), ('{"queries": [{"tool": "t", "id": "Q1"}, {"tool": "t", "query": "q", "id": "Q2"}], "combine": "Q2"}', 1, "Q2", -1.0), (good.replace('"combine": "Q1"', '"combine": "Q1 AND Q4"'), 1, "Q1 AND Q4", 0.0)]
     df = spark.createDataFrame([(r[0],) for r in rows], "reply string")
     got = df.select("reply", F.size(planner.parse_plan(F.col("reply"))["queries"]).alias("n"), planner.parse_plan(F.col("reply"))["combine"].alias("c"), planner.consistency(F.col("reply")).alias("r")).collect()

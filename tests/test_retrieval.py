@@ -1,0 +1,64 @@
+"""The whole retrieval on a small corpus, and answering again."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from reelquery import models
+from reelquery.plans import retrieval
+from reelquery.sources import importers
+
+
+def small(spark):
+    enc = models.hashed_encoder(8)
+    rng = np.random.default_rng(0)
+    rows = [(v, f, (enc([t])[0] if f in hot else rng.normal(size=8)).tolist()) for v, t, hot in (("v1", "cat", (5, 40)), ("v2", "dog", (7,))) for f in range(60)]
+    frames = spark.createDataFrame(rows, "video_id string, frame_idx int, emb array<double>")
+    items = spark.createDataFrame([("a", "v1", {"A": "x"}), ("b", "v2", {"A": "x"}), ("c", "v1", {}), ("d", "v1", {"A": "x"}), ("e", "v9", {"A": "x"})], "uid string, video_id string, options map<string,string>")
+    q = lambda *texts: [(t, x, f"Q{i + 1}") for i, (t, x) in enumerate(texts)]
+    plans = spark.createDataFrame(
+        [("a", q(("image", "cat"), ("other", "z")), "Q1 AND Q2"), ("b", q(("image", "dog")), "nonsense ("), ("c", q(("image", "cat"), ("image", "dog")), "Q1 OR Q2"), ("d", q(("other", "z")), "Q1"), ("e", q(("image", "cat")), "Q1")],
+        "uid string, queries array<struct<tool:string,query:string,id:string>>, combine string",
+    )
+    return items, plans, frames, enc
+
+
+def test_retrieve(spark):
+    items, plans, frames, enc = small(spark)
+    judged = spark.createDataFrame([("b", [20, 21, 22, 50])], "uid string, frames array<int>")
+    got = {r.uid: r for r in retrieval.retrieve(items, plans, frames, enc, judged=judged, ks=(4, 8), k=4).collect()}
+    assert {u: r.status for u, r in got.items()} == {"a": "answered", "b": "answered", "c": "retrieval_only", "d": "no_queries", "e": "no_scores"}
+    assert {5, 40} <= set(got["a"].frames_used) and len(got["a"].pools[8]) <= 8 and got["a"].frames_used == sorted(got["a"].frames_used)
+    assert {7, 21, 50} <= set(got["b"].frames_used)
+    assert got["a"].timestamps_used == [f / 2 for f in got["a"].frames_used]
+    prompts = items.select("uid", F.concat(F.lit("? "), "uid").alias("prompt"))
+    rows = retrieval.retrieve(items, plans, frames, enc, ks=(4,), k=4)
+    out = {r.uid: r.answer for r in retrieval.answer(rows, prompts, lambda p: ["(A)" for _ in p]).collect()}
+    assert out == {"a": "A", "b": "A", "c": None, "d": None, "e": None}
+
+
+def test_region_tool(spark):
+    items, plans, frames, enc = small(spark)
+    plans = plans.withColumn("queries", F.transform("queries", lambda q: F.struct(F.lit("region").alias("tool"), q["query"].alias("query"), q["id"].alias("id"))))
+    half = [float(x) for x in enc(["photo of a cat"])[0][4:]]
+    tracks = spark.createDataFrame([("v1", 0, half), ("v1", 1, [-x for x in half]), ("v2", 0, half)], "video_id string, track_id int, tok array<double>")
+    members = spark.createDataFrame([("v1", 0, 11), ("v1", 0, 12), ("v1", 1, 30), ("v2", 0, 3)], "video_id string, track_id int, frame_idx int")
+    got = {r.uid: r for r in retrieval.retrieve(items, plans, frames, enc, tracks, members, ks=(4,), k=4).collect()}
+    assert {11, 12} & set(got["a"].frames_used) and got["a"].status == "answered"
+
+
+def test_answer_again(spark):
+    items, _, _, _ = small(spark)
+    earlier = spark.createDataFrame([("a", 0, {4: [9]}, [9]), ("a", 1, {4: [7, 3, 5]}, [1]), ("b", 2, None, [8, 2]), ("c", 3, None, None), ("", 4, None, [1])], "uid string, ordinal int, pools map<int,array<int>>, frames_used array<int>")
+    found, missing = retrieval.answer_again(items, earlier, 4)
+    assert {r.uid: r.frames_used for r in found.collect()} == {"a": [3, 5, 7], "b": [2, 8]}
+    assert {r.uid for r in missing.collect()} == {"c", "d", "e"}
+
+
+def test_import(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"12")
+    (tmp_path / "x.alt").write_bytes(b"99")
+    (tmp_path / "bad.bin").write_bytes(b"zz")
+    cached = importers.files(spark, str(tmp_path), ("bin", "alt"))
+    got = importers.import_frames(cached, lambda raw: [[float(c)] for c in raw.decode()])
+    assert sorted((r.video_id, r.frame_idx, r.emb) for r in got.collect()) == [("x", 0, [1.0]), ("x", 1, [2.0])]
+    assert [r.video_id for r in importers.failed(cached, got).collect()] == ["bad"]
