@@ -30,6 +30,7 @@ SPACES = (32, 9, 10, 11, 12, 13)
 
 # ---------------------------------------------------------------- shared folder
 
+#: Tables made so far: (session, path), in order.
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -47,15 +48,33 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session is gone already
             return
 
 
+def made() -> int:
+    """How many tables there are: a mark for ``release``."""
+    return len(_made)
+
+
+def release(since: int, still_read: list[DataFrame]) -> None:
+    """Delete the tables made after a mark, except those that the given results still read."""
+    plans = "".join(df._jdf.queryExecution().analyzed().toString() + str(list(df.inputFiles())) for df in still_read)
+    for spark, path in _made[since:]:
+        if path.rpartition("/")[2] not in plans:
+            _delete(spark, path)
+    _made[since:] = [x for x in _made[since:] if x[1].rpartition("/")[2] in plans]
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -284,6 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, anything else)."""
     spark = docs.sparkSession
+    mark = C.made()
     C.small_batches(spark)
     docs = C.id_text(docs)
     steps = [*range(STEP, bands * rows, STEP), bands * rows]
@@ -352,4 +353,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     rep = signed.select("doc_id", *same).join(first, same, "left")
     out = rep.join(label.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    C.release(mark, [out])
+    return out

@@ -485,3 +485,11 @@ def test_backoff_scores_match_brute_force(spark, docs):
     for i, (n, known, s) in expected.items():
         assert (got[i].n_words, got[i].n_known) == (n, known) and abs(got[i].log_score - s) < 0.01
     assert lm.score(frame(spark, [])).count() == 0
+
+
+def test_intermediate_tables_go(spark):
+    rows = frame(spark, [(i, f"a b c d e f {i // 2}") for i in range(20)])
+    before = common.made()
+    got = neardup.near_duplicates(rows)
+    assert common.made() - before == 3
+    assert got.count() == 20 and got.where("kept").count() == 10
