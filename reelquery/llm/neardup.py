@@ -317,12 +317,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     edges = C.materialize(checked(likely), "links")
     label = components(edges)
 
-    def across(label: DataFrame, best: bool) -> DataFrame:
-        """Likely pairs between different components of ``label`` that share a bucket."""
+    def across(label: DataFrame, best: bool, likely: DataFrame | None = None) -> DataFrame:
+        """Likely pairs between different components of ``label`` that share a bucket.
+
+        ``likely``: the pairs of the round before.  Only members that had one can have a pair that reaches the threshold,
+        so the full round, which carries whole sets, starts from these.
+        """
         named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
         size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
         row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others"))
+        if likely is not None:
+            found = likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct().withColumn("found", F.lit(True))
+            row = row.join(found, "doc", "left").withColumn("small", F.col("small") & F.coalesce("found", F.lit(False))).drop("found")
+            row = row.join(row.where("small").select("bucket").distinct(), "bucket", "left_semi")
         payload = sig.select(F.col("doc_id").alias("doc"), F.col("sig").alias("payload")) if best else texts.mapInArrow(_set_bytes(size), "doc long, payload binary")
         row = row.join(payload, "doc")
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
@@ -335,9 +343,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
 
     # Members of one group that missed its pivot join it by their likeliest pairs first; what is still apart when a round
     # links nothing more is compared in full, so no pair is skipped.
-    best = True
+    best, pairs = True, None
     while True:
-        pairs = across(label, best)
+        pairs = across(label, best, None if best else pairs)
         found = C.materialize(checked(pairs), "links") if pairs.limit(1).count() else None
         if found is not None and found.limit(1).count():
             edges = edges.union(found)
