@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     members = C.materialize(members.join(kept, "bucket", "left_semi"), "members").where("doc != pivot")
 
     involved = members.select("doc").union(members.select("pivot")).distinct().withColumnRenamed("doc", "doc_id")
-    texts = C.materialize(docs.where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # the same join at every size: ids of involved documents grow with the corpus
+    texts = C.materialize(docs.where("doc_id is not null").join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sig = sigs.select("doc_id", "sig")
 
     def checked(pairs: DataFrame) -> DataFrame:
