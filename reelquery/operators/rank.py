@@ -53,3 +53,13 @@ def neighbour_boost(scores: Column, picked: Column, reach: int = 5) -> Column:
         return F.transform(acc, lambda s, n: F.when((F.abs(n - f) <= reach) & (n != f), F.greatest(s, own / (F.abs(n - f) + 1))).otherwise(s))
 
     return F.aggregate(picked, scores, raise_)
+
+
+def top_quarter(frames: Column, confidences: Column) -> Column:
+    """Frames whose confidence reaches the linear 75th percentile of all, in order."""
+    ordered = F.array_sort(confidences)
+    at = (F.size(confidences) - 1) * F.lit(0.75)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.coalesce(F.get(ordered, low + 1), F.get(ordered, low))
+    cut = a + (b - a) * (at - low)
+    return F.transform(F.filter(F.arrays_zip(frames.alias("f"), confidences.alias("c")), lambda z: z["c"] >= cut), lambda z: z["f"])

@@ -1,0 +1,24 @@
+"""Masks, region points, groups, and boosted neighbours."""
+
+from pyspark.sql import functions as F
+
+from reelquery.operators import masks, rank
+
+
+def test_masks(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 0.5, 0.0, 0.9, 1.0],), ([0.0] * 6,)], "m array<double>")
+    got = df.select(masks.mask_box(F.col("m"), 3).alias("b"), masks.region_point(F.col("m"), 3, 11, 21).alias("p")).collect()
+    assert tuple(got[0].b) == (1, 0, 1, 1) and got[1].b is None
+    assert tuple(got[0].p) == (10, 20) and tuple(got[1].p) == (0, 0)
+
+
+def test_groups(spark):
+    rows = [("v", 0, 0, 0, [1.0, 0.0]), ("v", 0, 1, 0, [1.0, 1.0]), ("v", 0, 2, 2, [1.0, 1.0]), ("v", 1, 0, 0, [0.5, 0.0]), ("v", 1, 1, 1, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, region_idx int, group int, mask array<double>")
+    assert sorted((r.frame_idx, r.region_idx) for r in masks.kept_groups(df).collect()) == [(0, 0), (0, 1), (1, 1)]
+
+
+def test_boost(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 1.0, 0.0, 0.0, 0.2], [0, 2, 4, 5], [0.1, 0.9, 0.3, 0.2])], "s array<double>, f array<int>, c array<double>")
+    got = df.select(rank.top_quarter(F.col("f"), F.col("c")).alias("t"), rank.neighbour_boost(F.col("s"), F.array(F.lit(2)), 2).alias("b")).first()
+    assert got.t == [2] and [round(x, 3) for x in got.b] == [0.333, 0.5, 1.0, 0.5, 0.333, 0.2]
