@@ -204,8 +204,7 @@ def _blocks(pairs):
             out = []
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 for x, y in pairs(minor[i:j], doc[i:j], comp[i:j], payload.slice(i, j - i)):
-                    x, y = doc[i:j][x], doc[i:j][y]
-                    out.append((np.minimum(x, y), np.maximum(x, y)))
+                    out.append((doc[i:j][x], doc[i:j][y]))
             if out:
                 x, y = (np.concatenate(z) for z in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
@@ -310,6 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
 
     def checked(pairs: DataFrame) -> DataFrame:
         one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent, size), "a long, b long")
 
     star = members.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
@@ -321,17 +321,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     def across(label: DataFrame, best: bool, likely: DataFrame | None = None) -> DataFrame:
         """Likely pairs between different components of ``label`` that share a bucket.
 
-        ``likely``: the pairs of the round before.  Only members that had one can have a pair that reaches the threshold,
-        so the full round, which carries whole sets, starts from these.
+        ``likely``: the pairs (a, b) of the round before, found from a's side.  Components only grow, so of any pair that
+        may still link, one side was an a; later rounds start from these members, and buckets without one are done.
         """
         named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
         size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
         row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others"))
         if likely is not None:
-            found = likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct().withColumn("found", F.lit(True))
-            row = row.join(found, "doc", "left").withColumn("small", F.col("small") & F.coalesce("found", F.lit(False))).drop("found")
-            row = row.join(row.where("small").select("bucket").distinct(), "bucket", "left_semi")
+            found = likely.select(F.col("a").alias("doc")).distinct().withColumn("found", F.lit(True))
+            row = row.join(found, "doc", "left").withColumn("small", F.coalesce("found", F.lit(False)))
+            count = row.where("small").groupBy("bucket").agg(F.ceil(F.count("*") / MINORITY_BLOCK).alias("parts"))
+            row = row.drop("parts", "found").join(count, "bucket")
         payload = sig.select(F.col("doc_id").alias("doc"), F.col("sig").alias("payload")) if best else texts.mapInArrow(_set_bytes(size), "doc long, payload binary")
         row = row.join(payload, "doc")
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
@@ -346,7 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
     # links nothing more is compared in full, so no pair is skipped.
     best, pairs = True, None
     while True:
-        pairs = across(label, best, None if best else pairs)
+        pairs = across(label, best, pairs)
         found = C.materialize(checked(pairs), "links") if pairs.limit(1).count() else None
         if found is not None and found.limit(1).count():
             edges = edges.union(found)
