@@ -8,7 +8,8 @@ bins are laid end to end into sequences of C tokens, cut where these end, and th
 of power-of-two lengths, which need no padding.
 
 Token ids are those of the public byte-level vocabulary: words between single spaces are encoded once and kept in a
-bounded table of their id bytes; texts in which the spaces aren't clean cuts go through the tokenizer whole.
+bounded table of their id bytes; texts in which the spaces aren't clean cuts go through the tokenizer whole.  Texts are
+first split at the added tokens of the tokenizer's JSON file, as tokenizers does, and these stand for their own ids.
 
 Sequence ids are the partition's number times 2**40 plus a running number, so they are unique without an exchange and
 the same again when a lost partition is recomputed.
@@ -20,8 +21,11 @@ doc_id are packed one by one; doc_id may be null; an empty table has no pieces;
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,14 +42,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    """Texts to little-endian 32-bit id bytes."""
+    """Texts to little-endian 32-bit id bytes; ``added``: (content, id) of the added tokens."""
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.whole = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.added = {t: i.to_bytes(4, "little") for t, i in added}
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
 
     def ids(self, text: str) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in self.whole(text)])
@@ -59,6 +65,15 @@ class Encoder:
         return out
 
     def __call__(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self._between(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += self._between(text[at : m.start()]), self.added[m[0]]
+            at = m.end()
+        return b"".join(out) + self._between(text[at:])
+
+    def _between(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if first and not first[-1].isspace():
             get = self.known.get
@@ -135,7 +150,7 @@ _PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def _pack(held, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(held.value)
-        encode = _encoders.get(key) or _encoders.setdefault(key, Encoder(held.value))
+        encode = _encoders.get(key) or _encoders.setdefault(key, Encoder(*held.value))
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         end = end_id.to_bytes(4, "little")
 
@@ -156,13 +171,22 @@ def _pack(held, capacity: int, end_id: int):
     return run
 
 
+def added_tokens(path: Path) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens of a tokenizer's JSON file."""
+    tokens = json.loads(path.read_text(encoding="utf-8"))["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that match more or less than their content aren't supported")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all rows of ``docs``.  ``vocabulary``: path on the driver of the ranks file of the public tokenizer.
+    """The pieces of all rows of ``docs``.  ``vocabulary``: path on the driver of the ranks file of the public tokenizer,
+    with its JSON file beside it.
 
     The vocabulary's size is fixed (about a megabyte), so it is broadcast; executors need no file.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
     with open(vocabulary, "rb") as f:
-        held = spark.sparkContext.broadcast(f.read())
+        held = spark.sparkContext.broadcast((f.read(), added_tokens(Path(vocabulary).with_suffix(".json"))))
     return C.id_text(docs).mapInArrow(_pack(held, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
