@@ -1,14 +1,16 @@
 """Shared machinery of the corpus operators: shared-folder tables, ragged text batches, vectorised word hashing.
 
 Words are maximal runs of bytes other than space, tab, newline, vertical tab, form feed and carriage return.  All
-hashing is vectorised over Arrow buffers: a batch of texts becomes one byte array, and the hash of every word comes
-from prefix sums of a polynomial modulo 2**64, so no Python object is made per word.
+hashing is vectorised over Arrow buffers: a batch of texts becomes one byte array, words are hashed eight bytes at a
+time, and a window of words from the hashes of its halves.  Every step goes through a mixing function that isn't
+linear, so regular texts don't collide by construction; what is left is the chance of two equal 64-bit numbers.
 """
 
 from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,8 +25,10 @@ from ..session import ship
 
 #: Texts are handled in groups of about this many bytes, so that the scratch arrays stay in cache.
 GROUP_BYTES = 1 << 20
-#: A single word longer than this is hashed by blake2b instead of the polynomial.
-LONG_WORD = 1 << 20
+#: A word or line longer than this is hashed by blake2b instead of eight bytes at a time.
+LONG_SPAN = 256
+#: Arrow batches end at about this many bytes.
+BATCH_BYTES = 32 << 20
 SPACES = (32, 9, 10, 11, 12, 13)
 
 
@@ -39,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = spark.conf.get("spark.reelquery.scratch", None)
     if not made:
@@ -90,6 +94,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows, because one row can hold a very long text; workers get this package's sources."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -151,30 +156,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C17 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.cumprod(out, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
-def _byte_values(lower: bool) -> np.ndarray:
-    table = splitmix(7, 256)
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-_VALUES = {flag: _byte_values(flag) for flag in (False, True)}
 _IS_SPACE = np.isin(np.arange(256), SPACES)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Odd multipliers that tell the two parts of a window apart.
+_LEFT, _OVERLAP = np.uint64(0x9E3779B97F4A7C17), np.uint64(0xD6E8FEB86659FD93)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, exact bytes; spans of up to eight bytes never collide with others of their length."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = size.copy()
+    at, place = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), start
+    while len(at):
+        chunk, n = eight[place[at]], left[at]
+        part = np.flatnonzero(n < 8)
+        chunk[part] &= (np.uint64(1) << (8 * n[part]).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix(out[at] ^ chunk)
+        at = at[n > 8]
+        if len(at):
+            left, place = left - 8, place + 8
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
 
 
 class Words(NamedTuple):
@@ -196,36 +205,19 @@ def word_table(texts: Texts, lower: bool = False) -> Words:
     cut[off] = True
     start = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate(([False], inside[:-1]))))
     end = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    out = np.empty(len(start), np.uint64)
-    values = _VALUES[lower]
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + GROUP_BYTES, "right")))
-        s0, e1 = int(start[at]), int(end[to - 1])
-        if e1 - s0 > LONG_WORD:
-            word = data[s0:e1].tobytes()
-            out[at] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
-        else:
-            up, down = powers(e1 - s0 + 1)
-            total = np.zeros(e1 - s0 + 1, np.uint64)
-            np.cumsum(values[data[s0:e1]] * up[: e1 - s0], out=total[1:])
-            out[at:to] = (total[end[at:to] - s0] - total[start[at:to] - s0]) * down[start[at:to] - s0]
-        at = to
-    return Words(mix(out), start, end, np.searchsorted(start, off))
-
-
-def prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums over word hashes and the inverse powers, for window hashes of any length."""
-    up, down = powers(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return total, down
-
-
-def window_hash(pre: tuple[np.ndarray, np.ndarray], at: np.ndarray, length) -> np.ndarray:
-    """Hashes of the windows of ``length`` words (a number or an array) that start at ``at``."""
-    total, down = pre
-    return mix((total[at + length] - total[at]) * down[at] + np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Words(span_hash(_LOWER[data] if lower else data, start, end), start, end, np.searchsorted(start, off))
+
+
+def windows(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` words that start at each word with as many words from it on."""
+    if len(hashes) < length:
+        return hashes[:0]
+    out, n = hashes, 1
+    while 2 * n <= length:
+        out = mix(out[:-n] * _LEFT + out[n:])
+        n *= 2
+    rest = length - n
+    return mix(out[:-rest] * _OVERLAP + out[rest:]) if rest else out
 
 
 def window_starts(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,29 +230,40 @@ def window_starts(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every shingle; a text of fewer words is one shingle, a text without words has none."""
-    pre = prefix(words.hash)
+    """(hash, text) of every shingle, by text; a text of fewer words is one shingle, a text without words has none."""
     at, text = window_starts(words, size)
-    hashed = window_hash(pre, at, size)
+    hashed = windows(words.hash, size)[at]
     count = np.diff(words.first)
-    short = np.flatnonzero((count > 0) & (count < size))
-    if len(short):
-        hashed = np.concatenate((hashed, window_hash(pre, words.first[:-1][short], count[short])))
+    if not ((count > 0) & (count < size)).any():
+        return hashed, text
+    for n in range(1, size):
+        short = np.flatnonzero(count == n)
+        one = windows(words.hash, n)[words.first[:-1][short]]
+        hashed = np.concatenate((hashed, mix(one + np.uint64(n))))
         text = np.concatenate((text, short))
-        order = np.argsort(text, kind="stable")
-        hashed, text = hashed[order], text[order]
-    return hashed, text
+    order = np.argsort(text, kind="stable")
+    return hashed[order], text[order]
 
 
 def distinct(hashed: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (hash, text) pairs, sorted by text, then hash."""
-    order = np.lexsort((hashed, text))
-    hashed, text = hashed[order], text[order]
+    """Distinct (hash, text) pairs, sorted by text, then hash; ``text`` ascends."""
+    hashed = hashed.copy()
+    edge = np.concatenate(([0], np.flatnonzero(text[1:] != text[:-1]) + 1, [len(text)])).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        hashed[a:b].sort()
     keep = np.ones(len(hashed), bool)
     keep[1:] = (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])
     return hashed[keep], text[keep]
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting (numpy's own hash table is many times slower on large arrays)."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values).cast(kind) if values.dtype != np.uint64 else pa.array(values.view(np.int64)))

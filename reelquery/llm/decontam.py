@@ -43,7 +43,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
 
 def _item_set(text: str, size: int) -> np.ndarray:
     raw = text.encode()
-    return np.unique(C.shingles(C.word_table(C.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), lower=True), size)[0])
+    return C.unique(C.shingles(C.word_table(C.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), lower=True), size)[0])
 
 
 class _Index:
@@ -105,7 +105,7 @@ def _search(held, percent: int, size: int, pairs: bool):
         doc, own = None, None
         for t, i in sorted(candidates(index, (hashed >> np.uint64(32)).astype(np.uint32), first, rows)):
             if t != doc:
-                doc, own = t, np.unique(hashed[first[t] : first[t + 1]])
+                doc, own = t, C.unique(hashed[first[t] : first[t + 1]])
             n = int(np.isin(index.sets[i], own, assume_unique=True).sum())
             if 100 * n >= percent * len(index.sets[i]):
                 out.append((t, ids[i], len(index.sets[i]), n))

@@ -232,7 +232,7 @@ def _set_bytes(size: int):
             hashed, text = C.distinct(*C.shingles(C.word_table(texts, lower=True), size))
             first = np.searchsorted(text, np.arange(part.num_rows + 1))
             short = (hashed >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(short[i:j]).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc", "payload"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([C.unique(short[i:j]).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc", "payload"])
 
     return run
 
@@ -245,7 +245,7 @@ def _verifier(percent: int, size: int):
         for text in column.cast(pa.large_binary()).to_pylist():
             if text != last.get("text"):
                 t = C.Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                last["text"], last["set"] = text, np.unique(C.shingles(C.word_table(t, lower=True), size)[0])
+                last["text"], last["set"] = text, C.unique(C.shingles(C.word_table(t, lower=True), size)[0])
             out.append(last["set"])
         return out
 

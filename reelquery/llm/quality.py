@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .rules import line_table, span_hash
+from .rules import line_table
 
 SAMPLE, MOST_BYTES = 6000, 1 << 20
 OWN = 16
@@ -55,7 +55,7 @@ def line_features(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[1:] |= words.hash[1:] == words.hash[:-1]
     again[2:] |= words.hash[2:] == words.hash[:-2]
     size = words.end - words.start
-    hashed = span_hash(data, begin, stop)
+    hashed = C.span_hash(data, begin, stop)
     _, place, count = np.unique(hashed ^ C.mix(text.astype(np.uint64)), return_inverse=True, return_counts=True)
     key = words.hash ^ C.mix(np.repeat(np.arange(len(begin)), high - low).astype(np.uint64)) if (high - low).sum() == len(words.hash) else words.hash
     order = np.argsort(key, kind="stable")

@@ -55,26 +55,6 @@ def line_table(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, stop, np.searchsorted(off, begin, "right") - 1
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans in ascending order, exact bytes."""
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + C.GROUP_BYTES, "right")))
-        s0, e1 = int(start[at]), int(end[to - 1])
-        if e1 - s0 > C.LONG_WORD:
-            import hashlib
-
-            out[at] = int.from_bytes(hashlib.blake2b(data[s0:e1].tobytes(), digest_size=8).digest(), "little")
-        else:
-            up, down = C.powers(e1 - s0 + 1)
-            total = np.zeros(e1 - s0 + 1, np.uint64)
-            np.cumsum(C._VALUES[False][data[s0:e1]] * up[: e1 - s0], out=total[1:])
-            out[at:to] = C.mix((total[end[at:to] - s0] - total[start[at:to] - s0]) * down[start[at:to] - s0] + (end[at:to] - start[at:to]).astype(np.uint64))
-        at = to
-    return out
-
-
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in C.groups(batches):
         data, off = texts
@@ -86,10 +66,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = _per_text(_SYMBOLS[data], off)
         begin, stop, line_text = line_table(texts)
         lines = np.bincount(line_text, minlength=rows)
-        dup = lines - np.bincount(C.distinct(span_hash(data, begin, stop), line_text)[1], minlength=rows)
+        dup = lines - np.bincount(C.distinct(C.span_hash(data, begin, stop), line_text)[1], minlength=rows)
 
         at, text = C.window_starts(words, 3)
-        h = C.window_hash(C.prefix(words.hash), at, 3)
+        h = C.windows(words.hash, 3)[at]
         order = np.lexsort((h, text))
         same = np.zeros(len(h), bool)
         equal = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])

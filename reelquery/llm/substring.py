@@ -34,17 +34,6 @@ from . import common as C
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 
-def _sequence(words: C.Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for the whole word sequence of every text."""
-    count = np.diff(words.first)
-    full = np.flatnonzero(count)
-    a, b = np.zeros(len(count), np.uint64), np.zeros(len(count), np.uint64)
-    if len(full):
-        a[full] = C.window_hash(C.prefix(words.hash), words.first[:-1][full], count[full])
-        b[full] = C.window_hash(C.prefix(C.mix(words.hash + np.uint64(99))), words.first[:-1][full], count[full])
-    return a.view(np.int64), b.view(np.int64)
-
-
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -54,14 +43,12 @@ def _bytes(part: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in C.groups(batches):
-        words = C.word_table(texts)
-        a, b = _sequence(words)
-        sha = [_sha(t.split()) for t in _bytes(part)]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.first)), pa.array(a), pa.array(b), pa.array(sha)], names=["doc_id", "n_words", "seq_a", "seq_b", "sha"])
+    for part, _ in C.groups(batches):
+        words = [t.split() for t in _bytes(part)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string())], names=["doc_id", "n_words", "sha"])
 
 
-def _anchors_of(words: C.Words, window: int, pre) -> tuple[np.ndarray, np.ndarray]:
+def _anchors_of(words: C.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, text) of all anchors of texts that hold a full window."""
     length = window - PERIOD + 1
     at, text = C.window_starts(words, length)
@@ -74,9 +61,8 @@ def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in C.groups(batches):
             words = C.word_table(texts)
-            pre = C.prefix(words.hash)
-            at, text = _anchors_of(words, window, pre)
-            hashed, text = C.distinct(C.window_hash(pre, at, window - PERIOD + 1), text)
+            at, text = _anchors_of(words, window)
+            hashed, text = C.distinct(C.windows(words.hash, window - PERIOD + 1)[at], text)
             yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), part.column(0).take(pa.array(text))], names=["h", "doc_id"])
 
     return run
@@ -90,7 +76,9 @@ def _member(hashed: np.ndarray, text: np.ndarray, part: pa.RecordBatch, name: st
     first = np.searchsorted(text, np.arange(part.num_rows + 1))
     out = np.zeros(len(hashed), bool)
     for i in range(part.num_rows):
-        out[first[i] : first[i + 1]] = np.isin(hashed[first[i] : first[i + 1]], flat[edge[i] : edge[i + 1]])
+        known, mine = np.sort(flat[edge[i] : edge[i + 1]]), hashed[first[i] : first[i + 1]]
+        if len(known):
+            out[first[i] : first[i + 1]] = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
     return out
 
 
@@ -100,15 +88,14 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in C.groups(batches):
             words = C.word_table(texts)
-            pre = C.prefix(words.hash)
-            at, text = _anchors_of(words, window, pre)
-            at = at[_member(C.window_hash(pre, at, window - PERIOD + 1), text, part, "shared")]
+            at, text = _anchors_of(words, window)
+            at = at[_member(C.windows(words.hash, window - PERIOD + 1)[at], text, part, "shared")]
             near = np.zeros(len(words.hash) + 1, np.int64)
             np.add.at(near, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(near, at + 1, -1)
             starts, text = C.window_starts(words, window)
             on = np.cumsum(near)[starts] > 0
-            hashed, text = C.distinct(C.window_hash(pre, starts[on], window), text[on])
+            hashed, text = C.distinct(C.windows(words.hash, window)[starts[on]], text[on])
             yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), part.column(0).take(pa.array(text))], names=["h", "doc_id"])
 
     return run
@@ -118,22 +105,21 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in C.groups(batches):
             words = C.word_table(texts)
-            pre = C.prefix(words.hash)
             starts, text = C.window_starts(words, window)
-            gone = starts[_member(C.window_hash(pre, starts, window), text, part, "gone")]
+            gone = starts[_member(C.windows(words.hash, window)[starts], text, part, "gone")]
             over = np.zeros(len(words.hash) + 1, np.int64)
             np.add.at(over, gone, 1)
             np.add.at(over, gone + window, -1)
             keep = np.cumsum(over)[:-1] == 0
-            a, b = _sequence(words)
-            sha, removed, kept = [], [], []
+            whole, sha, removed, kept = [], [], [], []
             for i, t in enumerate(_bytes(part)):
-                mask = keep[words.first[i] : words.first[i + 1]]
-                left = list(compress(t.split(), mask))
+                mask, all_words = keep[words.first[i] : words.first[i + 1]], t.split()
+                left = list(compress(all_words, mask))
+                whole.append(_sha(all_words))
                 removed.append(len(mask) - len(left))
                 sha.append(_sha(left))
                 kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "seq_a", "seq_b", "removed", "sha_cut", "kept_text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.string()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "sha", "removed", "sha_cut", "kept_text"])
 
     return run
 
@@ -149,23 +135,25 @@ def repeated_windows(docs: DataFrame, window: int = 50, with_text: bool = False)
     """doc_id, n_words, n_removed, kept_sha256 for every row (and kept_text, null where nothing goes, if asked for)."""
     if window < PERIOD + 4:
         raise ValueError(f"a window needs {PERIOD + 4} words at least")
+    mark = C.made()
     C.small_batches(docs.sparkSession)
     docs = C.id_text(docs)
     known = docs.where("doc_id is not null")
-    whole = C.materialize(docs.mapInArrow(_whole, "doc_id long, n_words long, seq_a long, seq_b long, sha string"), "whole")
-    seq = ["n_words", "seq_a", "seq_b"]
-    copies = whole.where(f"n_words >= {window} and doc_id is not null").groupBy(*seq).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*seq, "low")
-    whole = C.materialize(whole.join(copies, seq, "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))).drop("low"), "whole")
+    whole = C.materialize(docs.mapInArrow(_whole, "doc_id long, n_words long, sha string"), "whole")
+    # a table of its own, so that adaptive execution can split a group of copies that holds much of the rows
+    copies = C.materialize(whole.where(f"n_words >= {window} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sha", "low"), "copies")
+    whole = C.materialize(whole.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))).drop("low"), "whole")
 
     anchors = known.mapInArrow(_anchors(window), "h long, doc_id long")
-    marked = _held(anchors, False).groupBy("doc_id").agg(F.collect_list("h").alias("shared"))
-    marked = marked.join(whole.where("copy").select("doc_id"), "doc_id", "left_anti")
+    marked = _held(anchors, False).groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
+    # an id all of whose rows are copies needs no windows of its own: its smallest twin has them all
+    marked = marked.join(whole.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id"), "doc_id", "left_anti")
     texts = C.materialize(known.join(marked, "doc_id"), "marked")
-    gone = _held(texts.mapInArrow(_windows(window), "h long, doc_id long"), True).groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
-    cut = texts.select("doc_id", "text").join(gone, "doc_id").mapInArrow(_cut(window), "doc_id long, seq_a long, seq_b long, removed long, sha_cut string, kept_text string")
-    cut = cut.select("doc_id", "seq_a", "seq_b", "removed", "sha_cut", *["kept_text"] * with_text).dropDuplicates(["doc_id", "seq_a", "seq_b"])
+    gone = _held(texts.mapInArrow(_windows(window), "h long, doc_id long"), True).groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    cut = texts.select("doc_id", "text").join(gone, "doc_id").mapInArrow(_cut(window), "doc_id long, sha string, removed long, sha_cut string, kept_text string")
+    cut = cut.select("doc_id", "sha", "removed", "sha_cut", *["kept_text"] * with_text).dropDuplicates(["doc_id", "sha"])
 
-    out = whole.join(cut, ["doc_id", "seq_a", "seq_b"], "left")
+    out = whole.join(cut, ["doc_id", "sha"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
     columns = [
         "doc_id",
@@ -173,4 +161,6 @@ def repeated_windows(docs: DataFrame, window: int = 50, with_text: bool = False)
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), nothing).otherwise(F.coalesce("sha_cut", "sha")).alias("kept_sha256"),
     ]
-    return out.select(*columns, *([F.when(F.col("copy"), "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
+    result = out.select(*columns, *([F.when(F.col("copy"), "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
+    C.release(mark, [result])
+    return result
