@@ -35,7 +35,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [

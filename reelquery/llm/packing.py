@@ -1,15 +1,17 @@
 """Harmonic sequence packing (operator 4).
 
-Capacity C = 2048.  Class k holds pieces of floor(C/k) tokens, and each of its bins takes exactly k of them, whatever
-else arrives, so every worker packs on its own without any exchange.  A document is cut into full sequences (class 1)
-and then, repeatedly, into the longest reciprocal-capacity piece that fits; the rest shrinks quadratically, so a
-document has few pieces, and a bin of class k wastes C mod k tokens.  At a partition's end the pieces of unfinished
-bins are laid end to end into sequences of C tokens, cut where these end, and the last stretch is cut into sequences
-of power-of-two lengths, which need no padding.
-
-Token ids are those of the public byte-level vocabulary: words between single spaces are encoded once and kept in a
-bounded table of their id bytes; texts in which the spaces aren't clean cuts go through the tokenizer whole.  Texts are
-first split at the added tokens of the tokenizer's JSON file, as tokenizers does, and these stand for their own ids.
+Capacity C = 2048.  A document of more than C ids is cut into full sequences; what is left, or a shorter document, stays
+whole and belongs to class k = floor(C / length).  Each bin of class k takes exactly k documents, whatever else arrives,
+so every worker packs on its own without any exchange.  The room that a full bin has left goes to the next document that
+fits it whole; only when ``WAITING`` bins wait for one, the next that fits none is cut to fill the largest rooms.  At a
+partition's end the documents of unfinished bins fill the rooms of waiting ones, and what is left is laid end to end
+into sequences of C ids, the last stretch into sequences of power-of-two lengths, which need no padding.  So there is
+hardly any padding, and about one cut for several documents.
+
+Token ids are those of the tokenizers library for the public vocabulary's JSON file, unchanged settings.  Texts are cut
+at places that no token of this vocabulary reaches across (before white space, between a word and the punctuation after
+it, after a single line end), and the ids of each stretch are kept in a bounded table.  Texts with white space other than spaces, tabs and line
+ends, or with an added token, go through the tokenizer whole, as do all texts if the file isn't of that kind.
 
 Sequence ids are the partition's number times 2**40 plus a running number, so they are unique without an exchange and
 the same again when a lost partition is recomputed.
@@ -20,12 +22,12 @@ doc_id are packed one by one; doc_id may be null; an empty table has no pieces;
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
+from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,76 +37,56 @@ from . import common as C
 
 CAPACITY = 2048
 END_ID = 1
-#: Most distinct words of which a worker keeps the ids.
+#: Most distinct stretches of which a worker keeps the ids; it changes no result.
 KNOWN_WORDS = 400_000
-#: Fixed value: the pre-tokenisation pattern of the public vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Most full bins with room that wait for a document; a task holds at most their ids and one bin of each class.
+WAITING = 64
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_STRETCH = re.compile(rf"\n(?=[{_LATIN}])| ?[{_LATIN}]+(?=[ \n\t\r.,;:!?]|\Z)|[.,;:!?]+(?=[ \n\t\r]|\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 
 
 class Encoder:
-    """Texts to little-endian 32-bit id bytes; ``added``: (content, id) of the added tokens."""
+    """Texts to little-endian 32-bit id bytes; ``spec``: a tokenizer's JSON file."""
 
-    def __init__(self, vocabulary: bytes, added: tuple[tuple[str, int], ...] = ()):
-        import tiktoken
+    def __init__(self, spec: bytes):
+        from tokenizers import Tokenizer
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.whole = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = Tokenizer.from_buffer(spec)
+        d = json.loads(spec)
+        split = d["pre_tokenizer"] or {}
+        self.apart = d["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and not d["model"].get("dropout")
+        self.added = [t["content"] for t in d["added_tokens"]]
         self.known: dict[str, bytes] = {}
-        self.added = {t: i.to_bytes(4, "little") for t, i in added}
-        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
 
     def ids(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in self.whole(text)])
-
-    def _word(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise ValueError("not a clean cut")
-        out = self.ids(" " + word)
-        if len(self.known) < KNOWN_WORDS and len(word) < 32:
-            self.known[word] = out
+        out = array("I", self.plain.encode(text, add_special_tokens=False).ids)
+        return out.tobytes()
+
+    def _stretch(self, part: str) -> bytes:
+        out = self.ids(part)
+        if len(self.known) < KNOWN_WORDS and len(part) < 32:
+            self.known[part] = out
         return out
 
     def __call__(self, text: str) -> bytes:
-        if not any(t in text for t in self.added):
-            return self._between(text)
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += self._between(text[at : m.start()]), self.added[m[0]]
-            at = m.end()
-        return b"".join(out) + self._between(text[at:])
-
-    def _between(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        if first and not first[-1].isspace():
-            get = self.known.get
-            try:
-                return self.ids(first) + b"".join([get(w) or self._word(w) for w in words])
-            except ValueError:
-                pass
-        return self.ids(text)
+        if not self.apart or _OTHER_SPACE.search(text) or any(t in text for t in self.added):
+            return self.ids(text)
+        get = self.known.get
+        return b"".join([get(w) or self._stretch(w) for w in _STRETCH.findall(text)])
 
 
 _encoders: dict[int, Encoder] = {}
 
 
-def pieces(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(class, length) of the pieces of a document of so many tokens."""
-    out = [(1, capacity)] * (tokens // capacity)
-    rest = tokens % capacity
-    while rest:
-        k = -(-capacity // rest)  # the first class whose length may fit
-        while capacity // k > rest:
-            k += 1
-        out.append((k, capacity // k))
-        rest -= capacity // k
-    return out
-
-
 class Packer:
     """The bins of one partition; ``done`` holds finished pieces (doc row, start, length, crc, tokens, sequence, offset)."""
 
     def __init__(self, base: int, capacity: int = CAPACITY):
         self.next, self.capacity, self.open, self.done = base, capacity, {}, []
+        self.rooms: list[tuple[int, int]] = []  # (room, number) of waiting bins, by room
+        self.waiting: dict[int, list[tuple]] = {}
+        self.serial = 0
 
     def _close(self, bin_: list[tuple]) -> None:
         at = 0
@@ -114,19 +96,56 @@ class Packer:
             at += n
         self.next += 1
 
+    def _wait(self, room: int, number: int) -> None:
+        if room:
+            insort(self.rooms, (room, number))
+        else:
+            self._close(self.waiting.pop(number))
+
+    def _pour(self, doc, start: int, raw: bytes, tokens: int) -> tuple[int, bytes]:
+        """Fill the largest rooms; the start and the ids that are left if these run out."""
+        while raw and self.rooms:
+            room, number = self.rooms.pop()
+            n = min(room, len(raw) // 4)
+            self.waiting[number].append((doc, start, raw[: 4 * n], tokens))
+            self._wait(room - n, number)
+            start, raw = start + n, raw[4 * n :]
+        return start, raw
+
     def add(self, doc, raw: bytes) -> None:
-        tokens, at = len(raw) // 4, 0
-        for k, n in pieces(tokens, self.capacity):
+        tokens, at, c = len(raw) // 4, 0, self.capacity
+        while tokens - at >= c:
+            self._close([(doc, at, raw[4 * at : 4 * (at + c)], tokens)])
+            at += c
+        rest = tokens - at
+        if not rest:
+            return
+        piece = (doc, at, raw[4 * at :], tokens)
+        fit = bisect_left(self.rooms, (rest, -1))
+        if fit < len(self.rooms):
+            room, number = self.rooms.pop(fit)
+            self.waiting[number].append(piece)
+            self._wait(room - rest, number)
+        elif len(self.rooms) >= WAITING and sum(r for r, _ in self.rooms) >= rest:
+            self._pour(*piece)
+        else:
+            k = c // rest
             bin_ = self.open.setdefault(k, [])
-            bin_.append((doc, at, raw[4 * at : 4 * (at + n)], tokens))
-            at += n
+            bin_.append(piece)
             if len(bin_) == k:
-                self._close(self.open.pop(k))
+                self.waiting[self.serial] = self.open.pop(k)
+                self._wait(c - sum(len(p[2]) // 4 for p in bin_), self.serial)
+                self.serial += 1
 
     def finish(self) -> None:
-        """Unfinished bins: end to end, cut at sequence ends; the last stretch in powers of two."""
-        left = [p for k in sorted(self.open) for p in self.open[k]]
-        self.open = {}
+        """Unfinished bins: into the rooms of waiting ones, then end to end; the last stretch in powers of two."""
+        left = []
+        for doc, start, raw, tokens in (p for k in sorted(self.open) for p in self.open[k]):
+            start, raw = self._pour(doc, start, raw, tokens)
+            if raw:
+                left.append((doc, start, raw, tokens))
+        left += [p for _, number in self.rooms for p in self.waiting[number]]
+        self.open, self.rooms, self.waiting = {}, [], {}
         total = sum(len(p[2]) // 4 for p in left)
         room, bin_ = 0, []
         for doc, start, raw, tokens in left:
@@ -150,7 +169,7 @@ _PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def _pack(held, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(held.value)
-        encode = _encoders.get(key) or _encoders.setdefault(key, Encoder(*held.value))
+        encode = _encoders.get(key) or _encoders.setdefault(key, Encoder(held.value))
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         end = end_id.to_bytes(4, "little")
 
@@ -171,22 +190,13 @@ def _pack(held, capacity: int, end_id: int):
     return run
 
 
-def added_tokens(path: Path) -> tuple[tuple[str, int], ...]:
-    """(content, id) of the added tokens of a tokenizer's JSON file."""
-    tokens = json.loads(path.read_text(encoding="utf-8"))["added_tokens"]
-    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError("added tokens that match more or less than their content aren't supported")
-    return tuple((t["content"], t["id"]) for t in tokens)
-
-
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all rows of ``docs``.  ``vocabulary``: path on the driver of the ranks file of the public tokenizer,
-    with its JSON file beside it.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The pieces of all rows of ``docs``.  ``tokenizer``: path on the driver of the public tokenizer's JSON file.
 
-    The vocabulary's size is fixed (about a megabyte), so it is broadcast; executors need no file.
+    The file's size is fixed (about 1.5 megabytes), so it is broadcast; executors need no file.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    with open(vocabulary, "rb") as f:
-        held = spark.sparkContext.broadcast((f.read(), added_tokens(Path(vocabulary).with_suffix(".json"))))
+    with open(tokenizer, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
     return C.id_text(docs).mapInArrow(_pack(held, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

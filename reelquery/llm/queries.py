@@ -42,7 +42,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_known", F.round("log_score", 2).alias("log_score"))
+    return lm.score(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_known", "n_full", F.round("log_score", 2).alias("log_score"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,15 +159,15 @@ FROM base JOIN tree USING (host, shape) JOIN kept USING (host, tree) JOIN judged
 
 _OP6 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
-), t AS (SELECT doc_id, unnest(ws) AS y, unnest(list_concat([NULL], ws[:-2])) AS x FROM w WHERE len(ws) > 0
-), one AS (SELECT y AS w, count(*) AS c FROM t GROUP BY y
-), per AS (SELECT doc_id, x, y, count(*) AS n FROM t GROUP BY ALL
-), two AS (SELECT x, y, sum(n) AS c2 FROM per WHERE x IS NOT NULL GROUP BY ALL
-), met AS (SELECT per.*, c2, coalesce(c2 > n, FALSE) AS known FROM per LEFT JOIN two USING (x, y)
-), s AS (SELECT doc_id, sum(n)::BIGINT AS n_words, sum(CASE WHEN known THEN n ELSE 0 END)::BIGINT AS n_known,
-  sum(CASE WHEN known THEN n * (ln(c2::DOUBLE) - ln(c::DOUBLE)) ELSE n * (ln(c::DOUBLE) - ln((SELECT count(*) FROM t)::DOUBLE) + CASE WHEN x IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) END) AS s
-  FROM met JOIN one ON w = CASE WHEN known THEN x ELSE y END GROUP BY doc_id)
-SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, round(round(coalesce(s, 0), 4), 2) AS log_score FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s USING (doc_id)
+), p AS (SELECT doc_id, unnest(ws) AS c, unnest(generate_series(1, len(ws))) AS i FROM w
+), t AS (SELECT *, lag(c, 1) OVER o AS b, lag(c, 2) OVER o AS a FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), e AS (SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS e0, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS e1,
+  count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) AS e2, count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) AS e3 FROM t
+), f AS (SELECT *, lag(e1) OVER o AS x1, lag(e2) OVER o AS x2 FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), k AS (SELECT *, least(i - 1, 2) AS m, CASE WHEN i > 2 AND e3 > 0 THEN 3 WHEN i > 1 AND e2 > 0 THEN 2 WHEN e1 > 0 THEN 1 ELSE 0 END AS k FROM f
+), s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (k > 1) AS n_known, count(*) FILTER (k = 3) AS n_full,
+  sum((m + 1 - k) * ln(0.4::DOUBLE) + CASE k WHEN 3 THEN ln(e3::DOUBLE) - ln(x2::DOUBLE) WHEN 2 THEN ln(e2::DOUBLE) - ln(x1::DOUBLE) WHEN 1 THEN ln(e1::DOUBLE) - ln(e0::DOUBLE) ELSE -ln(greatest(e0, 1)::DOUBLE) END) AS s FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(n_full, 0)::BIGINT AS n_full, round(round(coalesce(s, 0), 4), 2) AS log_score FROM documents LEFT JOIN s USING (doc_id)
 """
 
 
