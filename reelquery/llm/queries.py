@@ -30,7 +30,10 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled through the number that ends their path, a doc_id: bad if of low quality or toxic."""
+    """Pages are labelled through the number that ends their path, assumed to be a doc_id: bad if of low quality or toxic.
+
+    The tables nowhere state this link; nothing but the method's own verdicts depends on it.
+    """
     pages = _table(spark, sf_dir, "pages")
     number = F.regexp_extract(urls.host_path(F.col("url"))[1], "([0-9]{1,18})[^0-9]*$", 1).try_cast("long")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
@@ -126,13 +129,22 @@ FROM b JOIN d USING (g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * c
 """
 
 
-def _op2_sql(depth: int = 6, many: int = 20, seldom: float = 3.0, block_at: float = 0.8, strength: float = 10.0, z: float = 1.96) -> str:
+def _op2_sql(depth: int = 8, many: int = 20, seldom: float = 3.0, block_at: float = 0.8, strength: float = 10.0, z: float = 1.96) -> str:
+    """``depth``: SQL has no loops, so one step is written out for each level; the given tables have four at most."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    levels = ""
+    levels = merges = ""
     for d in range(1, depth + 1):
         levels += f""", k{d} AS (SELECT *, parts[{d + 1}] AS token FROM t{d - 1}
 ), l{d} AS (SELECT host, tree, TRUE AS loose FROM (SELECT host, tree, token, sum(n) AS n FROM k{d} WHERE token IS NOT NULL GROUP BY ALL) GROUP BY host, tree HAVING count(*) >= {many} AND sum(n) < {seldom} * count(*)
-), t{d} AS (SELECT host, shape, n, seen, bad, parts, tree || CASE WHEN token IS NULL THEN '' WHEN loose AND token <> '' THEN '/*' ELSE '/' || token END AS tree FROM k{d} LEFT JOIN l{d} USING (host, tree))"""
+), t{d} AS (SELECT host, shape, n, seen, bad, parts, list_concat(tree, CASE WHEN token IS NULL THEN [] WHEN loose AND token <> '' THEN ['*'] ELSE [token] END) AS tree FROM k{d} LEFT JOIN l{d} USING (host, tree))"""
+    for d in range(depth, 0, -1):
+        far = f"CASE WHEN abs(bad - seen * rate) > {z} * sqrt(seen * rate * (1 - rate)) AND seen >= 5 THEN sign(bad - seen * rate) ELSE 0 END"
+        merges += f""", b{d} AS (SELECT host, template[1:{d}] AS above, template[{d + 1}] AS token, template[{d + 2}:] AS below, sum(seen) AS seen, sum(bad) AS bad FROM m{d} WHERE len(template) > {d} GROUP BY ALL
+), p{d} AS (SELECT *, (sum(bad) OVER w + 1) / (sum(seen) OVER w + 2) AS rate FROM b{d} WINDOW w AS (PARTITION BY host, above, below)
+), s{d} AS (SELECT * EXCLUDE rate, {far} AS side FROM p{d}
+), q{d} AS (SELECT *, (sum(bad) OVER w + 1) / (sum(seen) OVER w + 2) AS rate, count(*) OVER w AS kinds FROM s{d} WINDOW w AS (PARTITION BY host, above, below, side)
+), a{d} AS (SELECT host, list_concat(above, [token], below) AS template, list_concat(above, [['*-', '*', '*+'][side::INT + 2]], below) AS now FROM q{d} WHERE kinds > 1 AND {far} = 0
+), m{d - 1} AS (SELECT host, tree, seen, bad, coalesce(now, template) AS template FROM m{d} LEFT JOIN a{d} USING (host, template))"""
     rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     case = lambda of: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{of(v, h, p)}'" for v, h, p in rules) + " END"
@@ -142,18 +154,15 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 ), base AS (SELECT *, regexp_replace(path, '[0-9]+', '{{n}}', 'g') AS shape FROM b
 ), lab AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id
 ), known AS (SELECT page_id, bad FROM (SELECT page_id, try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM base) JOIN lab USING (doc_id)
-), t0 AS (SELECT host, shape, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(shape, '/') AS parts, '' AS tree FROM base LEFT JOIN known USING (page_id) GROUP BY host, shape
-){levels.rstrip()}, tree AS (SELECT host, shape, seen, bad, tree || CASE WHEN len(parts) > {depth + 1} THEN '/**' ELSE '' END AS tree FROM t{depth}
-), branch AS (SELECT host, tree, sum(seen) AS seen, sum(bad) AS bad, regexp_replace(tree, '/[^/]*$', '') AS up FROM tree GROUP BY host, tree
-), pooled AS (SELECT host, up, (sum(bad) + 1) / (sum(seen) + 2) AS rate FROM branch GROUP BY host, up
-), kept AS (SELECT host, tree, seen, bad, CASE WHEN abs(bad - seen * rate) > {z} * sqrt(seen * rate * (1 - rate)) AND seen >= 5 THEN tree ELSE up || '/*' END AS template FROM branch JOIN pooled USING (host, up)
-), merged AS (SELECT host, template, sum(seen) AS seen, sum(bad) AS bad FROM kept GROUP BY host, template
+), t0 AS (SELECT host, shape, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(shape, '/') AS parts, [''] AS tree FROM base LEFT JOIN known USING (page_id) GROUP BY host, shape
+){levels.rstrip()}, m{depth} AS (SELECT host, tree, sum(seen) AS seen, sum(bad) AS bad, tree AS template FROM t{depth} GROUP BY host, tree
+){merges.rstrip()}, merged AS (SELECT host, template, sum(seen) AS seen, sum(bad) AS bad FROM m0 GROUP BY host, template
 ), total AS (SELECT (sum(bad) + 1) / (sum(seen) + 2) AS prior FROM merged
 ), hosts AS (SELECT host, (sum(bad) + {strength} * any_value(prior)) / (sum(seen) + {strength}) AS host_rate FROM merged CROSS JOIN total GROUP BY host
 ), judged AS (SELECT host, template, CASE WHEN (bad + {strength} * host_rate) / (seen + {strength}) >= {block_at} THEN 'block' ELSE 'allow' END AS by_template FROM merged JOIN hosts USING (host)
 )
-SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, by_template) AS verdict, host || template AS template
-FROM base JOIN tree USING (host, shape) JOIN kept USING (host, tree) JOIN judged USING (host, template)
+SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, by_template) AS verdict, host || array_to_string(template, '/') AS template
+FROM base JOIN t{depth} USING (host, shape) JOIN m0 USING (host, tree) JOIN judged USING (host, template)
 """
 
 

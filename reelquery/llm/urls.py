@@ -2,17 +2,22 @@
 
 Rules come first: a rule fits its host and all subdomains if the url's path starts with the rule's, the longest wins.
 Other urls get the verdict of their template.  Digits become ``{n}`` at once; the distinct (host, path) shapes that are
-left, with their counts and labels, form a tree per host.  Level by level, a node with many children that are rarely
-seen again turns them into one wildcard.  Siblings whose labelled share of bad pages doesn't differ from their pooled
-share (a two-sided z test) are merged into one branch, and a branch is blocked once its smoothed share of bad labels,
-shrunk towards its host's and the whole table's, reaches ``block_at``.
+left, with their counts and labels, form a tree per host, as deep as its longest path:
+
+1. from the root down, a node with many children that are rarely seen again turns them into one wildcard;
+2. from the leaves up, at every level, branches of one parent that go on alike are compared: by a two-sided z test of
+   their labelled share of bad pages against the common one they lie below, near or above it, and those of one side that
+   don't differ from that side's common share either are merged into one (``*-``, ``*`` or ``*+``);
+3. a template is rejected once its share of bad labels, shrunk towards its host's and the whole table's, reaches
+   ``block_at``.
 
 Pages meet partial aggregations only, then one equi-join with the verdicts by shape, which adaptive execution
-broadcasts when it measures it small and otherwise splits where one shape is hot.
+broadcasts when it measures it small and otherwise splits where one shape is hot.  Every level is a table in the shared
+folder that holds only the shapes that are deep enough.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged as the shape of
-the empty path; repeated rows are judged row by row; page_id may be null; null labels are ignored; without labels the
-method allows everything; other columns are ignored.
+the empty path; repeated rows are judged row by row; page_id may be null; null labels are ignored; a page labelled twice
+counts twice; without labels the method allows everything; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH = 6
+#: Names of merged branches whose share lies below, near or above that of all branches beside them.
+SIDES = ("*-", "*", "*+")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,21 +50,59 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _levels(paths: DataFrame, column: str) -> int:
+    """The most parts that two paths of one host have at least: a path that goes on alone has nothing to be compared with."""
+    size = paths.groupBy("host", F.size(column).alias("size")).agg(F.count("*").alias("n"))
+    second = F.when(F.max_by("n", "size") > 1, F.max("size")).otherwise(F.try_element_at(F.sort_array(F.collect_list("size"), asc=False), F.lit(2)))
+    return size.groupBy("host").agg(second.alias("size")).agg(F.max("size")).first()[0] or 1
+
+
 def _generalised(shapes: DataFrame, many: int, seldom: float) -> DataFrame:
-    """Shapes with variable segments as wildcards; segments beyond ``DEPTH`` become one."""
-    out = shapes.withColumn("parts", F.split("shape", "/")).withColumn("tree", F.lit(""))
-    for d in range(1, DEPTH + 1):  # the part before the first slash is empty
-        out = C.materialize(out.withColumn("token", F.get("parts", F.lit(d))), "url-tree")  # read twice below; a table of shapes, not of pages
-        child = out.where("token is not null").groupBy("host", "tree", "token").agg(F.sum("n").alias("n"))
+    """Shapes with variable segments as wildcards."""
+    live = C.materialize(shapes.withColumn("parts", F.split("shape", "/")).withColumn("tree", F.array(F.lit(""))), "url-tree")
+    keep = ["host", "shape", "n", "seen", "bad", "tree"]
+    done, d = live.where("size(parts) <= 1").select(keep), 1  # the part before the first slash is empty
+    for _ in range(1, _levels(live, "parts")):
+        out = live.where(f"size(parts) > {d}").withColumn("token", F.get("parts", F.lit(d)))
+        child = out.groupBy("host", "tree", "token").agg(F.sum("n").alias("n"))
         loose = child.groupBy("host", "tree").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= many) & (F.col("n") < seldom * F.col("kinds"))).select("host", "tree", F.lit(True).alias("loose"))
-        step = F.when(F.col("token").isNull(), "").when(F.col("loose") & (F.col("token") != ""), "/*").otherwise(F.concat(F.lit("/"), "token"))
-        out = out.join(loose, ["host", "tree"], "left").select("host", "shape", "n", "seen", "bad", "parts", F.concat("tree", step).alias("tree"))
-    tail = F.when(F.size("parts") > DEPTH + 1, "/**").otherwise("")
-    return C.materialize(out.select("host", "shape", "n", "seen", "bad", F.concat("tree", tail).alias("tree")), "url-tree")
+        step = F.when(F.col("loose") & (F.col("token") != ""), "*").otherwise(F.col("token"))
+        out = out.join(loose, ["host", "tree"], "left").select("host", "shape", "n", "seen", "bad", "parts", F.concat("tree", F.array(step)).alias("tree"))
+        live = C.materialize(out, "url-tree")
+        d += 1
+        done = done.union(live.where(f"size(parts) = {d}").select(keep))
+    rest = F.slice("parts", d + 1, F.size("parts"))  # deeper paths are the only ones of their hosts there
+    return done.union(live.where(f"size(parts) > {d}").withColumn("tree", F.concat("tree", rest)).select(keep))
+
+
+def _compared(branch: DataFrame, z: float) -> DataFrame:
+    """Branches with the number of their group (``kinds``), and whether their share lies far below (-1) or above (1) its share."""
+    group = ["host", "above", "below", "side"]
+    pooled = branch.groupBy(*group).agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"), F.count("*").alias("kinds"))
+    rate = (F.col("all_bad") + 1) / (F.col("all_seen") + 2)
+    off = F.col("bad") - F.col("seen") * rate
+    far = (F.abs(off) > z * F.sqrt(F.col("seen") * rate * (1 - rate))) & (F.col("seen") >= 5)
+    return branch.join(pooled, group).select(*group, "token", "seen", "bad", "kinds", F.when(far, F.signum(off)).otherwise(0).cast("int").alias("far"))
+
+
+def _merged(tree: DataFrame, z: float) -> DataFrame:
+    """(host, tree, template): branches of one parent with the same rest that don't differ share a wildcard."""
+    named = C.materialize(tree.groupBy("host", "tree").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).withColumn("template", F.col("tree")), "url-branches")
+    for d in range(_levels(named, "tree") - 1, 0, -1):
+        deep = named.where(F.size("template") > d)
+        parts = [F.slice("template", 1, d).alias("above"), F.get("template", F.lit(d)).alias("token"), F.slice("template", F.lit(d + 2), F.size("template")).alias("below")]
+        branch = deep.select("host", *parts, "seen", "bad").groupBy("host", "above", "below", "token").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+        sided = _compared(branch.withColumn("side", F.lit(0)), z).withColumn("side", F.col("far")).drop("kinds", "far")
+        alike = _compared(sided, z).where("kinds > 1 and far = 0").withColumn("mark", F.element_at(F.array(*map(F.lit, SIDES)), F.col("side") + 2))
+        alike = alike.select(F.col("host").alias("h"), F.concat("above", F.array("token"), "below").alias("was"), F.concat("above", F.array("mark"), "below").alias("now"))
+        new = deep.join(alike, (F.col("host") == F.col("h")) & (F.col("template") == F.col("was")), "left").select("host", "tree", "seen", "bad", F.coalesce("now", "template").alias("template"))
+        named = C.materialize(new.union(named.where(F.size("template") <= d).select(new.columns)), "url-branches")
+    return named
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame, block_at: float = 0.8, strength: float = 10.0, z: float = 1.96, many: int = 20, seldom: float = 3.0) -> DataFrame:
     """page_id, host, path, rule, verdict, template for every row; ``labels``: (page_id, bad 0/1)."""
+    mark = C.made()
     host, path = host_path(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("shape", F.regexp_replace("path", "[0-9]+", "{n}"))
     known = labels.select("page_id", F.col("bad").cast("double").alias("bad")).where("bad is not null")
@@ -67,11 +111,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame
     shapes = counted.join(marked, ["host", "shape"], "left").na.fill(0, ["seen", "bad"])
     tree = _generalised(shapes, many, seldom)
 
-    branch = tree.groupBy("host", "tree").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).withColumn("up", F.regexp_replace("tree", "/[^/]*$", ""))
-    pooled = branch.groupBy("host", "up").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
-    rate = (F.col("all_bad") + 1) / (F.col("all_seen") + 2)
-    far = F.abs(F.col("bad") - F.col("seen") * rate) > z * F.sqrt(F.col("seen") * rate * (1 - rate))
-    kept = branch.join(pooled, ["host", "up"]).withColumn("own", far & (F.col("seen") >= 5)).withColumn("template", F.when(F.col("own"), F.col("tree")).otherwise(F.concat("up", F.lit("/*")))).select("host", "tree", "template", "seen", "bad")
+    kept = _merged(tree, z)
     merged = kept.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     by_host = merged.groupBy("host").agg(F.sum("seen").alias("host_seen"), F.sum("bad").alias("host_bad"))
     total = by_host.agg(F.sum("host_seen").alias("total_seen"), F.sum("host_bad").alias("total_bad"))  # one row
@@ -83,5 +123,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame
     verdicts = tree.select("host", "shape", "tree").join(kept.select("host", "tree", "template"), ["host", "tree"]).join(judged, ["host", "template"]).select("host", "shape", "template", "by_template")
 
     rule, by_rule = rule_columns(rules)
-    out = base.join(verdicts, ["host", "shape"], "left")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, "by_template", F.lit("allow")).alias("verdict"), F.concat("host", "template").alias("template"))
+    out = base.join(verdicts, ["host", "shape"], "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, "by_template", F.lit("allow")).alias("verdict"), F.concat("host", F.array_join("template", "/")).alias("template"))
+    C.release(mark, [out])
+    return out

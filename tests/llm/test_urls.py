@@ -1,0 +1,47 @@
+"""The template tree at any depth: it merges like branches at every level, rejects impure ones and leaves others."""
+
+from reelquery.llm import urls
+
+
+def judged(spark, rows, labels, rules=()):
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    return {r.page_id: r for r in urls.judge(pages, list(rules), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+
+
+def test_deep_paths_are_told_apart(spark):
+    deep = "a/b/c/d/e/f/g"
+    rows = [(i, f"https://h.org/{deep}/{'spam' if i < 60 else 'news'}/{i}", "x") for i in range(120)]
+    got = judged(spark, rows, [(i, int(i < 60)) for i in range(0, 120, 2)])
+    assert all(got[i].verdict == ("block" if i < 60 else "allow") for i in range(120))
+    assert got[0].template == f"h.org/{deep}/spam/{{n}}" and got[60].template == f"h.org/{deep}/news/{{n}}"
+
+
+def test_like_branches_merge_at_inner_levels(spark):
+    rows = [(100 * k + i, f"https://h.org/s{chr(97 + k)}/{'ads' if i < 10 else 'text'}/x{i}", "x") for k in range(6) for i in range(20)]
+    labels = [(100 * k + i, int(i < 10)) for k in range(6) for i in range(20)]
+    got = judged(spark, rows, labels)
+    assert {r.template for i, r in got.items() if i % 100 < 10} == {"h.org/*/ads/x{n}"}
+    assert {r.template for i, r in got.items() if i % 100 >= 10} == {"h.org/*/text/x{n}"}
+    assert all(r.verdict == ("block" if i % 100 < 10 else "allow") for i, r in got.items())
+
+
+def test_a_branch_that_differs_keeps_its_name(spark):
+    rows = [(100 * k + i, f"https://h.org/s{chr(97 + k)}/x{i}", "x") for k in range(4) for i in range(30)]
+    got = judged(spark, rows, [(100 * k + i, int(k == 2)) for k in range(4) for i in range(30)])
+    assert got[200].template == "h.org/sc/x{n}" and got[0].template == got[100].template == got[300].template == "h.org/*-/x{n}"
+    assert {i // 100 for i, r in got.items() if r.verdict == "block"} == {2}
+
+
+def test_few_or_mixed_labels_reject_nothing(spark):
+    rows = [(i, f"https://h.org/a/{i}", "x") for i in range(100)] + [(200, None, "x"), (200, None, None), (None, "no host", "x"), (201, "https://", "x"), (202, "http://H.org//" + "q/" * 300, "x")]
+    got = judged(spark, rows, [(i, i % 2) for i in range(100)])
+    assert all(r.verdict == "allow" for r in got.values())
+    assert (got[200].host, got[200].path, got[202].host) == ("", "", "h.org") and got[202].path == "//" + "q/" * 300
+    assert all(r.verdict == "allow" for r in judged(spark, rows[:50], [(0, 1), (1, None)]).values())
+    assert judged(spark, [], []) == {}
+
+
+def test_repeated_rows_are_judged_one_by_one(spark):
+    pages = spark.createDataFrame([(1, "https://h.org/a")] * 3 + [(1, "https://h.net/es/a")], "page_id long, url string")
+    got = urls.judge(pages, [("block", "net", "/es/")], spark.createDataFrame([], "page_id long, bad int")).collect()
+    assert sorted((r.host, r.verdict) for r in got) == [("h.net", "block"), *[("h.org", "allow")] * 3]
