@@ -7,8 +7,10 @@ one-row bands matches with a miss probability below 1e-6; and an item whose shin
 meets the same expected number of matches over all windows.  Every candidate is verified exactly: the share of the
 item's distinct five-word shingles (A-Z folded) that the whole document holds.
 
-The items are the stated query set: they go to all document rows in blocks of at most ``BLOCK`` shingles, and only a
-block is broadcast, so the broadcast is bounded whatever the benchmark's size; documents are never shuffled.
+The items are the stated query set: tasks turn them into sets, equal sets become one, and they go to all document rows
+in blocks of at most ``BLOCK`` shingles.  At most ``AT_ONCE`` blocks are broadcast at a time; further ones follow when
+the results of these are written and their broadcasts freed, so memory is bounded whatever the benchmark's size.
+Documents are never shuffled.
 
 Edge cases: a null or empty text matches nothing; an item or document of fewer than five words is one shingle; rows
 that repeat a doc_id or item_id are reported once for each distinct pair and count; ids may be null; other columns are
@@ -17,8 +19,10 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from . import common as C
 HASHES = 48
 #: Most shingles of one broadcast block of items (8 bytes each).
 BLOCK = 500_000
+#: Most blocks that are broadcast at a time.
+AT_ONCE = 4
 
 
 def _permute(x: np.ndarray, j: int, flip: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -41,11 +47,6 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     return (C.splitmix(401, HASHES) >> np.uint64(32)).astype(np.uint32), (C.splitmix(402, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _item_set(text: str, size: int) -> np.ndarray:
-    raw = text.encode()
-    return C.unique(C.shingles(C.word_table(C.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), lower=True), size)[0])
-
-
 class _Index:
     """Minima of one block's items by size class and hash."""
 
@@ -57,19 +58,34 @@ class _Index:
             self.classes.setdefault(int(len(s)).bit_length() - 1, []).append(i)
         self.minima = {}
         for k, items in self.classes.items():
+            each = np.concatenate([(sets[i] >> np.uint64(32)).astype(np.uint32) for i in items])
+            first = np.cumsum([0, *(len(sets[i]) for i in items[:-1])])
             for j in range(HASHES):
-                low = np.array([_permute((sets[i] >> np.uint64(32)).astype(np.uint32), j, flip, times).min() for i in items])
+                low = np.minimum.reduceat(_permute(each, j, flip, times), first)
                 order = np.argsort(low, kind="stable")
                 near = np.zeros(1 << 16, bool)
                 near[low & 0xFFFF] = True
                 self.minima[k, j] = low[order], np.array(items)[order], near
 
 
+#: The indexes of the blocks that a worker met last, by the block's key.
+_indexes: dict[str, _Index] = {}
+
+
+def _index(held) -> tuple[list[list], _Index]:
+    key, ids, sets = held.value
+    if key not in _indexes:
+        while len(_indexes) >= AT_ONCE:
+            del _indexes[next(iter(_indexes))]
+        _indexes[key] = _Index(sets)
+    return ids, _indexes[key]
+
+
 def _search(held, percent: int, size: int, pairs: bool):
-    def candidates(index: _Index, x: np.ndarray, first: np.ndarray, rows: int) -> set[tuple[int, int]]:
-        """(text, item) pairs with an equal minimum; ``first``: where each text's shingles begin."""
+    def candidates(index: _Index, x: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
+        """Distinct (text * items + item) with an equal minimum; ``first``: where each text's shingles begin."""
         flip, times = _constants()
-        found: set[tuple[int, int]] = set()
+        found = [np.zeros(0, np.int64)]
         shape = {}
         for k in index.classes:
             n = -(-np.diff(first) // (1 << k))  # blocks of each text
@@ -89,13 +105,13 @@ def _search(held, percent: int, size: int, pairs: bool):
                 values, items, near = index.minima[k, j]
                 hit = np.flatnonzero(near[window & np.uint32(0xFFFF)])
                 if len(hit):
-                    at = np.searchsorted(values, window[hit], "left")
-                    to = np.searchsorted(values, window[hit], "right")
-                    for h, a, b in zip(hit[to > at], at[to > at], to[to > at], strict=True):
-                        found.update((int(text[h]), int(i)) for i in items[a:b])
-        return found
+                    at, to = np.searchsorted(values, window[hit], "left"), np.searchsorted(values, window[hit], "right")
+                    n = to - at
+                    which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - at, n)
+                    found.append(C.unique(np.repeat(text[hit], n) * len(index.sets) + items[which]))
+        return C.unique(np.concatenate(found))
 
-    def matches(index: _Index, ids: list, rows: int, texts: C.Texts) -> list[tuple]:
+    def matches(index: _Index, ids: list[list], rows: int, texts: C.Texts) -> list[tuple]:
         """(text, item id, item size, found) of the verified pairs."""
         hashed, text = C.shingles(C.word_table(texts, lower=True), size)
         if not len(hashed):
@@ -103,17 +119,18 @@ def _search(held, percent: int, size: int, pairs: bool):
         first = np.searchsorted(text, np.arange(rows + 1))
         out = []
         doc, own = None, None
-        for t, i in sorted(candidates(index, (hashed >> np.uint64(32)).astype(np.uint32), first, rows)):
+        for pair in candidates(index, (hashed >> np.uint64(32)).astype(np.uint32), first, rows).tolist():
+            t, i = divmod(pair, len(index.sets))
             if t != doc:
                 doc, own = t, C.unique(hashed[first[t] : first[t + 1]])
-            n = int(np.isin(index.sets[i], own, assume_unique=True).sum())
-            if 100 * n >= percent * len(index.sets[i]):
-                out.append((t, ids[i], len(index.sets[i]), n))
+            mine = index.sets[i]
+            n = int((own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine).sum())
+            if 100 * n >= percent * len(mine):
+                out += [(t, item, len(mine), n) for item in ids[i]]
         return out
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets = held.value
-        index = _Index(sets)
+        ids, index = _index(held)
         for part, texts in C.groups(batches):
             rows = matches(index, ids, part.num_rows, texts)
             if rows:
@@ -121,8 +138,7 @@ def _search(held, percent: int, size: int, pairs: bool):
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(item, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "n_item", "n_found"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets = held.value
-        index = _Index(sets)
+        ids, index = _index(held)
         for part, texts in C.groups(batches):
             keep = np.ones(part.num_rows, bool)
             keep[[m[0] for m in matches(index, ids, part.num_rows, texts)]] = False
@@ -131,22 +147,41 @@ def _search(held, percent: int, size: int, pairs: bool):
     return report if pairs else clean
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """The items, a partition at a time, as blocks of at most ``BLOCK`` shingles."""
-    ids: list[int | None] = []
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in C.groups(batches):
+            hashed, text = C.distinct(*C.shingles(C.word_table(texts, lower=True), size))
+            first = np.searchsorted(text, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["item_id", "shingles"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, size: int) -> Iterator[tuple[str, list[list], list[np.ndarray]]]:
+    """(key, ids, sets) of the distinct items, a partition at a time, as blocks of at most ``BLOCK`` shingles."""
+    items = C.id_text(benchmark.withColumn("doc_id", F.col("item_id"))).mapInArrow(_sets(size), "item_id long, shingles binary").where("length(shingles) > 0")
+    ids: list[list] = []
     sets: list[np.ndarray] = []
     held = 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        s = _item_set(row["text"] or "", size)
-        if len(s):
-            if sets and held + len(s) > BLOCK:
-                yield ids, sets
-                ids, sets, held = [], [], 0
-            ids.append(row["item_id"])
-            sets.append(s)
-            held += len(s)
+    for row in items.groupBy("shingles").agg(F.collect_list("item_id").alias("ids"), F.count("*").alias("n")).toLocalIterator():
+        s = np.frombuffer(row["shingles"], np.uint64)
+        if sets and held + len(s) > BLOCK:
+            yield uuid.uuid4().hex, ids, sets
+            ids, sets, held = [], [], 0
+        ids.append(row["ids"] + [None] * (row["n"] - len(row["ids"])))
+        sets.append(s)
+        held += len(s)
     if sets:
-        yield ids, sets
+        yield uuid.uuid4().hex, ids, sets
+
+
+def _by_few(blocks: Iterator[tuple]) -> Iterator[tuple[list[tuple], bool]]:
+    """(at most ``AT_ONCE`` blocks, whether these are the last)."""
+    few = list(islice(blocks, AT_ONCE))
+    while few:
+        more = list(islice(blocks, AT_ONCE))
+        yield few, not more
+        few = more
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -154,14 +189,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size:
     spark = docs.sparkSession
     C.small_batches(spark)
     schema = "doc_id long, item_id long, n_item long, n_found long"
-    found = [C.id_text(docs).mapInArrow(_search(spark.sparkContext.broadcast(block), percent, size, True), schema) for block in _blocks(benchmark, size)]
+    found = []
+    for few, last in _by_few(_blocks(benchmark, size)):
+        held = [spark.sparkContext.broadcast(block) for block in few]
+        some = reduce(DataFrame.union, [C.id_text(docs).mapInArrow(_search(h, percent, size, True), schema) for h in held])
+        found.append(some if last else C.materialize(some, "contaminated"))
+        for h in held if not last else ():
+            h.unpersist()
     return reduce(DataFrame.union, found).distinct() if found else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that match no item; one scan for each block of items, no shuffle."""
+    """The rows of ``docs`` that match no item; one scan for ``AT_ONCE`` blocks of items, no shuffle."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    for block in _blocks(benchmark, size):
-        docs = docs.mapInArrow(_search(spark.sparkContext.broadcast(block), percent, size, False), docs.schema)
+    for few, last in _by_few(_blocks(benchmark, size)):
+        held = [spark.sparkContext.broadcast(block) for block in few]
+        for h in held:
+            docs = docs.mapInArrow(_search(h, percent, size, False), docs.schema)
+        if not last:
+            docs = C.materialize(docs, "decontaminated")
+            for h in held:
+                h.unpersist()
     return docs
