@@ -5,10 +5,11 @@ lines.  A two-state chain (bad, good) is trained on labelled documents whose lin
 gradient ascent on the conditional likelihood; forward-backward marginals of all lines then average, weighted by line
 length, into the document's score.
 
-Training uses at most ``sample`` labelled documents of at most ``most_bytes`` bytes, those with the smallest hashes of
-their ids (documented bounds; no other part is bounded).  Scoring covers every line of every text.
+Training uses at most ``sample`` labelled documents of any size, those with the smallest hashes of their ids, and of each
+at most ``lines`` lines that follow each other, from a place that the id's hash picks (documented bounds of the sample,
+which bound the driver's memory; no other part is bounded).  Scoring covers every line of every text.
 
-Edge cases: an empty or null text, or one without words, scores 0; without both labels in the sample every document
+Edge cases: an empty or null text, or one without words, scores 0, which is fixed and not learned; without both labels in the sample every document
 scores the share of good labels (0.5 without any); rows that repeat a doc_id are scored one by one; a doc_id labelled
 twice counts as good if at least half its labels do; doc_id may be null; other columns are ignored.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .rules import line_table
 
-SAMPLE, MOST_BYTES = 6000, 1 << 20
+SAMPLE, LINES = 6000, 300
 OWN = 16
 
 
@@ -164,19 +165,27 @@ def train(own: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 20
     return Model(mean, scale, w, s)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in C.groups(batches):
-        own, _, text = line_features(texts)
-        count = np.bincount(text, minlength=part.num_rows) * OWN
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1)), C.lists(own.ravel(), count, pa.float32())], names=["doc_id", "label", "own"])
+def _describe(lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in C.groups(batches):
+            own, _, text = line_features(texts)
+            count = np.bincount(text, minlength=part.num_rows)
+            first = np.cumsum(count) - count
+            spare = np.maximum(count - lines, 0)
+            place = C.mix(part.column(0).to_numpy().astype(np.uint64)) % (spare + 1).astype(np.uint64)
+            rank = np.arange(len(text)) - (first + place.astype(np.int64))[text]
+            own = own[(rank >= 0) & (rank < lines)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1)), C.lists(own.ravel(), np.minimum(count, lines) * OWN, pa.float32())], names=["doc_id", "label", "own"])
 
+    return run
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model | float:
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Model | float:
     """The chain, or the share of good labels where one class is missing; ``labels``: (doc_id, quality) to learn from."""
+    C.small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of two numbers
-    text = C.id_text(docs).where(F.octet_length("text") <= most_bytes)
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_describe, "doc_id long, label int, own array<float>").toArrow().sort_by("doc_id")
+    rows = C.id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_describe(lines), "doc_id long, label int, own array<float>").toArrow().sort_by("doc_id")
     label = rows.column("label").to_numpy()
     if not len(label) or label.min() == label.max():
         return float(label.mean()) if len(label) else 0.5
