@@ -6,7 +6,7 @@ language those of its training documents, and a document gets the language whose
 document and prototypes are taken relative to the mean prototype, which all languages share.
 
 Bundling is linear, so training counts trigrams by language over all training rows in tasks, adds the counts with a
-partial aggregation, and multiplies once; what reaches the driver is one vector per language and partition.
+partial aggregation, multiplies once, and adds the vectors by language; one vector per language reaches the driver.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every document is
 ``und`` with score 0; rows that repeat a doc_id are judged one by one; ties go to the language first in order; doc_id
@@ -127,10 +127,9 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     C.small_batches(docs.sparkSession)
     given = docs.where("lang is not null and text is not null").select("lang", "text")
     counted = given.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    parts = counted.mapInArrow(_bundle, "lang string, vector array<double>").toPandas()
-    total: dict[str, np.ndarray] = {}
-    for lang, vector in zip(parts["lang"], parts["vector"], strict=True):
-        total[lang] = total.get(lang, 0) + np.asarray(vector)
+    parts = counted.mapInArrow(_bundle, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("place", "value"))
+    added = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector")).toPandas()
+    total = {lang: np.asarray(vector) for lang, vector in zip(added["lang"], added["vector"], strict=True)}
     unit = {k: v / n for k, v in sorted(total.items()) if (n := np.linalg.norm(v)) > 0}
     if not unit:
         return {}
