@@ -168,11 +168,39 @@ def _grams(hashed: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np
     return at, C.mix(C.windows(hashed, k)[at] + np.uint64(k))
 
 
+def _slices(size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end row, first word, end word) of runs of rows with about ``SLICE_WORDS`` words, a longer row alone."""
+    edge = np.concatenate(([0], np.cumsum(size)))
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE_WORDS, "right")) - 1)
+        yield at, to, int(edge[at]), int(edge[to])
+        at = to
+
+
+def _sorted_grams(hashed: np.ndarray, size: np.ndarray, order: int) -> np.ndarray:
+    """All n-grams of a block in order of their hashes, and the one without words once."""
+    each = np.empty(1 + sum(int(np.maximum(size - k + 1, 0).sum()) for k in range(1, order + 1)), np.uint64)
+    each[0], n = NOTHING, 1
+    for at, to, a, z in _slices(size):
+        for k in range(1, order + 1):
+            grams = _grams(hashed[a:z], size[at:to], k)[1]
+            each[n : n + len(grams)] = grams
+            n += len(grams)
+    each.sort()
+    return each
+
+
+def _starts_new(each: np.ndarray) -> np.ndarray:
+    new = np.ones(len(each), bool)
+    np.not_equal(each[1:], each[:-1], out=new[1:])
+    return new
+
+
 def _distinct(hashed: np.ndarray, size: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a block in order of their hashes, with their counts; one is that of all words."""
-    each = np.concatenate([*(_grams(hashed, size, k)[1] for k in range(1, order + 1)), np.full(1, NOTHING, np.uint64)])
-    each.sort()
-    at = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1])))
+    each = _sorted_grams(hashed, size, order)
+    at = np.flatnonzero(_starts_new(each))
     found, count = each[at], np.diff(at, append=len(each))
     count[np.searchsorted(found, np.uint64(NOTHING))] += len(hashed) - 1
     return found, count
@@ -281,18 +309,17 @@ def _finish(order: int, backoff: float):
                 row = batch.slice(i, 1).to_pylist()[0]
                 back = sorted(row["back"], key=lambda x: x["bucket"])
                 hashed, size = _words(row)
-                found, _ = _distinct(hashed, size, order)
+                found = (each := _sorted_grams(hashed, size, order))[_starts_new(each)]
+                del each
                 if any(x["digest"] != row["digest"] for x in back) or sum(x["n"] for x in back) != len(found):
                     raise RuntimeError("the documents changed between two reads; write them to a table first")
-                total = np.concatenate([unpack_numbers(x["counts"], x["n"]) for x in back])
-                edge = np.concatenate(([0], np.cumsum(size)))
-                at = 0
-                while at < len(size):  # counts are by row, so a block's rows can be scored in slices
-                    to = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE_WORDS, "right")) - 1)
-                    some = size[at:to]
-                    known, full, score = _scored(hashed[edge[at] : edge[to]], some, found, total, order, backoff)
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"][at:to], pa.int64()), pa.array(some), pa.array(known), pa.array(full), pa.array(score)], names=["doc_id", "n_words", "n_known", "n_full", "log_score"])
-                    at = to
+                total, n = np.empty(len(found), np.uint64), 0
+                for x in back:
+                    total[n : n + x["n"]] = unpack_numbers(x["counts"], x["n"])
+                    n += x["n"]
+                for at, to, a, z in _slices(size):  # counts are by row, so a block's rows can be scored in slices
+                    known, full, score = _scored(hashed[a:z], size[at:to], found, total, order, backoff)
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"][at:to], pa.int64()), pa.array(size[at:to]), pa.array(known), pa.array(full), pa.array(score)], names=["doc_id", "n_words", "n_known", "n_full", "log_score"])
 
     return run
 
