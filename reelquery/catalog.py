@@ -51,7 +51,7 @@ def oracle_sql() -> dict[str, str]:
 # ---------------------------------------------------------------- scoring and ranks
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.score_frames(P.frames(spark, d), F.broadcast(P.queries(spark, d)), [])  # three query vectors
+    return vectors.score_frames(P.frames(spark, d), P.queries(spark, d), ["video_id"])
 
 
 def _one(spark: SparkSession, d: str) -> DataFrame:
@@ -170,19 +170,19 @@ def best_frame(spark, d):
 
 def _regions(spark, d):
     parts = P.frames(spark, d).select("video_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("region_idx"), "emb")
-    return parts.where("(frame_idx + region_idx) % 5 > 0").select("video_id", "frame_idx", "region_idx", F.slice("emb", F.col("region_idx") * 16 + 1, F.lit(16)).alias("tok"))
+    return parts.select("video_id", "frame_idx", "region_idx", F.slice("emb", F.col("region_idx") * 16 + 1, F.lit(16)).alias("tok"))
 
 
-_REGIONS = "regions AS (SELECT video_id, frame_idx, r AS region_idx, emb[r * 16 + 1 : r * 16 + 16] AS tok FROM frames, (SELECT unnest([0, 1, 2, 3]) AS r) WHERE (frame_idx + r) % 5 > 0), qv AS (SELECT q[1:16] AS v FROM q WHERE qid = 'Q1')"
+_REGIONS = "regions AS (SELECT video_id, frame_idx, r AS region_idx, emb[r * 16 + 1 : r * 16 + 16] AS tok FROM frames, (SELECT unnest([0, 1, 2, 3]) AS r)), qv AS (SELECT q[1:16] AS v FROM q WHERE qid = 'Q1')"
 
 
 def _region_query(spark, d):
-    return F.broadcast(P.queries(spark, d).where("qid = 'Q1'").select(F.slice("q", 1, 16).alias("v")))  # one row
+    return P.queries(spark, d).where("qid = 'Q1'").select("video_id", F.slice("q", 1, 16).alias("v"))
 
 
 @query(with_views("frames", "q", body=f", {_REGIONS} SELECT f.video_id, f.frame_idx, round(coalesce(max(list_cosine_similarity(tok, v)), 0), 6) AS score FROM frames f LEFT JOIN regions USING (video_id, frame_idx) CROSS JOIN qv GROUP BY ALL".lstrip()))
 def region_max(spark, d):
-    regions = _regions(spark, d).join(_region_query(spark, d), F.lit(True))
+    regions = _regions(spark, d).join(_region_query(spark, d), "video_id")
     return vectors.score_regions(P.frames(spark, d), regions, F.col("v"))
 
 
@@ -191,7 +191,7 @@ active AS (SELECT * FROM sim WHERE sim >= 0.18 UNION ALL SELECT video_id, track_
 
 
 def _tracks(spark, d):
-    return _regions(spark, d).groupBy("video_id", F.col("region_idx").alias("track_id")).agg(F.min_by("tok", "frame_idx").alias("tok")).join(_region_query(spark, d), F.lit(True))
+    return _regions(spark, d).groupBy("video_id", F.col("region_idx").alias("track_id")).agg(F.min_by("tok", "frame_idx").alias("tok")).join(_region_query(spark, d), "video_id")
 
 
 @query(with_views("frames", "q", body=f", {_REGIONS}{_TRACKS} SELECT f.video_id, f.frame_idx, round(greatest(coalesce(max(sim), 0), 0), 6) AS score FROM frames f LEFT JOIN (SELECT r.video_id, r.frame_idx, sim FROM regions r JOIN active a ON a.video_id = r.video_id AND a.track_id = r.region_idx) m USING (video_id, frame_idx) GROUP BY ALL".lstrip()))
@@ -209,7 +209,7 @@ def track_frames(spark, d):
 @query(with_views("frames", "q", body=f", {_REGIONS} SELECT video_id, frame_idx, round(a * b, 6) AS score FROM (SELECT video_id, frame_idx, max(list_cosine_similarity(tok, v)) AS a, max(list_cosine_similarity(tok, v[9:16] || v[1:8])) AS b FROM regions CROSS JOIN qv GROUP BY ALL) WHERE a * b >= 0.05".lstrip()))
 def patch_match(spark, d):
     turned = F.concat(F.slice("v", 9, 8), F.slice("v", 1, 8))
-    out = vectors.patch_match(_regions(spark, d).join(_region_query(spark, d), F.lit(True)), F.col("v"), turned, 0.05)
+    out = vectors.patch_match(_regions(spark, d).join(_region_query(spark, d), "video_id"), F.col("v"), turned, 0.05)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -229,7 +229,10 @@ def track_compression(spark, d):
     return tracks.compression(tracks.track(_regions(spark, d)))
 
 
-@query()
+@query(with_views("frames", "q", recursive=True, body=f""", {_REGIONS}, e AS (SELECT a.video_id, a.frame_idx, a.region_idx AS a, b.region_idx AS b FROM regions a JOIN regions b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.region_idx <> b.region_idx
+  WHERE list_cosine_similarity(a.tok, b.tok) > 0.2 OR greatest(0, least(a.region_idx, b.region_idx) * 4 + 5 - greatest(a.region_idx, b.region_idx) * 4) / (10.0 - greatest(0, least(a.region_idx, b.region_idx) * 4 + 5 - greatest(a.region_idx, b.region_idx) * 4)) > 0.3),
+reach(video_id, frame_idx, a, b) AS (SELECT video_id, frame_idx, region_idx, region_idx FROM regions UNION SELECT r.video_id, r.frame_idx, r.a, e.b FROM reach r JOIN e ON e.video_id = r.video_id AND e.frame_idx = r.frame_idx AND e.a = r.b)
+SELECT video_id, frame_idx, a::INT AS region_idx, min(b)::INT AS "group" FROM reach GROUP BY video_id, frame_idx, a""".lstrip()))
 def region_components(spark, d):
     boxed = _regions(spark, d).withColumns({"x1": F.col("region_idx") * 4.0, "y1": F.lit(0.0), "x2": F.col("region_idx") * 4.0 + 5, "y2": F.lit(5.0)})
     return tracks.region_groups(boxed, tracks.adjacency(boxed, 0.3, 0.2))
@@ -262,6 +265,25 @@ def judge_batches(spark, d):
     return out.select("video_id", "norm", "text", F.size("seg_ids").cast("long").alias("n"), "batch", "place")
 
 
+def _stand_in_judge(prompts):
+    """YES to texts of even length; a call whose first text's length divides by 7 fails.  For tests and the registered query."""
+    out = []
+    for p in prompts:
+        texts = [line.split(". ", 1) for line in p.split("\n")[2:]]
+        if len(texts[0][1]) % 7 == 0:
+            raise RuntimeError("no reply")
+        out.append("\n".join(f"{n}. {'YES' if len(t) % 2 == 0 else 'NO'}" for n, t in texts))
+    return out
+
+
+@query(with_views("ocr", body=f"""{_SEGMENTS}, u AS (SELECT video_id, lower(text) AS norm, arg_min(text, seg_id) AS text, min(seg_id) AS first FROM seg GROUP BY video_id, lower(text)),
+n AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY first) - 1) // 20 AS batch FROM u), f AS (SELECT *, length(first_value(text) OVER (PARTITION BY video_id, batch ORDER BY first)) % 7 = 0 AS failed FROM n)
+SELECT s.video_id, s.seg_id, NOT failed AND length(f.text) % 2 = 0 AS keep FROM seg s JOIN f ON f.video_id = s.video_id AND f.norm = lower(s.text)"""))
+def judge_texts(spark, d):
+    questions = P.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uid"), F.col("doc_id").alias("video_id"), F.lit("what?").alias("question"))
+    return islands.judge(_segments(spark, d), questions, _stand_in_judge).select("video_id", "seg_id", "keep")
+
+
 _CLUSTERS = """, conf AS (SELECT video_id, frame_idx FROM frames WHERE (frame_idx * 7) % 11 < 3), fresh AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM conf WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
 island AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM fresh), rep AS (SELECT video_id, list_sort(list(frame_idx))[count(*) // 2 + 1] AS frame_idx FROM island GROUP BY video_id, island)"""
 
@@ -276,9 +298,9 @@ def ocr_islands(spark, d):
     return _clusters(spark, d)
 
 
-@query(with_views(*_RANKED, "merged", body=f"{_CLUSTERS} SELECT video_id, frame_idx, CASE WHEN r.frame_idx IS NOT NULL THEN 1.0::DOUBLE ELSE m.score END AS score, m.score IS NULL AS is_new FROM (SELECT * FROM merged WHERE frame_idx % 2 = 0) m FULL JOIN rep r USING (video_id, frame_idx)"))
+@query(with_views(*_RANKED, "merged", body=f"{_CLUSTERS} SELECT video_id, frame_idx, CASE WHEN r.frame_idx IS NOT NULL THEN 1.0::DOUBLE ELSE m.score END AS score, m.score IS NULL AS is_new FROM merged m FULL JOIN rep r USING (video_id, frame_idx)"))
 def ocr_inject(spark, d):
-    return islands.inject(_merged(spark, d).where("frame_idx % 2 = 0"), _clusters(spark, d), ["video_id"])
+    return islands.inject(_merged(spark, d), _clusters(spark, d), ["video_id"])
 
 
 # ---------------------------------------------------------------- selectors
@@ -343,10 +365,7 @@ def adaptive_split(spark, d):
 
 @query(_fold_sql("one", (*_BASE, "one"), "8", _POOL_GAP, _NEVER, "SELECT video_id, unnest(kept) AS frame_idx FROM last"))
 def cosine_nms(spark, d):
-    n = _one(spark, d).groupBy("video_id").agg(F.count("*").alias("n"))
-    rows = nms._ordered(_one(spark, d), ["video_id"], [])
-    gap = (nms.auto_tau(F.col("n"), F.lit(2.0), 8) * 2.0).cast("int")
-    return _flat(rows.select("video_id", nms.gap_fold(F.col("ordered"), F.lit(8), gap).alias("picks")))
+    return _flat(nms.gap_select(_one(spark, d), ["video_id"], 8))
 
 
 @query()
@@ -390,11 +409,6 @@ def segment_stats(spark, d):
 _TIMES = ("truth", "picks")
 
 
-@query(with_views(*_TIMES, body="SELECT uid, EXISTS (SELECT 1 FROM picks p WHERE p.uid = truth.uid AND p.t BETWEEN start_s AND end_s) AS hit FROM truth"))
-def hit_at_k(spark, d):
-    return metrics.hit_at_k(P.picks(spark, d), P.truth(spark, d))
-
-
 _LISTS = "lists AS (SELECT uid, list(t ORDER BY t) AS ts FROM picks GROUP BY uid)"
 
 
@@ -402,6 +416,29 @@ def _lists(spark, d):
     return P.picks(spark, d).groupBy("uid").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
 
+@query(with_views(*_TIMES, body=f", {_LISTS} SELECT uid, len(list_filter(ts, lambda t: t BETWEEN start_s AND end_s)) > 0 AS hit FROM lists JOIN truth USING (uid)".lstrip()))
+def hit_at_k(spark, d):
+    return metrics.hit_at_k(_lists(spark, d).withColumnRenamed("ts", "times"), P.truth(spark, d))
+
+
+@query(with_views(*_TIMES, body=f", {_LISTS}, h AS (SELECT len(list_filter(ts, lambda t: t BETWEEN start_s - 2 AND end_s + 2)) > 0 AS hit FROM lists JOIN truth USING (uid)) SELECT count(*) AS n_items, count(*) FILTER (hit) AS n_hits, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate, count(*) FILTER (NOT hit) AS n_misses FROM h".lstrip()))
+def hit_summary(spark, d):
+    return metrics.hit_summary(metrics.hit_at_k(_lists(spark, d).withColumnRenamed("ts", "times"), P.truth(spark, d), margin=2.0))
+
+
+@query(with_views("picks", body=f", {_LISTS} SELECT uid[1:1] AS grp, count(*) AS n_rows, sum(len(ts))::BIGINT AS n_elements FROM lists GROUP BY 1".lstrip()))
+def detection_counts(spark, d):
+    return metrics.detection_counts(_lists(spark, d).withColumn("grp", F.substring("uid", 1, 1)), ["grp"], "ts")
+
+
+@query(with_views("frames", "q", "scores", "one", body=""", l AS (SELECT video_id, list(score ORDER BY frame_idx) AS v FROM one GROUP BY video_id), i AS (SELECT video_id, v, unnest(generate_series(1, len(v))) AS i FROM l),
+f AS (SELECT *, greatest(0, least(i - 3, len(v) - 5)) AS a FROM i), w AS (SELECT *, v[a + 1 : a + 5] AS p, (i - 1 - a)::INT - 2 AS x FROM f)
+SELECT video_id, (i - 1)::INT AS pos, round((17 * list_sum(p) - 5 * (4 * p[1] + p[2] + p[4] + 4 * p[5])) / 35 + x * (-2 * p[1] - p[2] + p[4] + 2 * p[5]) / 10 + x * x * (2 * p[1] - p[2] - 2 * p[3] - p[4] + 2 * p[5]) / 14, 8) AS value FROM w WHERE len(v) >= 5""".lstrip()))
+def smoothed_scores(spark, d):
+    curves = _one(spark, d).groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "score"))), lambda x: x["score"]).alias("v")).where(F.size("v") >= 5)
+    return curves.select("video_id", F.posexplode(metrics.smooth_curve(F.col("v"), 5, 2)).alias("pos", "value")).withColumn("value", F.round("value", 8))
+
+
 @query(with_views(*_TIMES, body=f", {_LISTS}, m AS (SELECT uid, k, method, CASE method WHEN 'head' THEN ts[1:k] ELSE ts[-k:] END AS times FROM lists, (SELECT unnest([1, 2, 4, 8]) AS k), (SELECT unnest(['head', 'tail']) AS method)) SELECT method, k, sum(len(list_filter(times, lambda t: t BETWEEN start_s AND end_s)) > 0)::BIGINT AS hits, count(*) AS items, round(avg((len(list_filter(times, lambda t: t BETWEEN start_s AND end_s)) > 0)::INT), 4) AS rate FROM m JOIN truth USING (uid) GROUP BY method, k".lstrip()))
 def hit_grid(spark, d):
     rows = _lists(spark, d).withColumn("k", F.explode(F.array(*(F.lit(k) for k in (1, 2, 4, 8)))))
@@ -487,24 +524,39 @@ def image_similarity(spark, d):
 
 # ---------------------------------------------------------------- plans, prompts, replies
 
-_REPLY = "CASE conv_id % 5 WHEN 0 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{\"queries\": [{\"tool\": \"image\", \"query\": \"a\", \"id\": \"Q1\"}, {\"tool\": \"region\", \"query\": \"b\", \"id\": \"Q2\"}], \"combine\": \"Q1 AND Q2\"}' || chr(10) || '```' WHEN 1 THEN 'so {\"queries\": [{\"tool\": \"text\", \"query\": \"c\", \"id\": \"Q1\"}], \"combine\": \"Q1 OR Q3\"} done' WHEN 2 THEN '{\"queries\": [{\"tool\": \"image\", \"id\": \"Q1\"}, {\"tool\": \"image\", \"query\": \"d\", \"id\": \"Q2\"}], \"combine\": \"Q2\"}' WHEN 3 THEN text ELSE '{\"queries\": [' END"
+_REPLY = """CASE conv_id % 9
+WHEN 0 THEN 'Plan for ' || role || ':' || chr(10) || '```json' || chr(10) || '{"queries": [{"tool": "image", "query": "' || role || '", "id": "Q1"}, {"tool": "region", "query": "b", "id": "Q' || turn || '"}], "combine": "Q1 AND Q' || turn || '"}' || chr(10) || '```'
+WHEN 1 THEN 'so {"queries": [{"tool": "text", "query": "c", "id": "Q1"}], "combine": "Q1 OR Q' || turn || '"} done'
+WHEN 2 THEN '{"queries": [{"tool": "image", "id": "Q1"}, {"tool": "image", "query": "d", "id": "Q2"}], "combine": "Q2"}'
+WHEN 3 THEN text
+WHEN 4 THEN '{"queries": ['
+WHEN 5 THEN '{"queries": ["Q1", 7, null, [1], {"tool": "image", "query": {"a": ' || turn || '}, "id": "Q3"}], "combine": "Q3"}'
+WHEN 6 THEN '{"queries": [{"tool": "image", "query": "x", "id": "Q1"}], "combine": "Q1"} or {}'
+WHEN 7 THEN '```' || '{"queries": {"tool": "image"}, "combine": "Q1"}' || '```'
+ELSE '{"combine": "Q' || turn || '", "queries": [{"tool": "image", "query": 5, "id": "Q' || turn || '", "more": [1, 2]}]}' END"""
 
 
 def _replies(spark, d):
-    return P.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_REPLY.replace("'```json'", "'```json'").replace("chr(10)", "char(10)")).alias("reply"))
+    return P.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_REPLY).alias("reply"))
 
 
-_PLAN_COUNTS = "CASE conv_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END"
+#: The replies read by the oracle's own JSON functions: part, queries that are whole, all queries, expression.
+_READ = f"""WITH r AS (SELECT conv_id, turn, {_REPLY} AS reply FROM conversations),
+j AS (SELECT *, CASE WHEN regexp_matches(reply, '```(?:json)?\\s*(.*?)\\s*```', 's') THEN regexp_extract(reply, '```(?:json)?\\s*(.*?)\\s*```', 1, 's') ELSE regexp_extract(reply, '\\{{.*\\}}', 0, 's') END AS part FROM r),
+v AS (SELECT *, CASE WHEN json_valid(part) THEN part::JSON END AS v FROM j),
+a AS (SELECT *, CASE WHEN json_type(v, '$.queries') = 'ARRAY' THEN json_extract(v, '$.queries[*]') ELSE []::JSON[] END AS emitted, coalesce(json_extract_string(v, '$.combine'), '') AS combine FROM v),
+p AS (SELECT *, list_filter(emitted, lambda e: json_type(e) = 'OBJECT' AND json_exists(e, '$.tool') AND json_exists(e, '$.query') AND json_exists(e, '$.id')) AS good FROM a) """
 
 
-@query(f"SELECT conv_id, turn, {_PLAN_COUNTS} AS n_queries, CASE conv_id % 5 WHEN 0 THEN 'Q1 AND Q2' WHEN 1 THEN 'Q1 OR Q3' WHEN 2 THEN 'Q2' ELSE '' END AS combine, CASE conv_id % 5 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n_available FROM conversations")
+@query(_READ + "SELECT conv_id, turn, len(good) AS n_queries, len(emitted) AS n_emitted, combine, len(list_filter(good, lambda e: json_extract_string(e, '$.tool') = 'image')) AS n_available, array_to_string([json_extract_string(e, '$.query') FOR e IN good], '|') AS texts FROM p")
 def plan_parse(spark, d):
     rows = _replies(spark, d).withColumn("plan", planner.parse_plan(F.col("reply")))
     left = planner.available(F.col("plan.queries"), F.array(F.lit("image")))
-    return rows.select("conv_id", "turn", F.size("plan.queries").alias("n_queries"), F.col("plan.combine").alias("combine"), F.size(left).alias("n_available"))
+    size = lambda c: F.size(c).cast("long")
+    return rows.select("conv_id", "turn", size("plan.queries").alias("n_queries"), planner.raw_query_count(F.col("reply")).cast("long").alias("n_emitted"), F.col("plan.combine").alias("combine"), size(left).alias("n_available"), F.array_join(F.transform("plan.queries", lambda q: q["query"]), "|").alias("texts"))
 
 
-@query("SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE -1.0 END::DOUBLE AS reward FROM conversations")
+@query(_READ + "SELECT conv_id, turn, CASE WHEN len(good) = 0 OR len(good) < len(emitted) THEN -1.0 WHEN len(list_filter(regexp_extract_all(combine, '\\bQ\\d+\\b'), lambda c: NOT list_contains([json_extract_string(e, '$.id') FOR e IN good], c))) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS reward FROM p")
 def consistency(spark, d):
     return _replies(spark, d).select("conv_id", "turn", planner.consistency(F.col("reply")).alias("reward"))
 
@@ -515,22 +567,44 @@ def combine_ids(spark, d):
     return rows.select("conv_id", "turn", F.array_join(F.array_sort(planner.combine_ids(F.col("r"))), ",").alias("ids"))
 
 
-def _options(n: str = "item_id"):
+def _options():
     return F.create_map(F.lit("B"), F.substring("text", 5, 6), F.lit("A"), F.substring("text", 1, 4))
 
 
-@query("SELECT item_id, '  A: ' || substring(text, 1, 4) || chr(10) || '  B: ' || substring(text, 5, 6) AS options, text || ' ' || substring(text, 1, 4) || ' ' || substring(text, 5, 6) AS query FROM benchmark")
+@query("SELECT item_id, '  B: ' || substring(text, 5, 6) || chr(10) || '  A: ' || substring(text, 1, 4) AS options, 'A) ' || substring(text, 1, 4) || chr(10) || 'B) ' || substring(text, 5, 6) AS sorted, text || ' ' || substring(text, 1, 4) || ' ' || substring(text, 5, 6) AS query FROM benchmark")
 def prompt_parts(spark, d):
     rows = P.table(spark, d, "benchmark")
-    return rows.select("item_id", X.format_options(_options()).alias("options"), X.retrieval_query(F.col("text"), _options()).alias("query"))
+    return rows.select("item_id", X.format_options(_options()).alias("options"), X.format_options(_options(), "bracket").alias("sorted"), X.retrieval_query(F.col("text"), _options()).alias("query"))
+
 
+_ANSWER = "CASE turn % 4 WHEN 0 THEN 'It is (B). Confidence: ' || conv_id % 8 WHEN 1 THEN 'B? No, A; ' || text WHEN 2 THEN chr(10) || '  ' || lower(text) ELSE text || ' confidence ' || conv_id % 6 END"
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'B' WHEN turn % 3 = 1 THEN 'A' ELSE upper(substring(trim(text), 1, 1)) END AS answer, CASE WHEN turn % 3 = 0 THEN (conv_id % 6)::INT ELSE -1 END AS confidence FROM conversations")
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {_ANSWER} AS reply FROM conversations), k AS (SELECT *, list_filter(['C', 'A', 'B'], lambda x: regexp_matches(reply, '(^|[^[:word:]])' || x || '([^[:word:]]|$)')) AS found, upper(regexp_replace(reply, '^[[:space:]]+', '')[1]) AS first FROM r)
+SELECT conv_id, turn, CASE WHEN len(found) > 0 THEN found[1] WHEN list_contains(['C', 'A', 'B'], first) THEN first END AS answer, coalesce(try_cast(regexp_extract(reply, '(?i)confidence[:[:space:]]*([0-5])', 1) AS INT), -1) AS confidence FROM k""")
 def answer_parse(spark, d):
-    rows = P.table(spark, d, "conversations")
-    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("It's (B). Confidence: "), F.col("conv_id") % 6)).when(F.col("turn") % 3 == 1, F.lit("B? No, A")).otherwise(F.regexp_replace("text", r"\b[AB]\b", "x"))
-    options = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y"))
-    return rows.withColumn("reply", F.when(F.col("turn") % 3 == 2, F.concat(F.upper(F.substring(F.trim("text"), 1, 1)), F.lit("zz"))).otherwise(reply)).select("conv_id", "turn", X.parse_answer(F.col("reply"), options).alias("answer"), F.coalesce(X.parse_confidence(F.col("reply")), F.lit(-1)).alias("confidence"))
+    rows = P.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("reply"))
+    options = F.create_map(F.lit("C"), F.lit("x"), F.lit("A"), F.lit("y"), F.lit("B"), F.lit("z"))
+    return rows.select("conv_id", "turn", X.parse_answer(F.col("reply"), options).alias("answer"), F.coalesce(X.parse_confidence(F.col("reply")), F.lit(-1)).alias("confidence"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE NOT contains(text, 'the') AND role NOT IN ('system')")
+def keep_questions(spark, d):
+    rows = P.table(spark, d, "conversations").where(F.col("text").isNotNull() & F.col("role").isNotNull())
+    return rows.where(X.keep_question(F.col("text"), F.col("role"), "the", ("system",))).select("conv_id", "turn")
+
+
+@query("SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN (SELECT text[1:3] AS t, arg_max(item_id, item_id) AS item_id FROM benchmark GROUP BY 1) b ON c.text[1:3] = b.t")
+def join_by_question(spark, d):
+    items = P.table(spark, d, "benchmark").select(F.substring("text", 1, 3).alias("question"), "item_id", F.col("item_id").alias("ordinal"))
+    asked = P.table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 3).alias("question"))
+    return tables.join_by_question(asked, items).select("conv_id", "turn", "item_id")
+
+
+@query("WITH u AS (SELECT 0 AS run, o_custkey AS uid, o_orderkey AS ordinal FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 1, o_custkey, o_orderkey FROM orders) SELECT run, uid, ordinal FROM u QUALIFY row_number() OVER (PARTITION BY uid ORDER BY run, ordinal) = 1")
+def union_runs(spark, d):
+    rows = P.table(spark, d, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("ordinal"), "o_totalprice")
+    return tables.union_runs([rows.where("o_totalprice > 200000").drop("o_totalprice"), rows.drop("o_totalprice")]).select("run", "uid", "ordinal")
 
 
 @query("SELECT conv_id, turn, i, CASE i WHEN 1 THEN FALSE WHEN 3 THEN turn % 2 = 0 ELSE TRUE END AS vote FROM conversations, (SELECT unnest([1, 2, 3, 4]) AS i)")
@@ -573,13 +647,14 @@ def frame_index_plan(spark, d):
 
 # ---------------------------------------------------------------- boxes
 
-@query(with_views("boxes", body="SELECT a.image_id, a.box_id AS a, b.box_id AS b, round(ix * iy / (aa + ab - ix * iy), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS ix, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS iy, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.label = b.label AND a.box_id // 10 = b.box_id // 10 AND a.box_id < b.box_id)"))
+@query(with_views("boxes", body="SELECT image_id, a AS box_id, round(max(v), 6) AS best, count(*) FILTER (v > 0.5) AS n_over FROM (SELECT image_id, a, ix * iy / (aa + ab - ix * iy) AS v FROM (SELECT a.image_id, a.box_id AS a, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS ix, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS iy, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.label = b.label AND a.box_id <> b.box_id)) GROUP BY image_id, a"))
 def box_iou(spark, d):
-    b = P.boxes(spark, d).withColumn("grp", F.floor(F.col("box_id") / 10))
-    one, two = (b.select("image_id", "label", "grp", *(F.col(c).alias(p + c) for c in ("box_id", "x1", "y1", "x2", "y2"))) for p in "ab")
-    pairs = one.join(two, ["image_id", "label", "grp"]).where("abox_id < bbox_id")
+    """Each box against all others of its image and label: the best overlap, and how many overlap by more than half."""
+    b = P.boxes(spark, d)
+    one, two = (b.select("image_id", "label", *(F.col(c).alias(p + c) for c in ("box_id", "x1", "y1", "x2", "y2"))) for p in "ab")
     corner = lambda p: [F.col(p + c) for c in ("x1", "y1", "x2", "y2")]
-    return pairs.select("image_id", F.col("abox_id").alias("a"), F.col("bbox_id").alias("b"), F.round(nms.iou(corner("a"), corner("b")), 6).alias("iou"))
+    pairs = one.join(two, ["image_id", "label"]).where("abox_id <> bbox_id").withColumn("v", nms.iou(corner("a"), corner("b")))
+    return pairs.groupBy("image_id", F.col("abox_id").alias("box_id")).agg(F.round(F.max("v"), 6).alias("best"), F.sum((F.col("v") > 0.5).cast("long")).alias("n_over"))
 
 
 _BOX_FOLD = with_views(
@@ -623,7 +698,7 @@ def grid_cells(spark, d):
     return search.cell_scores(rows, 56.0, 48.0, 4, 4)
 
 
-@query()
+@query(with_views("boxes", body="SELECT image_id, label, box_id FROM boxes WHERE (x2 - x1) * (y2 - y1) >= 200 QUALIFY row_number() OVER (PARTITION BY image_id, label ORDER BY md5(image_id || ':' || label || ':' || box_id || ':0'), box_id) = 1"))
 def one_box_per_class(spark, d):
     return nms.one_box_per_class(P.boxes(spark, d), 200.0).select("image_id", "label", "box_id")
 
@@ -679,9 +754,9 @@ def merge_class_texts(spark, d):
     return tables.merge_class_texts(rows).select("box", F.col("label").cast("long").alias("label"))
 
 
-@query("WITH b AS (SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 100 >= 32 AND o_orderkey % 7 > 0 AND l_linenumber < 7 AND l_quantity <= 32), f AS (SELECT l_returnflag || l_linestatus AS name, min(l_orderkey * 10 + l_linenumber) AS first FROM b GROUP BY 1), ids AS (SELECT name, row_number() OVER (ORDER BY first, name) - 1 AS label FROM f) SELECT l_orderkey AS image_id, l_orderkey * 10 + l_linenumber AS ordinal, label FROM b JOIN ids ON name = l_returnflag || l_linestatus")
+@query("WITH b AS (SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 100 >= 32 AND o_orderkey % 7 > 0 AND l_linenumber < 7), f AS (SELECT l_returnflag || l_linestatus AS name, min(l_orderkey * 10 + l_linenumber) AS first FROM b GROUP BY 1), ids AS (SELECT name, row_number() OVER (ORDER BY first, name) - 1 AS label FROM f) SELECT l_orderkey AS image_id, l_orderkey * 10 + l_linenumber AS ordinal, label FROM b JOIN ids ON name = l_returnflag || l_linestatus")
 def grounding_boxes(spark, d):
-    orders, items = P.table(spark, d, "orders"), P.table(spark, d, "lineitem").where("l_quantity <= 32")
+    orders, items = P.table(spark, d, "orders"), P.table(spark, d, "lineitem")
     images = orders.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 100).alias("width"), F.lit(100).alias("height"))
     boxes = items.select(F.col("l_orderkey").alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("w"), F.lit(5.0).alias("h"), F.lit(25.0).alias("area"), (F.col("l_linenumber") >= 7).alias("ignore"), F.lit(None).cast("int").alias("iscrowd"))
     ignored = orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("image_id"))

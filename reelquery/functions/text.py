@@ -27,9 +27,12 @@ def _sorted_entries(options: Column) -> Column:
 
 
 def format_options(options: Column, style: str = "colon") -> Column:
-    """One option per line by key: ``  A: x`` or ``A) x``."""
-    line = {"colon": lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"]), "bracket": lambda e: F.concat(e["key"], F.lit(") "), e["value"])}[style]
-    return F.array_join(F.transform(_sorted_entries(options), line), "\n")
+    """One option per line: ``  A: x`` in the given order, or ``A) x`` by key."""
+    if style == "bracket":
+        return F.array_join(F.transform(_sorted_entries(options), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")
+    if style != "colon":
+        raise ValueError(style)
+    return F.array_join(F.transform(F.map_entries(options), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"])), "\n")
 
 
 def retrieval_query(question: Column, options: Column) -> Column:
@@ -46,15 +49,42 @@ def numbered(values: Column) -> Column:
 
 
 def parse_answer(reply: Column, options: Column) -> Column:
-    """The first option key that stands as a word in the reply, else its first character in upper case; null if empty."""
-    found = F.get(F.filter(F.array_sort(F.map_keys(options)), lambda k: F.regexp_like(reply, F.concat(F.lit(r"\b"), k, F.lit(r"\b")))), F.lit(0))
-    return F.coalesce(found, F.nullif(F.upper(F.substring(F.trim(reply), 1, 1)), F.lit("")))
+    """The first option key, in the options' order, that stands as a word in the reply; else the reply's first character
+    in upper case if it is a key; else null."""
+    keys = F.map_keys(options)
+    found = F.get(F.filter(keys, lambda k: F.regexp_like(reply, F.concat(F.lit(r"(?U)\b"), k, F.lit(r"\b")))), F.lit(0))
+    first = F.upper(F.regexp_extract(reply, r"(?U)^\s*(\S)", 1))
+    return F.coalesce(found, F.when(F.array_contains(keys, first), first))
 
 
 def parse_confidence(reply: Column) -> Column:
+    """The number from 0 to 5 after ``confidence``; null without one."""
     return F.nullif(F.regexp_extract(reply, r"(?i)confidence[:\s]*([0-5])", 1), F.lit("")).cast("int")
 
 
+#: Prompts by name: with the option letters spelled out, and short.
+ANSWER_TEMPLATES = {
+    "letters": "Question: {question}\nOptions:\n{options}\n\nLook at the frames above. Reply with one letter out of {option_letters} and nothing else.",
+    "short": "{question}\n{options}\nAnswer with the letter of the best option only.",
+}
+
+
+def answer_prompt(question: Column, options: Column, template: str = "letters", style: str = "bracket") -> Column:
+    """The prompt of the answering model; ``template``: a name in ANSWER_TEMPLATES."""
+    from ..plans.planner import fill
+
+    letters = F.array_join(F.map_keys(options), ", ")
+    return fill(F.lit(ANSWER_TEMPLATES[template]), option_letters=letters, options=format_options(options, style), question=question)
+
+
+def keep_question(question: Column, task: Column | None = None, without: str = "subtitle", skip_tasks: tuple[str, ...] = ()) -> Column:
+    """Whether a question stays: it doesn't hold a word (case counts), and its task isn't in a list."""
+    keep = ~F.contains(question, F.lit(without)) if without else F.lit(True)
+    if task is not None and skip_tasks:
+        keep = keep & ~F.coalesce(task.isin(*skip_tasks), F.lit(False))
+    return F.coalesce(keep, F.lit(False))
+
+
 def judge_votes(reply: Column, n: Column) -> Column:
     """n booleans from lines ``<number>. YES|NO``; a number without a line is true, the last of several lines wins."""
     lines = F.regexp_extract_all(F.upper(reply), F.lit(r"(?m)^\s*(\d{1,9})\s*[.):-]\s*(?:YES|NO)"), F.lit(0))

@@ -77,6 +77,32 @@ def ask(column: Column, model: Model) -> Column:
     return run(column)
 
 
+def ask_or_none(column: Column, model: Model) -> Column:
+    """Replies to prompts asked one by one; a call that raises has none."""
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        out = []
+        for p in prompts:
+            try:
+                out.append(model([p])[0])
+            except Exception:  # whatever a service raises, the call has no reply
+                out.append(None)
+        return pd.Series(out, index=prompts.index, dtype=object)
+
+    return run(column)
+
+
+def encode_regions(column: Column, encoder: Callable[[Sequence], Sequence[np.ndarray]]) -> Column:
+    """Region vectors of each image (bytes): ``encoder`` gives an array (regions, width) per image; images may have none."""
+
+    @F.pandas_udf("array<array<float>>")
+    def run(images: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(r, np.float32).tolist() for r in encoder(images.tolist())], index=images.index, dtype=object)
+
+    return run(column)
+
+
 def ask_once(rows: DataFrame, prompt: str, reply: str, model: Model) -> DataFrame:
     """Adds replies, asking each distinct prompt once."""
     asked = rows.select(prompt).distinct().withColumn(reply, ask(F.col(prompt), model))

@@ -62,3 +62,22 @@ def judge_batches(texts: DataFrame, size: int = 20) -> DataFrame:
 def segment_frames(segments: DataFrame) -> DataFrame:
     """Distinct frames of the segments, both ends included."""
     return segments.select("video_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame_idx")).distinct()
+
+
+def judge(segments: DataFrame, question: DataFrame, model, size: int = 20) -> DataFrame:
+    """uid, video_id, seg_id, keep: a model's verdict on every segment, each distinct text of a video asked once.
+
+    ``segments``: of ``text_segments``; ``question``: uid, video_id, question.  A call holds ``size`` texts as a numbered
+    list; a text without a verdict in the reply stays, and a call that fails (no reply) rejects all its texts.
+    """
+    from ..functions.text import judge_votes, numbered
+    from ..models import ask_or_none
+
+    texts = judge_batches(unique_texts(segments), size)
+    calls = texts.groupBy("video_id", "batch").agg(F.array_sort(F.collect_list(F.struct("place", "text", "seg_ids"))).alias("texts"))
+    listed = numbered(F.transform("texts", lambda t: t["text"]))
+    prompt = F.concat(F.lit("Question: "), F.col("question"), F.lit("\nWhich of these texts on screen help to answer it? Reply with lines such as ``1. YES`` or ``1. NO``.\n"), listed)
+    asked = calls.join(question, "video_id").withColumn("reply", ask_or_none(prompt, model))
+    votes = F.when(F.col("reply").isNull(), F.transform("texts", lambda t: F.lit(False))).otherwise(judge_votes(F.col("reply"), F.size("texts")))
+    each = asked.select("uid", "video_id", F.inline(F.arrays_zip(F.col("texts").alias("t"), votes.alias("keep"))))
+    return each.select("uid", "video_id", F.explode("t.seg_ids").alias("seg_id"), "keep")

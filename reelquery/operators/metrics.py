@@ -9,12 +9,48 @@ from pyspark.sql import functions as F
 
 
 def hit_at_k(picks: DataFrame, truth: DataFrame, key: str = "uid", margin: float = 0.0) -> DataFrame:
-    """key, hit: whether any picked time lies in an interval, both ends included (``picks``: key, t; ``truth``: key, start_s, end_s).
+    """key, hit for every record of picks with a truth: whether a picked time lies in the interval, both ends included.
 
-    Items without picks miss; picks without an item are ignored.
+    ``picks``: key, times (an array; an empty one misses); ``truth``: key, start_s, end_s.  Items without a record, and
+    records without an item, don't count.
     """
-    inside = picks.join(truth, key).where(F.col("t").between(F.col("start_s") - margin, F.col("end_s") + margin)).select(key).distinct()
-    return truth.select(key).join(inside.withColumn("hit", F.lit(True)), key, "left").select(key, F.coalesce("hit", F.lit(False)).alias("hit"))
+    inside = F.exists(F.coalesce("times", F.lit([]).cast("array<double>")), lambda t: t.between(F.col("start_s") - margin, F.col("end_s") + margin))
+    return picks.join(truth, key).select(key, F.coalesce(inside, F.lit(False)).alias("hit"))
+
+
+def hit_summary(hits: DataFrame, digits: int = 4) -> DataFrame:
+    """n_items, n_hits, hit_rate (0 without items), n_misses of the rows of ``hit_at_k``; misses are the rows that aren't hits."""
+    n = F.coalesce(F.sum(F.col("hit").cast("int")), F.lit(0))
+    return hits.agg(F.count("*").alias("n_items"), n.alias("n_hits")).select("n_items", "n_hits", F.coalesce(F.round(F.try_divide("n_hits", "n_items"), digits), F.lit(0.0)).alias("hit_rate"), (F.col("n_items") - F.col("n_hits")).alias("n_misses"))
+
+
+def detection_counts(rows: DataFrame, by: list[str], lists: str) -> DataFrame:
+    """Rows and list elements of each group (null lists hold none)."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum(F.coalesce(F.size(lists), F.lit(0))).alias("n_elements"))
+
+
+def smooth_weights(window: int, order: int) -> list[list[float]]:
+    """Least-squares polynomial smoothing: row i gives the fitted value at place i of a window from its values."""
+    x = np.vander(np.arange(window) - window // 2, order + 1, increasing=True)
+    return (x @ np.linalg.pinv(x)).tolist()
+
+
+def smooth_curve(values: Column, window: int = 5, order: int = 2) -> Column:
+    """A curve smoothed by local polynomials of an odd window; the ends take the fit of the first and last whole window.
+
+    Curves shorter than the window come back unchanged.
+    """
+    if window % 2 == 0 or order >= window:
+        raise ValueError("an odd window, longer than the order")
+    fit = F.lit(smooth_weights(window, order))
+    n, half = F.size(values), window // 2
+
+    def at(v: Column, i: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(i - half, n - window))
+        part = F.slice(values, start + 1, F.lit(window))
+        return F.aggregate(F.zip_with(part, F.get(fit, i - start), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+    return F.when(n >= window, F.transform(values, at)).otherwise(values.cast("array<double>"))
 
 
 def hit_grid(picks: DataFrame, truth: DataFrame, key: str = "uid", margin: float = 0.0) -> DataFrame:
@@ -93,27 +129,34 @@ def _gauss(size: int = 11, sigma: float = 1.5) -> np.ndarray:
     return g / g.sum()
 
 
-def ssim(a: np.ndarray, b: np.ndarray) -> float:
-    """Structural similarity of two grey images in [0, 1]: 11 x 11 Gaussian window, zero padding."""
+def ssim(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Structural similarity of grey images in [0, 1], two stacks (..., height, width): 11 x 11 Gaussian window, zero padding."""
     g = _gauss()
+    half = len(g) // 2
 
     def blur(x: np.ndarray) -> np.ndarray:
-        for axis in (0, 1):
-            x = np.apply_along_axis(lambda v: np.convolve(v, g)[5:-5], axis, x)
+        for axis in (-2, -1):
+            wide = np.pad(x, [(0, 0)] * (x.ndim + axis) + [(half, half)] + [(0, 0)] * (-1 - axis))
+            x = sum(w * np.take(wide, range(k, k + x.shape[axis]), axis) for k, w in enumerate(g))
         return x
 
     ma, mb = blur(a), blur(b)
     va, vb, cov = blur(a * a) - ma**2, blur(b * b) - mb**2, blur(a * b) - ma * mb
     c1, c2 = 0.01**2, 0.03**2
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean((-2, -1))
 
 
 def image_ssim(a: Column, b: Column, width: Column) -> Column:
-    """Similarity of two images given as flat arrays and their width, in Arrow batches."""
+    """Similarity of two images given as flat arrays and their width, in Arrow batches; images of one size go together."""
 
     @F.pandas_udf("double")
     def run(one: pd.Series, two: pd.Series, wide: pd.Series) -> pd.Series:
-        return pd.Series([ssim(np.asarray(x, float).reshape(-1, w), np.asarray(y, float).reshape(-1, w)) for x, y, w in zip(one, two, wide, strict=True)])
+        size = pd.Series(list(zip(one.map(len), wide, strict=True)))
+        out = np.zeros(len(one))
+        for (_, w), at in size.groupby(size).indices.items():
+            x, y = (np.stack([np.asarray(s.iloc[i], float) for i in at]).reshape(len(at), -1, int(w)) for s in (one, two))
+            out[at] = ssim(x, y)
+        return pd.Series(out)
 
     return run(a, b, width)
 

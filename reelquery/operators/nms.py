@@ -1,8 +1,10 @@
-"""Greedy suppression as JVM folds: frames under a temporal gap, boxes under an overlap."""
+"""Greedy suppression: frames under a temporal gap as JVM folds, boxes under an overlap in Arrow groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,27 +67,61 @@ def overlap_of_smaller(a: list[Column], b: list[Column]) -> Column:
     return width * height / F.least(area(a), area(b))
 
 
-def _corners(x: Column) -> list[Column]:
-    return [x["x1"], x["y1"], x["x2"], x["y2"]]
+def _kept(corners: np.ndarray, above: float, most: int) -> list[int]:
+    """Places of the boxes that stay, best first in and out: each goes if it overlaps one that stays."""
+    x1, y1, x2, y2 = corners.T
+    area = (x2 - x1) * (y2 - y1)
+    left, out = np.arange(len(corners)), []
+    while len(left) and len(out) < most:
+        i, left = left[0], left[1:]
+        out.append(int(i))
+        both = np.maximum(0.0, np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left])) * np.maximum(0.0, np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]))
+        union = area[i] + area[left] - both
+        left = left[~((union > 0) & (both > above * union))]
+    return out
 
 
 def box_nms(boxes: DataFrame, iou_above: float = 0.7, score_above: float = 0.001, per_class: int = 300, keep: int = 300) -> DataFrame:
-    """Class-aware suppression per image: score gate, greedy by score within a class, then the best ``keep`` per image."""
-    row = F.struct((-F.col("score")).alias("s"), "box_id", "x1", "y1", "x2", "y2")
-    lists = boxes.where(F.col("score") > score_above).groupBy("image_id", "label").agg(F.array_sort(F.collect_list(row)).alias("b"))
-    none = F.slice("b", 1, 0)
-    kept = F.aggregate("b", none, lambda acc, x: F.when((F.size(acc) < per_class) & ~F.exists(acc, lambda y: iou(_corners(x), _corners(y)) > iou_above), F.concat(acc, F.array(x))).otherwise(acc))
-    flat = lists.select("image_id", "label", F.inline(kept)).withColumn("score", -F.col("s"))
-    from pyspark.sql import Window
+    """Class-aware suppression per image: score gate, greedy by score within a class, then the best ``keep`` per image.
 
+    An image and class is one group; a step compares one kept box with all that are left, in numpy.
+    """
+    given = boxes.where(F.col("score") > score_above).select("image_id", "label", "box_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "score")))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("score", "descending"), ("box_id", "ascending")])
+        corners = np.stack([group.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], 1)
+        return group.take(pa.array(_kept(corners, iou_above, per_class), pa.int64()))
+
+    flat = given.groupBy("image_id", "label").applyInArrow(run, given.schema)
     w = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "box_id")
-    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("image_id", "label", "box_id", "x1", "y1", "x2", "y2", "score", "rank")
+    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+
+
+def head_boxes(scores: DataFrame, score_above: float = 0.001, pre: int = 30000, multi_label: bool = True) -> DataFrame:
+    """Candidates of a detection head: (image_id, prior, label, score, ...) from class scores times objectness.
+
+    ``scores``: image_id, prior, classes (array), objectness (null: 1), anything else.  With ``multi_label`` a prior gives
+    a box for every class over the threshold, else for its best class alone; the best ``pre`` of each image go on.
+    """
+    rest = [c for c in scores.columns if c not in ("classes", "objectness")]
+    each = scores.select(*rest, F.posexplode("classes").alias("label", "s"), F.coalesce("objectness", F.lit(1.0)).alias("o")).withColumn("score", F.col("s") * F.col("o")).drop("s", "o")
+    if not multi_label:
+        best = Window.partitionBy("image_id", "prior").orderBy(F.col("score").desc(), "label")
+        each = each.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    w = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "prior", "label")
+    return each.where(F.col("score") > score_above).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= pre).drop("rn")
+
+
+def gap_select(scores: DataFrame, keys: list[str], k: int, fps: float = 2.0, cap: float = 10.0) -> DataFrame:
+    """keys, picks: the greedy selection by score alone, with the gap of ``auto_tau``, whatever the number of frames."""
+    rows = _ordered(scores, keys, [])
+    gap = (auto_tau(F.col("n"), F.lit(fps), k, cap) * fps).cast("int")
+    return rows.select(*keys, gap_fold(F.col("ordered"), F.lit(k), gap).alias("picks"))
 
 
 def top_detections(boxes: DataFrame, score_above: float, most: int) -> DataFrame:
     """Boxes over a score, the best ``most`` of each image."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "box_id")
     return boxes.where(F.col("score") > score_above).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -110,8 +146,7 @@ def decode_centre(boxes: DataFrame, stride: Column) -> DataFrame:
 
 def one_box_per_class(boxes: DataFrame, least_area: float = 4096.0, seed: int = 0) -> DataFrame:
     """One box per image and class among those of some area, chosen by a seeded hash; classes without one drop out."""
-    from pyspark.sql import Window
-
     big = boxes.where((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= least_area)
-    w = Window.partitionBy("image_id", "label").orderBy(F.xxhash64("image_id", "label", "box_id", F.lit(seed)), "box_id")
+    chance = F.md5(F.concat_ws(":", "image_id", "label", "box_id", F.lit(seed)).cast("binary"))
+    w = Window.partitionBy("image_id", "label").orderBy(chance, "box_id")
     return big.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Detector = Callable[[str, list[int], list[str]], list[list[tuple[str, float, tuple[float, float, float, float]]]]]
@@ -40,13 +40,75 @@ def timed_pairs(seen: DataFrame, relations: DataFrame) -> DataFrame:
     return rows.where(good).select("uid", "a", "b", "type", F.col("fa").alias("first"), F.col("fb").alias("second"))
 
 
-def smooth(scores: Column, std_share: float = 0.1) -> Column:
-    """A Gaussian-smoothed curve with a deviation of 0.1 of the scores' own (in frames), as a distribution."""
-    n = F.size(scores)
-    width = F.greatest(F.lit(0.5), n * F.lit(std_share) * 0.1)
-    raised = F.transform(scores, lambda s, i: F.aggregate(F.transform(scores, lambda t, j: t * F.exp(-0.5 * F.pow((i - j) / width, 2))), F.lit(0.0), lambda a, x: a + x) + 1.0 / n)
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+def raise_neighbours(score: np.ndarray, frames: list[int], confidence: np.ndarray, reach: int = 5) -> None:
+    """In place: around the sampled frames of the top quarter, in order, a frame at distance d gets at least score / (d + 1)."""
+    for f in (f for f, c in zip(frames, confidence, strict=True) if c >= np.percentile(confidence, 75)):
+        low, high = max(0, f - reach), min(len(score), f + reach + 1)
+        near = score[f] / (np.abs(np.arange(low, high) - f) + 1)
+        score[low:high] = np.maximum(score[low:high], near)
+
+
+def bell_curve(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The distribution of Gaussian bells around visited frames, as wide as 0.1 of their scores' deviation.
+
+    Where all bells vanish (equal or zero scores) it is even.
+    """
+    n, width = len(score), 0.1 * float(score[at].std()) if len(at) else 0.0
+    if width == 0:
+        return np.full(n, 1.0 / max(1, n))
+    p = np.exp(-0.5 * ((np.arange(n)[:, None] - at) / width) ** 2) @ score[at]
+    return p / p.sum() if p.sum() > 0 else np.full(n, 1.0 / n)
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, s: float, where: np.ndarray) -> np.ndarray:
+    """The natural cubic spline of least curvature whose squared residuals sum to at most ``s``, at ``where``; straight beyond
+    the ends.
+
+    Second derivatives g at the inner knots solve (R + a QtQ) g = Qt y, and the smallest curvature is the largest a that
+    keeps the residuals a Q g within ``s``.
+    """
+    x, y = x.astype(float), y.astype(float)
+    if len(x) < 3:
+        return np.interp(where, x, y)
+    h = np.diff(x)
+    m = len(x) - 2
+    q, r = np.zeros((len(x), m)), np.zeros((m, m))
+    k = np.arange(m)
+    q[k, k], q[k + 1, k], q[k + 2, k] = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]
+    r[k, k] = (h[:-1] + h[1:]) / 3
+    r[k[:-1], k[1:]] = r[k[1:], k[:-1]] = h[1:-1] / 6
+    values, vectors = np.linalg.eigh(np.linalg.solve(c := np.linalg.cholesky(r), np.linalg.solve(c, q.T @ q).T))  # R^-1/2 QtQ R^-1/2
+    load = vectors.T @ np.linalg.solve(c, q.T @ y)
+    bend = lambda a: np.linalg.solve(c.T, vectors @ (load / (1 + a * values)))
+    off = lambda a: float(((a * q @ bend(a)) ** 2).sum())
+    low, high = 0.0, 1.0
+    while off(high) < s and high < 1e12:
+        low, high = high, 10 * high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if off(mid) < s else (low, mid)
+    g = np.concatenate(([0.0], bend(low), [0.0]))
+    fit = y - low * q @ g[1:-1]
+    i = np.clip(np.searchsorted(x, where, "right") - 1, 0, len(h) - 1)
+    inside = np.clip(where, x[0], x[-1])
+    u, v = inside - x[i], x[i + 1] - inside
+    out = (u * fit[i + 1] + v * fit[i]) / h[i] - u * v * ((1 + u / h[i]) * g[i + 1] + (1 + v / h[i]) * g[i]) / 6
+    first = (fit[1] - fit[0]) / h[0] - h[0] * g[1] / 6
+    last = (fit[-1] - fit[-2]) / h[-1] + h[-1] * g[-2] / 6
+    return out + np.where(where < x[0], (where - x[0]) * first, 0) + np.where(where > x[-1], (where - x[-1]) * last, 0)
+
+
+def spline_curve(score: np.ndarray, at: np.ndarray, s: float = 0.5) -> np.ndarray:
+    """The distribution of a smoothed curve through visited frames, floored at 1/n, through a sigmoid."""
+    n = len(score)
+    if not len(at):
+        return np.full(n, 1.0 / max(1, n))
+    p = 1 / (1 + np.exp(-np.maximum(1.0 / n, smoothing_spline(at, score[at], s, np.arange(n)))))
+    return p / p.sum()
+
+
+#: How the distribution follows the scores.
+UPDATES = {"spline": spline_curve, "gaussian": bell_curve}
 
 
 @dataclass(frozen=True)
@@ -84,8 +146,12 @@ def relation_bonus(frames: list[int], seen: list[dict], relations: list[tuple[st
     return bonus
 
 
-def search_video(video: str, n: int, g: Grounding, detect: Detector, k: int, ratio: float = 0.5, side: int = 4, threshold: float = 0.5, seed: int = 2025) -> tuple[list[int], list[float]]:
-    """(picks, final scores) of one video: until targets and relations are found or the budget is spent."""
+def search_video(video: str, n: int, g: Grounding, detect: Detector, k: int, ratio: float = 0.5, side: int = 4, threshold: float = 0.5, seed: int = 2025, update: str = "spline") -> tuple[list[int], list[float]]:
+    """(picks, final scores) of one video: until targets and relations are found or the budget is spent.
+
+    A sampled frame's score is replaced by what was seen now, relations included; then the neighbours of the best quarter
+    rise, and ``update`` (spline or gaussian) turns the scores of visited frames into the next distribution.
+    """
     rng = np.random.RandomState((seed ^ zlib.crc32(video.encode())) & 0x7FFFFFFF)
     score, visited, p = np.zeros(n), np.zeros(n, bool), np.full(n, 1.0 / max(1, n))
     left, missing, met = budget(n, ratio), list(g.targets), set()
@@ -103,28 +169,26 @@ def search_video(video: str, n: int, g: Grounding, detect: Detector, k: int, rat
         visited[frames] = True
         found = detect(video, frames, [*g.targets, *g.cues])
         seen = [{name: box for name, _, box in one} for one in found]
-        for f, one in zip(frames, found, strict=True):
-            score[f] = max([score[f], *(c * (TARGET_WEIGHT if name in g.targets else CUE_WEIGHT) for name, c, _ in one)])
+        for one in found:
             hit = next((name for name, c, _ in one if name in missing and c > threshold), None)
             if hit:
                 missing.remove(hit)
-        score[frames] += relation_bonus(frames, seen, g.relations, met)
-        at = np.flatnonzero(visited)
-        std = max(1.0, 0.1 * n * float(score[at].std()))
-        kernel = np.exp(-0.5 * ((np.arange(n)[:, None] - at) / std) ** 2)
-        curve = 1 / (1 + np.exp(-(kernel @ score[at] + 1.0 / n)))
-        p = curve / curve.sum()
+        seen_now = np.array([max([0.0, *(c * (TARGET_WEIGHT if name in g.targets else CUE_WEIGHT) for name, c, _ in one)]) for one in found])
+        confidence = seen_now + relation_bonus(frames, seen, g.relations, met)
+        score[frames] = confidence
+        raise_neighbours(score, frames, confidence)
+        p = UPDATES[update](score, np.flatnonzero(visited))
     picks = np.lexsort((np.arange(n), -score))[:k]
     return sorted(map(int, picks)), score.tolist()
 
 
-def relation_search(videos: DataFrame, detect: Detector, k: int, ratio: float = 0.5) -> DataFrame:
+def relation_search(videos: DataFrame, detect: Detector, k: int, ratio: float = 0.5, update: str = "spline") -> DataFrame:
     """uid, picks, scores; ``videos``: uid, video_id, n, targets, cues, relations (array of struct a, b, type)."""
 
     def run(group: pa.Table) -> pa.Table:
         row = group.slice(0, 1).to_pylist()[0]
         g = Grounding(row["targets"] or [], row["cues"] or [], [(r["a"], r["b"], r["type"]) for r in row["relations"] or []])
-        picks, scores = search_video(str(row["video_id"]), int(row["n"]), g, detect, k, ratio)
+        picks, scores = search_video(str(row["video_id"]), int(row["n"]), g, detect, k, ratio, update=update)
         return pa.table({"uid": pa.array([str(row["uid"])]), "picks": pa.array([picks], pa.list_(pa.int32())), "scores": pa.array([scores], pa.list_(pa.float64()))})
 
     return videos.groupBy("uid").applyInArrow(run, "uid string, picks array<int>, scores array<double>")

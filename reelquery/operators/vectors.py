@@ -22,12 +22,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def score_frames(frames: DataFrame, queries: DataFrame, on: list[str], digits: int = 6, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Cosine of every query with every frame that shares ``on`` (none: of all videos); frames in [start, end)."""
+    """Cosine of every query with every frame that shares ``on`` (the video, at least); frames in [start, end)."""
+    if not on:
+        raise ValueError("queries meet the frames of their own videos: name the columns they share")
     if start is not None:
         frames = frames.where(F.col("frame_idx") >= start)
     if end is not None:
         frames = frames.where(F.col("frame_idx") < end)
-    joined = frames.join(queries, on) if on else frames.join(queries, F.lit(True))
+    joined = frames.join(queries, on)
     keep = [c for c in dict.fromkeys([*on, *queries.columns, "video_id"]) if c != "q"]
     return joined.select(*keep, "frame_idx", F.round(cosine(F.col("emb"), F.col("q")), digits).alias("score"))
 

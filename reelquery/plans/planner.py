@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PLAN = "struct<queries:array<struct<tool:string,query:string,id:string>>,combine:string>"
+QUERIES = "array<struct<tool:string,query:string,id:string>>"
+#: Where a reply's JSON may stand.
+_FENCED, _BARE = r"(?s)```(?:json)?\s*(.*?)\s*```", r"(?s)\{.*\}"
 
 
 def json_part(reply: Column) -> Column:
     """The first fenced block, else the widest braces, else null."""
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    bare = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    return F.nullif(F.when(F.regexp_like(reply, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```")), fenced).otherwise(bare), F.lit(""))
+    return F.nullif(F.when(F.regexp_like(reply, F.lit(_FENCED)), F.regexp_extract(reply, _FENCED, 1)).otherwise(F.regexp_extract(reply, _BARE, 0)), F.lit(""))
+
+
+def _data(reply: Column) -> Column:
+    """The JSON value of a reply as a variant; null unless the whole part is one value."""
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), json_part(reply), F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(alone) == 1, F.get(alone, F.lit(0)))
+
+
+def _emitted(reply: Column) -> Column:
+    """The elements of ``queries``, whatever they are; null where there is no list."""
+    return F.try_variant_get(_data(reply), "$.queries", "array<variant>")
 
 
 def parse_plan(reply: Column) -> Column:
-    """struct(queries, combine); queries that lack a key are dropped; no queries and '' if nothing can be read."""
-    plan = F.from_json(json_part(reply), PLAN)
-    none = F.lit([]).cast("array<struct<tool:string,query:string,id:string>>")
-    good = F.filter(plan["queries"], lambda q: q["tool"].isNotNull() & q["query"].isNotNull() & q["id"].isNotNull())
-    return F.struct(F.coalesce(good, none).alias("queries"), F.coalesce(plan["combine"], F.lit("")).alias("combine"))
+    """struct(queries, combine): elements that aren't objects with tool, query and id are dropped one by one; no queries
+    and '' if nothing can be read."""
+    has = lambda q, k: F.try_variant_get(q, f"$.{k}", "variant").isNotNull()
+    text = lambda q, k: F.try_variant_get(q, f"$.{k}", "string").alias(k)
+    good = F.filter(_emitted(reply), lambda q: has(q, "tool") & has(q, "query") & has(q, "id"))
+    queries = F.transform(good, lambda q: F.struct(text(q, "tool"), text(q, "query"), text(q, "id")))
+    return F.struct(F.coalesce(queries, F.lit([]).cast(QUERIES)).alias("queries"), F.coalesce(F.try_variant_get(_data(reply), "$.combine", "string"), F.lit("")).alias("combine"))
 
 
 def raw_query_count(reply: Column) -> Column:
-    return F.greatest(F.coalesce(F.size(F.from_json(json_part(reply), PLAN)["queries"]), F.lit(0)), F.lit(0))
+    """How many queries the reply emitted, dropped ones included."""
+    return F.coalesce(F.size(_emitted(reply)), F.lit(0))
 
 
 def is_malformed(reply: Column) -> Column:
@@ -65,3 +79,27 @@ def fill(template: Column, **values: Column) -> Column:
     for name, value in values.items():
         template = F.replace(template, F.lit("{" + name + "}"), value)
     return template
+
+
+#: A planner's prompt; it names the tools of ``tools`` only.
+PLANNER_TEMPLATE = (
+    "Video length: {duration}\nQuestion: {question}\nOptions:\n{options}\n\nTools: {tools}\n\n"
+    'Name what has to be seen to answer. Reply with JSON: {"queries": [{"tool": ..., "query": ..., "id": "Q1"}, ...], '
+    '"combine": "Q1 AND (Q2 OR Q3)"}; combine uses AND, OR and brackets over the ids.'
+)
+
+
+def planner_prompt(question: Column, options: Column, tools: Column, seconds: Column, template: str = PLANNER_TEMPLATE) -> Column:
+    """The prompt of the planner, options in the given order, the length as ``12.0s``."""
+    from ..functions.text import format_options, seconds_label
+
+    return fill(F.lit(template), duration=seconds_label(seconds), tools=F.array_join(tools, ", "), options=format_options(options), question=question)
+
+
+def plan(items: DataFrame, prompt: str, model, tools: list[str]) -> DataFrame:
+    """uid, reply, queries, combine: each distinct prompt is asked once, and queries of missing tools are dropped."""
+    from .. import models
+
+    read = parse_plan(F.col("reply"))
+    asked = models.ask_once(items, prompt, "reply", model).withColumn("plan", read)
+    return asked.select("uid", "reply", available(F.col("plan.queries"), F.array(*(F.lit(t) for t in tools))).alias("queries"), F.col("plan.combine").alias("combine"))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import models
-from ..functions.text import parse_answer
+from ..functions.text import answer_prompt, parse_answer
 from ..functions.times import CACHE_FPS
 from ..operators import islands, nms, rank, vectors
 from ..operators.nms import auto_tau
+from ..operators.sampling import uniform
 from .combine import combine_plans
 from .planner import available
 
@@ -70,16 +71,37 @@ def retrieve(
     else:
         merged = merged.withColumn("is_new", F.lit(False))
     meta = items.select("uid", "video_id").join(length, "video_id").select("uid", "num_frames", F.lit(fps).alias("fps"))
-    pooled = nms.pools(merged, ["uid"], list(ks), meta, fps, cap=cap, tie=["is_new"])
-    by_size = pooled.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("k", "picks"))).alias("pools"))
+    # a final size that isn't a pool size gets a gap of its own, as if it were one
+    pooled = nms.pools(merged, ["uid"], sorted({*ks, k}), meta, fps, cap=cap, tie=["is_new"])
+    size = F.when(F.col("k").isin(*ks), F.struct("k", "picks"))
+    by_size = pooled.groupBy("uid").agg(F.map_from_entries(F.collect_list(size)).alias("pools"), F.max(F.when(F.col("k") == k, F.col("picks"))).alias("final"))
     n_queries = plans.select("uid", F.greatest(F.size("queries"), F.lit(0)).alias("n_queries"))
     out = items.select("uid", "video_id", "options").join(n_queries, "uid", "left").join(by_size, "uid", "left")
-    picks = F.array_sort(F.try_element_at("pools", F.lit(k))) if k in ks else F.array_sort(F.slice(F.try_element_at("pools", F.lit(max(ks))), 1, k))
-    used = F.coalesce(picks, F.lit([]).cast("array<int>"))
+    used = F.coalesce(F.array_sort("final"), F.lit([]).cast("array<int>"))
     status = models.status(F.coalesce("n_queries", F.lit(0)), F.when(F.col("pools").isNull(), 0).otherwise(1), F.size("frames_used"), F.col("options"))
     return out.withColumn("frames_used", used).withColumn("timestamps_used", F.transform("frames_used", lambda i: i / F.lit(fps))).withColumn("status", status).select("uid", "video_id", "options", "pools", "frames_used", "timestamps_used", "status")
 
 
+def evidence(items: DataFrame, plans: DataFrame, frames: DataFrame, encoder: models.Encoder, k: int = 8, fallback: int = 0, **more) -> DataFrame:
+    """uid, frames_used, timestamps_used, found: what a plan shows, without answering.
+
+    An item whose plan scores nothing has no frames, or ``fallback`` frames at equal steps of its video if that is positive.
+    """
+    fps = more.get("fps", CACHE_FPS)
+    found = retrieve(items, plans, frames, encoder, k=k, **more).select("uid", "video_id", "frames_used", F.size("frames_used").alias("n"))
+    length = frames.groupBy("video_id").agg((F.max("frame_idx") + 1).alias("num_frames"))
+    rows = found.join(length, "video_id", "left")
+    even = uniform(F.coalesce("num_frames", F.lit(0)), fallback) if fallback > 0 else F.lit([]).cast("array<int>")
+    used = F.when(F.col("n") > 0, F.col("frames_used")).otherwise(F.coalesce(even.cast("array<int>"), F.lit([]).cast("array<int>")))
+    return rows.select("uid", used.alias("frames_used"), (F.col("n") > 0).alias("found")).withColumn("timestamps_used", F.transform("frames_used", lambda i: i / F.lit(fps)))
+
+
+def blind(items: DataFrame, model: models.Model, template: str = "short") -> DataFrame:
+    """uid, reply, answer from the question and its options alone, no frame shown (``items``: uid, question, options)."""
+    asked = models.ask_once(items.withColumn("prompt", answer_prompt(F.col("question"), F.col("options"), template)), "prompt", "reply", model)
+    return asked.select("uid", "reply", parse_answer(F.col("reply"), F.col("options")).alias("answer"))
+
+
 def answer(retrieved: DataFrame, prompts: DataFrame, model: models.Model) -> DataFrame:
     """Adds reply and answer to items that got frames and have options (``prompts``: uid, prompt); others have none."""
     asked = models.ask_once(prompts.join(retrieved.where("status = 'answered'").select("uid"), "uid", "left_semi"), "prompt", "reply", model)

@@ -17,15 +17,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, q: the first embeddings of labels 0, 1 and 2."""
-    first = table(spark, sf_dir, "embeddings").where("label in (0, 1, 2)").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    return first.select(F.concat(F.lit("Q"), (F.col("label") + 1).cast("string")).alias("qid"), F.col("q").cast("array<double>").alias("q"))
+    """video_id, qid, q: the first embeddings of labels 0, 1 and 2, asked of every video."""
+    given = table(spark, sf_dir, "embeddings")
+    first = given.where("label in (0, 1, 2)").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    vectors = first.select(F.concat(F.lit("Q"), (F.col("label") + 1).cast("string")).alias("qid"), F.col("q").cast("array<double>").alias("q"))
+    calls = given.select(F.col("label").alias("video_id")).distinct().withColumn("qid", F.explode(F.array(F.lit("Q1"), F.lit("Q2"), F.lit("Q3"))))
+    return calls.join(vectors, "qid").select("video_id", "qid", "q")
 
 
 def screen_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id (the document), frame_idx (ten per line), txt."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("pos", "txt"))
-    return lines.select("video_id", (F.col("pos") * 10).alias("frame_idx"), F.substring("txt", 1, 3).alias("txt"))
+    return lines.select("video_id", (F.col("pos") * 10).alias("frame_idx"), "txt")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ SQL = {
     "pct": "pct AS (SELECT *, CASE WHEN count(*) OVER w = 1 THEN 1.0::DOUBLE ELSE (row_number() OVER (PARTITION BY qid, video_id ORDER BY score, frame_idx) - 1)::DOUBLE / (count(*) OVER w - 1) END AS pct FROM scores WINDOW w AS (PARTITION BY qid, video_id))",
     "ranks": "ranks AS (SELECT video_id, frame_idx, max(pct) FILTER (qid = 'Q1') AS q1, max(pct) FILTER (qid = 'Q2') AS q2, max(pct) FILTER (qid = 'Q3') AS q3 FROM pct GROUP BY ALL)",
     "merged": "merged AS (SELECT video_id, frame_idx, least(q1, greatest(q2, q3)) AS score FROM ranks)",
-    "ocr": "ocr AS (SELECT doc_id AS video_id, (unnest(generate_series(0, len(l) - 1)) * 10)::INT AS frame_idx, substring(unnest(l), 1, 3) AS txt FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
+    "ocr": "ocr AS (SELECT doc_id AS video_id, (unnest(generate_series(0, len(l) - 1)) * 10)::INT AS frame_idx, unnest(l) AS txt FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
     "truth": "truth AS (SELECT user_id::VARCHAR AS uid, min(floor(epoch(ts) / 3600)) AS start_s, min(floor(epoch(ts) / 3600)) + 24 AS end_s FROM events WHERE event_type = 'purchase' GROUP BY 1)",
     "picks": "picks AS (SELECT user_id::VARCHAR AS uid, floor(epoch(ts) / 3600) AS t FROM events WHERE event_type = 'click')",
     "boxes": "boxes AS (SELECT l_orderkey % 500 AS image_id, l_linenumber % 3 AS label, l_orderkey * 10 + l_linenumber AS box_id, (l_partkey % 37)::DOUBLE AS x1, (l_suppkey % 29)::DOUBLE AS y1, l_partkey % 37 + 10 + l_quantity % 11 AS x2, l_suppkey % 29 + 10 + l_quantity % 7 AS y2, round((l_extendedprice % 1000) / 1000, 5) AS score FROM lineitem)",

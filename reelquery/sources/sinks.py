@@ -49,3 +49,17 @@ def keyframes(items: DataFrame, picks: DataFrame, fps: float = 2.0) -> DataFrame
 def completion_log(steps: DataFrame) -> DataFrame:
     """One row per (step, place) from parallel lists of completions, rewards and advantages; short lists give nulls."""
     return steps.select("step", F.posexplode(F.arrays_zip("completions", "rewards", "advantages")).alias("place", "r")).select("step", "place", "r.*")
+
+
+def write_grid(records: DataFrame, truth: DataFrame, path: str, margin: float = 0.0) -> DataFrame:
+    """Append the retrieval records (uid, method, k, times) that aren't under ``path`` yet, one folder per method and k,
+    and return the hit table over all records there.  A run that is started again goes on where the last one stopped.
+    """
+    from ..operators.metrics import hit_grid
+
+    spark = records.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        records = records.join(spark.read.schema(records.schema).parquet(path).select("uid", "method", "k"), ["uid", "method", "k"], "left_anti")
+    records.write.mode("append").partitionBy("method", "k").parquet(path)
+    return hit_grid(spark.read.schema(records.schema).parquet(path), truth, margin=margin)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import item_uid, options_of_list
 from ..functions.times import CACHE_FPS, rescale_frames
+from ..operators.rank import numbered
 
 ITEM = "uid string, question_id string, video_id string, question string, options map<string,string>, answer string, start string, end string"
 TRAINING_ITEM = "uid string, question_id string, video_id string, question string, options map<string,string>, choices array<string>, answer string, start string, end string, clip_start double, clip_end double"
@@ -72,7 +75,7 @@ def prior_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def video_ids(items: DataFrame, start: int | None = None, end: int | None = None, most: int | None = None) -> DataFrame:
     """video_id, place, uids: distinct videos in order, the slice [start, end) of them, at most ``most``."""
     rows = items.groupBy("video_id").agg(F.array_sort(F.collect_list("uid")).alias("uids"))
-    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("video_id")) - 1)  # one row per video
+    rows = numbered(rows, ["video_id"], "place")
     low = start or 0
     rows = rows.where(F.col("place") >= low)
     high = min(x for x in (end, low + most if most else None, 1 << 40) if x is not None)
@@ -133,16 +136,32 @@ def grounding_boxes(images: DataFrame, boxes: DataFrame, least_side: int = 32, d
     h = F.greatest(F.lit(0), F.least(F.col("y") + F.col("h"), F.col("height")) - F.greatest(F.col("y"), F.lit(0)))
     good = joined.where(~F.coalesce("ignore", F.lit(False)) & (w * h > 0) & (F.col("area") > 0) & (F.col("w") >= 1) & (F.col("h") >= 1))
     first = good.groupBy("name").agg(F.min("ordinal").alias("first"))
-    ids = first.withColumn("label", F.row_number().over(Window.orderBy("first", "name")) - 1).select("name", "label")  # one row per class
+    ids = numbered(first, ["first", "name"], "label").select("name", "label")
     return good.join(ids, "name").select("image_id", "ordinal", "name", "label", "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"))
 
 
 def merge_class_texts(boxes: DataFrame) -> DataFrame:
     """Boxes of several images with one label space: equal class texts share an id."""
-    names = boxes.select("text").distinct().withColumn("label", F.row_number().over(Window.orderBy("text")) - 1)  # one row per class
+    names = numbered(boxes.select("text").distinct(), ["text"], "label")
     return boxes.join(names, "text")
 
 
+def join_by_question(predictions: DataFrame, items: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Predictions with the columns of the item of the same question text; of equal questions the last item by ordinal counts."""
+    w = Window.partitionBy("question").orderBy(F.col(ordinal).desc())
+    last = items.where(F.col("question").isNotNull()).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", ordinal)
+    return predictions.join(last, "question")
+
+
+def union_runs(runs: list[DataFrame], key: str = "uid") -> DataFrame:
+    """Several runs as one, each key once: the first run that has it counts, and its first row by ``ordinal``."""
+    if not runs:
+        raise ValueError("no runs")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.withColumn("run", F.lit(k)) for k, r in enumerate(runs)])
+    w = Window.partitionBy(key).orderBy("run", "ordinal")
+    return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
 def sample_texts(texts: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most n negative class texts per image, by a seeded hash (a sampling operator)."""
     w = Window.partitionBy("image_id").orderBy(F.xxhash64("image_id", "text", F.lit(seed)), "text")

@@ -29,9 +29,16 @@ def test_metrics(spark):
     img = np.random.default_rng(0).random((16, 16))
     assert abs(metrics.ssim(img, img) - 1) < 1e-9 and metrics.ssim(img, 1 - img) < 0.5
     truth = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0), ("c", 0.0, 0.0)], "uid string, start_s double, end_s double")
-    picks = spark.createDataFrame([("a", 2.0), ("b", 2.5), ("z", 1.0)], "uid string, t double")
-    assert {r.uid: r.hit for r in metrics.hit_at_k(picks, truth).collect()} == {"a": True, "b": False, "c": False}
-    assert {r.uid: r.hit for r in metrics.hit_at_k(picks, truth, margin=0.5).collect()}["b"]
+    # a record without frames misses, an item without a record doesn't count, a record without an item neither
+    picks = spark.createDataFrame([("a", [0.0, 2.0]), ("b", [2.5]), ("z", [1.0]), ("d", [])], "uid string, times array<double>")
+    more = truth.union(spark.createDataFrame([("d", 0.0, 9.0)], truth.schema))
+    hits = metrics.hit_at_k(picks, more)
+    assert {r.uid: r.hit for r in hits.collect()} == {"a": True, "b": False, "d": False}
+    assert {r.uid: r.hit for r in metrics.hit_at_k(picks, more, margin=0.5).collect()}["b"]
+    assert tuple(metrics.hit_summary(hits).first()) == (3, 1, 0.3333, 2)
+    assert tuple(metrics.hit_summary(hits.limit(0)).first()) == (0, 0, 0.0, 0)
+    counts = metrics.detection_counts(spark.createDataFrame([("a", [1, 2]), ("a", None), ("b", [])], "g string, x array<int>"), ["g"], "x")
+    assert {r.g: (r.n_rows, r.n_elements) for r in counts.collect()} == {"a": (2, 2), "b": (1, 0)}
 
 
 def test_texts(spark):
@@ -89,6 +96,122 @@ def test_models(spark):
     assert [r[0] for r in st.select(models.status(F.col("q"), F.col("s"), F.col("f"), F.col("o"))).collect()] == ["no_queries", "no_scores", "no_frames", "retrieval_only", "answered"]
 
 
+def test_answers_follow_the_options(spark):
+    options = F.create_map(*map(F.lit, "BxAy"))
+    cases = {"B or A": "B", "A or B": "B", "Zebra": None, "  a cat": "A", "nothing": None, "": None, "(A)": "A", "ABBA": "A", "\n\tbig": "B"}
+    df = spark.createDataFrame([(k,) for k in cases], "reply string").withColumn("options", options)
+    assert {r.reply: r.a for r in df.select("reply", X.parse_answer(F.col("reply"), F.col("options")).alias("a")).collect()} == cases
+    one = df.limit(1).select(X.format_options(F.col("options")).alias("c"), X.format_options(F.col("options"), "bracket").alias("b"), X.answer_prompt(F.lit("Q {options}?"), F.col("options"), "letters").alias("p")).first()
+    assert (one.c, one.b) == ("  B: x\n  A: y", "A) y\nB) x")
+    assert "Question: Q {options}?\n" in one.p and "A) y\nB) x" in one.p and "out of B, A " in one.p
+    kept = spark.createDataFrame([("a subtitle", "t"), ("plain", "t"), ("plain", "skip"), (None, "t"), ("plain", None)], "q string, task string")
+    assert [r.k for r in kept.select(X.keep_question(F.col("q"), F.col("task"), skip_tasks=("skip",)).alias("k")).collect()] == [False, True, False, False, True]
+
+
+def test_curves_and_similarity(spark):
+    from reelquery.operators import metrics as M
+
+    v = [0.0, 1.0, 4.0, 9.0, 16.0, 25.0, 36.0]
+    df = spark.createDataFrame([(v,), ([1.0, 2.0],), ([0.0, 0.0, 35.0, 0.0, 0.0],)], "v array<double>")
+    got = [r.s for r in df.select(M.smooth_curve(F.col("v")).alias("s")).collect()]
+    assert np.allclose(got[0], v) and got[1] == [1.0, 2.0] and abs(got[2][2] - 17) < 1e-9
+    rng = np.random.default_rng(1)
+    a, b = rng.random((5, 8, 6)), rng.random((5, 8, 6))
+    assert np.allclose(M.ssim(a, b), [M.ssim(x, y) for x, y in zip(a, b, strict=True)])
+    rows = spark.createDataFrame([(a[0].ravel().tolist(), b[0].ravel().tolist(), 6), (a[1].ravel().tolist(), a[1].ravel().tolist(), 6), ([0.5] * 16, [0.5] * 16, 4)], "a array<double>, b array<double>, w int")
+    out = [r.s for r in rows.select(M.image_ssim(F.col("a"), F.col("b"), F.col("w")).alias("s")).collect()]
+    assert np.allclose(out, [M.ssim(a[0], b[0]), 1.0, 1.0])
+
+
+def test_numbers_follow_the_order(spark):
+    from reelquery.operators.rank import numbered
+
+    rng = np.random.default_rng(2)
+    values = sorted({int(x) for x in rng.integers(-200000, 200000, 500)})
+    got = {r.k: r.n for r in numbered(spark.createDataFrame([(v,) for v in values], "k long"), ["k"], "n").collect()}
+    assert [got[v] for v in values] == list(range(len(values)))
+    texts = sorted({"".join(rng.choice(list("ab"), rng.integers(0, 6))) for _ in range(40)})
+    got = {r.k: r.n for r in numbered(spark.createDataFrame([(t,) for t in texts], "k string"), ["k"], "n").collect()}
+    assert [got[t] for t in texts] == list(range(len(texts)))
+
+
+def test_joins_of_runs_and_questions(spark):
+    items = spark.createDataFrame([("q", 1, "old"), ("q", 2, "new"), (None, 3, "x")], "question string, ordinal int, task string")
+    asked = spark.createDataFrame([("q", 7), ("r", 8), (None, 9)], "question string, pred int")
+    assert [(r.pred, r.task) for r in tables.join_by_question(asked, items).collect()] == [(7, "new")]
+    runs = [spark.createDataFrame([("a", 0, 1), ("a", 1, 2)], "uid string, ordinal int, x int"), spark.createDataFrame([("a", 0, 3), ("b", 0, 4)], "uid string, ordinal int, x int")]
+    assert sorted((r.uid, r.x) for r in tables.union_runs(runs).collect()) == [("a", 1), ("b", 4)]
+
+
+def test_grid_of_records_goes_on(spark, tmp_path):
+    truth = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 1.0)], "uid string, start_s double, end_s double")
+    records = lambda rows: spark.createDataFrame(rows, "uid string, method string, k int, times array<double>")
+    path = str(tmp_path / "grid")
+    assert [tuple(r) for r in sinks.write_grid(records([("a", "m", 8, [0.5])]), truth, path).collect()] == [("m", 8, 1, 1, 1.0)]
+    again = records([("a", "m", 8, [9.0]), ("b", "m", 8, [9.0])])
+    assert [tuple(r) for r in sinks.write_grid(again, truth, path).collect()] == [("m", 8, 1, 2, 0.5)]
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_head_boxes(spark):
+    from reelquery.operators import nms
+
+    rows = spark.createDataFrame([(1, 0, [0.9, 0.8], 0.5), (1, 1, [0.2, 0.6], None), (1, 2, [0.0, 0.0], 1.0)], "image_id int, prior int, classes array<double>, objectness double")
+    out = sorted((r.prior, r.label, r.score) for r in nms.head_boxes(rows).collect())
+    assert out == [(0, 0, 0.45), (0, 1, 0.4), (1, 0, 0.2), (1, 1, 0.6)]
+    assert sorted((r.prior, r.label) for r in nms.head_boxes(rows, multi_label=False).collect()) == [(0, 0), (1, 1)]
+    assert sorted((r.prior, r.label) for r in nms.head_boxes(rows, pre=1).collect()) == [(1, 1)]
+
+
+def test_judge_takes_each_text_once(spark):
+    from reelquery.operators import islands
+
+    segs = spark.createDataFrame([("v", 0, "Exit"), ("v", 1, "stop"), ("v", 2, "EXIT"), ("w", 0, "fail")], "video_id string, seg_id long, text string")
+    questions = spark.createDataFrame([("u", "v", "?"), ("t", "w", "?")], "uid string, video_id string, question string")
+
+    def model(prompts):
+        if "fail" in prompts[0]:
+            raise RuntimeError
+        return ["2. NO" for _ in prompts]
+
+    assert sorted((r.uid, r.seg_id, r.keep) for r in islands.judge(segs, questions, model).collect()) == [("t", 0, False), ("u", 0, True), ("u", 1, False), ("u", 2, True)]
+    scores = spark.createDataFrame([("v", 0, 0.5)], "video_id string, frame_idx int, score double")
+    shown = spark.createDataFrame([("v", 0), ("v", 4)], "video_id string, frame_idx int")
+    assert sorted((r.frame_idx, r.score, r.is_new) for r in islands.inject(scores, shown, ["video_id"]).collect()) == [(0, 1.0, False), (4, 1.0, True)]
+
+
+def test_uneven_regions(spark):
+    from reelquery.operators import vectors
+
+    frames = spark.createDataFrame([("v", 0), ("v", 1), ("w", 0)], "video_id string, frame_idx int")
+    regions = spark.createDataFrame([("v", 0, 0, [1.0, 0.0]), ("v", 0, 2, [0.0, 1.0]), ("w", 0, 1, [-1.0, 0.0])], "video_id string, frame_idx int, region_idx int, tok array<double>")
+    got = {(r.video_id, r.frame_idx): r.score for r in vectors.score_regions(frames, regions, F.array(F.lit(1.0), F.lit(0.0))).collect()}
+    assert got == {("v", 0): 1.0, ("v", 1): 0.0, ("w", 0): -1.0}
+    try:
+        vectors.score_frames(frames, frames, [])
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_distributions_of_the_search():
+    score = np.zeros(40)
+    score[[5, 20]] = 0.8, 0.4
+    search.raise_neighbours(score, [5, 20], np.array([0.8, 0.4]), reach=2)
+    assert np.allclose(score[3:8], [0.8 / 3, 0.4, 0.8, 0.4, 0.8 / 3]) and score[19] == 0 and score[20] == 0.4
+    x = np.array([0, 3, 7, 12, 20, 30])
+    line = search.smoothing_spline(x, 2.0 * x + 1, 0.5, np.arange(40))
+    assert np.allclose(line, 2.0 * np.arange(40) + 1, atol=1e-6)
+    y = np.array([0.0, 5.0, -3.0, 8.0, 1.0, 4.0])
+    assert np.allclose(search.smoothing_spline(x, y, 1e-12, x), y, atol=1e-4)
+    fit = search.smoothing_spline(x, y, 0.5, x)
+    assert abs(((fit - y) ** 2).sum() - 0.5) < 1e-3
+    for curve in search.UPDATES.values():
+        p = curve(score, np.flatnonzero(score))
+        assert abs(p.sum() - 1) < 1e-9 and (p >= 0).all() and len(p) == 40
+        assert np.allclose(curve(np.zeros(10), np.array([], int)), 0.1)
+
+
 def test_search_stops_when_found():
     g = search.Grounding(["cup"], ["hand"], [("cup", "hand", "time")])
     seen = []
