@@ -1,23 +1,28 @@
 """MinHash near-duplicate detection with sequential Bayesian verification (operator 10).
 
-Documents are sets of five-word shingles (A-Z folded).  Equal sets collapse to their smallest doc_id first, so exact
-copies never meet in a bucket.  MinHash signatures are banded; within a bucket, members are compared in two linear
-steps instead of in all pairs:
-
-1. every member with the bucket's smallest doc_id; accepted links give provisional components;
-2. in buckets that still hold several components, the members outside the bucket's largest component with all members
-   of other components, in blocks of bounded size that run as separate tasks; rounds that take each member's likeliest
-   pair only come first, so that a large loose group grows together; the full round then takes intersections of whole
-   sets within blocks, so only pairs that reach the threshold become rows.
-
-A pair that shares a bucket is thus either compared or already connected, which is all that components need.  Each
-comparison first goes through signature slices: with m of n minima equal, the pair is dropped once the posterior
-probability (uniform prior) that its similarity reaches the threshold is below ``miss``.  Survivors are verified on
-full shingle sets, so false links are impossible.
+Documents are sets of five-word shingles (A-Z folded).  Rows with equal sets are one node, so exact copies never meet in
+a bucket.  MinHash signatures are banded; the members of a bucket are compared in linear steps instead of in all pairs:
+
+1. every member with the bucket's smallest node; accepted links give provisional components;
+2. documents of buckets that still hold several components are dealt anew, by the shingles of their prefixes: with the
+   shingles of all such documents in order from rare to common, two sets of similarity t share one among the first
+   |x| - t |x| + 1 of the larger and the first |y| - 2t/(1+t) |y| + 1 of the smaller (the prefix filter of exact
+   similarity joins).  Documents that are alike below the threshold differ in their rare shingles, so large loose buckets
+   fall apart into small ones.  Each new bucket is compared with its smallest node first;
+3. in new buckets that still hold several components, the members outside the bucket's largest component meet all
+   members of other components, in blocks of bounded size that run as separate tasks; rounds that take each member's
+   likeliest pair only come first; the full round then takes intersections of whole sets within blocks, so only pairs
+   that reach the threshold become rows.
+
+A pair that shares a band is thus either compared, already connected, or excluded by its prefixes, which is all that
+components need.  Each comparison first goes through signature slices: with m of n minima equal, the pair is dropped
+once the posterior probability (uniform prior) that its similarity reaches the threshold is below ``miss``.  Survivors
+are verified on full shingle sets; shingles are 64-bit hashes, so a false link would take many accidental collisions.
 
 Edge cases: a null or empty text, or one without words, has no shingles, is linked with nothing and forms its own
-component; a text of fewer than five words is one shingle; rows that repeat a doc_id share its component and each get a
-row; a row with null doc_id is never linked, has a null component and is kept; other columns are ignored.
+component; a text of fewer than five words is one shingle; rows are judged one by one, also where they repeat a doc_id
+with another text, and a component is named by its smallest doc_id; a row with null doc_id is never linked, has a null
+component and is kept; ties of similarity change nothing; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common as C
 
@@ -57,6 +63,18 @@ def least_matches(t: float, miss: float, steps: list[int]) -> list[int]:
     return out
 
 
+def _node_of(hashed: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each text's set, the set's size) from its distinct shingles."""
+    n = np.bincount(text, minlength=rows).astype(np.int64)
+    full = np.flatnonzero(n)
+    node = np.zeros(rows, np.uint64)
+    if len(full):
+        begin = np.concatenate(([0], np.cumsum(n[full])))[:-1]
+        one, two = np.add.reduceat(C.mix(hashed), begin), np.add.reduceat(C.mix(hashed ^ np.uint64(0x5851F42D4C957F2D)), begin)
+        node[full] = C.mix(one ^ C.mix(two + n[full].astype(np.uint64)))
+    return node.view(np.int64), n
+
+
 def _signer(bands: int, rows: int, size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_hash = bands * rows
@@ -65,15 +83,11 @@ def _signer(bands: int, rows: int, size: int):
         salt = C.splitmix(303, bands)
         for part, texts in C.groups(batches):
             hashed, text = C.distinct(*C.shingles(C.word_table(texts, lower=True), size))
-            n = np.bincount(text, minlength=part.num_rows).astype(np.int64)
+            node, n = _node_of(hashed, text, part.num_rows)
             full = np.flatnonzero(n)
             begin = np.concatenate(([0], np.cumsum(n[full])))[:-1]
-            s1 = np.zeros(part.num_rows, np.uint64)
-            s2 = np.zeros(part.num_rows, np.uint64)
             minima = np.zeros((len(full), n_hash), np.uint32)
             if len(full):
-                s1[full] = np.add.reduceat(C.mix(hashed), begin)
-                s2[full] = np.add.reduceat(C.mix(hashed ^ np.uint64(0x5851F42D4C957F2D)), begin)
                 x = (hashed >> np.uint64(32)).astype(np.uint32)
                 for j in range(n_hash):
                     y = (x ^ flip[j]) * times[j]
@@ -88,14 +102,14 @@ def _signer(bands: int, rows: int, size: int):
             for i, k in enumerate(full):
                 sig[k] = low[i].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), C.lists(keys.ravel(), count, pa.int64()), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
+                [part.column(0), part.column(2), pa.array(n), pa.array(node, mask=n == 0), C.lists(keys.ravel(), count, pa.int64()), pa.array(sig, pa.binary())],
+                names=["doc_id", "print", "n_shingles", "node", "bands", "sig"],
             )
 
     return sign
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
+_SIGNED = "doc_id long, print long, n_shingles long, node long, bands array<long>, sig binary"
 
 
 def _alike(a: np.ndarray, b: np.ndarray, steps: list[int], least: list[int]) -> np.ndarray:
@@ -281,58 +295,102 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, anything else)."""
-    spark = docs.sparkSession
-    mark = C.made()
-    C.small_batches(spark)
-    docs = C.id_text(docs)
+def _with_nodes(size: int):
+    """Rows with their text's node (null without shingles) as the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in C.groups(batches):
+            node, n = _node_of(*C.distinct(*C.shingles(C.word_table(texts, lower=True), size)), part.num_rows)
+            yield part.append_column("node", pa.array(node, mask=n == 0))
+
+    return run
+
+
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in C.groups(batches):
+            hashed, text = C.distinct(*C.shingles(C.word_table(texts, lower=True), size))
+            count = np.bincount(text, minlength=part.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(hashed.view(np.int64)), pa.array(count[text])], names=["doc", "h", "size"])
+
+    return run
+
+
+def _by_prefix(texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(bucket, doc): documents (node, text) by the shingles of their prefixes; a bucket is a shingle that occurs in the
+    shorter prefix of a document and the longer one of another."""
+    rows = texts.select("node", "text").mapInArrow(_shingle_rows(size), "doc long, h long, size int")
+    common = C.materialize(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "common")  # of its own, so that hot shingles can be split
+    shared = rows.join(common, "h").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"), F.max("size").alias("size"))
+    alone = F.col("size") - F.size("hs")  # shingles that no other has come first
+    long = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    short = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)) + 1 - alone
+    first = F.slice("hs", 1, F.greatest(F.lit(0), long).cast("int"))
+    sub = C.materialize(shared.select("doc", short.alias("short"), F.posexplode(first).alias("at", "s")).select(F.col("s.h").alias("bucket"), "doc", (F.col("at") < F.col("short")).alias("short")), "prefixes")
+    real = C.materialize(sub.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last"), F.bool_or("short").alias("short")).where("short and pivot < last").select("bucket", "pivot"), "prefix-buckets")
+    return sub.drop("short").join(real, "bucket")
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """Members (bucket, doc, pivot) without buckets that have the same members as another, and without the pivots' own rows."""
+    marks = [F.bit_xor(F.xxhash64("doc")).alias("m1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("m2"), F.count("*").alias("n")]
+    kept = C.materialize(members.groupBy("bucket").agg(*marks).groupBy("m1", "m2", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    return C.materialize(members.join(kept, "bucket", "left_semi").where("doc != pivot"), "members")
+
+
+def _judged(docs: DataFrame, percent: int, miss: float, bands: int, rows: int, size: int) -> DataFrame:
+    """doc_id, node and group (null without shingles), n_shingles, component_id of every row.  A group is a component, also
+    where an id with several texts names two of them."""
+    C.small_batches(docs.sparkSession)
+    docs = C.id_text(docs).withColumn("print", F.xxhash64("text"))  # tells the texts of a repeated id apart
     steps = [*range(STEP, bands * rows, STEP), bands * rows]
     least = least_matches(percent / 100, miss, steps)
 
     signed = C.materialize(docs.mapInArrow(_signer(bands, rows, size), _SIGNED), "signed")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    same = ["set_a", "set_b", "n_shingles"]
-    first = C.materialize(real.groupBy(*same).agg(F.min("doc_id").alias("rep")), "sets")
-    sigs = C.materialize(real.select("doc_id", "bands", "sig").dropDuplicates(["doc_id"]).join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
-    banded = sigs.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"))
-    shared = banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last")
-    members = C.materialize(banded.join(shared, "bucket"), "members")
-    # buckets of the same members are compared once
-    marks = [F.bit_xor(F.xxhash64("doc")).alias("m1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("m2"), F.count("*").alias("n")]
-    kept = members.groupBy("bucket").agg(*marks).groupBy("m1", "m2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = C.materialize(members.join(kept, "bucket", "left_semi"), "members").where("doc != pivot")
+    real = signed.where("node is not null and doc_id is not null")
+    reps = C.materialize(real.groupBy("node").agg(F.min_by(F.struct("doc_id", "print", "bands", "sig"), "doc_id").alias("r")).select("node", F.col("r.doc_id").alias("rep"), "r.print", "r.bands", "r.sig"), "reps")
+    banded = reps.select(F.explode("bands").alias("bucket"), F.col("node").alias("doc"))
+    shared = C.materialize(banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last"), "shared")
+    members = _once(C.materialize(banded.join(shared, "bucket"), "banded"))
 
-    involved = members.select("doc").union(members.select("pivot")).distinct().withColumnRenamed("doc", "doc_id")
+    involved = members.select("doc").union(members.select("pivot")).distinct().withColumnRenamed("doc", "node").join(reps.select("node", F.col("rep").alias("doc_id"), "print"), "node")
     # the same join at every size: ids of involved documents grow with the corpus
-    texts = C.materialize(docs.where("doc_id is not null").join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sig = sigs.select("doc_id", "sig")
+    texts = C.materialize(docs.where("doc_id is not null").join(involved.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("node", "text"), "texts")
+    sig = reps.select("node", "sig")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        one, two = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent, size), "a long, b long")
 
-    star = members.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    one, two = (sig.select(F.col("doc_id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    likely = star.join(two, "b").join(one, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(steps, least), "a long, b long")
-    edges = C.materialize(checked(likely), "links")
-    label = components(edges)
+    def star(members: DataFrame, label: DataFrame | None) -> DataFrame:
+        """Verified links of members with their bucket's pivot, those that ``label`` connects already left out."""
+        pairs = members.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+        if label is not None:
+            two, one = (label.select(F.col("doc").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ba")
+            pairs = pairs.join(two, "b", "left").join(one, "a", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+        one, two = (sig.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+        likely = pairs.join(two, "b").join(one, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(steps, least), "a long, b long")
+        return C.materialize(checked(likely), "links")
+
+    def opened(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members with their components, buckets with more than one of these)."""
+        named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
+        size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        return named, C.materialize(size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1"), "open")
 
-    def across(label: DataFrame, best: bool, likely: DataFrame | None = None) -> DataFrame:
+    def across(members: DataFrame, label: DataFrame, best: bool, likely: DataFrame | None = None) -> DataFrame:
         """Likely pairs between different components of ``label`` that share a bucket.
 
         ``likely``: the pairs of the round before.  Only members that had one can have a pair that reaches the threshold,
         so the full round, which carries whole sets, starts from these.
         """
-        named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
-        size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+        named, open_ = opened(members, label)
         row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others"))
         if likely is not None:
             found = likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct().withColumn("found", F.lit(True))
             row = row.join(found, "doc", "left").withColumn("small", F.col("small") & F.coalesce("found", F.lit(False))).drop("found")
             row = row.join(row.where("small").select("bucket").distinct(), "bucket", "left_semi")
-        payload = sig.select(F.col("doc_id").alias("doc"), F.col("sig").alias("payload")) if best else texts.mapInArrow(_set_bytes(size), "doc long, payload binary")
+        payload = sig.select(F.col("node").alias("doc"), F.col("sig").alias("payload")) if best else texts.mapInArrow(_set_bytes(size), "doc long, payload binary")
         row = row.join(payload, "doc")
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -342,26 +400,69 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, band
         blocks = blocks.repartition("block").sortWithinPartitions("block")
         return C.materialize(blocks.mapInArrow(_blocks(_likeliest(steps, least) if best else _overlapping(percent)), "a long, b long").distinct(), "pairs")
 
-    # Members of one group that missed its pivot join it by their likeliest pairs first; what is still apart when a round
-    # links nothing more is compared in full, so no pair is skipped.
-    best, pairs = True, None
-    while True:
-        pairs = across(label, best, None if best else pairs)
-        found = C.materialize(checked(pairs), "links") if pairs.limit(1).count() else None
-        if found is not None and found.limit(1).count():
+    edges = star(members, None)
+    label = components(edges)
+    named, open_ = opened(members, label)
+    if open_.limit(1).count():
+        loose = named.join(open_.select("bucket"), "bucket", "left_semi").select(F.col("doc").alias("node")).distinct()
+        members = _once(C.materialize(_by_prefix(texts.join(loose, "node"), percent, size), "dealt"))
+        found = star(members, label)
+        if found.limit(1).count():
             edges = edges.union(found)
             label = components(edges)
-        elif best and found is not None:
-            best = False
-            continue
-        else:
-            break
-        if not best:
-            break
-
-    rep = signed.select("doc_id", *same).join(first, same, "left")
-    out = rep.join(label.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
-    out = out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+        # Members of one group that missed its pivot join it by their likeliest pairs first; what is still apart when a
+        # round links nothing more is compared in full, so no pair is skipped.
+        best, pairs = True, None
+        while True:
+            pairs = across(members, label, best, None if best else pairs)
+            found = C.materialize(checked(pairs), "links") if pairs.limit(1).count() else None
+            if found is not None and found.limit(1).count():
+                edges = edges.union(found)
+                label = components(edges)
+            elif best and found is not None:
+                best = False
+                continue
+            else:
+                break
+            if not best:
+                break
+
+    by_node = reps.select("node", "rep").join(label.withColumnRenamed("doc", "node"), "node", "left")
+    low = by_node.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
+    names = C.materialize(by_node.join(low, "comp", "left").select("node", F.coalesce("comp", "node").alias("group"), F.coalesce("low", "rep").alias("low")), "names")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
+    return signed.select("doc_id", "node", "n_shingles").join(names, "node", "left").select("doc_id", "node", "n_shingles", "group", comp.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, anything else)."""
+    mark = C.made()
+    out = _judged(docs, percent, miss, bands, rows, size)
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     C.release(mark, [out])
     return out
+
+
+def deduplicate(docs: DataFrame, percent: int = 80, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group: one with the smallest doc_id of the group.
+
+    Of rows that repeat an id, those of the group's first node stay, and of equal texts one.  Rows without shingles and
+    rows with null doc_id are in no group and stay.
+    """
+    mark = C.made()
+    found = C.materialize(_judged(docs, percent, miss, bands, rows, size), "judged")
+    ids = found.where("doc_id is not null")
+    again = C.materialize(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = ids.where("doc_id != component_id").select("doc_id").distinct()
+    id_ = F.col("doc_id").cast("long")
+    left = docs.join(gone.union(again).distinct().withColumnRenamed("doc_id", "__id"), id_ == F.col("__id"), "left_anti")
+    if again.limit(1).count():  # only these rows need to be told apart by their texts
+        own = docs.select("*", *([F.col("node").alias("__theirs")] if "node" in docs.columns else [])).drop("node")
+        mine = own.join(again.withColumnRenamed("doc_id", "__id"), id_ == F.col("__id"), "left_semi")
+        mine = mine.mapInArrow(_with_nodes(size), StructType([*own.schema.fields, StructField("node", LongType())]))
+        columns = [F.col("__theirs").alias("node") if c == "node" else F.col(c) for c in docs.columns]
+        stay = ids.where("doc_id = component_id and node is not null").groupBy("group").agg(F.min(F.struct("doc_id", "node")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.node").alias("__node"))
+        one = mine.join(stay, (id_ == F.col("__id")) & (F.col("node") == F.col("__node")), "left_semi").dropDuplicates(["doc_id", "node"])
+        left = left.union(one.union(mine.where("node is null")).select(*columns))
+    C.release(mark, [left])
+    return left
