@@ -52,9 +52,10 @@ def line_features(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     upper, lower = share((data >= 65) & (data <= 90)), share((data >= 97) & (data <= 122))
     letters = upper + lower + share(data >= 128)
-    again = np.zeros(len(words.hash), bool)  # the word before, or the one before that, is the same
-    again[1:] |= words.hash[1:] == words.hash[:-1]
-    again[2:] |= words.hash[2:] == words.hash[:-2]
+    again = np.zeros(len(words.hash), bool)  # the word before in the text, or the one before that, is the same
+    of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    again[1:] |= (words.hash[1:] == words.hash[:-1]) & (of[1:] == of[:-1])
+    again[2:] |= (words.hash[2:] == words.hash[:-2]) & (of[2:] == of[:-2])
     size = words.end - words.start
     hashed = C.span_hash(data, begin, stop)
     _, place, count = np.unique(hashed ^ C.mix(text.astype(np.uint64)), return_inverse=True, return_counts=True)
