@@ -34,6 +34,8 @@ RULES = ("symbols_per_char", "upper_share", "pipes_per_word", "bang_per_word", "
 BINS = 64
 #: Kinds of labelled documents: bad, good ones of the test, good ones seen when the chain is ordered (one of PARTS).
 BAD, GOOD, SEEN, PARTS = 0, 1, 2, 10
+#: Most strata told apart, those with the most labelled documents; where a table has more, the others are one stratum.
+STRATA, REST = 256, "\0rest"
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -45,9 +47,9 @@ def line_table(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of every line with a word; lines end at a newline or the text's end."""
     data, off = texts
     new = data == 10
-    begin = np.unique(np.concatenate((off[:-1], np.flatnonzero(new) + 1)))
+    begin = C.unique(np.concatenate((off[:-1], np.flatnonzero(new) + 1)))
     begin = begin[begin < len(data)]
-    stop = np.append(begin[1:], len(data))
+    stop = np.append(begin[1:], len(data))[: len(begin)]
     stop = stop - new[stop - 1] if len(stop) else stop
     inside = np.concatenate(([0], np.cumsum(~C._IS_SPACE[data])))
     has = inside[stop] > inside[begin]
@@ -193,19 +195,28 @@ def certify(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
     """Certified cutoffs from the labelled rows; one count for each stratum, rule, bin and kind reaches the driver."""
     kind = F.when(F.col("quality") == 0, BAD).when(C.fold("doc_id", PARTS) == 0, SEEN).otherwise(GOOD)
     counted = measured.where(f"not ({_BASE})").join(_known(labels), "doc_id").select("stratum", kind.alias("kind"), F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin", "kind").count()
+    counted = C.materialize(counted, "bins")
+    top = [x["stratum"] for x in counted.where("rule = 0").groupBy("stratum").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA).collect()]
+    if len(top) == STRATA:  # a dirty column: what reaches the driver stays bounded
+        counted = counted.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(REST)).groupBy("stratum", "rule", "bin", "kind").agg(F.sum("count").alias("count"))
     counts = {(x["stratum"], x["rule"], x["bin"], x["kind"]): x["count"] for x in counted.toLocalIterator()}
-    return select_cutoffs(counts, sorted({k[0] for k in counts}), risk, delta)
+    found = select_cutoffs(counts, sorted({k[0] for k in counts}), risk, delta)
+    return found | {(s, r): found.get((s, r), BINS + 1) for s in top for r in range(len(RULES))} if len(top) == STRATA else found
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang, anything else)."""
+    mark = C.made()
     measured = C.materialize(_measured(docs), "measured")
     cutoffs = certify(measured, labels, risk, delta)
     hit = F.lit(False)
     if cutoffs:  # literals: one array for each certified stratum
         by = F.create_map(*(F.lit(x) for s in sorted({k[0] for k in cutoffs}) for x in (s, [cutoffs.get((s, r), BINS + 1) for r in range(len(RULES))])))
-        hit = F.coalesce(F.exists(F.arrays_zip("bins", F.try_element_at(by, F.col("stratum")).alias("cutoffs")), lambda x: x["bins"] >= x["cutoffs"]), F.lit(False))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(_BASE).alias("base_failed"), (~F.expr(_BASE) & ~hit).alias("kept"))
+        mine = F.coalesce(F.try_element_at(by, F.col("stratum")), F.try_element_at(by, F.lit(REST)))
+        hit = F.coalesce(F.exists(F.arrays_zip("bins", mine.alias("cutoffs")), lambda x: x["bins"] >= x["cutoffs"]), F.lit(False))
+    out = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(_BASE).alias("base_failed"), (~F.expr(_BASE) & ~hit).alias("kept"))
+    C.release(mark, [out])
+    return out
 
 
 def _keep(cutoffs: dict[tuple[str, int], int], text: int, lang: int):
@@ -217,7 +228,7 @@ def _keep(cutoffs: dict[tuple[str, int], int], text: int, lang: int):
                 m = pa.Table.from_batches(list(_measure(iter([given]))))
                 n, repeat = m.column("n_words").to_numpy(), m.column("n_repeat_words").to_numpy()
                 bins = np.asarray(m.column("bins").combine_chunks().flatten()).reshape(-1, len(RULES))
-                limit = np.array([[cutoffs.get((s, r), BINS + 1) for r in range(len(RULES))] for s in strata.to_pylist()])
+                limit = np.array([[cutoffs.get((s, r), cutoffs.get((REST, r), BINS + 1)) for r in range(len(RULES))] for s in strata.to_pylist()])
                 yield part.filter(pa.array((n >= 50) & (100 * repeat <= 50 * n) & (bins < limit).all(1)))
 
     return run
@@ -225,5 +236,7 @@ def _keep(cutoffs: dict[tuple[str, int], int], text: int, lang: int):
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that are kept, judged row by row; rows are measured again instead of shuffled."""
+    mark = C.made()
     cutoffs = certify(_measured(docs), labels, risk, delta)
+    C.release(mark, [])
     return docs.mapInArrow(_keep(cutoffs, docs.columns.index("text"), docs.columns.index("lang")), docs.schema)
