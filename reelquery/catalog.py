@@ -615,11 +615,15 @@ def judge_votes(spark, d):
     return out.withColumn("i", F.col("i") + 1)
 
 
-@query("SELECT item_id, 2 AS n_targets, 'lamp' AS cue, 'cup' AS a, 'table' AS b, 'spatial' AS type FROM benchmark")
+_GROUNDING = "'Key Objects: ' || substring(text, 1, 9) || ', table' || chr(10) || 'Cue Objects: ' || substring(text, 3, 5) || ' , lamp,' || chr(10) || 'Rel: (' || substring(text, 1, 3) || '; spatial; table), (broken; x), (a ; time; ' || item_id || ')'"
+
+
+@query(rf"""WITH r AS (SELECT item_id, {_GROUNDING} AS r FROM benchmark), g AS (SELECT item_id, list_filter([trim(x) FOR x IN string_split(regexp_extract(r, '(?m)^\s*Key Objects:\s*(.*)$', 1), ',')], lambda x: x <> '') AS targets,
+list_filter([trim(x) FOR x IN string_split(regexp_extract(r, '(?m)^\s*Cue Objects:\s*(.*)$', 1), ',')], lambda x: x <> '') AS cues, regexp_extract_all(regexp_extract(r, '(?m)^\s*Rel:\s*(.*)$', 1), '\(([^;()]*;[^;()]*;[^;()]*)\)', 1) AS rel FROM r)
+SELECT item_id, array_to_string(targets, '|') AS targets, array_to_string(cues, '|') AS cues, trim(string_split(t, ';')[1]) AS a, trim(string_split(t, ';')[3]) AS b, trim(string_split(t, ';')[2]) AS type FROM (SELECT *, unnest(rel) AS t FROM g)""")
 def grounding_parse(spark, d):
-    reply = F.lit("Key Objects: cup, table\nCue Objects: lamp\nRel: (cup; spatial; table), (broken; x)")
-    g = P.table(spark, d, "benchmark").select("item_id", X.parse_grounding(reply).alias("g"))
-    return g.select("item_id", F.size("g.targets").alias("n_targets"), F.col("g.cues")[0].alias("cue"), F.explode("g.relations").alias("r")).select("item_id", "n_targets", "cue", "r.*")
+    g = P.table(spark, d, "benchmark").select("item_id", X.parse_grounding(F.expr(_GROUNDING)).alias("g"))
+    return g.select("item_id", F.array_join("g.targets", "|").alias("targets"), F.array_join("g.cues", "|").alias("cues"), F.explode("g.relations").alias("r")).select("item_id", "targets", "cues", "r.*")
 
 
 # ---------------------------------------------------------------- times

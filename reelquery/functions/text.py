@@ -95,7 +95,7 @@ def judge_votes(reply: Column, n: Column) -> Column:
 
 def parse_grounding(reply: Column) -> Column:
     """struct(targets, cues, relations) from ``Key Objects:``, ``Cue Objects:`` and ``Rel:`` lines; (a; type; b) -> (a, b, type)."""
-    names = lambda label: F.filter(F.transform(F.split(F.regexp_extract(reply, rf"(?m)^\s*{label}:\s*(.*)$", 1), ","), F.trim), lambda x: x != "")
+    names = lambda label: F.filter(F.transform(F.split(F.regexp_extract(reply, rf"(?m)^\s*{label}:\s*(.*)$", 1), ","), lambda t: F.trim(t)), lambda x: x != "")
     triples = F.regexp_extract_all(F.regexp_extract(reply, r"(?m)^\s*Rel:\s*(.*)$", 1), F.lit(r"\(([^;()]*;[^;()]*;[^;()]*)\)"), F.lit(1))
     part = lambda t, i: F.trim(F.get(F.split(t, ";"), F.lit(i)))
     return F.struct(names("Key Objects").alias("targets"), names("Cue Objects").alias("cues"), F.transform(triples, lambda t: F.struct(part(t, 0).alias("a"), part(t, 2).alias("b"), part(t, 1).alias("type"))).alias("relations"))

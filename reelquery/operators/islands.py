@@ -30,7 +30,7 @@ def inject(scores: DataFrame, confirmed: DataFrame, keys: list[str]) -> DataFram
 
 def normal_text(detections: Column) -> Column:
     """Trimmed non-empty detections joined by `` | ``."""
-    return F.array_join(F.filter(F.transform(detections, F.trim), lambda t: t != ""), " | ")
+    return F.array_join(F.filter(F.transform(detections, lambda t: F.trim(t)), lambda t: t != ""), " | ")
 
 
 def text_segments(rows: DataFrame, fps: float, seconds: float = 5.0) -> DataFrame:
