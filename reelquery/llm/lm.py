@@ -39,7 +39,9 @@ from . import common as C
 BACKOFF = 0.4
 ORDER = 3
 #: Text of one block, and n-grams of one bucket, both bounds of a task's memory.
-BLOCK_BYTES, BUCKET_TOKENS = 32 << 20, 4_000_000
+BLOCK_BYTES, BUCKET_TOKENS = 16 << 20, 4_000_000
+#: Ranges of hashes that a block's n-grams are sorted in, one after the other (a power of two).
+PARTS = 4
 #: Words that are scored at once.
 SLICE_WORDS = 1 << 18
 #: The hash of the n-gram without words, whose count is that of all words.
@@ -75,16 +77,15 @@ def unpack_numbers(raw: bytes, count: int) -> np.ndarray:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending hashes as differences; only the highest byte plane of these has a pattern to compress."""
-    width, planes = _planes(np.diff(values, prepend=np.uint64(0)))
-    low = planes[:-1].tobytes()
-    return bytes([width]) + low + pa.compress(planes[-1].tobytes(), "zstd", asbytes=True)
+    """Ascending hashes as the first and the differences; only the highest byte plane of these has a pattern to compress."""
+    width, planes = _planes(np.diff(values, prepend=values[:1]))
+    return bytes([width]) + values[:1].tobytes() + planes[:-1].tobytes() + pa.compress(planes[-1].tobytes(), "zstd", asbytes=True)
 
 
 def unpack_sorted(raw: bytes, count: int) -> np.ndarray:
-    width, low = raw[0], 1 + (raw[0] - 1) * count
-    both = raw[1:low] + pa.decompress(raw[low:], count, "zstd", asbytes=True)
-    return np.cumsum(_unplanes(np.frombuffer(both, np.uint8), width), dtype=np.uint64)
+    width, low = raw[0], 9 + (raw[0] - 1) * count
+    both = raw[9:low] + pa.decompress(raw[low:], count, "zstd", asbytes=True)
+    return np.cumsum(_unplanes(np.frombuffer(both, np.uint8), width), dtype=np.uint64) + np.frombuffer(raw[1:9], np.uint64)
 
 
 def ordered(hashes: np.ndarray) -> np.ndarray:
@@ -178,17 +179,19 @@ def _slices(size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         at = to
 
 
-def _sorted_grams(hashed: np.ndarray, size: np.ndarray, order: int) -> np.ndarray:
-    """All n-grams of a block in order of their hashes, and the one without words once."""
-    each = np.empty(1 + sum(int(np.maximum(size - k + 1, 0).sum()) for k in range(1, order + 1)), np.uint64)
-    each[0], n = NOTHING, 1
-    for at, to, a, z in _slices(size):
-        for k in range(1, order + 1):
-            grams = _grams(hashed[a:z], size[at:to], k)[1]
-            each[n : n + len(grams)] = grams
-            n += len(grams)
-    each.sort()
-    return each
+def _sorted_grams(hashed: np.ndarray, size: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """All n-grams of a block in order of their hashes, and the one without words once, in ``PARTS`` equal ranges of hashes:
+    hashing again is cheaper than holding them all."""
+    for part in range(PARTS):
+        mine = [np.full(1, NOTHING, np.uint64)[: NOTHING * PARTS >> 64 == part]]
+        for at, to, a, z in _slices(size):
+            for k in range(1, order + 1):
+                grams = _grams(hashed[a:z], size[at:to], k)[1]
+                mine.append(grams[(grams >> np.uint64(64 - PARTS.bit_length() + 1)) == part])
+        each = np.concatenate(mine)
+        del mine
+        each.sort()
+        yield each
 
 
 def _starts_new(each: np.ndarray) -> np.ndarray:
@@ -197,13 +200,15 @@ def _starts_new(each: np.ndarray) -> np.ndarray:
     return new
 
 
-def _distinct(hashed: np.ndarray, size: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a block in order of their hashes, with their counts; one is that of all words."""
-    each = _sorted_grams(hashed, size, order)
-    at = np.flatnonzero(_starts_new(each))
-    found, count = each[at], np.diff(at, append=len(each))
-    count[np.searchsorted(found, np.uint64(NOTHING))] += len(hashed) - 1
-    return found, count
+def _distinct(hashed: np.ndarray, size: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams of a block in order of their hashes, with their counts, by ranges; one is that of all words."""
+    for each in _sorted_grams(hashed, size, order):
+        at = np.flatnonzero(_starts_new(each))
+        found, count = each[at], np.diff(at, append=len(each))
+        all_words = int(np.searchsorted(found, np.uint64(NOTHING)))
+        if all_words < len(found) and found[all_words] == NOTHING:
+            count[all_words] += len(hashed) - 1
+        yield found, count
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -212,27 +217,31 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _send(order: int, buckets: int):
+    def packed(row: dict, some: list[tuple[int, int, int]], found: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(some), 16):
+            part = some[k : k + 16]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b for b, _, _ in part], pa.int32()),
+                    pa.array([row["block"]] * len(part)),
+                    pa.array([row["digest"]] * len(part)),
+                    pa.array([z - a for _, a, z in part]),
+                    pa.array([pack_sorted(found[a:z]) for _, a, z in part]),
+                    pa.array([pack_numbers(count[a:z]) for _, a, z in part]),
+                ],
+                names=["bucket", "block", "digest", "n", "grams", "counts"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(buckets)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                found, count = _distinct(*_words(row), order)
-                cut = np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
-                some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                for k in range(0, len(some), 16):
-                    part = [(b, int(cut[b]), int(cut[b + 1])) for b in some[k : k + 16]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([b for b, _, _ in part], pa.int32()),
-                            pa.array([row["block"]] * len(part)),
-                            pa.array([row["digest"]] * len(part)),
-                            pa.array([z - a for _, a, z in part]),
-                            pa.array([pack_sorted(found[a:z]) for _, a, z in part]),
-                            pa.array([pack_numbers(count[a:z]) for _, a, z in part]),
-                        ],
-                        names=["bucket", "block", "digest", "n", "grams", "counts"],
-                    )
+                for part, (found, count) in enumerate(_distinct(*_words(row), order)):
+                    first = part * buckets // PARTS
+                    own = range(first, first + buckets // PARTS)
+                    cut = [0, *np.searchsorted(found, edges[own[0] : own[-1]]).tolist(), len(found)]
+                    yield from packed(row, [(b, x, z) for b, x, z in zip(own, cut[:-1], cut[1:], strict=True) if x < z], found, count)
 
     return run
 
@@ -309,11 +318,15 @@ def _finish(order: int, backoff: float):
                 row = batch.slice(i, 1).to_pylist()[0]
                 back = sorted(row["back"], key=lambda x: x["bucket"])
                 hashed, size = _words(row)
-                found = (each := _sorted_grams(hashed, size, order))[_starts_new(each)]
-                del each
-                if any(x["digest"] != row["digest"] for x in back) or sum(x["n"] for x in back) != len(found):
+                length = sum(x["n"] for x in back)
+                found, total, n = np.empty(length, np.uint64), np.empty(length, np.uint64), 0
+                for each in _sorted_grams(hashed, size, order):
+                    mine = each[_starts_new(each)]
+                    found[n : n + len(mine)] = mine[: max(0, length - n)]
+                    n += len(mine)
+                if n != length or any(x["digest"] != row["digest"] for x in back):
                     raise RuntimeError("the documents changed between two reads; write them to a table first")
-                total, n = np.empty(len(found), np.uint64), 0
+                n = 0
                 for x in back:
                     total[n : n + x["n"]] = unpack_numbers(x["counts"], x["n"])
                     n += x["n"]
@@ -335,6 +348,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about six bytes a word, and each order adds a number of n-grams below that of the words
     buckets = max(spark.sparkContext.defaultParallelism, size * order // (6 * bucket_tokens) + 1)
+    buckets = -(-buckets // PARTS) * PARTS
     blocks = docs.mapInArrow(_blocks(block_bytes), _BLOCK).repartition("block")
     sent = blocks.mapInArrow(_send(order, buckets), "bucket int, block long, digest binary, n long, grams binary, counts binary")
     counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "block long not null, digest binary, bucket int, n long, counts binary")

@@ -45,7 +45,7 @@ def key(x):
     return x[0] is not None, x[0], x[1:]
 
 
-@pytest.mark.parametrize(("order", "block", "bucket"), [(3, 32 << 20, 4_000_000), (3, 3000, 500), (1, 3000, 4_000_000), (2, 20000, 500), (5, 20000, 4_000_000)])
+@pytest.mark.parametrize(("order", "block", "bucket"), [(3, 16 << 20, 4_000_000), (3, 3000, 500), (1, 3000, 4_000_000), (2, 20000, 500), (5, 20000, 4_000_000)])
 def test_scores_match_brute_force(spark, order, block, bucket):
     rows = [*corpus(), (0, "abc abc again"), (None, "abc ab"), (None, "abc ab"), (7, None)]
     expected = sorted(brute(plain(rows), order, 0.4), key=key)
