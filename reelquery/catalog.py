@@ -398,10 +398,10 @@ def softmax_share(spark, d):
     return _one(spark, d).select("video_id", "frame_idx", F.round(sampling.softmax(F.col("score"), ["video_id"], 0.5), 6).alias("share"))
 
 
-@query(with_views(*_BASE, "one", body="SELECT video_id, frame_idx // 10 AS seg, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, max(score) AS max, round(var_pop(score), 6) AS var FROM one GROUP BY ALL"))
+@query(with_views(*_BASE, "one", body="SELECT video_id, frame_idx // 10 AS seg, round(avg(score), 9) AS mean, round(stddev_pop(score), 9) AS std, max(score) AS max, round(var_pop(score), 9) AS var FROM one GROUP BY ALL"))
 def segment_stats(spark, d):
     out = sampling.segment_stats(_one(spark, d).withColumn("seg", F.floor(F.col("frame_idx") / 10).cast("int")), ["video_id", "seg"])
-    return out.select("video_id", "seg", *(F.round(c, 6).alias(c) for c in ("mean", "std")), "max", F.round("var", 6).alias("var"))
+    return out.select("video_id", "seg", *(F.round(c, 9).alias(c) for c in ("mean", "std")), "max", F.round("var", 9).alias("var"))
 
 
 # ---------------------------------------------------------------- metrics
