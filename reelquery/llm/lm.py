@@ -355,4 +355,4 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
     back = counted.groupBy("block").agg(F.collect_list(F.struct("digest", "bucket", "n", "counts")).alias("back"))
     out = blocks.join(back.hint("merge"), "block").mapInArrow(_finish(order, backoff), "doc_id long, n_words long, n_known long, n_full long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
-    return out.select("doc_id", "n_words", "n_known", "n_full", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log"))
+    return out.select("doc_id", "n_words", "n_known", "n_full", F.round("log_score", 3).alias("log_score"), F.round(mean, 6).alias("mean_log"))

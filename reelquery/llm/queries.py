@@ -55,7 +55,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_known", "n_full", F.round("log_score", 2).alias("log_score"))
+    return lm.score(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_known", "n_full", "log_score")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 ), k AS (SELECT *, least(i - 1, 2) AS m, CASE WHEN i > 2 AND e3 > 0 THEN 3 WHEN i > 1 AND e2 > 0 THEN 2 WHEN e1 > 0 THEN 1 ELSE 0 END AS k FROM f
 ), s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (k > 1) AS n_known, count(*) FILTER (k = 3) AS n_full,
   sum((m + 1 - k) * ln(0.4::DOUBLE) + CASE k WHEN 3 THEN ln(e3::DOUBLE) - ln(x2::DOUBLE) WHEN 2 THEN ln(e2::DOUBLE) - ln(x1::DOUBLE) WHEN 1 THEN ln(e1::DOUBLE) - ln(e0::DOUBLE) ELSE -ln(greatest(e0, 1)::DOUBLE) END) AS s FROM k GROUP BY doc_id)
-SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(n_full, 0)::BIGINT AS n_full, round(round(coalesce(s, 0), 4), 2) AS log_score FROM documents LEFT JOIN s USING (doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(n_full, 0)::BIGINT AS n_full, round(coalesce(s, 0), 3) AS log_score FROM documents LEFT JOIN s USING (doc_id)
 """
 
 
