@@ -14,6 +14,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -65,18 +66,41 @@ def _remove_all() -> None:
             return
 
 
-def made() -> int:
-    """How many tables there are: a mark for ``release``."""
-    return len(_made)
+class Scope:
+    """The tables that one operator makes; scopes nest, and other threads have their own."""
 
+    def __init__(self, parent: Scope | None):
+        self.parent, self.tables = parent, []
 
-def release(since: int, still_read: list[DataFrame]) -> None:
-    """Delete the tables made after a mark, except those that the given results still read."""
-    plans = "".join(df._jdf.queryExecution().analyzed().toString() + str(list(df.inputFiles())) for df in still_read)
-    for spark, path in _made[since:]:
-        if path.rpartition("/")[2] not in plans:
-            _delete(spark, path)
-    _made[since:] = [x for x in _made[since:] if x[1].rpartition("/")[2] in plans]
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def made() -> Scope:
+    """Open a scope for ``release``: it holds the tables made from now on."""
+    scope = Scope(_scope.get())
+    _scope.set(scope)
+    return scope
+
+
+def _read(df: DataFrame) -> str:
+    """The folders that a result reads, from its plan's leaves; no file is listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(k) for k in range(leaves.size())]
+    return " ".join(x.relation().location().rootPaths().mkString(" ") for x in found if x.getClass().getSimpleName() == "LogicalRelation")
+
+
+def release(scope: Scope, still_read: list[DataFrame]) -> None:
+    """Close a scope and delete its tables, except those that the given results still read; these go to the scope around."""
+    _scope.set(scope.parent)
+    plans = " ".join(map(_read, still_read))
+    for table in scope.tables:
+        if table[1].rpartition("/")[2] in plans:
+            if scope.parent is not None:
+                scope.parent.tables.append(table)
+        else:
+            _delete(*table)
+            _made.remove(table)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -87,6 +111,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/reelquery/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
+    if (scope := _scope.get()) is not None:
+        scope.tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

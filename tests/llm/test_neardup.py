@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import shingle_set
 
-from reelquery.llm import common, neardup
+from reelquery.llm import neardup
 
 
 def groups_of(sets, percent):
@@ -74,4 +74,3 @@ def test_repeated_ids_with_other_texts(spark):
     kept = [(r.doc_id, r.text) for r in left.collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (4, ""), (4, ""), (None, a), (5, None), (6, rows[-1][1])], key=str)
     assert neardup.deduplicate(df.limit(0)).count() == 0
-    assert common.made() < 100

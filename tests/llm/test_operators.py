@@ -441,7 +441,13 @@ def test_exact_binomial_bound():
 
 def test_intermediate_tables_go(spark):
     rows = frame(spark, [(i, f"a b c d e f {i // 2}") for i in range(20)])
-    before = common.made()
+    before = len(common._made)
+    other = common.made()  # of someone else at the same time
+    mine = common.materialize(rows, "other")
     got = neardup.near_duplicates(rows)
-    assert common.made() - before == 2  # signatures and names
+    assert len(common._made) - before == 3  # signatures, names and the other's
+    common.release(other, [got])
+    assert len(common._made) - before == 2
+    with pytest.raises(Exception, match="(?i)exist|not find|not found"):
+        mine.collect()
     assert got.count() == 20 and got.where("kept").count() == 10
