@@ -75,3 +75,20 @@ def test_same_length_documents_fill_bins_of_their_class():
     for i in range(8):
         packer.add(i, np.full(512, i, "<u4").tobytes())
     assert len(packer.done) == 8 and packer.next == 2 and not packer.waiting
+
+
+def test_single_words_agree_with_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encode = packing.Encoder(f.read())
+    assert encode.merge
+    rnd = random.Random(8)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if chr(c).isalpha()]
+    for _ in range(5000):
+        word = rnd.choice(["", " "]) + "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 24)))
+        assert np.frombuffer(encode(word), "<u4").tolist() == plain.encode(word, add_special_tokens=False).ids, word
+    german = "Über größere Straßen führt Ärger; ça va déjà, señor ¿qué? naïve Æther ÿ"
+    assert np.frombuffer(encode(german), "<u4").tolist() == plain.encode(german, add_special_tokens=False).ids
