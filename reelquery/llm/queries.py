@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, language, lm, neardup, packing, pii, quality, rules, substring, urls
+from . import common, decontam, divergence, language, lm, neardup, packing, pii, quality, rules, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least=3, most=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op6_lm_scoring, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op6_lm_scoring, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup, op12_source_divergence)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -180,5 +184,23 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BI
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), o AS (SELECT r, lang, source, unnest(ts) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), l AS (SELECT lang, count(*) AS v, sum(n) AS n_lang FROM kept GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL
+), gn AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN (SELECT c.* FROM c JOIN kept USING (lang, term)) c USING (lang, source) GROUP BY ALL
+), p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (gn.n + l.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (l.n_lang + l.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN l USING (lang) JOIN gn USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM part) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op6_lm_scoring": _OP6, "op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
+    return {"op2_url_filter": _op2_sql(), "op6_lm_scoring": _OP6, "op3_benchmark_decontamination": _OP3, "op7_substring_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_source_divergence": _OP12}
