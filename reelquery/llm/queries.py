@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, divergence, language, lm, neardup, packing, pii, quality, rules, substring, urls, whitening
+from . import common, decontam, divergence, hnsw, language, lm, neardup, packing, pii, quality, rules, substring, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +84,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"), least=3, most=200)
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op6_lm_scoring, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup, op11_embedding_whitening, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filter, op3_benchmark_decontamination, op4_harmonic_packing, op5_quality_classifier, op6_lm_scoring, op7_substring_dedup, op8_language_id, op9_quality_rules, op10_minhash_near_dedup, op11_embedding_whitening, op12_source_divergence, op13_nearest_neighbours)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
