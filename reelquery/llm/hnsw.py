@@ -263,16 +263,19 @@ def search_shards(graphs: DataFrame, queries: DataFrame, width: int, shards: int
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([1], pa.int32()), *(pa.array([x], pa.binary()) for x in raw), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.binary()))], ["shard", "kind", "a", "b", "c", "d", "sizes", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's graph comes first, its blocks of queries after it."""
-        graph = x = ids = offsets = None
+        """A shard's graph comes first, its blocks of queries after it; a shard that got no vectors has no graph."""
+        graph = x = ids = offsets = held = None
         for b in batches:
-            for kind, *raw, sizes, links in zip(*(b.column(c).to_pylist() for c in range(1, 8)), strict=True):
+            for shard, kind, *raw, sizes, links in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
                 if kind == 0:
+                    held = shard
                     x = np.frombuffer(raw[0]).reshape(-1, width)
                     ids, counts = np.frombuffer(raw[1], np.int64), np.frombuffer(raw[2], np.int32)
                     offsets = np.concatenate(([0], np.cumsum(counts)))
                     graph = Graph(on_sphere(x), list(sizes), [np.frombuffer(a, np.int32).reshape(size, -1) for a, size in zip(links, sizes, strict=True)])
                     continue
+                if shard != held:
+                    continue
                 query, own, asked = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.int64), np.frombuffer(raw[2]).reshape(-1, width)
                 yield _answers(graph, x, ids, offsets, query, own, asked, k)
 

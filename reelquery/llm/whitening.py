@@ -44,7 +44,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     size = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(size) and (size == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(size), width)
     out = np.zeros((len(size), width), flat.dtype)
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
