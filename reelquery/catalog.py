@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import proxies as P
+from . import scratch
 from .functions import text as X
 from .functions import times as T
-from .operators import islands, metrics, nms, rank, sampling, search, tracks, vectors, wavelet
+from .operators import islands, metrics, nms, rank, sampling, search, temporal, tracks, vectors, wavelet
 from .plans import combine as plan_combine
 from .plans import planner
 from .proxies import with_views
@@ -75,6 +76,26 @@ def cosine_score(spark, d):
     return _scores(spark, d)
 
 
+@query(with_views(*_BASE, body="SELECT qid, video_id, frame_idx, score FROM scores"))
+def blocked_scores(spark, d):
+    """The same scores as one matrix product for each block of a video's frames."""
+    return vectors.score_blocks(P.frames(spark, d), P.queries(spark, d), rows=64).select("qid", "video_id", "frame_idx", "score")
+
+
+@query(with_views(*_BASE, "pct", body="SELECT qid, video_id, frame_idx, score, pct FROM pct"))
+def bucketed_ranks(spark, d):
+    """Scores and ranks of one bucketed cache and one bucketed table of queries: a join and a window without an exchange."""
+    frames, asked = bucketed(spark, P.frames(spark, d), "frames", "frame_idx"), bucketed(spark, P.queries(spark, d), "queries", "qid")
+    scored = frames.hint("merge").join(asked, "video_id").select("qid", "video_id", "frame_idx", F.round(vectors.cosine(F.col("emb"), F.col("q")), 6).alias("score"))
+    return rank.percentile(scored, ["video_id", "qid"])
+
+
+def bucketed(spark: SparkSession, rows: DataFrame, tag: str, order: str) -> DataFrame:
+    """A bucketed table in the shared folder, of its own for each call."""
+    path = scratch.new_path(spark, tag)
+    return sinks.write_bucketed(rows, path.rpartition("/")[2].replace("-", "_"), path, "video_id", order, buckets=8)
+
+
 @query(with_views(*_BASE, "pct", body="SELECT qid, video_id, frame_idx, score, pct FROM pct"))
 def percentile_rank(spark, d):
     return _pct(spark, d)
@@ -452,36 +473,67 @@ near AS (SELECT uid, [list_min([abs(x - y) FOR y IN pred]) FOR x IN gt] AS g, [l
 
 
 def _both(spark, d):
+    """Truths and predictions (uid, t): purchases and clicks, in whole hours."""
     e = P.table(spark, d, "events").select(F.col("user_id").cast("string").alias("uid"), F.floor(F.unix_timestamp("ts") / 3600).cast("double").alias("t"), "event_type")
-    pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.col("t"))))
-    return e.groupBy("uid").agg(pick("purchase").alias("gt"), pick("click").alias("pred"))
+    return e.where("event_type = 'purchase'"), e.where("event_type = 'click'")
 
 
 @query(f"WITH {_PAIRS}, s AS (SELECT uid, len(list_filter(p, lambda x: x <= 5)) / len(p)::DOUBLE AS a, len(list_filter(g, lambda x: x <= 5)) / len(g)::DOUBLE AS b FROM near) SELECT uid, round(a, 6) AS precision, round(b, 6) AS recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS f1 FROM s")
 def prf(spark, d):
-    return metrics.prf(_both(spark, d), 5.0).select("uid", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    return temporal.prf(*_both(spark, d), 5.0).select("uid", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(f"WITH {_PAIRS}, s AS (SELECT len(list_filter(p, lambda x: x <= 5)) / len(p)::DOUBLE AS a, len(list_filter(g, lambda x: x <= 5)) / len(g)::DOUBLE AS b FROM near) SELECT round(avg(a), 6) AS precision, round(avg(b), 6) AS recall, round(avg(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END), 6) AS f1, round(2 * avg(a) * avg(b) / (avg(a) + avg(b)), 6) AS f1_of_means, count(*) AS n FROM s")
 def prf_macro(spark, d):
-    return metrics.macro(metrics.prf(_both(spark, d), 5.0))
+    return metrics.macro(temporal.prf(*_both(spark, d), 5.0))
 
 
 @query(f"WITH {_PAIRS} SELECT uid, len(list_filter(g, lambda x: x <= 5))::INT AS covered, round(len(list_filter(g, lambda x: x <= 5)) / len(p)::DOUBLE, 6) AS precision, round(len(list_filter(g, lambda x: x <= 5)) / len(g)::DOUBLE, 6) AS recall FROM near")
 def prf_covered(spark, d):
-    out = metrics.prf_covered(_both(spark, d).where("size(gt) > 0 and size(pred) > 0"), 5.0)
+    out = temporal.prf_covered(*_both(spark, d), 5.0)
     return out.select("uid", "covered", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"WITH {_PAIRS} SELECT uid, round(list_avg(g), 6) AS to_pred, round(list_avg(p), 6) AS to_truth, round((list_avg(g) + list_avg(p)) / 2, 6) AS annd FROM near")
 def annd(spark, d):
-    return metrics.annd(_both(spark, d)).select("uid", *(F.round(c, 6).alias(c) for c in ("to_pred", "to_truth", "annd")))
+    return temporal.annd(*_both(spark, d)).select("uid", *(F.round(c, 6).alias(c) for c in ("to_pred", "to_truth", "annd")))
 
 
 @query(f"WITH {_PAIRS} SELECT uid::INT % 2 = 0 AS correct, round(avg(dist / 720.0), 6) AS error FROM (SELECT uid, unnest(g) AS dist FROM near) GROUP BY 1")
 def relative_errors(spark, d):
-    rows = _both(spark, d).withColumns({"correct": F.col("uid").cast("int") % 2 == 0, "duration": F.lit(720.0)})
-    return metrics.relative_errors(rows).withColumn("error", F.round("error", 6))
+    truth, pred = _both(spark, d)
+    return temporal.relative_errors(truth.withColumn("correct", F.col("uid").cast("int") % 2 == 0), pred, 720.0).withColumn("error", F.round("error", 6))
+
+
+_HOURS = "h AS (SELECT event_id, user_id::VARCHAR AS uid, epoch(ts) / 3600.0::DOUBLE AS t, event_type, value FROM events)"
+
+
+def _hours(spark, d, kind):
+    e = P.table(spark, d, "events").where(F.col("event_type") == kind)
+    return e.select("event_id", F.col("user_id").cast("string").alias("uid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("t"), "value")
+
+
+@query(f"WITH {_HOURS}, w AS (SELECT event_id, uid, t - 6 AS a, t + 6 + value % 50 AS b FROM h WHERE event_type = 'purchase') SELECT w.event_id, w.uid, count(c.t) AS n_inside FROM w LEFT JOIN h c ON c.uid = w.uid AND c.event_type = 'click' AND c.t BETWEEN w.a - 1 AND w.b + 1 GROUP BY w.event_id, w.uid")
+def interval_hits(spark, d):
+    truth = _hours(spark, d, "purchase").select("event_id", "uid", (F.col("t") - 6).alias("start_s"), (F.col("t") + 6 + F.col("value") % 50).alias("end_s"))
+    return temporal.interval_hits(_hours(spark, d, "click"), truth, width=24.0, margin=1.0).select("event_id", "uid", "n_inside")
+
+
+@query(f"WITH {_HOURS}, a AS (SELECT event_id, uid, t AS s, t + value % 40 AS e FROM h WHERE event_type = 'purchase'), b AS (SELECT event_id, uid, t AS s, t + value % 90 AS e FROM h WHERE event_type = 'view') SELECT a.event_id, b.event_id AS other_id FROM a JOIN b ON a.uid = b.uid AND a.s < b.e AND b.s < a.e")
+def interval_overlaps(spark, d):
+    one = _hours(spark, d, "purchase").select("event_id", "uid", F.col("t").alias("start"), (F.col("t") + F.col("value") % 40).alias("end"))
+    two = _hours(spark, d, "view").select(F.col("event_id").alias("other_id"), "uid", F.col("t").alias("other_start"), (F.col("t") + F.col("value") % 90).alias("other_end"))
+    return temporal.overlapping(one, two, ["uid"], 36.0).select("event_id", "other_id")
+
+
+@query(f"""WITH {_HOURS}, f AS (SELECT event_id, uid, t FROM h WHERE event_type = 'click'), s AS (SELECT event_id, uid, t AS a, t + value % 30 / 10 AS b FROM h WHERE event_type = 'purchase'),
+m AS (SELECT *, (a + b) / 2 AS m, max((a + b) / 2) OVER (PARTITION BY uid ORDER BY event_id) AS pt FROM s), w AS (SELECT *, CASE WHEN b - a < 1 THEN m - 0.5::DOUBLE ELSE a END AS l, CASE WHEN b - a < 1 THEN m + 0.5::DOUBLE ELSE b END AS r FROM m),
+l AS (SELECT uid, t AS pt, 0 AS kind, event_id AS o, event_id::VARCHAR AS value FROM f UNION ALL SELECT uid, pt, 1, event_id, 'said ' || event_id FROM w WHERE EXISTS (SELECT 1 FROM f WHERE f.uid = w.uid AND f.t > w.l AND f.t < w.r))
+SELECT uid, (row_number() OVER (PARTITION BY uid ORDER BY pt, kind, o) - 1)::INT AS place, kind, value FROM l""")
+def subtitle_frames(spark, d):
+    frames = _hours(spark, d, "click").select("uid", F.col("event_id").alias("frame_idx"), "t")
+    said = _hours(spark, d, "purchase").select("uid", F.col("event_id").alias("ordinal"), F.col("t").alias("start"), (F.col("t") + F.col("value") % 30 / 10).alias("end"), F.concat(F.lit("said "), F.col("event_id")).alias("text"))
+    return temporal.interleave(frames, said, "uid", width=2.0)
 
 
 def _answers(spark, d):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StringType
+
+from .. import scratch
 
 
 def percentile(scores: DataFrame, keys: list[str], score: str = "score", frame: str = "frame_idx") -> DataFrame:
@@ -66,18 +67,16 @@ def top_quarter(frames: Column, confidences: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(frames.alias("f"), confidences.alias("c")), lambda z: z["c"] >= cut), lambda z: z["f"])
 
 
-def numbered(rows: DataFrame, by: list[str], name: str, width: int = 65536) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Rows numbered from 0 in the order of ``by``, without one task that holds them all.
 
-    Rows fall into buckets that keep the order of the first column (``width`` whole numbers, or texts of the same first
-    three characters); only the buckets' counts are laid end to end.
+    Rows are dealt by ranges of ``by`` and sorted where they are; only the ranges' counts, as many as there are shuffle
+    partitions, are laid end to end.  The ranges are written once, since a second run could draw other borders.
     """
-    kind = rows.schema[by[0]].dataType
-    first = F.floor(F.col(by[0]) / width) if isinstance(kind, IntegralType) else F.substring(F.col(by[0]).cast("string"), 1, 3)
-    if not isinstance(kind, (IntegralType, StringType)):
-        raise TypeError("whole numbers or texts only")
-    rows = rows.withColumn("__bucket", first)
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rn = F.row_number().over(Window.partitionBy("__bucket").orderBy(*by)) - 1
-    return rows.withColumn(name, rn).join(before.withColumnRenamed("__bucket", "__b"), F.col("__bucket").eqNullSafe(F.col("__b"))).withColumn(name, F.col(name) + F.col("__before")).drop("__bucket", "__b", "__before")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc() for c in by]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    dealt = scratch.written(dealt, "numbered").withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__place") + F.col("__before")).drop("__id", "__part", "__place", "__before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,41 @@ def score_frames(frames: DataFrame, queries: DataFrame, on: list[str], digits: i
     return joined.select(*keep, "frame_idx", F.round(cosine(F.col("emb"), F.col("q")), digits).alias("score"))
 
 
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column as a matrix of rows over their length, each length at least 1e-12."""
+    lists = column.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if not len(lists):
+        return flat.reshape(0, 0)
+    size = np.diff(lists.offsets.to_numpy())
+    if (size != size[0]).any():
+        raise ValueError("vectors of one cache have one width")
+    rows = flat.reshape(len(lists), -1)
+    return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
+
+
+def score_blocks(frames: DataFrame, queries: DataFrame, rows: int = 4096, digits: int = 6) -> DataFrame:
+    """video_id, qid, frame_idx, score: what ``score_frames`` gives per video, as one matrix product for each block of frames.
+
+    Blocks are ranges of ``rows`` frame numbers, so a long video is many tasks; each meets all queries of its video in a
+    cogrouped Arrow task.  Only the queries are repeated, once for each block of their video.  Rows without a vector or a
+    number give no score; a video without queries, or a query of no cached video, gives no rows.
+    """
+    kind = frames.schema["video_id"].dataType.simpleString()
+    cut = frames.where("emb is not null and frame_idx is not null").select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), "emb", F.floor(F.col("frame_idx") / rows).alias("block"))
+    asked = queries.where("q is not null").select("video_id", F.col("qid").cast("string").alias("qid"), "q").join(cut.select("video_id", F.col("block").alias("part")).distinct(), "video_id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, k = left.num_rows, right.num_rows
+        score = np.round(_unit_rows(left.column("emb")) @ _unit_rows(right.column("q")).T, digits) if n and k else np.zeros((0, 0))
+        video = left.column("video_id").slice(0, 1).take(pa.array(np.zeros(score.size, np.int64)))
+        query = right.column("qid").take(pa.array(np.tile(np.arange(k), n if score.size else 0)))
+        frame = left.column("frame_idx").take(pa.array(np.repeat(np.arange(n), k) if score.size else np.zeros(0, np.int64)))
+        return pa.table({"video_id": video, "qid": query, "frame_idx": frame, "score": pa.array(score.ravel() + 0.0)})
+
+    return cut.groupBy("video_id", "block").cogroup(asked.groupBy("video_id", "part")).applyInArrow(run, f"video_id {kind}, qid string, frame_idx int, score double")
+
+
 def score_regions(frames: DataFrame, regions: DataFrame, query: Column, digits: int = 6) -> DataFrame:
     """The best cosine of each frame's regions; frames without regions score 0.  ``frames``: the spine."""
     best = regions.groupBy("video_id", "frame_idx").agg(F.max(cosine(F.col("tok"), query)).alias("best"))

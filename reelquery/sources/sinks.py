@@ -14,6 +14,20 @@ def not_done(items: DataFrame, done: DataFrame, key: str = "uid") -> DataFrame:
     return items.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, by: str = "video_id", order: str = "frame_idx", buckets: int = 64) -> DataFrame:
+    """A cache as a table bucketed by ``by`` and sorted by ``order``, and what the table then holds.
+
+    Joins of two such tables of as many buckets, and groups and windows by ``by``, need no exchange.  Rows are dealt to
+    their buckets before they are written, so a bucket is one file.  A video that the table has is not written again.
+    """
+    spark = rows.sparkSession
+    if spark.catalog.tableExists(name):
+        rows = not_done(rows, spark.table(name), by)
+    dealt = rows.repartition(buckets, by)
+    dealt.write.bucketBy(buckets, by).sortBy(order).option("path", path).mode("append").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_cache(rows: DataFrame, path: str, key: str = "video_id") -> DataFrame:
     """Append the rows whose key isn't in the table yet; returns what is there now.  A retry writes nothing twice."""
     spark = rows.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import item_uid, options_of_list
 from ..functions.times import CACHE_FPS, rescale_frames
 from ..operators.rank import numbered
+from ..operators.temporal import holding
 
 ITEM = "uid string, question_id string, video_id string, question string, options map<string,string>, answer string, start string, end string"
 TRAINING_ITEM = "uid string, question_id string, video_id string, question string, options map<string,string>, choices array<string>, answer string, start string, end string, clip_start double, clip_end double"
@@ -97,7 +98,7 @@ def letters_for_answers(rows: DataFrame, skip_containing: str | None = None) ->
 
 def interleave(frames: DataFrame, subtitles: DataFrame, key: str = "video_id") -> DataFrame:
     """key, at, kind, value: frames and the subtitles that strictly hold a frame time, merged by time, subtitles by middle."""
-    shown = subtitles.join(frames.select(key, "t"), key).where((F.col("t") > F.col("start")) & (F.col("t") < F.col("end"))).select(key, "start", "end", "text").distinct()
+    shown = holding(frames.select(key, "t"), subtitles, [key], 30.0, strict=True).select(key, "start", "end", "text").distinct()
     a = frames.select(key, F.col("t").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("frame_idx").cast("string").alias("value"))
     return a.union(shown.select(key, ((F.col("start") + F.col("end")) / 2).alias("at"), F.lit(1), "text"))
 
