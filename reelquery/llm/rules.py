@@ -6,11 +6,11 @@ and the bad ones order the cutoffs of all rules into one chain, from the widest
 the narrowest; the other good documents test the sets along the chain one after the other until the first failure
 (fixed-sequence testing, so each set is tested at the full level).  A set passes if the exact (Clopper-Pearson) upper
 bound on its false-rejection rate is at most ``risk``; losses of several rules are added, which never understates them.
-Strata (languages) with too few labels are tested together, the smallest two first, until each group could pass without
-a loss (at 4 groups, risk 0.01 and delta 0.05 that takes 436 good documents in the test, 299 for a single group), and
-``delta`` is split over the groups.  So in every group at most ``risk`` of the good documents are falsely rejected,
+Strata (languages) with too few labels to pass even without a loss (at 4 groups, risk 0.01 and delta 0.05 that takes 436
+good documents in the test, 299 for a single group) are tested together as one group, joined by the smallest others where
+they are too few even so, and ``delta`` is split over the groups.  So in every group at most ``risk`` of the good documents are falsely rejected,
 with probability ``1 - delta``; for strata tested together this holds for their documents taken together.  If all labels
-together are too few, nothing is rejected.  Only counts by bin reach the driver.
+together are too few, nothing is rejected.  Any number of strata is handled alike: counts and cutoffs are tables.
 
 Edge cases: a null text is empty and fails the base rule; null languages form a stratum of their own; repeated doc_ids
 are judged row by row, and a label that occurs several times counts each time; null labels are ignored; without labels
@@ -20,6 +20,7 @@ only the base rule acts; other columns are ignored (they pass through ``filter_d
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,6 @@ RULES = ("symbols_per_char", "upper_share", "pipes_per_word", "bang_per_word", "
 BINS = 64
 #: Kinds of labelled documents: bad, good ones of the test, good ones seen when the chain is ordered (one of PARTS).
 BAD, GOOD, SEEN, PARTS = 0, 1, 2, 10
-#: Most strata told apart, those with the most labelled documents; where a table has more, the others are one stratum.
-STRATA, REST = 256, "\0rest"
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -143,15 +142,59 @@ def allowed_losses(n: int, level: float, risk: float) -> int:
     return n - 1
 
 
+def least_good(parts: int, risk: float, delta: float) -> float:
+    """The fewest good documents of a test that can certify anything where ``parts`` groups share ``delta``."""
+    if risk >= 1:
+        return 0
+    return math.ceil(math.log(delta / parts) / math.log1p(-risk)) if 0 < risk else math.inf
+
+
+def alone(sizes: list[tuple[int, int]], risk: float, delta: float) -> tuple[float, int]:
+    """(least, groups): strata with ``least`` good documents or more are tested alone, all others together as one group.
+
+    ``sizes``: (good documents, number of strata that have as many).  As many strata stand alone as can while each group,
+    that of the others too, can still certify something; strata of equal size are treated alike.
+    """
+    total, many = sum(g * k for g, k in sizes), sum(k for _, k in sizes)
+    out, j, used = (math.inf, 1), 0, 0
+    for good, k in sorted(sizes, reverse=True):
+        j, used = j + k, used + good * k
+        parts = j + (j < many)
+        need = least_good(parts, risk, delta)
+        if good < need:
+            break
+        if j == many or total - used >= need:
+            out = (good, parts)
+    return out
+
+
 def groups(good: dict[str, int], risk: float, delta: float) -> list[list[str]]:
     """Strata that are tested together, by their numbers of good documents in the test."""
-    out, size = [[s] for s in sorted(good)], lambda g: sum(good[s] for s in g)
-    while len(out) > 1:
-        out.sort(key=lambda g: (size(g), g))
-        if allowed_losses(size(out[0]), delta / len(out), risk) >= 0:
+    least, _ = alone(list(Counter(good.values()).items()), risk, delta)
+    out = [[s] for s in good if good[s] >= least]
+    rest = sorted(s for s in good if good[s] < least)
+    return sorted(out + [rest] * bool(rest), key=lambda g: (sum(good[s] for s in g), g))
+
+
+def chain(bad: np.ndarray, good: np.ndarray, seen: np.ndarray, level: float, risk: float) -> list[int]:
+    """The cutoff bin of each rule of one group (BINS + 1: none); counts of each kind by rule and bin."""
+    steps, lost = [], []
+    for r in range(len(RULES)):
+        lost.append(np.append(good[r][::-1].cumsum()[::-1], 0))
+        caught, known = bad[r][::-1].cumsum()[::-1], seen[r][::-1].cumsum()[::-1]
+        net = caught - 10 * PARTS * known
+        best = BINS - int(net[:0:-1].argmax())
+        if net[best] > 0:
+            top = int(np.flatnonzero(seen[r]).max(initial=0))
+            steps += [(int(known[b]), top - b, r, b) for b in range(best, BINS + 1) if bad[r][b]]
+    left = allowed_losses(int(good[0].sum()), level, risk)
+    cut = [BINS + 1] * len(RULES)
+    for _, _, r, b in sorted(steps):
+        left -= int(lost[r][b] - lost[r][cut[r]])
+        if left < 0:
             break
-        out[:2] = [sorted(out[0] + out[1])]
-    return out
+        cut[r] = b
+    return cut
 
 
 def select_cutoffs(counts: dict[tuple[str, int, int, int], int], strata: list[str], risk: float, delta: float) -> dict[tuple[str, int], int]:
@@ -159,25 +202,9 @@ def select_cutoffs(counts: dict[tuple[str, int, int, int], int], strata: list[st
     shared = groups({s: sum(counts.get((s, 0, b, GOOD), 0) for b in range(BINS + 1)) for s in strata}, risk, delta)
     out = {}
     for g in shared:
-        at = lambda r, kind: np.array([sum(counts.get((s, r, b, kind), 0) for s in g) for b in range(BINS + 1)])  # noqa: B023, E731
-        steps, lost = [], []
-        for r in range(len(RULES)):
-            bad, seen = at(r, BAD), at(r, SEEN)
-            lost.append(np.append(at(r, GOOD)[::-1].cumsum()[::-1], 0))
-            caught, known = bad[::-1].cumsum()[::-1], seen[::-1].cumsum()[::-1]
-            net = caught - 10 * PARTS * known
-            best = BINS - int(net[:0:-1].argmax())
-            if net[best] > 0:
-                top = int(np.flatnonzero(seen).max(initial=0))
-                steps += [(int(known[b]), top - b, r, b) for b in range(best, BINS + 1) if bad[b]]
-        left = allowed_losses(int(at(0, GOOD).sum()), delta / len(shared), risk)
-        cut = {}
-        for _, _, r, b in sorted(steps):
-            left -= int(lost[r][b] - lost[r][cut.get(r, BINS + 1)])
-            if left < 0:
-                break
-            cut[r] = b
-        out |= {(s, r): b for s in g for r, b in cut.items()}
+        at = lambda kind: np.array([[sum(counts.get((s, r, b, kind), 0) for s in g) for b in range(BINS + 1)] for r in range(len(RULES))])  # noqa: B023, E731
+        cut = chain(at(BAD), at(GOOD), at(SEEN), delta / len(shared), risk)
+        out |= {(s, r): b for s in g for r, b in enumerate(cut) if b <= BINS}
     return out
 
 
@@ -191,35 +218,44 @@ def _measured(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(_measure, f"doc_id long, stratum string, {_COUNTS}")
 
 
-def certify(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> dict[tuple[str, int], int]:
-    """Certified cutoffs from the labelled rows; one count for each stratum, rule, bin and kind reaches the driver."""
+def certify(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """stratum, cutoffs (by rule) of every labelled stratum, a table.
+
+    Counts by stratum, rule, bin and kind stay in tables and each group's chain runs in a task of its own; the driver sees
+    only how many strata have how many good documents (at most the square root of twice the labels).
+    """
     kind = F.when(F.col("quality") == 0, BAD).when(C.fold("doc_id", PARTS) == 0, SEEN).otherwise(GOOD)
     counted = measured.where(f"not ({_BASE})").join(_known(labels), "doc_id").select("stratum", kind.alias("kind"), F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin", "kind").count()
     counted = C.materialize(counted, "bins")
-    top = [x["stratum"] for x in counted.where("rule = 0").groupBy("stratum").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA).collect()]
-    if len(top) == STRATA:  # a dirty column: what reaches the driver stays bounded
-        counted = counted.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(REST)).groupBy("stratum", "rule", "bin", "kind").agg(F.sum("count").alias("count"))
-    counts = {(x["stratum"], x["rule"], x["bin"], x["kind"]): x["count"] for x in counted.toLocalIterator()}
-    found = select_cutoffs(counts, sorted({k[0] for k in counts}), risk, delta)
-    return found | {(s, r): found.get((s, r), BINS + 1) for s in top for r in range(len(RULES))} if len(top) == STRATA else found
+    tested = (F.col("rule") == 0) & (F.col("kind") == GOOD)
+    strata = C.materialize(counted.groupBy("stratum").agg(F.sum(F.when(tested, F.col("count")).otherwise(0)).alias("good")), "strata")
+    least, parts = alone([tuple(x) for x in strata.groupBy("good").count().collect()], risk, delta)
+    own = strata.select("stratum", (F.when(F.col("good") >= least, F.col("stratum")) if least < math.inf else F.lit(None).cast("string")).alias("part"))
+    shared = counted.join(own, "stratum").groupBy("part", "rule", "bin", "kind").agg(F.sum("count").alias("n"))
+
+    def cut(group: pa.Table) -> pa.Table:
+        at = np.zeros((3, len(RULES), BINS + 1), np.int64)
+        at[tuple(group.column(c).to_numpy() for c in ("kind", "rule", "bin"))] = group.column("n").to_numpy()
+        found = chain(at[BAD], at[GOOD], at[SEEN], delta / parts, risk)
+        return pa.table({"part": group.column("part").slice(0, 1), "cutoffs": pa.array([found], pa.list_(pa.int32()))})
+
+    found = shared.groupBy("part").applyInArrow(cut, "part string, cutoffs array<int>").withColumnRenamed("part", "__part")
+    return C.materialize(own.join(found, F.col("part").eqNullSafe(F.col("__part"))).select("stratum", "cutoffs"), "cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang, anything else)."""
     mark = C.made()
     measured = C.materialize(_measured(docs), "measured")
-    cutoffs = certify(measured, labels, risk, delta)
-    hit = F.lit(False)
-    if cutoffs:  # literals: one array for each certified stratum
-        by = F.create_map(*(F.lit(x) for s in sorted({k[0] for k in cutoffs}) for x in (s, [cutoffs.get((s, r), BINS + 1) for r in range(len(RULES))])))
-        mine = F.coalesce(F.try_element_at(by, F.col("stratum")), F.try_element_at(by, F.lit(REST)))
-        hit = F.coalesce(F.exists(F.arrays_zip("bins", mine.alias("cutoffs")), lambda x: x["bins"] >= x["cutoffs"]), F.lit(False))
+    hit = F.coalesce(F.exists(F.arrays_zip("bins", "cutoffs"), lambda x: x["bins"] >= x["cutoffs"]), F.lit(False))
+    measured = measured.join(certify(measured, labels, risk, delta), "stratum", "left")
     out = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(_BASE).alias("base_failed"), (~F.expr(_BASE) & ~hit).alias("kept"))
     C.release(mark, [out])
     return out
 
 
-def _keep(cutoffs: dict[tuple[str, int], int], text: int, lang: int):
+def _passing(text: int, lang: int):
+    """The rows that pass the base rule, with their stratum and bins at the end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _ in C.groups(iter([batch]), batch.schema.names[text]):
@@ -227,16 +263,20 @@ def _keep(cutoffs: dict[tuple[str, int], int], text: int, lang: int):
                 given = pa.RecordBatch.from_arrays([strata, part.column(text).fill_null("")], names=["stratum", "text"])
                 m = pa.Table.from_batches(list(_measure(iter([given]))))
                 n, repeat = m.column("n_words").to_numpy(), m.column("n_repeat_words").to_numpy()
-                bins = np.asarray(m.column("bins").combine_chunks().flatten()).reshape(-1, len(RULES))
-                limit = np.array([[cutoffs.get((s, r), cutoffs.get((REST, r), BINS + 1)) for r in range(len(RULES))] for s in strata.to_pylist()])
-                yield part.filter(pa.array((n >= 50) & (100 * repeat <= 50 * n) & (bins < limit).all(1)))
+                names = [f"c{k}" for k in range(part.num_columns + 2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, strata, m.column("bins").combine_chunks()], names=names).filter(pa.array((n >= 50) & (100 * repeat <= 50 * n)))
 
     return run
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that are kept, judged row by row; rows are measured again instead of shuffled."""
+    """The rows of ``docs`` that are kept, judged row by row; rows are measured again and meet their stratum's cutoffs."""
     mark = C.made()
-    cutoffs = certify(_measured(docs), labels, risk, delta)
-    C.release(mark, [])
-    return docs.mapInArrow(_keep(cutoffs, docs.columns.index("text"), docs.columns.index("lang")), docs.schema)
+    cutoffs = certify(_measured(docs), labels, risk, delta).withColumnRenamed("stratum", "s")
+    k = len(docs.columns)
+    schema = ", ".join([*(f"c{j} {f.dataType.simpleString()}" for j, f in enumerate(docs.schema)), f"c{k} string", f"c{k + 1} array<int>"])
+    passing = docs.mapInArrow(_passing(docs.columns.index("text"), docs.columns.index("lang")), schema)
+    hit = F.exists(F.arrays_zip(F.col(f"c{k + 1}").alias("b"), F.col("cutoffs").alias("c")), lambda x: x["b"] >= x["c"])
+    out = passing.join(cutoffs, F.col(f"c{k}") == F.col("s"), "left").where(~F.coalesce(hit, F.lit(False))).select(*(F.col(f"c{j}").alias(c) for j, c in enumerate(docs.columns)))
+    C.release(mark, [out])
+    return out

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -142,27 +143,79 @@ def plain_rules(text):
     return n < 50 or 100 * len(over) > 50 * n, [min(math.ceil(math.sqrt(min(r, 1.0)) * rules.BINS), rules.BINS) for r in ratios]
 
 
-def test_kept_matches_plain_rules_given_the_cutoffs(spark, monkeypatch):
-    rows = []
-    for i in range(400):
-        bad = i % 4 == 0
-        rows.append((i, " ".join(f"w{i}x{k}" + (" ###" if bad and k % 2 else "") for k in range(60)), ["en", "de", None][i % 3]))
-    rows += [(i, t, "en") for i, t in corpus(3, 40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)] + [(7, None)], "doc_id long, quality int")
-    for strata in (rules.STRATA, 1):
-        monkeypatch.setattr(rules, "STRATA", strata)
-        cutoffs = rules.certify(rules._measured(docs), labels, 0.05, 0.2)
-        assert cutoffs
-        got = sorted((r.doc_id, r.kept) for r in rules.judge(docs, labels, 0.05, 0.2).collect())
-        want = []
-        for i, t, lang in rows:
-            failed, bins = plain_rules(t or "")
-            limit = [cutoffs.get((lang or "", k), cutoffs.get((rules.REST, k), rules.BINS + 1)) for k in range(len(rules.RULES))]
-            want.append((i, not failed and all(b < c for b, c in zip(bins, limit, strict=True))))
-        assert got == sorted(want)
-        left = sorted(r.doc_id for r in rules.filter_documents(docs, labels, 0.05, 0.2).collect())
-        assert left == sorted(i for i, k in want if k)
+def plain_certify(rows, labels, risk, delta):
+    """Cutoffs by language, in loops over the labelled documents: doc_id -> (failed, bins, lang) and (doc_id, quality)."""
+    seen = {}
+    for i, quality in labels:
+        for failed, bins, lang in rows.get(i, []):
+            if quality in (0, 1) and not failed:
+                kind = "bad" if quality == 0 else "seen" if zlib.crc32(str(i).encode()) % 10 == 0 else "good"
+                seen.setdefault(lang, []).append((kind, bins))
+    good = {k: sum(kind == "good" for kind, _ in v) for k, v in seen.items()}
+    enough = lambda n, parts: n > 0 and (1 - risk) ** n <= delta / parts * (1 + 1e-12)
+    shared = [sorted(seen)]
+    for least in sorted(set(good.values())):  # as many strata alone as can be
+        own, rest = [[k] for k in good if good[k] >= least], [k for k in good if good[k] < least]
+        parts = len(own) + bool(rest)
+        if enough(least, parts) and (not rest or enough(sum(good[k] for k in rest), parts)):
+            shared = own + [rest] * bool(rest)
+            break
+    out = {}
+    for group in shared:
+        docs = [x for k in group for x in seen[k]]
+        over = lambda kind, r, b: sum(k == kind and bins[r] >= b for k, bins in docs)  # noqa: B023, E731
+        n, steps, cut = over("good", 0, 0), [], [10**6] * 9
+        for r in range(9):
+            net = {b: over("bad", r, b) - 100 * over("seen", r, b) for b in range(1, 65)}
+            best = max(b for b in net if net[b] == max(net.values()))
+            if net[best] > 0:
+                top = max((bins[r] for k, bins in docs if k == "seen"), default=0)
+                steps += [(over("seen", r, b), top - b, r, b) for b in range(best, 65) if over("bad", r, b) > over("bad", r, b + 1)]
+        for _, _, r, b in sorted(steps):
+            trial = [b if k == r else c for k, c in enumerate(cut)]
+            lost = sum(over("good", k, c) for k, c in enumerate(trial))
+            if not n or sum(math.comb(n, k) * risk**k * (1 - risk) ** (n - k) for k in range(lost + 1)) > delta / len(shared):
+                break
+            cut = trial
+        out |= {k: cut for k in group}
+    return out
+
+
+def marked(n, languages):
+    """Documents of which every fourth is junk, and some good ones nearly are."""
+    out = []
+    for i in range(n):
+        junk = 2 if i % 4 == 0 else 9 if i % 37 == 1 else 0
+        out.append((i, " ".join(f"w{i}x{k}" + (" ###" if junk and k % junk == 0 else "") for k in range(60)), languages[i % len(languages)]))
+    return out
+
+
+@pytest.mark.parametrize("languages", [["en", "de", None], ["en", "en", "en", "de", "fr", "es"], ["en"] + [f"l{k}" for k in range(40)]])
+def test_rules_query_matches_plain_certification(spark, languages):
+    rows = marked(900, languages) + [(2000 + i, t, "en") for i, t in corpus(3, 40)] + [(7, None, "en"), (8, "", "xx"), (13, "one " * 20000, "de")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, cutoffs int, stratum string")
+    labels = [(i, int(i % 4 > 0)) for i in range(900)] + [(7, None), (8, 1), (13, 1), (13, 1), (99999, 0)]
+    given, plain = spark.createDataFrame(labels, "doc_id long, quality int"), {}
+    for i, t, lang in rows:
+        plain.setdefault(i, []).append((*plain_rules(t or ""), lang or ""))
+    cutoffs = plain_certify(plain, labels, 0.05, 0.2)
+    assert any(min(c) < 10**6 for c in cutoffs.values())
+    want = sorted((i, not failed and all(b < c for b, c in zip(bins, cutoffs.get(lang, [10**6] * 9), strict=True))) for i, found in plain.items() for failed, bins, lang in found)
+    assert sorted((r.doc_id, r.kept) for r in rules.judge(docs, given, 0.05, 0.2).collect()) == want
+    left = rules.filter_documents(docs, given, 0.05, 0.2)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, k in want if k)
+
+
+@pytest.mark.parametrize("many", [255, 256, 257, 1000])
+def test_any_number_of_languages_is_judged_alike(spark, many):
+    """One large language, whose cutoffs must not depend on how many small ones there are beside it."""
+    rows = marked(900, ["en"]) + [(10000 + k, f"a{k} " * 5 + " ".join(f"b{k}y{j}" for j in range(60)), f"l{k}") for k in range(many)]
+    labels = [(i, int(i % 4 > 0)) for i in range(900)] + [(10000 + k, 1) for k in range(many)]
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = {r.stratum: r.cutoffs for r in rules.certify(rules._measured(docs), given, 0.05, 0.2).collect()}
+    assert len(found) == many + 1 and found["en"][0] <= rules.BINS and len({tuple(v) for k, v in found.items() if k != "en"}) == 1
+    kept = {r.doc_id: r.kept for r in rules.judge(docs, given, 0.05, 0.2).collect()}
+    assert not any(kept[i] for i in range(0, 900, 4)) and all(kept[10000 + k] for k in range(many))
 
 
 # ---------------------------------------------------------------- personal data
