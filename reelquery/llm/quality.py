@@ -5,9 +5,9 @@ lines.  A two-state chain (bad, good) is trained on labelled documents whose lin
 gradient ascent on the conditional likelihood; forward-backward marginals of all lines then average, weighted by line
 length, into the document's score.
 
-Training uses at most ``sample`` labelled documents of any size, those with the smallest hashes of their ids, and of each
-at most ``lines`` lines that follow each other, from a place that the id's hash picks (documented bounds of the sample,
-which bound the driver's memory; no other part is bounded).  Scoring covers every line of every text.
+Training uses at most ``sample`` labelled documents, those with the smallest hashes of their ids, and all of their lines
+(the documented bound of the sample; a line takes about 0.6 KB of the driver's memory).  Scoring covers every line of
+every text.
 
 Edge cases: an empty or null text, or one without words, scores 0, which is fixed and not learned; without both labels in the sample every document
 scores the share of good labels (0.5 without any); rows that repeat a doc_id are scored one by one; a doc_id labelled
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .rules import line_table
 
-SAMPLE, LINES = 6000, 300
+#: Most labelled rows to learn from; their texts are taken whole.
+SAMPLE = 6000
 OWN = 16
 
 
@@ -104,16 +105,25 @@ class Model(NamedTuple):
     step: np.ndarray  # 2 x 2 transition scores
 
 
+#: Chains are walked in pieces of this many lines.
+PIECE = 256
+
+
 def marginals(evidence: np.ndarray, step: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(line good) for every line, and summed pair marginals (2 x 2); chains run over lines of one text.
 
     All chains advance together, the longest first, so a step costs one vector operation over the chains still running.
+    A chain of more than ``PIECE`` lines is walked in pieces: the product of each piece's steps tells what enters the next
+    one, then all pieces advance together; so a very long text takes few steps too.
     """
     n = len(evidence)
     pairs = np.zeros((2, 2))
     if not n:
         return np.zeros(0), pairs
-    head = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    new = np.concatenate(([True], text[1:] != text[:-1]))
+    chain = np.cumsum(new) - 1
+    place = np.arange(n) - np.flatnonzero(new)[chain]
+    head = np.flatnonzero(place % PIECE == 0)
     size = np.diff(np.append(head, n))
     order = np.argsort(-size, kind="stable")
     head, size = head[order], size[order]
@@ -121,25 +131,64 @@ def marginals(evidence: np.ndarray, step: np.ndarray, text: np.ndarray) -> tuple
     score[:, 1] = np.clip(evidence, -40, 40)
     local = np.exp(score - score.max(1, keepdims=True))
     t = np.exp(step)
+    running = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # pieces of more than k lines, by k
     a, b = np.zeros((n, 2)), np.ones((n, 2)) / 2
+    inside = place[head] > 0  # pieces that go on from another
+    enter, leave = _between(local, t, head, size, chain, place) if inside.any() else (np.zeros((0, 2)), np.zeros((0, 2)))
     a[head] = local[head]
+    a[head[inside]] = (enter @ t) * local[head[inside]]
     a[head] /= a[head].sum(1, keepdims=True)
-    running = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # chains of more than k lines, by k
     for k in range(1, size[0]):
         at = head[: running[k]] + k
         x = (a[at - 1] @ t) * local[at]
         a[at] = x / x.sum(1, keepdims=True)
-    for k in range(size[0] - 1, 0, -1):
-        at = head[: running[k]] + k
+    last = head + size - 1
+    goes_on = (last + 1 < n) & (chain[np.minimum(last + 1, n - 1)] == chain[last])
+    b[last[goes_on]] = leave
+
+    def back(at: np.ndarray) -> None:
+        """What the lines ``at`` say about those before them."""
         ahead = local[at] * b[at]
         x = ahead @ t.T
         p = a[at - 1][:, :, None] * t * ahead[:, None, :]
-        pairs += (p / p.sum((1, 2), keepdims=True)).sum(0)
+        pairs[:] += (p / p.sum((1, 2), keepdims=True)).sum(0)
         b[at - 1] = x / x.sum(1, keepdims=True)
+
+    for k in range(size[0] - 1, 0, -1):
+        back(head[: running[k]] + k)
+    back(head[inside])
     good = a * b
     return good[:, 1] / good.sum(1), pairs
 
 
+def _between(local: np.ndarray, t: np.ndarray, head: np.ndarray, size: np.ndarray, chain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces in the order of ``head``: what enters those that go on from another, and what comes back to those that go on."""
+    long = np.isin(chain[head], chain[head[place[head] > 0]])
+    piece = np.flatnonzero(long)
+    first = place[head[piece]] == 0
+    product = t * local[head[piece]][:, None, :]
+    product[first] = local[head[piece][first]][:, None, :]  # a chain's first line has no step into it
+    for k in range(1, int(size[piece].max())):
+        go = np.flatnonzero(size[piece] > k)
+        x = product[go] @ t * local[head[piece][go] + k][:, None, :]
+        product[go] = x / x.sum((1, 2), keepdims=True)
+    by_line = np.argsort(head[piece], kind="stable")
+    number, own = place[head[piece]][by_line] // PIECE, chain[head[piece]][by_line]
+    enter, leave = np.full((len(piece), 2), 0.5), np.full((len(piece), 2), 0.5)
+    for k in range(1, int(number.max()) + 1):
+        at = np.flatnonzero(number == k)
+        x = np.einsum("ij,ijk->ik", enter[at - 1] if k > 1 else np.ones((len(at), 2)), product[by_line[at - 1]])
+        enter[at] = x / x.sum(1, keepdims=True)
+    last = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+    ends = number[last][np.searchsorted(own[last], own)]
+    for k in range(int(number.max()) - 1, -1, -1):
+        at = np.flatnonzero((number == k) & (ends > k))
+        x = np.einsum("ijk,ik->ij", product[by_line[at + 1]], leave[at + 1])
+        leave[at] = x / x.sum(1, keepdims=True)
+    back = np.argsort(by_line)
+    return enter[back][place[head[piece]] > 0], leave[back][(ends > number)[back]]
+
+
 def train(own: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Conditional likelihood by Adam; ``label``: 0 or 1 of every line.  Texts weigh alike, classes are balanced."""
     x = with_neighbours(own, text).astype(np.float64)
@@ -166,27 +215,19 @@ def train(own: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 20
     return Model(mean, scale, w, s)
 
 
-def _describe(lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in C.groups(batches):
-            own, _, text = line_features(texts)
-            count = np.bincount(text, minlength=part.num_rows)
-            first = np.cumsum(count) - count
-            spare = np.maximum(count - lines, 0)
-            place = C.mix(part.column(0).to_numpy().astype(np.uint64)) % (spare + 1).astype(np.uint64)
-            rank = np.arange(len(text)) - (first + place.astype(np.int64))[text]
-            own = own[(rank >= 0) & (rank < lines)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1)), C.lists(own.ravel(), np.minimum(count, lines) * OWN, pa.float32())], names=["doc_id", "label", "own"])
-
-    return run
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in C.groups(batches):
+        own, _, text = line_features(texts)
+        count = np.bincount(text, minlength=part.num_rows)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1)), C.lists(own.ravel(), count * OWN, pa.float32())], names=["doc_id", "label", "own"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
     """The chain, or the share of good labels where one class is missing; ``labels``: (doc_id, quality) to learn from."""
     C.small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of two numbers
-    rows = C.id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_describe(lines), "doc_id long, label int, own array<float>").toArrow().sort_by("doc_id")
+    rows = C.id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_describe, "doc_id long, label int, own array<float>").toArrow().sort_by("doc_id")
     label = rows.column("label").to_numpy()
     if not len(label) or label.min() == label.max():
         return float(label.mean()) if len(label) else 0.5

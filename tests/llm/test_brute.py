@@ -108,6 +108,84 @@ def plain_score(text, model):
     return sum(g * n for g, n in zip(good, size, strict=True)) / sum(size)
 
 
+@pytest.mark.parametrize("piece", [3, 256])
+def test_pieces_of_a_chain_change_nothing(monkeypatch, piece):
+    """Marginals and pair marginals of chains of any length against one step after the other."""
+    monkeypatch.setattr(quality, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    text = np.repeat(np.arange(7), [600, 3, 512, 1, 256, 257, 9])
+    evidence, step = rng.normal(size=len(text)) * 3, rng.normal(size=(2, 2))
+    t, good, pairs = np.exp(step), [], np.zeros((2, 2))
+    for c in range(7):
+        x = [np.array([1.0, math.exp(v)]) for v in evidence[text == c]]
+        a, b = [x[0] / x[0].sum()], [np.ones(2)]
+        for v in x[1:]:
+            a.append((a[-1] @ t) * v / ((a[-1] @ t) * v).sum())
+        for k in range(len(x) - 1, 0, -1):
+            p = a[k - 1][:, None] * t * (x[k] * b[-1])
+            pairs += p / p.sum()
+            b.append(t @ (x[k] * b[-1]) / (t @ (x[k] * b[-1])).sum())
+        good += [(u * v)[1] / (u * v).sum() for u, v in zip(a, b[::-1], strict=True)]
+    got, got_pairs = quality.marginals(evidence, step, text)
+    assert np.abs(got - good).max() < 1e-12 and np.abs(got_pairs - pairs).max() < 1e-9
+
+
+def plain_train(texts, rounds=200):
+    """The same likelihood, one line after the other; Adam on its gradient."""
+    rows, label, chains = [], [], []
+    for text, good in texts:
+        own, _ = plain_features(text)
+        zero = [0.0] * quality.OWN
+        chains.append(range(len(rows), len(rows) + len(own)))
+        rows += [f + (own[k - 1] if k else zero) + (own[k + 1] if k + 1 < len(own) else zero) for k, f in enumerate(own)]
+        label += [good] * len(own)
+    x, label = np.array(rows), np.array(label)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    mean[0], scale[0] = 0, 1
+    x = (x - mean) / scale
+    weight = np.concatenate([[1 / math.sqrt(len(c))] * len(c) for c in chains])
+    w, s, m, v = np.zeros(x.shape[1]), np.zeros((2, 2)), np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
+    steps = sum(max(len(c) - 1, 0) for c in chains)
+    for k in range(1, rounds + 1):
+        t, p, off = np.exp(s), np.zeros(len(x)), np.zeros((2, 2))
+        for c in chains:
+            local = [np.array([1.0, math.exp(np.clip(x[i] @ w, -40, 40))]) for i in c]
+            a, b = [local[0] / local[0].sum()], [np.ones(2)]
+            for u in local[1:]:
+                a.append((a[-1] @ t) * u / ((a[-1] @ t) * u).sum())
+            for i in range(len(c) - 1, 0, -1):
+                both = a[i - 1][:, None] * t * (local[i] * b[-1])
+                off[label[c[i]], label[c[i]]] += 1
+                off -= both / both.sum()
+                b.append(t @ (local[i] * b[-1]) / (t @ (local[i] * b[-1])).sum())
+            p[list(c)] = [(y * z)[1] / (y * z).sum() for y, z in zip(a, b[::-1], strict=True)]
+        g = np.concatenate((x.T @ (weight * (label - p)) / weight.sum() - 1e-3 * w, (off / max(1, steps) - 1e-3 * s).ravel()))
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        w, s = w + step[:-4], s + step[-4:].reshape(2, 2)
+    return mean, scale, w, s
+
+
+def test_training_matches_plain_training(spark):
+    rows, labels = lined(6, 16)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    text, known = dict(rows), dict(labels)
+    mean, scale, weight, step = plain_train([(text[i], known[i]) for i in sorted(known)])
+    assert np.abs(model.mean - mean).max() < 1e-5 and np.abs(model.scale / scale - 1).max() < 1e-3
+    assert np.abs(model.weight - weight).max() < 2e-2 and np.abs(model.step - step).max() < 2e-2
+
+
+def test_training_takes_texts_whole(spark):
+    """Junk that only the last of 10,000 lines of a text shows is learned from."""
+    long = lambda end: "plain words on a line\n" * 9_990 + f"{end}\n" * 10
+    docs = spark.createDataFrame([(k, long("### | | $$$" if k % 2 else "more plain words here")) for k in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, (k + 1) % 2) for k in range(4)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    ends = spark.createDataFrame([(0, "more plain words here\n" * 5), (1, "### | | $$$\n" * 5)], "doc_id long, text string")
+    good, bad = (r.score for r in quality.score(ends, model).orderBy("doc_id").collect())
+    assert good > bad + 0.1
+
+
 def test_quality_query_matches_plain_version(spark):
     rows, labels = lined(4, 80)
     rows += [(900, None), (901, " \n\t\n"), (902, "one"), (902, "one"), (903, "a a b a\nA!! A!!\n\na a b a\n" + "x" * 30), (904, "é " * 40000), (905, "w\n" * 3000)]
