@@ -125,8 +125,11 @@ def _cut(window: int):
 
 
 def _held(pairs: DataFrame, all_but_first: bool) -> DataFrame:
-    """Pairs (h, doc_id) whose h is in two documents or more; with ``all_but_first`` only those not of the smallest doc_id."""
-    least = pairs.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
+    """Pairs (h, doc_id) whose h is in two documents or more; with ``all_but_first`` only those not of the smallest doc_id.
+
+    The hashes' documents are a table of their own, so that adaptive execution can split a hash that holds much of the rows.
+    """
+    least = C.materialize(pairs.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low"), "shared")
     out = pairs.join(least, "h")
     return (out.where("doc_id > low") if all_but_first else out).select("doc_id", "h")
 

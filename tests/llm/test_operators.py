@@ -451,3 +451,26 @@ def test_intermediate_tables_go(spark):
     with pytest.raises(Exception, match="(?i)exist|not find|not found"):
         mine.collect()
     assert got.count() == 20 and got.where("kept").count() == 10
+
+
+def test_a_hot_window_is_split(spark):
+    """Half of all rows under one hash: with low thresholds the join's plan shows that its partition is split."""
+    from reelquery.llm import common, substring
+
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    mark = common.made()
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, 120000, 1, 8)
+        pairs = ids.select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.xxhash64("id")).alias("h"), F.col("id").alias("doc_id"))
+        held = substring._held(pairs, True)
+        assert held.count() == 59999
+        counted = held.groupBy("doc_id").agg(F.count("*").alias("n"))
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        common.release(mark, [])
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
