@@ -15,12 +15,12 @@ from . import proxies as P
 from . import scratch
 from .functions import text as X
 from .functions import times as T
-from .operators import islands, metrics, nms, rank, sampling, search, temporal, tracks, vectors, wavelet
+from .operators import extraction, islands, metrics, nms, rank, sampling, search, temporal, tracks, vectors, wavelet
 from .plans import combine as plan_combine
 from .plans import planner
 from .proxies import with_views
 from .session import ship
-from .sources import sinks, tables
+from .sources import attempts, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -761,6 +761,41 @@ def one_box_per_class(spark, d):
 
 # ---------------------------------------------------------------- sources and sinks
 
+def _stand_in_boxes(images):
+    """The lines of a text as boxes (first byte, end); for tests and the registered query."""
+    out = []
+    for image in images:
+        ends = [k for k, c in enumerate(image) if c == 10] + [len(image)]
+        out.append(list(zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)))
+    return out
+
+
+def _stand_in_reader(pairs):
+    return [image[a:b].decode() for image, (a, b) in pairs]
+
+
+@query("SELECT doc_id AS video_id, (n_chars % 7)::INT AS frame_idx, array_to_string(list_filter([trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) FOR x IN string_split(coalesce(text, ''), chr(10))], lambda x: x <> ''), '|') AS texts FROM documents")
+def extracted_texts(spark, d):
+    """Whole texts as images: each line is a box, found in one batch of calls and read in another."""
+    frames = P.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), (F.col("n_chars") % 7).cast("int").alias("frame_idx"), F.encode("text", "utf-8").alias("image"))
+    return extraction.extract_texts(frames, _stand_in_boxes, _stand_in_reader).select("video_id", "frame_idx", F.array_join("texts", "|").alias("texts"))
+
+
+def _stand_in_work(row):
+    """The number of words of a text; fails on texts whose first word's length divides by 5."""
+    words = row["text"].split(" ")
+    if len(words[0]) % 5 == 0:
+        raise ValueError(f"no answer for {row['uid']}")
+    return {"n": len(words), "first": words[0]}
+
+
+@query("SELECT conv_id || ':' || turn AS uid, CASE WHEN NOT bad THEN len(w) END AS n, CASE WHEN NOT bad THEN w[1] END AS first, CASE WHEN bad THEN 'ValueError: no answer for ' || conv_id || ':' || turn END AS error FROM (SELECT *, length(w[1]) % 5 = 0 AS bad FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations))")
+def attempted(spark, d):
+    """Values and errors, row by row."""
+    rows = P.table(spark, d, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("uid"), "text")
+    return attempts.attempt(rows, _stand_in_work, "struct<n: bigint, first: string>").select("uid", "value.n", "value.first", "error")
+
+
 @query("SELECT o_orderkey AS uid FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def resume_anti(spark, d):
     orders = P.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("uid"))
