@@ -17,7 +17,7 @@ from .functions import text as X
 from .functions import times as T
 from .operators import extraction, islands, metrics, nms, rank, sampling, search, temporal, tracks, vectors, wavelet
 from .plans import combine as plan_combine
-from .plans import planner
+from .plans import planner, selection
 from .proxies import with_views
 from .session import ship
 from .sources import attempts, sinks, tables
@@ -352,34 +352,35 @@ _FILL = """, filled AS (SELECT video_id, n, p, CASE WHEN n <= {k} THEN generate_
 SELECT video_id, unnest(f)::INT AS frame_idx FROM filled"""
 
 
-@query(
-    with_views(
-        *_BASE,
-        "one",
-        body=""", r AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM one WINDOW w AS (PARTITION BY video_id)), p AS (SELECT video_id, frame_idx, (score - lo) / (hi - lo) AS w FROM r),
+def _its_sql(k: int) -> str:
+    body = f""", r AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM one WINDOW w AS (PARTITION BY video_id)), p AS (SELECT video_id, frame_idx, (score - lo) / (hi - lo) AS w FROM r),
 c AS (SELECT video_id, frame_idx, sum(w / total) OVER (PARTITION BY video_id ORDER BY frame_idx) AS cdf FROM (SELECT *, sum(w) OVER (PARTITION BY video_id) AS total FROM p)),
-u AS (SELECT CASE WHEN i = 7 THEN 1 - 1 / 8.0::DOUBLE ELSE 1 / 8.0::DOUBLE + i * ((1 - 2 / 8.0::DOUBLE) / 7) END AS u FROM (SELECT unnest(generate_series(0, 7)) AS i)),
+u AS (SELECT CASE WHEN i = {k - 1} THEN 1 - 1 / {k}.0::DOUBLE ELSE 1 / {k}.0::DOUBLE + i * ((1 - 2 / {k}.0::DOUBLE) / {k - 1}) END AS u FROM (SELECT unnest(generate_series(0, {k - 1})) AS i)),
 h AS (SELECT video_id, u, min(frame_idx) AS f FROM c JOIN u ON cdf >= u GROUP BY ALL),
 picked AS (SELECT video_id, (SELECT count(*) FROM one o WHERE o.video_id = h.video_id)::INT AS n, list_sort(list_distinct(list(f)))::INT[] AS p FROM h GROUP BY video_id)"""
-        + _FILL.format(k=8),
-    )
-)
+    return with_views(*_BASE, "one", body=body + _FILL.format(k=k))
+
+
+@query(_its_sql(8))
 def its_sample(spark, d):
     return _flat(sampling.inverse_cdf(_one(spark, d), ["video_id"], 8))
 
 
-_SPLIT = """, norm AS (SELECT video_id, frame_idx AS f, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s, count(*) OVER w AS n FROM one WINDOW w AS (PARTITION BY video_id)),
+def _split_sql(k: int) -> str:
+    text = """, norm AS (SELECT video_id, frame_idx AS f, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s, count(*) OVER w AS n FROM one WINDOW w AS (PARTITION BY video_id)),
 d0 AS (SELECT *, 0 AS a, n AS len, NULL::INT AS at_, FALSE AS take FROM norm)"""
-for _d in range(4):
-    _whole = "top - mean > 0.3 AND std > -100" if _d < 3 else "TRUE"
-    _SPLIT += f""",
-r{_d} AS (SELECT *, row_number() OVER (PARTITION BY video_id, a, len ORDER BY s DESC, f) AS rn FROM d{_d}),
-t{_d} AS (SELECT *, avg(s) FILTER (rn <= 8) OVER w AS top, avg(s) OVER w AS mean, stddev_pop(s) OVER w AS std FROM r{_d} WINDOW w AS (PARTITION BY video_id, a, len)),
-w{_d} AS (SELECT * REPLACE (CASE WHEN at_ IS NULL AND ({_whole}) THEN rn <= {8 // 2**_d} ELSE take END AS take, CASE WHEN at_ IS NULL AND ({_whole}) THEN {_d} ELSE at_ END AS at_) FROM t{_d}),
-d{_d + 1} AS (SELECT video_id, f, s, n, CASE WHEN at_ IS NULL AND f - a >= len // 2 THEN a + len // 2 ELSE a END AS a, CASE WHEN at_ IS NOT NULL THEN len WHEN f - a < len // 2 THEN len // 2 ELSE len - len // 2 END AS len, at_, take FROM w{_d})"""
-
-
-@query(with_views(*_BASE, "one", body=_SPLIT + ", picked AS (SELECT video_id, any_value(n)::INT AS n, list_sort(list(f) FILTER (take))::INT[] AS p FROM d4 GROUP BY video_id)" + _FILL.format(k=8).replace("n <= 8", "n < 8")))
+    for d in range(4):
+        whole = "top - mean > 0.3 AND std > -100" if d < 3 else "TRUE"
+        text += f""",
+r{d} AS (SELECT *, row_number() OVER (PARTITION BY video_id, a, len ORDER BY s DESC, f) AS rn FROM d{d}),
+t{d} AS (SELECT *, avg(s) FILTER (rn <= {k}) OVER w AS top, avg(s) OVER w AS mean, stddev_pop(s) OVER w AS std FROM r{d} WINDOW w AS (PARTITION BY video_id, a, len)),
+w{d} AS (SELECT * REPLACE (CASE WHEN at_ IS NULL AND ({whole}) THEN rn <= {k // 2**d} ELSE take END AS take, CASE WHEN at_ IS NULL AND ({whole}) THEN {d} ELSE at_ END AS at_) FROM t{d}),
+d{d + 1} AS (SELECT video_id, f, s, n, CASE WHEN at_ IS NULL AND f - a >= len // 2 THEN a + len // 2 ELSE a END AS a, CASE WHEN at_ IS NOT NULL THEN len WHEN f - a < len // 2 THEN len // 2 ELSE len - len // 2 END AS len, at_, take FROM w{d})"""
+    fill = _FILL.format(k=k).replace(f"n <= {k}", f"n < {k}")
+    return with_views(*_BASE, "one", body=text + ", picked AS (SELECT video_id, any_value(n)::INT AS n, list_sort(coalesce(list(f) FILTER (take), []))::INT[] AS p FROM d4 GROUP BY video_id)" + fill)
+
+
+@query(_split_sql(8))
 def adaptive_split(spark, d):
     return _flat(sampling.adaptive_split(_one(spark, d), ["video_id"], 8, t1=0.3, depth=3))
 
@@ -389,6 +390,24 @@ def cosine_nms(spark, d):
     return _flat(nms.gap_select(_one(spark, d), ["video_id"], 8))
 
 
+def _grid_sql(ks: list[int]) -> str:
+    uniform = lambda k: with_views("frames", body=f"SELECT video_id, unnest(CASE WHEN n <= {k} THEN generate_series(0, n - 1) ELSE [CASE WHEN i = {k - 1} THEN n - 1 ELSE trunc(i * ((n - 1)::DOUBLE / {k - 1}))::BIGINT END FOR i IN generate_series(0, {k - 1})] END)::INT AS frame_idx FROM (SELECT video_id, count(*) AS n FROM frames GROUP BY video_id)")
+    cosine = lambda k: _fold_sql("one", (*_BASE, "one"), str(k), _POOL_GAP, _NEVER, "SELECT video_id, unnest(kept) AS frame_idx FROM last")
+    every = " UNION ALL ".join(f"SELECT '{name}' AS method, {k} AS k, video_id, frame_idx FROM ({sql(k)})" for name, sql in (("uniform", uniform), ("cosine", cosine), ("split", _split_sql), ("cdf", _its_sql)) for k in ks)
+    return f"""WITH picks AS ({every}), items AS (SELECT DISTINCT label AS video_id, label * 2.0 AS a, label * 2.0 + 1.5 AS b FROM embeddings), calls AS (SELECT * FROM items, (SELECT unnest(['uniform', 'cosine', 'split', 'cdf']) AS method), (SELECT unnest({ks}) AS k)),
+h AS (SELECT c.method, c.k, c.video_id, coalesce(bool_or(frame_idx / 2.0 BETWEEN a AND b), FALSE) AS hit FROM calls c LEFT JOIN picks p ON p.method = c.method AND p.k = c.k AND p.video_id = c.video_id GROUP BY ALL)
+SELECT method, k::INT AS k, count(*) FILTER (hit) AS hits, count(*) AS items, round(avg(hit::INT), 4) AS rate FROM h GROUP BY method, k"""
+
+
+@query(_grid_sql([4, 8]))
+def selector_grid(spark, d):
+    """Four selectors by two K over one table of scores; an item whose video isn't cached doesn't count."""
+    videos = P.frames(spark, d).select("video_id").distinct()
+    items = videos.union(videos.groupBy().agg((F.max("video_id") + 1).alias("video_id"))).select("video_id", (F.col("video_id") * 2.0).alias("start_s"), (F.col("video_id") * 2.0 + 1.5).alias("end_s"))
+    chosen = selection.SELECTORS | {"split": lambda scores, keys, k: sampling.adaptive_split(scores, keys, k, t1=0.3, depth=3)}
+    return selection.hit_table(selection.selector_records(_one(spark, d), items, chosen, [4, 8], ["video_id"]))
+
+
 @query()
 def wavelet_mmr(spark, d):
     scored = _one(spark, d).join(P.frames(spark, d), ["video_id", "frame_idx"]).withColumn("score", (F.col("score") + 1) / 2)
