@@ -6,8 +6,9 @@ The search of one video is a small sequential process over its own frames, so ea
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 Detector = Callable[[str, list[int], list[str]], list[list[tuple[str, float, tuple[float, float, float, float]]]]]
 #: Weights of cues and of relations, the time window, the overlap that counts as attribute.
 TARGET_WEIGHT, CUE_WEIGHT, RELATION_WEIGHT, NEAR_FRAMES, OVERLAP = 1.0, 0.5, 0.25, 5, 0.5
@@ -146,49 +149,150 @@ def relation_bonus(frames: list[int], seen: list[dict], relations: list[tuple[st
     return bonus
 
 
-def search_video(video: str, n: int, g: Grounding, detect: Detector, k: int, ratio: float = 0.5, side: int = 4, threshold: float = 0.5, seed: int = 2025, update: str = "spline") -> tuple[list[int], list[float]]:
-    """(picks, final scores) of one video: until targets and relations are found or the budget is spent.
+class Search:
+    """The state of one video's search between rounds."""
 
-    A sampled frame's score is replaced by what was seen now, relations included; then the neighbours of the best quarter
-    rise, and ``update`` (spline or gaussian) turns the scores of visited frames into the next distribution.
-    """
-    rng = np.random.RandomState((seed ^ zlib.crc32(video.encode())) & 0x7FFFFFFF)
-    score, visited, p = np.zeros(n), np.zeros(n, bool), np.full(n, 1.0 / max(1, n))
-    left, missing, met = budget(n, ratio), list(g.targets), set()
-    first = True
-    while left > 0 and n and (missing or len(met) < len(g.relations)) and not visited.all():
-        size = min(side * side, n)
-        if first:
-            frames = sorted({int(i) for i in np.linspace(0, n - 1, size)})
+    def __init__(self, video: str, n: int, g: Grounding, k: int, ratio: float = 0.5, side: int = 4, threshold: float = 0.5, seed: int = 2025, update: str = "spline"):
+        self.video, self.n, self.g, self.k = video, n, g, k
+        self.side, self.threshold, self.update = side, threshold, update
+        self.rng = np.random.RandomState((seed ^ zlib.crc32(video.encode())) & 0x7FFFFFFF)
+        self.score, self.visited, self.p = np.zeros(n), np.zeros(n, bool), np.full(n, 1.0 / max(1, n))
+        self.left, self.missing, self.met, self.first = budget(n, ratio), list(g.targets), set(), True
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.g.targets, *self.g.cues]
+
+    def open(self) -> bool:
+        """Whether targets or relations are missing, and budget and unseen frames are left."""
+        return bool(self.left > 0 and self.n and (self.missing or len(self.met) < len(self.g.relations)) and not self.visited.all())
+
+    def sample(self) -> list[int]:
+        """The frames of the next grid image."""
+        size = min(self.side**2, self.n)
+        if self.first:
+            frames = sorted({int(i) for i in np.linspace(0, self.n - 1, size)})
         else:
-            q = (p + k / n) * ~visited
+            q = (self.p + self.k / self.n) * ~self.visited
             q = np.where(q >= np.quantile(q, 0.75), q, 0.0)
-            frames = sorted(rng.choice(n, min(size, int((q > 0).sum())), replace=False, p=q / q.sum()).tolist())
-        first = False
-        left -= side * side
-        visited[frames] = True
-        found = detect(video, frames, [*g.targets, *g.cues])
+            frames = sorted(self.rng.choice(self.n, min(size, int((q > 0).sum())), replace=False, p=q / q.sum()).tolist())
+        self.first = False
+        self.left -= self.side**2
+        self.visited[frames] = True
+        return frames
+
+    def confidence(self, found: list) -> float:
+        """The best weighted confidence of a frame's detections, 0 without any."""
+        return max([0.0, *(c * (TARGET_WEIGHT if name in self.g.targets else CUE_WEIGHT) for name, c, _ in found)])
+
+    def absorb(self, frames: list[int], found: list[list]) -> list[int]:
+        """Take a grid image's detections: scores, neighbours, distribution.  Returns the frames to be looked at alone."""
         seen = [{name: box for name, _, box in one} for one in found]
-        for one in found:
-            hit = next((name for name, c, _ in one if name in missing and c > threshold), None)
-            if hit:
-                missing.remove(hit)
-        seen_now = np.array([max([0.0, *(c * (TARGET_WEIGHT if name in g.targets else CUE_WEIGHT) for name, c, _ in one)]) for one in found])
-        confidence = seen_now + relation_bonus(frames, seen, g.relations, met)
-        score[frames] = confidence
-        raise_neighbours(score, frames, confidence)
-        p = UPDATES[update](score, np.flatnonzero(visited))
-    picks = np.lexsort((np.arange(n), -score))[:k]
-    return sorted(map(int, picks)), score.tolist()
-
-
-def relation_search(videos: DataFrame, detect: Detector, k: int, ratio: float = 0.5, update: str = "spline") -> DataFrame:
-    """uid, picks, scores; ``videos``: uid, video_id, n, targets, cues, relations (array of struct a, b, type)."""
+        confidence = np.array([self.confidence(one) for one in found]) + relation_bonus(frames, seen, self.g.relations, self.met)
+        self.score[frames] = confidence
+        raise_neighbours(self.score, frames, confidence)
+        self.p = UPDATES[self.update](self.score, np.flatnonzero(self.visited))
+        self.shown = dict(zip(frames, seen, strict=True))
+        return [f for f, one in zip(frames, seen, strict=True) if any(t in one for t in self.missing)]
+
+    def confirm(self, frames: list[int], alone: list[list]) -> None:
+        """Take the detections of single frames, in order: each replaces its frame's score, and may confirm one target.
+
+        A frame whose targets have all been confirmed on frames before it isn't looked at any more.
+        """
+        for f, one in zip(frames, alone, strict=True):
+            sought = [t for t in self.missing if t in self.shown[f]]
+            if sought:
+                self.score[f] = self.confidence(one)
+                sure = self.score[f] > self.threshold
+                names = {name for name, _, _ in one}
+                hit = next((t for t in sought if t in names and sure), None)
+                if hit is not None:
+                    self.missing.remove(hit)
+
+    def result(self) -> tuple[list[int], list[float]]:
+        """The k best frames in time order, and all scores."""
+        picks = np.lexsort((np.arange(self.n), -self.score))[: self.k]
+        return sorted(map(int, picks)), self.score.tolist()
+
+
+def search_video(video: str, n: int, g: Grounding, detect: Detector, k: int, ratio: float = 0.5, side: int = 4, threshold: float = 0.5, seed: int = 2025, update: str = "spline", alone: Detector | None = None) -> tuple[list[int], list[float]]:
+    """(picks, final scores) of one video: until targets and relations are found or the budget is spent.
+
+    A sampled frame's score is replaced by what was seen now, relations included; then the neighbours of the best quarter
+    rise, and ``update`` (spline or gaussian) turns the scores of visited frames into the next distribution.  Frames that
+    show a missing target are detected again, each alone (by ``alone``, else by ``detect``): that confidence replaces the
+    frame's score, and over ``threshold`` it takes the target off the list.
+    """
+    s = Search(video, n, g, k, ratio, side, threshold, seed, update)
+    while s.open():
+        frames = s.sample()
+        again = s.absorb(frames, detect(video, frames, s.names))
+        s.confirm(again, [(alone or detect)(video, [f], s.names)[0] for f in again])
+    return s.result()
 
+
+def _grounding(row: dict) -> Grounding:
+    return Grounding(row["targets"] or [], row["cues"] or [], [(r["a"], r["b"], r["type"]) for r in row["relations"] or []])
+
+
+def relation_search(videos: DataFrame, detect: Detector, k: int, ratio: float = 0.5, update: str = "spline", alone: Detector | None = None) -> DataFrame:
+    """uid, picks, scores; ``videos``: uid, video_id, n, targets, cues, relations (array of struct a, b, type).
+
+    Each video searches on its own, with calls of its own; ``search_rounds`` does the same for all videos together.
+    """
     def run(group: pa.Table) -> pa.Table:
         row = group.slice(0, 1).to_pylist()[0]
-        g = Grounding(row["targets"] or [], row["cues"] or [], [(r["a"], r["b"], r["type"]) for r in row["relations"] or []])
-        picks, scores = search_video(str(row["video_id"]), int(row["n"]), g, detect, k, ratio, update=update)
+        picks, scores = search_video(str(row["video_id"]), int(row["n"]), _grounding(row), detect, k, ratio, update=update, alone=alone)
         return pa.table({"uid": pa.array([str(row["uid"])]), "picks": pa.array([picks], pa.list_(pa.int32())), "scores": pa.array([scores], pa.list_(pa.float64()))})
 
     return videos.groupBy("uid").applyInArrow(run, "uid string, picks array<int>, scores array<double>")
+
+
+#: One call for many videos: (video, frames, names) each, answered like a ``Detector``'s call for each.
+ManyDetector = Callable[[list[tuple[str, list[int], list[str]]]], list[list[list[tuple[str, float, tuple[float, float, float, float]]]]]]
+_STATE = "uid string, open boolean, state binary"
+
+
+def search_rounds(videos: DataFrame, detect: ManyDetector, alone: ManyDetector, k: int, ratio: float = 0.5, update: str = "spline", at_once: int = 64, **options) -> DataFrame:
+    """uid, picks, scores like ``relation_search``, in rounds over all videos that are still open.
+
+    The searches are rows of a table that every round writes anew.  In a round a task makes one call of ``detect`` for the
+    next grid images of up to ``at_once`` videos, one of ``alone`` for all frames of theirs that show a missing target,
+    and draws each video's next frames.  A video that is done stays in the table of its last round.  The budget bounds
+    the number of rounds, and the driver sees only whether any video is open.
+    """
+    spark = videos.sparkSession
+
+    def rows(states: list[tuple[str, Search]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in states], pa.string()), pa.array([s.open() for _, s in states], pa.bool_()), pa.array([pickle.dumps(s) for _, s in states], pa.binary())], ["uid", "open", "state"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows([(str(r["uid"]), Search(str(r["video_id"]), int(r["n"]), _grounding(r), k, ratio, update=update, **options)) for r in batch.to_pylist()])
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                states = list(zip(part.column(0).to_pylist(), map(pickle.loads, part.column(2).to_pylist()), strict=True))
+                asked = [(s.video, s.sample(), s.names) for _, s in states]
+                again = [s.absorb(frames, found) for (_, s), (_, frames, _), found in zip(states, asked, detect(asked), strict=True)]
+                single = [(s.video, [f], s.names) for (_, s), frames in zip(states, again, strict=True) for f in frames]
+                seen = iter(alone(single) if single else [])
+                for (_, s), frames in zip(states, again, strict=True):
+                    s.confirm(frames, [next(seen)[0] for _ in frames])
+                yield rows(states)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pickle.loads(s).result() for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["uid", "picks", "scores"])
+
+    given = videos.select(F.col("uid").cast("string").alias("uid"), F.col("video_id").cast("string").alias("video_id"), "n", "targets", "cues", "relations")
+    now = scratch.written(given.repartition("uid").mapInArrow(begin, _STATE), "search")
+    done = now.where("not open")
+    while not now.where("open").isEmpty():
+        now = scratch.written(now.where("open").mapInArrow(go_on, _STATE), "search")
+        done = done.union(now.where("not open"))
+    return done.mapInArrow(finish, "uid string, picks array<int>, scores array<double>")
