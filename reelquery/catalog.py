@@ -15,12 +15,12 @@ from . import proxies as P
 from . import scratch
 from .functions import text as X
 from .functions import times as T
-from .operators import extraction, islands, metrics, nms, rank, sampling, search, temporal, tracks, vectors, wavelet
+from .operators import extraction, islands, metrics, nms, priors, rank, sampling, search, temporal, tracks, vectors, wavelet
 from .plans import combine as plan_combine
 from .plans import planner, selection
 from .proxies import with_views
 from .session import ship
-from .sources import attempts, sinks, tables
+from .sources import attempts, collate, phrases, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -891,3 +891,75 @@ def grounding_boxes(spark, d):
     ignored = orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("image_id"))
     out = tables.grounding_boxes(images, boxes, 32, True, ignored)
     return out.select("image_id", "ordinal", F.col("label").cast("long").alias("label"))
+
+
+def _annotation_files(spark, d):
+    """Captions and spans from two tables, written as JSON files of images and annotations; returns their folder."""
+    texts = P.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id"), F.lit(".jpg")).alias("file_name"), F.col("text").alias("caption"), F.lit(80.0).alias("height"), (F.col("doc_id") % 70 + 20).cast("double").alias("width"))
+    items = P.table(spark, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("image_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000).alias("id"), (F.col("l_partkey") % 97).cast("double").alias("x"), F.col("l_quantity").cast("double").alias("q"), (F.col("l_suppkey") % 6).cast("int").alias("a"), F.col("l_linenumber").cast("int").alias("n"))
+    span = lambda a, b: F.array(a, b)
+    spans = F.when(F.col("n") % 3 == 0, F.array(span(F.lit(0), F.col("a") + 1), span(F.col("a") + 3, F.col("a") + 5))).otherwise(F.array(span(F.col("a"), F.col("a") + F.col("n"))))
+    boxes = items.select("image_id", "id", F.array("x", F.lit(5.0), F.col("q") % 9, F.col("q") % 7 + 1).alias("bbox"), (F.col("q") - 3).alias("area"), (F.col("n") % 5 == 0).cast("int").alias("iscrowd"), (F.col("n") == 7).alias("ignore"), spans.alias("tokens_positive"))
+    files = F.col("image_id") % 8
+    images = texts.groupBy((F.col("id") % 8).alias("f")).agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "caption", "height", "width"))).alias("images"))
+    marks = boxes.groupBy(files.alias("f")).agg(F.array_sort(F.collect_list(F.struct("image_id", "id", "bbox", "area", "iscrowd", "ignore", "tokens_positive"))).alias("annotations"))
+    path = scratch.new_path(spark, "annotations")
+    images.join(marks, "f", "full").select(F.to_json(F.struct("images", "annotations")).alias("value")).repartition(8).write.text(path)
+    return path
+
+
+@query("""WITH i AS (SELECT doc_id AS image_id, text AS caption, 80.0 AS height, doc_id % 70 + 20 AS width FROM documents WHERE text IS NOT NULL),
+a AS (SELECT l_orderkey % 1000 AS image_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS id, l_partkey % 97 AS x, l_quantity % 9 AS w, l_quantity % 7 + 1 AS h, l_quantity - 3 AS area, l_linenumber % 5 = 0 AS iscrowd, l_linenumber = 7 AS ignore, l_suppkey % 6 AS s, l_linenumber AS n FROM lineitem),
+p AS (SELECT a.*, i.width, i.height, CASE WHEN n % 3 = 0 THEN substring(caption, 1, s + 1) || ' ' || substring(caption, s + 4, 2) ELSE substring(caption, s + 1, n) END AS phrase FROM a JOIN i USING (image_id)),
+l AS (SELECT image_id, phrase, row_number() OVER (PARTITION BY image_id ORDER BY min(id)) - 1 AS label FROM p GROUP BY image_id, phrase)
+SELECT p.image_id, p.phrase, label::INT AS label, x::DOUBLE AS x1, (x + w)::DOUBLE AS x2, (5 + h)::DOUBLE AS y2, iscrowd, count(*) AS n FROM p JOIN l ON l.image_id = p.image_id AND l.phrase = p.phrase
+WHERE NOT ignore AND area > 0 AND w >= 1 AND h >= 1 AND least(x + w, width) - greatest(x, 0) > 0 AND least(5 + h, height) - 5 > 0 GROUP BY ALL""")
+def phrase_boxes(spark, d):
+    """Annotation files: phrases cut out of whole captions, labels by first appearance."""
+    boxes, _ = phrases.phrase_boxes(*phrases.read_annotations(spark, _annotation_files(spark, d)))
+    return boxes.groupBy("image_id", "phrase", "label", "x1", "x2", "y2", "iscrowd").agg(F.count("*").alias("n"))
+
+
+_LEVELS = [(8, 10, 8), (4, 5, 16), (2, 3, 32)]
+_BASES = [[(10.0, 13.0), (16.0, 30.0)], [(30.0, 61.0), (62.0, 45.0)], [(116.0, 90.0), (156.0, 198.0)]]
+_PRIORS = "g AS (SELECT *, row_number() OVER (ORDER BY level, r, cl, base) - 1 AS prior FROM (SELECT level, r, cl, base, stride, (cl + 0.5) * stride AS px, (r + 0.5) * stride AS py, CASE WHEN base = 0 THEN w0 ELSE w1 END AS bw, CASE WHEN base = 0 THEN h0 ELSE h1 END AS bh FROM (SELECT level, stride, w0, h0, w1, h1, unnest(generate_series(0, height - 1)) AS r, width FROM (VALUES (0, 8, 10, 8, 10, 13, 16, 30), (1, 4, 5, 16, 30, 61, 62, 45), (2, 2, 3, 32, 116, 90, 156, 198)) AS t(level, height, width, stride, w0, h0, w1, h1)), LATERAL (SELECT unnest(generate_series(0, width - 1)) AS cl), (SELECT unnest([0, 1]) AS base)))"
+_HEAD = "h AS (SELECT l_orderkey * 10 + l_linenumber AS box_id, l_partkey % 212 AS prior, (l_quantity - 25) / 10.0::DOUBLE AS a, (l_suppkey % 9 - 4) / 3.0::DOUBLE AS b, l_discount * 10 AS c, l_tax * 10 AS d FROM lineitem)"
+
+
+def _head(spark, d):
+    return P.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), (F.col("l_partkey") % 212).alias("prior"), ((F.col("l_quantity") - 25) / 10.0).alias("a"), ((F.col("l_suppkey") % 9 - 4) / 3.0).alias("b"), (F.col("l_discount") * 10).alias("c"), (F.col("l_tax") * 10).alias("d"))
+
+
+def _decoded(spark, d, name, bases=None):
+    out = priors.decoded(_head(spark, d), priors.prior_grid(spark, _LEVELS, bases=bases or [[(1.0, 1.0)] * 2] * 3), name, ["a", "b", "c", "d"])
+    return out.select("box_id", *(F.round(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+_ROUNDED = "round(cx - w / 2, 5) AS x1, round(cy - h / 2, 5) AS y1, round(cx + w / 2, 5) AS x2, round(cy + h / 2, 5) AS y2"
+
+
+@query(f"WITH {_PRIORS}, {_HEAD}, s AS (SELECT box_id, (1 / (1 + exp(-a)) - 0.5) * 2 * stride + px AS cx, (1 / (1 + exp(-b)) - 0.5) * 2 * stride + py AS cy, pow(2 / (1 + exp(-c)), 2) * bw AS w, pow(2 / (1 + exp(-d)), 2) * bh AS h FROM h JOIN g USING (prior)) SELECT box_id, {_ROUNDED} FROM s")
+def decode_anchors(spark, d):
+    return _decoded(spark, d, "anchor", _BASES)
+
+
+@query(f"WITH {_PRIORS}, {_HEAD} SELECT box_id, round(px - a * stride, 5) AS x1, round(py - b * stride, 5) AS y1, round(px + c * stride, 5) AS x2, round(py + d * stride, 5) AS y2 FROM h JOIN g USING (prior)")
+def decode_distances(spark, d):
+    return _decoded(spark, d, "distances")
+
+
+@query(f"WITH {_PRIORS}, {_HEAD}, s AS (SELECT box_id, a * stride + px AS cx, b * stride + py AS cy, exp(c) * stride AS w, exp(d) * stride AS h FROM h JOIN g USING (prior)) SELECT box_id, {_ROUNDED} FROM s")
+def decode_offsets(spark, d):
+    return _decoded(spark, d, "offsets")
+
+
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders), b AS (SELECT o_orderkey, n // 16 AS batch, n % 16 AS place FROM o), l AS (SELECT batch, place, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY batch ORDER BY place, l_linenumber) - 1 AS at_ FROM lineitem JOIN b ON o_orderkey = l_orderkey),
+k AS (SELECT b.batch, b.place, count(l_orderkey) AS k FROM b LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), e AS (SELECT batch, place, k, sum(k) OVER (PARTITION BY batch ORDER BY place) - k AS start FROM k)
+SELECT e.batch, e.place::INT AS place, start::INT AS start, k::INT AS n_boxes, min(at_)::INT AS first_at FROM e LEFT JOIN l ON l.batch = e.batch AND l.place = e.place GROUP BY ALL""")
+def collated(spark, d):
+    """Orders in batches of 16, their lines end to end: where each order's lines begin."""
+    samples = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_orderkey").alias("ordinal"))
+    lines = P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("box_id"))
+    whole, flat = collate.collate(samples, lines, 16)
+    starts = whole.select("batch", F.posexplode("keys").alias("place", "key"), "offsets").select("batch", "place", F.get("offsets", F.col("place")).alias("start"), (F.get("offsets", F.col("place") + 1) - F.get("offsets", F.col("place"))).alias("n_boxes"))
+    return starts.join(flat.groupBy("batch", "place").agg(F.min("at").alias("first_at")), ["batch", "place"], "left")
