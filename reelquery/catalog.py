@@ -20,7 +20,7 @@ from .plans import combine as plan_combine
 from .plans import planner, selection
 from .proxies import with_views
 from .session import ship
-from .sources import attempts, collate, phrases, sinks, tables
+from .sources import adapters, attempts, collate, phrases, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -446,6 +446,12 @@ def search_in_rounds(spark, d):
     return search.search_rounds(_searches(spark, d), _stand_in_detections, _stand_in_close_look, 8).select("uid", F.posexplode("scores").alias("frame_idx", "score")).withColumn("score", F.round("score", 6))
 
 
+@query("SELECT uid, unnest([CASE WHEN i = 23 THEN n - 1 ELSE floor(i * ((n - 1) / 23.0::DOUBLE)) END FOR i IN generate_series((b - 1) * 8, b * 8 - 1)])::INT AS frame_idx FROM (SELECT o_orderkey AS uid, o_custkey % 400 + 1 AS n, o_orderkey % 3 + 1 AS b FROM orders)")
+def batch_sample(spark, d):
+    rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), (F.col("o_custkey") % 400 + 1).alias("n"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("b"))
+    return rows.select("uid", F.explode(sampling.batch_of_grid(F.col("n"), 8, F.col("b"), 3)).alias("frame_idx"))
+
+
 @query("SELECT o_orderkey AS uid, unnest(generate_series(0, n - 1, greatest(1, n // 8)))::INT AS frame_idx FROM (SELECT o_orderkey, o_custkey % 400 + 8 AS n FROM orders)")
 def stride_sample(spark, d):
     rows = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), (F.col("o_custkey") % 400 + 8).alias("n"))
@@ -574,6 +580,19 @@ def subtitle_frames(spark, d):
     return temporal.interleave(frames, said, "uid", width=2.0)
 
 
+@query("""WITH i AS (SELECT user_id::VARCHAR AS uid, CASE user_id % 4 WHEN 0 THEN 30000.0::DOUBLE / 1001 WHEN 1 THEN 25.0 WHEN 2 THEN 2.0 END AS fps, user_id % 2 = 0 AS own FROM events GROUP BY user_id), e AS (SELECT user_id::VARCHAR AS uid, epoch(ts) // 600 AS f, event_type FROM events),
+b AS (SELECT uid, list(f) FILTER (event_type = 'purchase') AS g, list(f) FILTER (event_type = 'click') AS p FROM e GROUP BY uid), n AS (SELECT fps, [list_min([abs(x - y) FOR y IN p]) FOR x IN g] AS near, len(p) AS m FROM b JOIN i USING (uid) WHERE own AND fps IS NOT NULL AND len(g) > 0 AND len(p) > 0),
+s AS (SELECT len(list_filter(near, lambda x: x <= 3 * fps)) / m::DOUBLE AS a, len(list_filter(near, lambda x: x <= 3 * fps)) / len(near)::DOUBLE AS r FROM n)
+SELECT round(sum(a) / any_value(c), 6) AS precision, round(sum(r) / any_value(c), 6) AS recall, round(sum(CASE WHEN a + r > 0 THEN 2 * a * r / (a + r) ELSE 0 END) / any_value(c), 6) AS f1 FROM s, (SELECT count(*) AS c FROM i)""")
+def prf_over_all(spark, d):
+    """A group's precision and recall over all items, at each item's frame rate."""
+    e = P.table(spark, d, "events").select(F.col("user_id").cast("string").alias("uid"), F.floor(F.unix_timestamp("ts") / 600).cast("double").alias("frame"), "event_type", "user_id")
+    rate = F.when(F.col("user_id") % 4 == 0, "30000/1001").when(F.col("user_id") % 4 == 1, "25").when(F.col("user_id") % 4 == 2, "2")
+    items = e.select("uid", T.fraction(rate).alias("fps"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("grp")).distinct()
+    out = temporal.prf_over_all(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), items, 3.0, "even")
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
 def _answers(spark, d):
     letter = lambda c: F.char(65 + F.col(c))
     rows = P.table(spark, d, "labels").join(P.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
@@ -594,6 +613,14 @@ def accuracy(spark, d):
     return metrics.accuracy(_answers(spark, d).withColumn("answer", F.upper("answer")))
 
 
+@query(f"WITH {_ANSWERS}, e AS (SELECT uid, CASE WHEN uid % 2 = 0 THEN gold ELSE upper(answer) END AS answer, gold FROM answers WHERE uid % 3 = 0), r AS (SELECT * FROM e UNION ALL SELECT uid, upper(answer), gold FROM answers WHERE uid % 3 > 0) SELECT count(*) AS total, sum((answer IS NOT DISTINCT FROM gold)::INT)::BIGINT AS correct, round(avg((answer IS NOT DISTINCT FROM gold)::INT), 4) AS accuracy FROM r")
+def accuracy_resumed(spark, d):
+    """A run that goes on after an earlier one, whose results count as they were."""
+    rows = _answers(spark, d).withColumn("answer", F.upper("answer"))
+    earlier = rows.where("uid % 3 = 0").withColumn("answer", F.when(F.col("uid") % 2 == 0, F.col("gold")).otherwise(F.col("answer")))
+    return metrics.accuracy_resumed(rows, earlier)
+
+
 @query(with_views(*_TIMES, body=", c AS (SELECT uid, start_s, end_s, count(t) FILTER (t BETWEEN start_s AND end_s) AS inside FROM truth LEFT JOIN picks USING (uid) GROUP BY ALL) SELECT uid, round(least(1.0, inside / greatest(1, least(8, floor((end_s - start_s) / 10) + 1))), 6) AS reward FROM c".lstrip()))
 def frames_in_gt(spark, d):
     rows = P.truth(spark, d).join(P.picks(spark, d), "uid", "left").groupBy("uid", "start_s", "end_s").agg(F.count_if(F.col("t").between(F.col("start_s"), F.col("end_s"))).alias("inside"))
@@ -658,13 +685,15 @@ def combine_ids(spark, d):
 
 
 def _options():
-    return F.create_map(F.lit("B"), F.substring("text", 5, 6), F.lit("A"), F.substring("text", 1, 4))
+    lines = F.split("text", "\n")
+    return F.create_map(F.lit("B"), F.element_at(lines, -1), F.lit("A"), F.element_at(lines, 1))
 
 
-@query("SELECT item_id, '  B: ' || substring(text, 5, 6) || chr(10) || '  A: ' || substring(text, 1, 4) AS options, 'A) ' || substring(text, 1, 4) || chr(10) || 'B) ' || substring(text, 5, 6) AS sorted, text || ' ' || substring(text, 1, 4) || ' ' || substring(text, 5, 6) AS query FROM benchmark")
+@query("SELECT doc_id, '  B: ' || b || chr(10) || '  A: ' || a AS options, 'A) ' || a || chr(10) || 'B) ' || b AS sorted, text || ' ' || a || ' ' || b AS query FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS a, string_split(text, chr(10))[-1] AS b FROM documents WHERE text IS NOT NULL)")
 def prompt_parts(spark, d):
-    rows = P.table(spark, d, "benchmark")
-    return rows.select("item_id", X.format_options(_options()).alias("options"), X.format_options(_options(), "bracket").alias("sorted"), X.retrieval_query(F.col("text"), _options()).alias("query"))
+    """Options are the first and last lines of whole texts."""
+    rows = P.table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", X.format_options(_options()).alias("options"), X.format_options(_options(), "bracket").alias("sorted"), X.retrieval_query(F.col("text"), _options()).alias("query"))
 
 
 _ANSWER = "CASE turn % 4 WHEN 0 THEN 'It is (B). Confidence: ' || conv_id % 8 WHEN 1 THEN 'B? No, A; ' || text WHEN 2 THEN chr(10) || '  ' || lower(text) ELSE text || ' confidence ' || conv_id % 6 END"
@@ -678,17 +707,36 @@ def answer_parse(spark, d):
     return rows.select("conv_id", "turn", X.parse_answer(F.col("reply"), options).alias("answer"), F.coalesce(X.parse_confidence(F.col("reply")), F.lit(-1)).alias("confidence"))
 
 
+_COMPLETION = """CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN to_json(array(named_struct('type', 'text', 'text', text), named_struct('type', 'image', 'text', 'x'), named_struct('type', 'text', 'text', role))) ELSE concat('[', text) END"""
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || role ELSE '[' || text END AS completion FROM conversations")
+def completion_text(spark, d):
+    """Completions that are plain texts, and lists of parts as JSON."""
+    rows = P.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_COMPLETION).alias("reply"))
+    return planner.completion_text(rows, "reply", "completion").select("conv_id", "turn", "completion")
+
+
+@query("SELECT conv_id, turn, 'at ' || CASE turn % 2 WHEN 0 THEN (turn % 7 + 1)::VARCHAR ELSE (turn % 7 + 0.5::DOUBLE)::VARCHAR END || ' fps, ' || (turn + 1) || '.0s: ' || text || ' [image, text]' || chr(10) || '  B: ' || role || chr(10) || '  A: no' AS prompt FROM conversations")
+def planner_prompts(spark, d):
+    fps = F.when(F.col("turn") % 2 == 0, F.col("turn") % 7 + 1.0).otherwise(F.col("turn") % 7 + 0.5)
+    options = F.create_map(F.lit("B"), F.col("role"), F.lit("A"), F.lit("no"))
+    made = planner.planner_prompt(F.col("text"), options, F.array(F.lit("image"), F.lit("text")), F.col("turn") + 1.0, "at {fps} fps, {duration}: {question} [{tools}]\n{options}", fps)
+    return P.table(spark, d, "conversations").select("conv_id", "turn", made.alias("prompt"))
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE NOT contains(text, 'the') AND role NOT IN ('system')")
 def keep_questions(spark, d):
     rows = P.table(spark, d, "conversations").where(F.col("text").isNotNull() & F.col("role").isNotNull())
     return rows.where(X.keep_question(F.col("text"), F.col("role"), "the", ("system",))).select("conv_id", "turn")
 
 
-@query("SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN (SELECT text[1:3] AS t, arg_max(item_id, item_id) AS item_id FROM benchmark GROUP BY 1) b ON c.text[1:3] = b.t")
+@query("SELECT d.doc_id, l.item_id FROM documents d JOIN (SELECT text, max(doc_id) AS item_id FROM documents WHERE text IS NOT NULL GROUP BY text) l USING (text)")
 def join_by_question(spark, d):
-    items = P.table(spark, d, "benchmark").select(F.substring("text", 1, 3).alias("question"), "item_id", F.col("item_id").alias("ordinal"))
-    asked = P.table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 3).alias("question"))
-    return tables.join_by_question(asked, items).select("conv_id", "turn", "item_id")
+    """Whole texts against whole texts: the last document of each text."""
+    docs = P.table(spark, d, "documents")
+    items = docs.select(F.col("text").alias("question"), F.col("doc_id").alias("item_id"), F.col("doc_id").alias("ordinal"))
+    return tables.join_by_question(docs.select("doc_id", F.col("text").alias("question")), items).select("doc_id", "item_id")
 
 
 @query("WITH u AS (SELECT 0 AS run, o_custkey AS uid, o_orderkey AS ordinal FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 1, o_custkey, o_orderkey FROM orders) SELECT run, uid, ordinal FROM u QUALIFY row_number() OVER (PARTITION BY uid ORDER BY run, ordinal) = 1")
@@ -705,7 +753,7 @@ def judge_votes(spark, d):
     return out.withColumn("i", F.col("i") + 1)
 
 
-_GROUNDING = "'Key Objects: ' || substring(text, 1, 9) || ', table' || chr(10) || 'Cue Objects: ' || substring(text, 3, 5) || ' , lamp,' || chr(10) || 'Rel: (' || substring(text, 1, 3) || '; spatial; table), (broken; x), (a ; time; ' || item_id || ')'"
+_GROUNDING = "'Key Objects: ' || replace(text, chr(10), ',') || ', table' || chr(10) || 'Cue Objects: ' || replace(replace(text, chr(10), ' '), ' ', ' , ') || ' , lamp,' || chr(10) || 'Rel: (' || translate(text, chr(10) || '();', '    ') || '; spatial; table), (broken; x), (a ; time; ' || item_id || ')'"
 
 
 @query(rf"""WITH r AS (SELECT item_id, {_GROUNDING} AS r FROM benchmark), g AS (SELECT item_id, list_filter([trim(x) FOR x IN string_split(regexp_extract(r, '(?m)^\s*Key Objects:\s*(.*)$', 1), ',')], lambda x: x <> '') AS targets,
@@ -963,3 +1011,16 @@ def collated(spark, d):
     whole, flat = collate.collate(samples, lines, 16)
     starts = whole.select("batch", F.posexplode("keys").alias("place", "key"), "offsets").select("batch", "place", F.get("offsets", F.col("place")).alias("start"), (F.get("offsets", F.col("place") + 1) - F.get("offsets", F.col("place"))).alias("n_boxes"))
     return starts.join(flat.groupBy("batch", "place").agg(F.min("at").alias("first_at")), ["batch", "place"], "left")
+
+
+def _choices(spark, d):
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    rows = P.table(spark, d, "documents").where("text is not null").select("doc_id", lines.alias("l"), "lang", "source")
+    return rows.where("size(l) > 2").select("doc_id", F.col("doc_id").cast("string").alias("video_id"), F.concat("doc_id", F.lit(".mp4")).alias("video_path"), F.col("l")[0].alias("question"), F.slice("l", 2, 3).alias("candidates"), (F.col("doc_id") % 6).cast("int").alias("correct_choice"), F.concat("lang", F.when(F.col("doc_id") % 5 == 0, "T").otherwise("S")).alias("question_category"), F.col("source").alias("duration_group"), F.lit(None).cast("array<int>").alias("position"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l, lang FROM documents WHERE text IS NOT NULL)
+SELECT doc_id::VARCHAR AS video_id, 'v/' || doc_id || '.mp4' AS video_path, l[1] AS question, 'A) ' || l[2] || chr(10) || 'B) ' || l[3] || CASE WHEN len(l) > 3 THEN chr(10) || 'C) ' || l[4] ELSE '' END AS options, chr(65 + (doc_id % 6)::INT) AS answer FROM l WHERE len(l) > 2 AND doc_id % 5 > 0 AND doc_id % 6 < 5""")
+def choice_questions(spark, d):
+    """Questions with candidates made of whole lines; categories with a T and answers without a letter go."""
+    return adapters.from_choices(_choices(spark, d), "v/").select("video_id", "video_path", "question", "options", "answer")

@@ -65,6 +65,12 @@ def accuracy(rows: DataFrame, digits: int = 4) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.coalesce(good, F.lit(0)).alias("correct")).withColumn("accuracy", F.coalesce(F.round(F.try_divide("correct", "total"), digits), F.lit(0.0)))
 
 
+def accuracy_resumed(rows: DataFrame, earlier: DataFrame, key: str = "uid", digits: int = 4) -> DataFrame:
+    """The accuracy of a run that goes on after ``earlier`` (both: key, answer, gold): an item that has a result keeps it."""
+    cols = [key, "answer", "gold"]
+    return accuracy(earlier.select(*cols).dropDuplicates([key]).union(rows.select(*cols).join(earlier.select(key), key, "left_anti")), digits)
+
+
 def accuracy_by_group(rows: DataFrame, group: str = "grp") -> DataFrame:
     """Per group and in all (group ``total``): answered, correct, errors, accuracy; errors and empty answers don't count."""
     bad = F.col("error").isNotNull() | F.coalesce(F.trim("answer") == "", F.lit(True))

@@ -110,3 +110,11 @@ def segment_stats(scores: DataFrame, keys: list[str], score: str = "score") -> D
 def stride_sample(n: Column, k: int) -> Column:
     """range(0, n, n // k), the baseline of the benchmark's table."""
     return F.sequence(F.lit(0), n.cast("int") - 1, F.greatest(F.lit(1), F.floor(n / k).cast("int")))
+
+
+def batch_of_grid(n: Column, k: int, batch: Column, batches: int) -> Column:
+    """The k frames of one of ``batches`` batches (from 1) of an even grid of k * batches frames; frames may repeat in short videos."""
+    total = k * batches
+    step = (n - 1) / F.lit(float(total - 1)) if total > 1 else F.lit(0.0)
+    at = lambda i: F.when(i == total - 1, n - 1).otherwise(F.floor(i * step)).cast("int") if total > 1 else F.lit(0)
+    return F.when(n > 0, F.transform(F.sequence((batch - 1) * k, batch * k - 1), at)).otherwise(F.lit([]).cast("array<int>"))

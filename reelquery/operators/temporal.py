@@ -51,6 +51,23 @@ def prf_covered(truth: DataFrame, pred: DataFrame, within: float, key: str = "ui
     return _per_item(truth, pred, key, at, within).select(key, hit.cast("int").alias("covered"), (hit / F.col("n_pred")).alias("precision"), (hit / F.col("n_truth")).alias("recall"))
 
 
+def prf_over_all(truth: DataFrame, pred: DataFrame, items: DataFrame, seconds: float, group: str | None = None, key: str = "uid", at: str = "frame") -> DataFrame:
+    """One row of precision, recall and f1: sums over the items of a group with a known rate, divided by all items.
+
+    ``items``: key, fps (null: unknown), grp, one row each; times are frame numbers, and a truth is covered within
+    ``seconds`` of a prediction at the item's rate.  Items of other groups, without a rate or without a side add nothing,
+    but count.
+    """
+    limits = items.where("fps is not null").where(F.lit(True) if group is None else F.col("grp") == group).select(key, (F.col("fps") * seconds).alias("__limit"))
+    rows = _sides(truth.join(limits, key), pred.join(limits.select(key), key, "left_semi"), key, at, "__limit")
+    per = rows.groupBy(key).agg(F.count_if("side").alias("n"), F.count_if(~F.col("side")).alias("m"), F.count_if(F.col("side") & (F.col("gap") <= F.col("__limit"))).alias("hit")).where("n > 0 and m > 0")
+    p, r = F.col("hit") / F.col("m"), F.col("hit") / F.col("n")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    sums = per.agg(total(p).alias("p"), total(r).alias("r"), total(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))).alias("f"))
+    share = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return sums.crossJoin(items.agg(F.count("*").alias("n"))).select(share("p").alias("precision"), share("r").alias("recall"), share("f").alias("f1"))
+
+
 def annd(truth: DataFrame, pred: DataFrame, key: str = "uid", at: str = "t") -> DataFrame:
     """key, to_pred, to_truth, annd: mean nearest distances of truths and of predictions, and their mean."""
     one, two = F.col("truth_gap") / F.col("n_truth"), F.col("pred_gap") / F.col("n_pred")

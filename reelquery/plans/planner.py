@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 QUERIES = "array<struct<tool:string,query:string,id:string>>"
 #: Where a reply's JSON may stand.
@@ -74,6 +75,23 @@ def message_text(messages: Column) -> Column:
     return F.array_join(F.transform(F.filter(messages, lambda m: m["type"] == "text"), lambda m: m["text"]), "\n")
 
 
+def completion_text(rows: DataFrame, column: str, out: str = "text") -> DataFrame:
+    """Adds the text of a completion: a plain text as it is, a list of parts as their texts, one per line.
+
+    ``column`` is a string, an array of struct (type, text), or a string that holds such a list as JSON.
+    """
+    kind = rows.schema[column].dataType
+    if not isinstance(kind, StringType):
+        return rows.withColumn(out, message_text(F.col(column)))
+    parts = F.from_json(column, "array<struct<type:string,text:string>>")
+    return rows.withColumn(out, F.when(F.startswith(F.ltrim(column), F.lit("[")) & parts.isNotNull() & F.coalesce(F.forall(parts, lambda p: p["type"].isNotNull()), F.lit(False)), message_text(parts)).otherwise(F.col(column)))
+
+
+def rate_label(fps: Column) -> Column:
+    """A frame rate as text, without a fraction if it is whole."""
+    return F.when(fps == F.floor(fps), fps.cast("long").cast("string")).otherwise(fps.cast("string"))
+
+
 def fill(template: Column, **values: Column) -> Column:
     """A prompt template with {name} placeholders."""
     for name, value in values.items():
@@ -89,11 +107,12 @@ PLANNER_TEMPLATE = (
 )
 
 
-def planner_prompt(question: Column, options: Column, tools: Column, seconds: Column, template: str = PLANNER_TEMPLATE) -> Column:
-    """The prompt of the planner, options in the given order, the length as ``12.0s``."""
+def planner_prompt(question: Column, options: Column, tools: Column, seconds: Column, template: str = PLANNER_TEMPLATE, fps: Column | None = None) -> Column:
+    """The prompt of the planner, options in the given order, the length as ``12.0s``, the rate (if the template has it) as ``2``."""
     from ..functions.text import format_options, seconds_label
 
-    return fill(F.lit(template), duration=seconds_label(seconds), tools=F.array_join(tools, ", "), options=format_options(options), question=question)
+    text = fill(F.lit(template), fps=rate_label(fps)) if fps is not None else F.lit(template)
+    return fill(text, duration=seconds_label(seconds), tools=F.array_join(tools, ", "), options=format_options(options), question=question)
 
 
 def plan(items: DataFrame, prompt: str, model, tools: list[str]) -> DataFrame:

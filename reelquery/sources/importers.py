@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +73,34 @@ def regroup(rows: DataFrame, longest_short: float = 600.0) -> tuple[DataFrame, D
 def common_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both tables cut to the keys they share."""
     return a.join(b.select(*keys), keys, "left_semi"), b.join(a.select(*keys), keys, "left_semi")
+
+
+#: Names under which feature files keep their matrix, in the order in which they are looked for.
+FEATURE_NAMES = ("features", "embeddings", "image_features", "emb")
+
+
+def decode_features(content: bytes) -> list[list[float]]:
+    """The matrix of an .npy file, or of an .npz file: under one of ``FEATURE_NAMES``, else its only matrix; others are errors."""
+    found = np.load(io.BytesIO(content), allow_pickle=False)
+    if not isinstance(found, np.ndarray):
+        names = [n for n in FEATURE_NAMES if n in found.files] or ([found.files[0]] if len(found.files) == 1 else [])
+        if not names:
+            raise ValueError(f"no features among {found.files}")
+        found = found[names[0]]
+    if found.ndim != 2:
+        raise ValueError(f"a matrix is asked for, not {found.ndim} dimensions")
+    return found.astype(np.float32).tolist()
+
+
+_PROBED = "frame_count bigint, frame_rate double, duration double, width int, height int, codec string, bitrate bigint"
+
+
+def probe_videos(videos: DataFrame, read: Callable[[bytes], dict]) -> DataFrame:
+    """file_name, what ``read`` tells of each video (path, content), resolution, and an error where it fails; duration is frames
+    over rate, 0 without a rate; a missing codec is ``N/A``, a missing bitrate 0."""
+    from .attempts import attempt
+
+    tried = attempt(videos, lambda row: {"frame_count": 0, "frame_rate": 0.0, "codec": "N/A", "bitrate": 0, **read(row["content"])}, f"struct<{_PROBED.replace(' ', ':').replace(',:', ',')}>", key="path")
+    v = lambda c: F.col(f"value.{c}")
+    length = F.when(v("frame_rate") > 0, v("frame_count") / v("frame_rate")).otherwise(F.when(F.col("error").isNull(), 0.0))
+    return tried.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), v("frame_count").alias("frame_count"), v("frame_rate").alias("frame_rate"), length.alias("duration"), F.concat(v("width"), F.lit("x"), v("height")).alias("resolution"), v("codec").alias("codec"), v("bitrate").alias("bitrate"), "error")

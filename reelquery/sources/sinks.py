@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import platform
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,27 @@ def write_cache(rows: DataFrame, path: str, key: str = "video_id") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_in_parts(items: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, every: int, key: str = "uid") -> DataFrame:
+    """Run ``work`` (rows with ``key`` in and out) over the items in parts of about ``every``, each written when it is done.
+
+    Parts are dealt by the key's hash and their number is kept with the results, so a run that is started again skips the
+    parts that are there and does the others, and one that is cut off loses a part at most.  Returns all results.
+    """
+    spark = items.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    there = lambda p: fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(p))
+    if there(f"{path}/parts/_SUCCESS"):
+        parts = spark.read.parquet(f"{path}/parts").first()["n"]
+    else:
+        parts = max(1, -(-items.count() // every))
+        spark.range(1).select(F.lit(parts).alias("n")).write.mode("overwrite").parquet(f"{path}/parts")
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts))
+    for k in range(parts):
+        if not there(f"{path}/results/part={k}/_SUCCESS"):
+            work(items.where(part == k)).write.mode("overwrite").parquet(f"{path}/results/part={k}")
+    return spark.read.option("basePath", f"{path}/results").parquet(*(f"{path}/results/part={k}" for k in range(parts))).drop("part")
+
+
 def write_results(rows: DataFrame, path: str, form: str = "parquet") -> None:
     rows.write.mode("append").format(form).save(path)
 
