@@ -95,7 +95,7 @@ def snapshots_by_video(questions: DataFrame, files: DataFrame) -> DataFrame:
     number = F.regexp_extract("name", r"_(\d+)\.", 1).cast("int")
     per = files.groupBy("video", "question").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.endswith("name", F.lit(".jpg")), F.struct("name", number.alias("n"))))), lambda x: x["n"]).alias("f"),
-        F.min(F.when(F.endswith("name", F.lit(".txt")), F.struct("name", F.trim("text").alias("t"))))["t"].alias("a"),
+        F.min(F.when(F.endswith("name", F.lit(".txt")), F.struct("name", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t"))))["t"].alias("a"),
     )
     listed = per.groupBy("video").agg(F.array_sort(F.collect_list("f")).alias("frames"), F.transform(F.array_sort(F.collect_list(F.struct("question", "a"))), lambda x: x["a"]).alias("answers"))
     return questions.join(listed, "video", "left")
