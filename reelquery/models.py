@@ -109,15 +109,19 @@ def ask_once(rows: DataFrame, prompt: str, reply: str, model: Model) -> DataFram
     return rows.join(asked, prompt, "left")
 
 
-def _unit(column: Column) -> Column:
-    length = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(column, lambda x: x / F.greatest(length, F.lit(1e-12)))
+def _unit(encoder: Encoder) -> Encoder:
+    """The encoder's vectors over their lengths."""
+    def encode_unit(values: Sequence) -> np.ndarray:
+        out = np.asarray(encoder(values), float)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return encode_unit
 
 
 def class_prompts(classes: DataFrame, encoder: Encoder) -> DataFrame:
     """class_id, emb: the unit vector of each class's first caption (``classes``: class_id, captions); a class without one has none."""
     named = classes.where("size(captions) > 0").select("class_id", F.col("captions")[0].alias("caption"))
-    vectors = named.select("caption").distinct().select("caption", _unit(encode(F.col("caption"), encoder)).alias("emb"))
+    vectors = named.select("caption").distinct().select("caption", encode(F.col("caption"), _unit(encoder)).alias("emb"))
     return named.join(vectors, "caption").select("class_id", "emb")
 
 
@@ -125,8 +129,8 @@ def image_prompts(images: DataFrame, vision: Encoder, text: Encoder) -> DataFram
     """place, class_id, emb: the unit vector of each class's image (class_id, image), and one of a blank text at the end that pads."""
     from .operators.rank import numbered
 
-    one = numbered(images.select("class_id", "image"), ["class_id"], "place").select("class_id", _unit(encode(F.col("image"), vision)).alias("emb"), "place")
-    pad = images.sparkSession.range(1).select(F.lit(None).cast(images.schema["class_id"].dataType).alias("class_id"), _unit(encode(F.lit(" "), text)).alias("emb"))
+    one = numbered(images.select("class_id", "image"), ["class_id"], "place").select("class_id", encode(F.col("image"), _unit(vision)).alias("emb"), "place")
+    pad = images.sparkSession.range(1).select(F.lit(None).cast(images.schema["class_id"].dataType).alias("class_id"), encode(F.lit(" "), _unit(text)).alias("emb"))
     return one.union(pad.crossJoin(images.agg(F.count("*").alias("place")))).select("place", "class_id", "emb")
 
 
