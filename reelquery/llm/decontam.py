@@ -81,7 +81,9 @@ def _index(held) -> tuple[list[list], _Index]:
     return ids, _indexes[key]
 
 
-def _search(held, percent: int, size: int, pairs: bool):
+def _search(held: list, percent: int, size: int, form: str):
+    """A scan over the blocks ``held`` (broadcasts): ``pairs`` reports, ``clean`` keeps the rows without a match, ``bad`` gives
+    the digests (of a column after the text) of the others."""
     def candidates(index: _Index, x: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
         """Distinct (text * items + item) with an equal minimum; ``first``: where each text's shingles begin."""
         flip, times = _constants()
@@ -130,21 +132,30 @@ def _search(held, percent: int, size: int, pairs: bool):
         return out
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index = _index(held)
+        blocks = [_index(h) for h in held]
         for part, texts in C.groups(batches):
-            rows = matches(index, ids, part.num_rows, texts)
+            rows = [m for ids, index in blocks for m in matches(index, ids, part.num_rows, texts)]
             if rows:
                 t, item, total, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(item, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "n_item", "n_found"])
 
+    def keeps(part: pa.RecordBatch, texts: C.Texts, blocks: list) -> np.ndarray:
+        keep = np.ones(part.num_rows, bool)
+        for ids, index in blocks:
+            keep[[m[0] for m in matches(index, ids, part.num_rows, texts)]] = False
+        return keep
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index = _index(held)
+        blocks = [_index(h) for h in held]
         for part, texts in C.groups(batches):
-            keep = np.ones(part.num_rows, bool)
-            keep[[m[0] for m in matches(index, ids, part.num_rows, texts)]] = False
-            yield part.filter(pa.array(keep))
+            yield part.filter(pa.array(keeps(part, texts, blocks)))
 
-    return report if pairs else clean
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_index(h) for h in held]
+        for part, texts in C.groups(batches):
+            yield part.select(["digest"]).filter(pa.array(~keeps(part, texts, blocks)))
+
+    return {"pairs": report, "clean": clean, "bad": bad}[form]
 
 
 def _sets(size: int):
@@ -192,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size:
     found = []
     for few, last in _by_few(_blocks(benchmark, size)):
         held = [spark.sparkContext.broadcast(block) for block in few]
-        some = reduce(DataFrame.union, [C.id_text(docs).mapInArrow(_search(h, percent, size, True), schema) for h in held])
+        some = C.id_text(docs).mapInArrow(_search(held, percent, size, "pairs"), schema)
         found.append(some if last else C.materialize(some, "contaminated"))
         for h in held if not last else ():
             h.unpersist()
@@ -200,15 +211,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that match no item; one scan for ``AT_ONCE`` blocks of items, no shuffle."""
+    """The rows of ``docs`` that match no item; one scan for ``AT_ONCE`` blocks of items.
+
+    The scans but the last give the digests of the texts that match, which the rows of the last scan then must not have;
+    so the corpus is never written, and not shuffled either where one scan is enough.
+    """
     spark = docs.sparkSession
     C.small_batches(spark)
+    found: list[DataFrame] = []
+    out = docs
     for few, last in _by_few(_blocks(benchmark, size)):
         held = [spark.sparkContext.broadcast(block) for block in few]
+        if last:
+            out = docs.mapInArrow(_search(held, percent, size, "clean"), docs.schema)
+            break
+        text = F.coalesce(F.col("text"), F.lit(""))
+        given = docs.select(text.alias("text"), F.sha2(text, 256).alias("digest"))
+        found.append(C.materialize(given.mapInArrow(_search(held, percent, size, "bad"), "digest string").distinct(), "decontaminated"))
         for h in held:
-            docs = docs.mapInArrow(_search(h, percent, size, False), docs.schema)
-        if not last:
-            docs = C.materialize(docs, "decontaminated")
-            for h in held:
-                h.unpersist()
-    return docs
+            h.unpersist()
+    for digests in found:
+        name = "_".join(["digest", *docs.columns])  # unlike any column
+        out = out.join(digests.withColumnRenamed("digest", name), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) == F.col(name), "left_anti")
+    return out

@@ -192,6 +192,18 @@ def test_contaminated_in_blocks_and_empty(spark, docs, monkeypatch):
     whole = {tuple(r) for r in decontam.contaminated(frame(spark, docs), bench).collect()}
     monkeypatch.setattr(decontam, "BLOCK", 150)
     assert {tuple(r) for r in decontam.contaminated(frame(spark, docs), bench).collect()} == whole
+    # repeated rows, null ids and columns with the names that are used inside, over several groups of blocks
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
+    again = [(i, t, "x", 1) for i, t in docs + docs[:3]] + [(None, docs[0][1], "y", 2), (None, None, "y", 3), (77777, "", "y", 4)]
+    wide = spark.createDataFrame(again, "doc_id long, text string, digest string, h int")
+    twice = bench.union(bench.limit(2))
+    found = {tuple(r) for r in decontam.contaminated(wide, twice).collect()}
+    assert {f for f in found if f[0] is not None} == whole and {f[1:] for f in found if f[0] is None} == {f[1:] for f in whole if f[0] == docs[0][0]}
+    bad = {t for i, t in docs if i in {f[0] for f in whole}}
+    left = decontam.decontaminate(wide, twice)
+    assert left.columns == wide.columns and sorted(map(str, left.collect())) == sorted(str(r) for r in wide.collect() if r.text not in bad)
+    one_scan = decontam.contaminated(frame(spark, docs), bench.limit(4))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in one_scan
     assert decontam.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
     assert decontam.contaminated(frame(spark, []), bench).count() == 0
 
