@@ -2,18 +2,19 @@
 
 Rules come first: a rule fits its host and all subdomains if the url's path starts with the rule's, the longest wins.
 Other urls get the verdict of their template.  Digits become ``{n}`` at once; the distinct (host, path) shapes that are
-left, with their counts and labels, form a tree per host, as deep as its longest path:
+left, with their counts and labels, form a tree per host, as deep as its longest path; chains without forks are passed in
+one step, so the work follows the most forks of a path:
 
 1. from the root down, a node with many children that are rarely seen again turns them into one wildcard;
-2. from the leaves up, at every level, branches of one parent that go on alike are compared: by a two-sided z test of
+2. from the leaves up, at every fork, branches of one parent that go on alike are compared: by a two-sided z test of
    their labelled share of bad pages against the common one they lie below, near or above it, and those of one side that
    don't differ from that side's common share either are merged into one (``*-``, ``*`` or ``*+``);
 3. a template is rejected once its share of bad labels, shrunk towards its host's and the whole table's, reaches
    ``block_at``.
 
 Pages meet partial aggregations only, then one equi-join with the verdicts by shape, which adaptive execution
-broadcasts when it measures it small and otherwise splits where one shape is hot.  Every level is a table in the shared
-folder that holds only the shapes that are deep enough.
+broadcasts when it measures it small and otherwise splits where one shape is hot.  Every round is a table in the shared
+folder that holds only the shapes that go on, and what is known of the nodes is a table beside it.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged as the shape of
 the empty path; repeated rows are judged row by row; page_id may be null; null labels are ignored; a page labelled twice
@@ -22,6 +23,8 @@ counts twice; without labels the method allows everything; an empty table has no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,29 +53,36 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _levels(paths: DataFrame, column: str) -> int:
-    """The most parts that two paths of one host have at least: a path that goes on alone has nothing to be compared with."""
-    size = paths.groupBy("host", F.size(column).alias("size")).agg(F.count("*").alias("n"))
-    second = F.when(F.max_by("n", "size") > 1, F.max("size")).otherwise(F.try_element_at(F.sort_array(F.collect_list("size"), asc=False), F.lit(2)))
-    return size.groupBy("host").agg(second.alias("size")).agg(F.max("size")).first()[0] or 1
-
-
 def _generalised(shapes: DataFrame, many: int, seldom: float) -> DataFrame:
-    """Shapes with variable segments as wildcards."""
-    live = C.materialize(shapes.withColumn("parts", F.split("shape", "/")).withColumn("tree", F.array(F.lit(""))), "url-tree")
-    keep = ["host", "shape", "n", "seen", "bad", "tree"]
-    done, d = live.where("size(parts) <= 1").select(keep), 1  # the part before the first slash is empty
-    for _ in range(1, _levels(live, "parts")):
-        out = live.where(f"size(parts) > {d}").withColumn("token", F.get("parts", F.lit(d)))
-        child = out.groupBy("host", "tree", "token").agg(F.sum("n").alias("n"))
+    """Shapes with variable segments as wildcards in ``tree``, and in ``forks`` the places in it where the tree branches.
+
+    A round takes every node down to its next fork at once, past segments that all its shapes share, and then one segment
+    further; so the rounds follow the most forks on a path, not its length.  What a node needs to know of its shapes is a
+    table of its own, so that a host that holds most shapes is split, or meets a broadcast.
+    """
+    keep = ["host", "shape", "n", "seen", "bad", "tree", "forks", "rest"]
+    parts = F.split("shape", "/")  # the part before the first slash is empty
+    live = shapes.select("host", "shape", "n", "seen", "bad", F.slice(parts, 1, 1).alias("tree"), F.lit([]).cast("array<int>").alias("forks"), F.slice(parts, F.lit(2), F.size(parts)).alias("rest"))
+    live, done = C.materialize(live, "url-tree"), []
+    while True:
+        open_ = live.where("size(rest) > 0")
+        done.append(live.where("size(rest) = 0"))
+        if open_.isEmpty():
+            break
+        segment = open_.select("host", "tree", F.posexplode("rest").alias("place", "token")).groupBy("host", "tree", "place").agg((F.min("token") != F.max("token")).alias("fork"))
+        fork = C.materialize(segment.where("fork").groupBy("host", "tree").agg(F.min("place").alias("fork")), "url-forks")
+        shared = F.least(F.coalesce("fork", F.size("rest")), F.size("rest"))
+        down = open_.join(fork, ["host", "tree"], "left").withColumn("shared", shared)
+        down = down.select("host", "shape", "n", "seen", "bad", "forks", F.concat("tree", F.slice("rest", F.lit(1), F.col("shared"))).alias("tree"), F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest"))
+        child = down.where("size(rest) > 0").groupBy("host", "tree", F.col("rest")[0].alias("token")).agg(F.sum("n").alias("n"))
         loose = child.groupBy("host", "tree").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= many) & (F.col("n") < seldom * F.col("kinds"))).select("host", "tree", F.lit(True).alias("loose"))
-        step = F.when(F.col("loose") & (F.col("token") != ""), "*").otherwise(F.col("token"))
-        out = out.join(loose, ["host", "tree"], "left").select("host", "shape", "n", "seen", "bad", "parts", F.concat("tree", F.array(step)).alias("tree"))
-        live = C.materialize(out, "url-tree")
-        d += 1
-        done = done.union(live.where(f"size(parts) = {d}").select(keep))
-    rest = F.slice("parts", d + 1, F.size("parts"))  # deeper paths are the only ones of their hosts there
-    return done.union(live.where(f"size(parts) > {d}").withColumn("tree", F.concat("tree", rest)).select(keep))
+        loose = C.materialize(loose, "url-loose")
+        token = F.get("rest", F.lit(0))
+        step = F.when(F.col("loose") & (token != ""), "*").otherwise(token)
+        at_fork = F.size("rest") > 0
+        out = down.join(loose, ["host", "tree"], "left").withColumns({"forks": F.when(at_fork, F.array_append("forks", F.size("tree"))).otherwise(F.col("forks")), "tree": F.when(at_fork, F.array_append("tree", step)).otherwise(F.col("tree")), "rest": F.slice("rest", F.lit(2), F.size("rest"))})
+        live = C.materialize(out.select(keep), "url-tree")
+    return reduce(DataFrame.union, [d.drop("rest") for d in done])
 
 
 def _compared(branch: DataFrame, z: float) -> DataFrame:
@@ -86,17 +96,21 @@ def _compared(branch: DataFrame, z: float) -> DataFrame:
 
 
 def _merged(tree: DataFrame, z: float) -> DataFrame:
-    """(host, tree, template): branches of one parent with the same rest that don't differ share a wildcard."""
-    named = C.materialize(tree.groupBy("host", "tree").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).withColumn("template", F.col("tree")), "url-branches")
-    for d in range(_levels(named, "tree") - 1, 0, -1):
-        deep = named.where(F.size("template") > d)
-        parts = [F.slice("template", 1, d).alias("above"), F.get("template", F.lit(d)).alias("token"), F.slice("template", F.lit(d + 2), F.size("template")).alias("below")]
+    """(host, tree, template): branches of one parent with the same rest that don't differ share a wildcard.
+
+    Forks are taken from the last one of each path to the first; a node's branches are compared when all below them are.
+    """
+    named = C.materialize(tree.groupBy("host", "tree", "forks").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).withColumn("template", F.col("tree")), "url-branches")
+    for k in range(named.agg(F.max(F.size("forks"))).first()[0] or 0, 0, -1):
+        deep = named.where(F.size("forks") >= k)
+        d = F.get("forks", F.lit(k - 1))
+        parts = [F.slice("template", F.lit(1), d).alias("above"), F.get("template", d).alias("token"), F.slice("template", d + 2, F.size("template")).alias("below")]
         branch = deep.select("host", *parts, "seen", "bad").groupBy("host", "above", "below", "token").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
         sided = _compared(branch.withColumn("side", F.lit(0)), z).withColumn("side", F.col("far")).drop("kinds", "far")
         alike = _compared(sided, z).where("kinds > 1 and far = 0").withColumn("mark", F.element_at(F.array(*map(F.lit, SIDES)), F.col("side") + 2))
-        alike = alike.select(F.col("host").alias("h"), F.concat("above", F.array("token"), "below").alias("was"), F.concat("above", F.array("mark"), "below").alias("now"))
-        new = deep.join(alike, (F.col("host") == F.col("h")) & (F.col("template") == F.col("was")), "left").select("host", "tree", "seen", "bad", F.coalesce("now", "template").alias("template"))
-        named = C.materialize(new.union(named.where(F.size("template") <= d).select(new.columns)), "url-branches")
+        alike = C.materialize(alike.select(F.col("host").alias("h"), F.concat("above", F.array("token"), "below").alias("was"), F.size("above").alias("place"), F.concat("above", F.array("mark"), "below").alias("now")), "url-alike")
+        same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("was")) & (F.get("forks", F.lit(k - 1)) == F.col("place"))
+        named = C.materialize(named.join(alike, same, "left").select("host", "tree", "forks", "seen", "bad", F.coalesce("now", "template").alias("template")), "url-branches")
     return named
 
 

@@ -1,5 +1,7 @@
 """The template tree at any depth: it merges like branches at every level, rejects impure ones and leaves others."""
 
+from pyspark.sql import functions as F
+
 from reelquery.llm import urls
 
 
@@ -45,3 +47,68 @@ def test_repeated_rows_are_judged_one_by_one(spark):
     pages = spark.createDataFrame([(1, "https://h.org/a")] * 3 + [(1, "https://h.net/es/a")], "page_id long, url string")
     got = urls.judge(pages, [("block", "net", "/es/")], spark.createDataFrame([], "page_id long, bad int")).collect()
     assert sorted((r.host, r.verdict) for r in got) == [("h.net", "block"), *[("h.org", "allow")] * 3]
+
+
+def test_rounds_follow_forks_not_depth(spark, monkeypatch):
+    """Paths of 1,000 segments take as many tables as paths of 10, and are judged the same way."""
+    from reelquery.llm import common, urls
+
+    made = []
+    real = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag: (made.append(tag), real(df, tag))[1])
+
+    def tables(depth):
+        made.clear()
+        chain = "/".join(f"s{k}" for k in range(depth)).replace("1", "one")
+        rows = [(i, f"http://a.b/{chain}/{'x' if i % 2 else 'y'}") for i in range(40)] + [(100 + i, "http://a.b/" + "/".join(chain.split("/")[: depth // 2])) for i in range(3)]
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "page_id long, bad int")
+        got = {r.page_id: r.verdict for r in urls.judge(pages, [], labels).collect()}
+        assert [got[i] for i in range(40)] == ["block" if i % 2 else "allow" for i in range(40)]
+        return list(made)
+
+    assert tables(10) == tables(41) == tables(1000)
+
+
+def test_a_chain_of_ends_takes_few_rounds(spark, monkeypatch):
+    """Every prefix of a path is a page of its own: no segment differs, so nothing forks."""
+    from reelquery.llm import common, urls
+
+    made = []
+    real = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag: (made.append(tag), real(df, tag))[1])
+    pages = spark.createDataFrame([(k, "http://a.b" + "/a" * k) for k in range(60)], "page_id long, url string")
+    out = urls.judge(pages, [], pages.select("page_id", F.lit(0).alias("bad"))).collect()
+    assert sorted(r.template for r in out) == sorted("a.b" + "/a" * k for k in range(60)) and len(made) < 10
+
+
+def plain_templates(shapes, many, seldom):
+    """The tree of one host, segment by segment."""
+    tree = {s: [""] for s in shapes}
+    for d in range(1, max(len(s.split("/")) for s in shapes)):
+        nodes = {}
+        for s, n in shapes.items():
+            if len(s.split("/")) > d:
+                nodes.setdefault(tuple(tree[s]), []).append((s, s.split("/")[d], n))
+        for found in nodes.values():
+            kinds = {t for _, t, _ in found}
+            loose = len(kinds) >= many and sum(n for _, _, n in found) < seldom * len(kinds)
+            for s, t, _ in found:
+                tree[s] = tree[s] + ["*" if loose and t else t]
+    return {s: "/".join(t) for s, t in tree.items()}
+
+
+def test_wildcards_match_a_plain_tree(spark):
+    import random
+
+    from reelquery.llm import urls
+
+    rng = random.Random(5)
+    shapes = {}
+    for _ in range(400):
+        deep = rng.randrange(1, 9)
+        shapes["/" + "/".join(rng.choice(["a", "b", "", f"v{rng.randrange(60)}"]) for _ in range(deep))] = rng.randrange(1, 4)
+    shapes[""] = 1
+    rows = [("h", s, n, 0, 0.0) for s, n in shapes.items()]
+    got = urls._generalised(spark.createDataFrame(rows, "host string, shape string, n long, seen long, bad double"), 4, 3.0).collect()
+    assert {r["shape"]: "/".join(r.tree) for r in got} == plain_templates(shapes, 4, 3.0)
