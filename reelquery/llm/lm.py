@@ -13,6 +13,11 @@ The n-gram count table is partitioned by hash and joined to the n-grams exploded
 A common n-gram is one entry per block, so no key is hot: buckets are even and blocks bounded.  Traffic is about six
 bytes for each distinct n-gram of a block.  A bucket holds about ``BUCKET_TOKENS`` entries at any size of the corpus.
 
+The more buckets, the fewer n-grams of a block are in each.  Where a row of a block would hold less than ``ROW_GRAMS``,
+blocks send to fewer, wider ranges instead, and step 3 gets a level between: the runs of a few blocks in a range meet in
+a cell, which sends their distinct n-grams on to the buckets as one block would, and answers its blocks from the counts
+that come back.  So rows stay long: a block's hold ``ROW_GRAMS``, a cell's its ``CELL_TOKENS`` over the buckets of a range.
+
 Counts leave one out: a document is scored by what the other rows hold, numerator and denominator alike.  A word after
 m known context words (at most ``order`` - 1) takes the longest n-gram found elsewhere:
 backoff**(m + 1 - k) * count(n-gram of k words) / count(its first k - 1 words), where no words stand for all words.  A
@@ -40,6 +45,8 @@ BACKOFF = 0.4
 ORDER = 3
 #: Text of one block, and n-grams of one bucket, both bounds of a task's memory.
 BLOCK_BYTES, BUCKET_TOKENS = 16 << 20, 4_000_000
+#: N-grams that a block sends in one row at least, on average, and of one cell.
+ROW_GRAMS, CELL_TOKENS = 256, 1_000_000
 #: Ranges of hashes that a block's n-grams are sorted in, one after the other (a power of two).
 PARTS = 4
 #: Words that are scored at once.
@@ -272,6 +279,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from totals()
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each cell, which come next to each other."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["cell"] != row["cell"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _cell(runs: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, bytes]:
+    """(the n-grams of each run, the distinct ones of all in order, their counts over the runs, a digest of both)."""
+    each = [unpack_sorted(r["grams"], r["n"]) for r in runs]
+    grams, own = np.concatenate(each), np.concatenate([unpack_numbers(r["counts"], r["n"]) for r in runs])
+    order = ordered(grams)
+    grams = grams[order]
+    at = np.flatnonzero(_starts_new(grams))
+    found, count = grams[at], np.add.reduceat(own[order], at)
+    return each, found, count, hashlib.blake2b(found.tobytes() + count.tobytes(), digest_size=8).digest()
+
+
+def _merge(ranges: int, fine: int):
+    """The runs of each cell as one: its distinct n-grams with their counts, cut into the ``fine`` buckets of its range."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _by_cell(batches):
+            _, found, count, digest = _cell(runs)
+            first = runs[0]["bucket"] * fine
+            edges = np.array([((first + k) << 64) // (ranges * fine) for k in range(1, fine)], np.uint64)
+            cut = [0, *np.searchsorted(found, edges).tolist(), len(found)]
+            some = [(first + k, a, z) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < z]
+            for k in range(0, len(some), 16):
+                part = some[k : k + 16]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _, _ in part], pa.int32()), pa.array([runs[0]["cell"]] * len(part)), pa.array([digest] * len(part)), pa.array([z - a for _, a, z in part]), pa.array([pack_sorted(found[a:z]) for _, a, z in part]), pa.array([pack_numbers(count[a:z]) for _, a, z in part])],
+                    names=["bucket", "block", "digest", "n", "grams", "counts"],
+                )
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run of a cell, the counts of its n-grams over all blocks; a cell's runs come first, then its buckets in order."""
+    for rows in _by_cell(batches):
+        runs, back = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
+        each, found, _, digest = _cell(runs)
+        total = np.concatenate([unpack_numbers(r["counts"], r["n"]) for r in back])
+        if len(total) != len(found) or any(r["digest"] != digest for r in back):
+            raise RuntimeError("the documents changed between two reads; write them to a table first")
+        for r, grams in zip(runs, each, strict=True):
+            counts = pack_numbers(total[np.searchsorted(found, grams)])
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([r["digest"]]), pa.array([r["bucket"]], pa.int32()), pa.array([r["n"]]), pa.array([counts])], names=["block", "digest", "bucket", "n", "counts"])
+
+
 def _elsewhere(hashed: np.ndarray, row_of: np.ndarray, found: np.ndarray, total: np.ndarray) -> np.ndarray:
     """For each n-gram (by row, then place), how often it occurs outside its own row."""
     order = ordered(hashed)
@@ -337,7 +400,15 @@ def _finish(order: int, backoff: float):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def _layout(size: int, order: int, block_bytes: int, bucket_tokens: int, row_grams: int, cell_tokens: int, least: int) -> tuple[int, int, int]:
+    """(ranges that a block sends to, buckets of each range, groups of blocks that share cells) for ``size`` bytes of text."""
+    # about six bytes a word, and each order adds a number of n-grams below that of the words
+    buckets = -(-max(least, size * order // (6 * bucket_tokens) + 1) // PARTS) * PARTS
+    ranges = min(buckets, max(PARTS, block_bytes * order // (6 * row_grams) // PARTS * PARTS))
+    return ranges, -(-buckets // ranges), max(1, size // block_bytes * row_grams // cell_tokens)
+
+
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS, row_grams: int = ROW_GRAMS, cell_tokens: int = CELL_TOKENS) -> DataFrame:
     """doc_id, n_words, n_known (found with a word of context or more), n_full (found with all ``order`` words), log_score
     and mean_log (per word; 0 without words) for every row."""
     if order < 1 or not 0 < backoff <= 1:
@@ -346,12 +417,19 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
     C.small_batches(spark)
     docs = C.id_text(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # about six bytes a word, and each order adds a number of n-grams below that of the words
-    buckets = max(spark.sparkContext.defaultParallelism, size * order // (6 * bucket_tokens) + 1)
-    buckets = -(-buckets // PARTS) * PARTS
+    ranges, fine, groups = _layout(size, order, block_bytes, bucket_tokens, row_grams, cell_tokens, spark.sparkContext.defaultParallelism)
     blocks = docs.mapInArrow(_blocks(block_bytes), _BLOCK).repartition("block")
-    sent = blocks.mapInArrow(_send(order, buckets), "bucket int, block long, digest binary, n long, grams binary, counts binary")
-    counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "block long not null, digest binary, bucket int, n long, counts binary")
+    run, answer = "bucket int, block long, digest binary, n long, grams binary, counts binary", "block long not null, digest binary, bucket int, n long, counts binary"
+    sent = blocks.mapInArrow(_send(order, ranges), run)
+    if fine == 1:
+        counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, answer)
+    else:
+        cells = sent.withColumn("cell", F.col("bucket") * F.lit(groups).cast("long") + F.pmod(F.xxhash64("block"), F.lit(groups)))
+        merged = cells.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(_merge(ranges, fine), run)
+        totals = merged.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, answer)
+        runs = cells.select("cell", F.lit(0).alias("kind"), "bucket", "block", "digest", "n", "grams", "counts")
+        back = totals.select(F.col("block").alias("cell"), F.lit(1), "bucket", F.lit(None).cast("long"), "digest", "n", F.lit(None).cast("binary"), "counts")
+        counted = runs.union(back).repartition("cell").sortWithinPartitions("cell", "kind", "bucket", "block").mapInArrow(_answer, answer)
     back = counted.groupBy("block").agg(F.collect_list(F.struct("digest", "bucket", "n", "counts")).alias("back"))
     out = blocks.join(back.hint("merge"), "block").mapInArrow(_finish(order, backoff), "doc_id long, n_words long, n_known long, n_full long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)

@@ -56,6 +56,30 @@ def test_scores_match_brute_force(spark, order, block, bucket):
         assert abs(a[5] - (b[4] / b[1] if b[1] else 0)) < 1e-5
 
 
+@pytest.mark.parametrize(("block", "bucket", "row", "cell"), [(3000, 300, 50, 400), (3000, 300, 300, 100_000), (900, 40, 20, 60), (50_000, 100, 1 << 30, 1000)])
+def test_cells_between_blocks_and_buckets_change_nothing(spark, block, bucket, row, cell):
+    rows = [*corpus(), (0, "abc abc again"), (None, "abc ab"), (None, "abc ab"), (7, None)]
+    size = sum(len((t or "").encode()) for _, t in rows)
+    ranges, fine, groups = lm._layout(size, 3, block, bucket, row, cell, 4)
+    assert fine > 1 and (groups > 1 or cell > 500)
+    of = lambda **k: sorted((tuple(r) for r in lm.score(frame(spark, rows), **k).collect()), key=str)
+    assert of(block_bytes=block, bucket_tokens=bucket, row_grams=row, cell_tokens=cell) == of()
+
+
+def test_rows_stay_long_at_any_size():
+    """N-grams of a row, by the layout: from blocks to ranges, and from cells to buckets; and how many a cell holds."""
+    for size in (10**9, 3 * 10**10, 10**12, 10**13, 10**14):
+        ranges, fine, groups = lm._layout(size, 3, lm.BLOCK_BYTES, lm.BUCKET_TOKENS, lm.ROW_GRAMS, lm.CELL_TOKENS, 1000)
+        grams = lm.BLOCK_BYTES * 3 // 6
+        assert grams / ranges >= lm.ROW_GRAMS and ranges * fine * lm.BUCKET_TOKENS >= size * 3 // 6
+        if fine > 1:
+            held = size / lm.BLOCK_BYTES / groups * grams / ranges
+            assert lm.CELL_TOKENS / 2 < held < 2 * lm.CELL_TOKENS and held / fine >= lm.ROW_GRAMS
+    # a thousandth of everything: the same number of n-grams in a row
+    small = lm._layout(10**11, 3, lm.BLOCK_BYTES // 1000, lm.BUCKET_TOKENS // 1000, lm.ROW_GRAMS, lm.CELL_TOKENS // 1000, 4)
+    assert lm.BLOCK_BYTES // 1000 * 3 // 6 / small[0] >= lm.ROW_GRAMS
+
+
 def test_small_tables(spark):
     assert lm.score(frame(spark, [])).count() == 0
     only = lm.score(frame(spark, [(1, "a b a")])).collect()
