@@ -58,7 +58,9 @@ def score_blocks(frames: DataFrame, queries: DataFrame, rows: int = 4096, digits
     """
     kind = frames.schema["video_id"].dataType.simpleString()
     cut = frames.where("emb is not null and frame_idx is not null").select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), "emb", F.floor(F.col("frame_idx") / rows).alias("block"))
-    asked = queries.where("q is not null").select("video_id", F.col("qid").cast("string").alias("qid"), "q").join(cut.select("video_id", F.col("block").alias("part")).distinct(), "video_id")
+    # names of their own, as the queries may come from the frames
+    asked = queries.where("q is not null").select(F.col("video_id").alias("v"), F.col("qid").cast("string").alias("qid"), F.col("q").alias("q"))
+    asked = asked.join(cut.select(F.col("video_id").alias("v"), F.col("block").alias("part")).distinct(), "v")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         n, k = left.num_rows, right.num_rows
@@ -68,7 +70,7 @@ def score_blocks(frames: DataFrame, queries: DataFrame, rows: int = 4096, digits
         frame = left.column("frame_idx").take(pa.array(np.repeat(np.arange(n), k) if score.size else np.zeros(0, np.int64)))
         return pa.table({"video_id": video, "qid": query, "frame_idx": frame, "score": pa.array(score.ravel() + 0.0)})
 
-    return cut.groupBy("video_id", "block").cogroup(asked.groupBy("video_id", "part")).applyInArrow(run, f"video_id {kind}, qid string, frame_idx int, score double")
+    return cut.groupBy("video_id", "block").cogroup(asked.groupBy("v", "part")).applyInArrow(run, f"video_id {kind}, qid string, frame_idx int, score double")
 
 
 def score_regions(frames: DataFrame, regions: DataFrame, query: Column, digits: int = 6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelquery import catalog
 from reelquery.operators import rank, vectors
@@ -26,6 +27,13 @@ def test_blocks_give_the_scores_of_pairs(spark, rows):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-9
 
 
+def test_queries_that_come_from_the_frames(spark):
+    frames, _ = some(spark)
+    own = frames.where("frame_idx < 2 and emb is not null")
+    got = vectors.score_blocks(frames, own.select("video_id", F.concat(F.lit("Q"), F.col("frame_idx")).alias("qid"), F.col("emb").alias("q")), 20)
+    assert all(abs(r.score - 1) < 1e-6 for r in got.collect() if r.qid == f"Q{r.frame_idx}" and r.video_id != 9)
+
+
 def test_widths_that_differ_are_an_error(spark):
     frames = spark.createDataFrame([(0, 0, [1.0]), (0, 1, [1.0, 2.0])], "video_id int, frame_idx int, emb array<double>")
     with pytest.raises(Exception, match="one width"):
