@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import WORD, corpus, frame, lined, shingle_set, words
 
 from reelquery.llm import language, pii, quality, rules
@@ -325,6 +326,28 @@ def test_pii_query_matches_plain_version(spark):
 
 # ---------------------------------------------------------------- the pipeline
 
+def test_pipeline_stages_with_a_learned_cutoff(spark, tmp_path):
+    """With enough labels the first stage rejects by certified cutoffs; the stages after it work on what it kept."""
+    import corpus_pipeline
+
+    rows = [(i, t, lang) for i, t, lang in marked(1600, ["en", "en", "en", "de"])] + [(5000, None, "en"), (5001, "", None)]
+    labels = [(i, int(i % 4 > 0)) for i in range(1600) if i % 5] + [(3, None)]
+    docs = spark.createDataFrame([(*r, "web", len(r[1] or ""), 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, cutoffs int")
+    spark.createDataFrame(labels, "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[1][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain = {i: [(*plain_rules(t or ""), lang or "")] for i, t, lang in rows}
+    cutoffs = plain_certify(plain, labels, 0.01, 0.05)
+    want = {i for i, ((failed, bins, lang),) in plain.items() if not failed and all(b < c for b, c in zip(bins, cutoffs[lang], strict=True))}
+    unlabelled = [i for i in range(0, 1600, 20)]
+    assert not want & set(unlabelled) and len(want) > 1000  # junk without a label goes too
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "cutoffs"]
+        if k == 2:
+            want = want - {1}  # the benchmark's text
+        assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_pipeline_matches_plain_stages(spark, tmp_path, seed):
     import corpus_pipeline
