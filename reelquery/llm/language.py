@@ -6,7 +6,8 @@ language those of its training documents, and a document gets the language whose
 document and prototypes are taken relative to the mean prototype, which all languages share.
 
 Bundling is linear, so training counts trigrams by language over all training rows in tasks, adds the counts with a
-partial aggregation, multiplies once, and adds the vectors by language; one vector per language reaches the driver.
+partial aggregation, multiplies once, and adds the vectors by language.  At most ``LANGUAGES`` vectors reach the driver
+at a time: where there are more, they stay a table, and texts are compared with one part of them after the other.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every document is
 ``und`` with score 0; rows that repeat a doc_id are judged one by one; ties go to the language first in order; doc_id
@@ -16,6 +17,8 @@ may be null; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from . import common as C
 
 DIMENSIONS = 1024
 LETTERS = 64
+#: Most prototypes (8 KB each) that are collected and sent to tasks at a time.
+LANGUAGES = 4096
 _table: list[np.ndarray] = []
 
 
@@ -88,7 +93,7 @@ def trigrams(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
+    held: dict[str | None, np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, total in held.items():
@@ -109,7 +114,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
+    held: dict[str | None, np.ndarray] = {}
     for batch in batches:
         lang, code, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for name in sorted(set(lang)):
@@ -122,23 +127,47 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
 
 
-def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The prototype of each language of ``docs`` (text, lang), relative to the mean prototype, and that mean as ``""``."""
+class Table(NamedTuple):
+    """Prototypes of more languages than go to the driver at once: (lang, vector) of unit length, their mean, their number."""
+
+    vectors: DataFrame
+    mean: np.ndarray
+    n: int
+
+
+def _collected(vectors: DataFrame) -> dict[str, np.ndarray]:
+    found = vectors.toPandas()
+    return dict(sorted(zip(found["lang"], map(np.asarray, found["vector"]), strict=True)))
+
+
+def fit(docs: DataFrame) -> dict[str | None, np.ndarray] | Table:
+    """The prototype of each language of ``docs`` (text, lang), relative to the mean prototype, and that mean under None.
+
+    Up to ``LANGUAGES`` prototypes come as a dictionary; more stay a table.
+    """
+    mark = C.made()
     C.small_batches(docs.sparkSession)
     given = docs.where("lang is not null and text is not null").select("lang", "text")
     counted = given.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     parts = counted.mapInArrow(_bundle, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("place", "value"))
-    added = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector")).toPandas()
-    total = {lang: np.asarray(vector) for lang, vector in zip(added["lang"], added["vector"], strict=True)}
-    unit = {k: v / n for k, v in sorted(total.items()) if (n := np.linalg.norm(v)) > 0}
+    added = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector"))
+    added = C.materialize(added, "prototypes")
+    if (n := added.count()) > LANGUAGES:
+        size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+        unit = C.materialize(added.withColumn("size", size).where("size > 0").select("lang", F.transform("vector", lambda x: x / F.col("size")).alias("vector")), "prototypes")
+        mean = unit.select(F.posexplode("vector").alias("place", "value")).groupBy("place").agg(F.avg("value").alias("value")).orderBy("place").toPandas()["value"].to_numpy()
+        C.release(mark, [unit])
+        return Table(unit, mean, n)
+    unit = {k: v / size for k, v in _collected(added).items() if (size := np.linalg.norm(v)) > 0}
+    C.release(mark, [])
     if not unit:
         return {}
     mean = np.mean(list(unit.values()), 0) if len(unit) > 1 else np.zeros(DIMENSIONS)
-    return {"": mean} | {k: v - mean for k, v in unit.items()}
+    return {None: mean} | {k: v - mean for k, v in unit.items()}
 
 
-def _predict(prototypes: dict[str, np.ndarray]):
-    names = [k for k in prototypes if k]
+def _predict(prototypes: dict[str | None, np.ndarray]):
+    names = [k for k in prototypes if k is not None]
     known = np.array([prototypes[k] for k in names]).reshape(-1, DIMENSIONS)
     known = (known / np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
 
@@ -156,7 +185,7 @@ def _predict(prototypes: dict[str, np.ndarray]):
             guess, score = np.full(rows, "und", object), np.zeros(rows)
             if names:
                 vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
-                vector -= prototypes[""].astype(np.float32)
+                vector -= prototypes[None].astype(np.float32)
                 cosine = (vector @ known) / np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
                 best = cosine.argmax(1)
                 guess[letters] = np.array(names, object)[best][letters]
@@ -166,7 +195,23 @@ def _predict(prototypes: dict[str, np.ndarray]):
     return run
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs``."""
+def predict(docs: DataFrame, prototypes: dict[str | None, np.ndarray] | Table) -> DataFrame:
+    """doc_id, lang_pred, score for every row of ``docs``.
+
+    With a table of prototypes each scan compares the texts with a part of them, and a text's best guesses meet by its
+    digest; of equal cosines the first language counts.
+    """
     C.small_batches(docs.sparkSession)
-    return C.id_text(docs).mapInArrow(_predict(prototypes), "doc_id long, lang_pred string, score double")
+    given, schema = C.id_text(docs), "doc_id long, lang_pred string, score double"
+    if isinstance(prototypes, dict):
+        return given.mapInArrow(_predict(prototypes), schema)
+    parts = -(-2 * prototypes.n // LANGUAGES)  # by hash, so about half full
+    digest = F.sha2("text", 256)
+    mark, found = C.made(), []
+    for k in range(parts):
+        some = {None: prototypes.mean} | {lang: v - prototypes.mean for lang, v in _collected(prototypes.vectors.where(F.pmod(F.xxhash64("lang"), F.lit(parts)) == k)).items()}
+        found.append(C.materialize(given.select(digest.alias("doc_id"), "text").mapInArrow(_predict(some), "doc_id string, lang_pred string, score double").distinct(), "guesses"))
+    best = reduce(DataFrame.union, found).groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("rank"), "lang_pred", "score")).alias("best")).withColumnRenamed("doc_id", "digest")
+    out = given.join(C.materialize(best, "guesses"), digest == F.col("digest")).select("doc_id", "best.lang_pred", "best.score")
+    C.release(mark, [out])
+    return out

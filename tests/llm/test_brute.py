@@ -59,6 +59,22 @@ def test_language_query_matches_plain_version(spark):
         assert r.lang_pred == expected[r.doc_id][0] and abs(r.score - expected[r.doc_id][1]) < 1e-3
 
 
+def test_any_number_of_languages_gives_the_same_guesses(spark, monkeypatch):
+    """Prototypes in a table, a few at a time, against all at once; an empty language is one like others."""
+    given = [("the cat and the dog went home", "en"), ("der Hund und die Katze gingen nach Hause", "de"), ("le chat et le chien sont partis", "fr"), ("el gato y el perro se fueron a casa", ""), ("il gatto e il cane andarono a casa", "it"), ("kot i pies poszli do domu", "pl")]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(given * 2)] + [(50, None, "en"), (51, "12 !", "de"), (52, "the dog", None), (52, "the dog", None), (53, "gingen sie", None), (None, "chien", None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, digest string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.lang_pred, round(r.score, 6))
+    whole = language.fit(docs)
+    want = sorted(map(key, language.predict(docs, whole).collect()))
+    assert len(whole) == 7 and {"", "en", "pl"} <= {w[2] for w in want}
+    for most in (5, 3, 1):
+        monkeypatch.setattr(language, "LANGUAGES", most)
+        some = language.fit(docs)
+        assert isinstance(some, language.Table) and sorted(map(key, language.predict(docs, some).collect())) == want
+    assert language.predict(docs.limit(0), whole).collect() == []
+
+
 # ---------------------------------------------------------------- quality
 
 def plain_features(text):
