@@ -580,7 +580,7 @@ def subtitle_frames(spark, d):
     return temporal.interleave(frames, said, "uid", width=2.0)
 
 
-@query("""WITH i AS (SELECT user_id::VARCHAR AS uid, CASE user_id % 4 WHEN 0 THEN 30000.0::DOUBLE / 1001 WHEN 1 THEN 25.0 WHEN 2 THEN 2.0 END AS fps, user_id % 2 = 0 AS own FROM events GROUP BY user_id), e AS (SELECT user_id::VARCHAR AS uid, epoch(ts) // 600 AS f, event_type FROM events),
+@query("""WITH i AS (SELECT user_id::VARCHAR AS uid, CASE user_id % 4 WHEN 0 THEN 30000.0::DOUBLE / 1001 WHEN 1 THEN 25.0 WHEN 2 THEN 2.0 END AS fps, user_id % 2 = 0 AS own FROM events GROUP BY user_id), e AS (SELECT user_id::VARCHAR AS uid, floor(epoch(ts) / 600) AS f, event_type FROM events),
 b AS (SELECT uid, list(f) FILTER (event_type = 'purchase') AS g, list(f) FILTER (event_type = 'click') AS p FROM e GROUP BY uid), n AS (SELECT fps, [list_min([abs(x - y) FOR y IN p]) FOR x IN g] AS near, len(p) AS m FROM b JOIN i USING (uid) WHERE own AND fps IS NOT NULL AND len(g) > 0 AND len(p) > 0),
 s AS (SELECT len(list_filter(near, lambda x: x <= 3 * fps)) / m::DOUBLE AS a, len(list_filter(near, lambda x: x <= 3 * fps)) / len(near)::DOUBLE AS r FROM n)
 SELECT round(sum(a) / any_value(c), 6) AS precision, round(sum(r) / any_value(c), 6) AS recall, round(sum(CASE WHEN a + r > 0 THEN 2 * a * r / (a + r) ELSE 0 END) / any_value(c), 6) AS f1 FROM s, (SELECT count(*) AS c FROM i)""")
