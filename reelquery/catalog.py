@@ -948,11 +948,8 @@ def _annotation_files(spark, d):
     span = lambda a, b: F.array(a, b)
     spans = F.when(F.col("n") % 3 == 0, F.array(span(F.lit(0), F.col("a") + 1), span(F.col("a") + 3, F.col("a") + 5))).otherwise(F.array(span(F.col("a"), F.col("a") + F.col("n"))))
     boxes = items.select("image_id", "id", F.array("x", F.lit(5.0), F.col("q") % 9, F.col("q") % 7 + 1).alias("bbox"), (F.col("q") - 3).alias("area"), (F.col("n") % 5 == 0).cast("int").alias("iscrowd"), (F.col("n") == 7).alias("ignore"), spans.alias("tokens_positive"))
-    files = F.col("image_id") % 8
-    images = texts.groupBy((F.col("id") % 8).alias("f")).agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "caption", "height", "width"))).alias("images"))
-    marks = boxes.groupBy(files.alias("f")).agg(F.array_sort(F.collect_list(F.struct("image_id", "id", "bbox", "area", "iscrowd", "ignore", "tokens_positive"))).alias("annotations"))
     path = scratch.new_path(spark, "annotations")
-    images.join(marks, "f", "full").select(F.to_json(F.struct("images", "annotations")).alias("value")).repartition(8).write.text(path)
+    phrases.write_annotations(texts, boxes, path, ["image_id", "id"])
     return path
 
 

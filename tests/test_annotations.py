@@ -38,6 +38,24 @@ def test_phrases_and_labels(spark, tmp_path):
     assert sorted((r.phrase, r.label) for r in phrases.remap(boxes, classes, unknown=-1).collect()) == [("", -1), ("Hund", 17), ("größer Hund", -1)]
 
 
+def test_an_image_in_many_files_is_labelled_as_in_one(spark, tmp_path):
+    images = spark.createDataFrame([(1, "a.jpg", CAPTION, 50.0, 40.0), (2, "b.jpg", "xyz", 50.0, 40.0), (3, "c.jpg", "x" * 300, 50.0, 40.0)], "id long, file_name string, caption string, height double, width double")
+    spans = [[[9, 13]], [[2, 8]], [[24, 28]], [[9, 13], [20, 23]]]
+    rows = [(1 + (i % 7 == 0), (i * 37) % 200, [float(i % 9), 2.0, 3.0, 4.0], 5.0, 0, False, spans[-(-((i * 37) % 200) // 60) % 4]) for i in range(200)]
+    marks = spark.createDataFrame(rows, "image_id long, id long, bbox array<double>, area double, iscrowd int, ignore boolean, tokens_positive array<array<int>>")
+    phrases.write_annotations(images, marks, str(tmp_path / "many"), ["image_id", "id"], most=7, size=4000)
+    files = [json.loads(p.read_text()) for p in (tmp_path / "many").glob("*.txt") if p.stat().st_size]
+    assert sorted(len(f["annotations"]) for f in files if "annotations" in f)[-1] == 7 and sum(len(f.get("annotations", [])) for f in files) == 200
+    boxes, texts = phrases.phrase_boxes(*phrases.read_annotations(spark, str(tmp_path / "many")))
+    want = {}
+    for image, _, _, _, _, _, (first, *rest) in sorted(rows, key=lambda r: r[:2]):
+        text = " ".join((CAPTION if image == 1 else "xyz")[a:b] for a, b in [first, *rest])
+        want.setdefault(image, {}).setdefault(text, len(want[image]) if image in want else 0)
+    assert {r.image_id: r.phrases for r in texts.collect()} == {i: list(w) for i, w in want.items()}
+    got = boxes.collect()
+    assert len(got) == 200 and len({r.ordinal for r in got}) == 200 and all(r.label == want[r.image_id][r.phrase] for r in got)
+
+
 def test_prior_grid(spark):
     got = [tuple(r)[:8] for r in priors.prior_grid(spark, [(2, 3, 8), (1, 1, 16)], bases=[[(1, 2), (3, 4)], [(5, 6), (7, 8)]]).orderBy("prior").collect()]
     want = [(lv, r, c, b, s, (c + 0.5) * s, (r + 0.5) * s) for lv, (h, w, s) in enumerate([(2, 3, 8), (1, 1, 16)]) for r in range(h) for c in range(w) for b in range(2)]
