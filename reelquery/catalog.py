@@ -792,11 +792,7 @@ def frame_index_plan(spark, d):
 @query(with_views("boxes", body="SELECT image_id, a AS box_id, round(max(v), 6) AS best, count(*) FILTER (v > 0.5) AS n_over FROM (SELECT image_id, a, ix * iy / (aa + ab - ix * iy) AS v FROM (SELECT a.image_id, a.box_id AS a, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS ix, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS iy, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.label = b.label AND a.box_id <> b.box_id)) GROUP BY image_id, a"))
 def box_iou(spark, d):
     """Each box against all others of its image and label: the best overlap, and how many overlap by more than half."""
-    b = P.boxes(spark, d)
-    one, two = (b.select("image_id", "label", *(F.col(c).alias(p + c) for c in ("box_id", "x1", "y1", "x2", "y2"))) for p in "ab")
-    corner = lambda p: [F.col(p + c) for c in ("x1", "y1", "x2", "y2")]
-    pairs = one.join(two, ["image_id", "label"]).where("abox_id <> bbox_id").withColumn("v", nms.iou(corner("a"), corner("b")))
-    return pairs.groupBy("image_id", F.col("abox_id").alias("box_id")).agg(F.round(F.max("v"), 6).alias("best"), F.sum((F.col("v") > 0.5).cast("long")).alias("n_over"))
+    return nms.best_overlaps(P.boxes(spark, d)).withColumn("best", F.round("best", 6))
 
 
 _BOX_FOLD = with_views(

@@ -59,6 +59,138 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, width * height / F.nullif(union, F.lit(0.0))).otherwise(0.0)
 
 
+def _values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``iou`` of corners (4, ...) in numpy."""
+    both = np.minimum(a[2], b[2])
+    both -= np.maximum(a[0], b[0])
+    np.maximum(both, 0.0, out=both)
+    high = np.minimum(a[3], b[3])
+    high -= np.maximum(a[1], b[1])
+    both *= np.maximum(high, 0.0, out=high)
+    union = np.subtract((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]), both, out=high)
+    some = union > 0
+    return np.divide(both, union, out=both) if some.all() else np.divide(both, union, out=np.zeros_like(both), where=some)
+
+
+def _tiles(corners: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): shapes (n, 4) split at medians into tiles of at most ``most`` that are alike in all corners."""
+    todo, out = [np.arange(len(corners))], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= most:
+            out.append(part)
+            continue
+        p, mid = corners[part], len(part) // 2
+        order = part[np.argpartition(p[:, np.argmax(np.ptp(p, axis=0))], mid)]
+        todo += [order[mid:], order[:mid]]
+    return np.concatenate(out), np.cumsum([0, *map(len, out)])
+
+
+class _Shapes:
+    """Distinct shapes of some boxes, in tiles: how many boxes have each, whose it is (``own``: a number for an id, or one of its own if several ids have it), bounds of the tiles."""
+
+    def __init__(self, ids: np.ndarray, corners: np.ndarray):
+        by = np.lexsort((ids, *corners.T))
+        ids, corners = ids[by], corners[by]
+        fresh = np.concatenate([[True], (corners[1:] != corners[:-1]).any(1)])
+        at, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        order, self.starts = _tiles(corners[at])
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        self.of = np.empty(len(ids), np.int64)  # the shape of each box
+        self.of[by] = place[of]
+        last = np.append(at[1:], len(ids)) - 1
+        self.corners = np.ascontiguousarray(corners[at][order].T)
+        self.count, self.shared = np.diff(np.append(at, len(ids)))[order].astype(float), (ids[at] != ids[last])[order]
+        self.own = np.where(self.shared, -1 - np.arange(len(at)), np.unique(ids[at][order], return_inverse=True)[1]).astype(np.int32)
+        self.area = np.prod(np.maximum(self.corners[2:] - self.corners[:2], 0.0), axis=0)
+        self.points = np.vstack([self.corners, self.area])
+        self.low, self.high = (f.reduceat(self.points, self.starts[:-1], axis=1) for f in (np.minimum, np.maximum))
+
+    def bound(self, t: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """At least the overlap of any shape of tile ``t`` with shapes between ``lo`` and ``hi`` (corners and area)."""
+        a, b = self.low[:, t], self.high[:, t]
+        both = np.maximum(0.0, np.minimum(b[2], hi[2]) - np.maximum(a[0], lo[0])) * np.maximum(0.0, np.minimum(b[3], hi[3]) - np.maximum(a[1], lo[1]))
+        both = np.minimum(both, np.minimum(b[4], hi[4]))
+        union = np.maximum(a[4] + lo[4] - both, np.maximum(a[4], lo[4]))
+        return np.divide(both, union, out=np.where(both > 0, np.inf, 0.0), where=union > 0) * (1 + 1e-9)
+
+
+def _best(q: _Shapes, c: _Shapes, over: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each shape of ``q``: the best overlap with a shape of ``c`` that isn't its own box's alone (-1: none met), and how many boxes overlap by more than ``over``.
+
+    ``q`` and ``c`` are the same shapes, or have no id in common.
+    """
+    top, n = np.full(len(q.count), -1.0), np.zeros(len(q.count))
+    sizes = np.diff(c.starts)
+    for t, (i, j) in enumerate(zip(q.starts[:-1], q.starts[1:], strict=True)):
+        bound, mine = q.bound(t, c.low, c.high), np.arange(i, j)
+        for least in (over, 0.0):  # lower overlaps only matter to shapes without a high one
+            mine = mine[top[mine] <= over]
+            if not len(mine):
+                break
+            near = np.flatnonzero(np.repeat(bound > least, sizes))
+            points = c.points[:, near]
+            near = near[q.bound(t, points, points) > least]
+            for k in range(0, len(near), 1 << 16):
+                part = near[k : k + (1 << 16)]
+                v = _values(q.corners[:, mine, None], c.corners[:, None, part])
+                if least == over:
+                    n[mine] += (v > over) @ c.count[part]
+                if q is c:
+                    v[q.own[mine, None] == c.own[part]] = -1.0
+                top[mine] = np.maximum(top[mine], v.max(axis=1))
+    if q is c:  # a shape of several boxes is met by itself
+        top = np.where(q.shared, np.maximum(top, q.area > 0), top)
+    return top, n
+
+
+def best_overlaps(boxes: DataFrame, over: float = 0.5, most: int = 400_000) -> DataFrame:
+    """image_id, box_id, best, n_over: each box against all others (by box_id) of its image and label.
+
+    A box without others drops out; several boxes of one id in an image are one row, their best and the sum of their counts.
+    Equal shapes are compared once, and only tiles of shapes whose bounds allow an overlap that counts.  A group of more
+    than ``most`` boxes is dealt into blocks by box_id, and each pair of blocks is a group of its own.  A box with a null
+    corner has no overlap (null) and is none.
+    """
+    corners = ["x1", "y1", "x2", "y2"]
+    given = boxes.select("image_id", "label", "box_id", *(F.col(c).cast("double").alias(c) for c in corners)).dropna(subset=["image_id", "label", "box_id"])
+    large = given.groupBy("image_id", "label").count().where(F.col("count") > most).select("image_id", "label", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    dealt = given.join(F.broadcast(large), ["image_id", "label"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("box_id"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    own = F.col("own")
+    pairs = dealt.select("image_id", "label", "box_id", *corners, "own", F.explode(F.concat(F.array(pair(own, own)), F.transform(others, lambda k: pair(own, k)), F.transform(others, lambda k: pair(k, own)))).alias("p")).select("image_id", "label", "box_id", *corners, "own", "p.i", "p.j")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, own = (group.column(c).to_numpy() for c in ("box_id", "own"))
+        at = np.stack([group.column(c).to_numpy() for c in corners], 1)
+        i, j, whole = group.column("i")[0].as_py(), group.column("j")[0].as_py(), ~np.isnan(at).any(1)
+        asked, met = own == i, own == j
+        some = lambda values: (values.min() != ids) | (values.max() != ids) if len(values) else np.zeros(len(ids), bool)
+        best, n, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64), some(ids[met & whole]) & whole
+        q, c = np.flatnonzero(asked & whole), np.flatnonzero(met & whole)
+        if len(q) and len(c):
+            seen = _Shapes(ids[c], at[c])
+            shapes = seen if i == j else _Shapes(ids[q], at[q])
+            top, count = _best(shapes, seen, over)
+            best[q], n[q] = np.maximum(top, 0.0)[shapes.of], count[shapes.of]
+            if i == j:  # boxes of the same id, itself included, don't count
+                order = c[np.argsort(ids[c], kind="stable")]
+                at_id, end = (np.searchsorted(ids[order], ids[q], side) for side in ("left", "right"))
+                while len(q):
+                    n[q] -= _values(at[q].T, at[order[at_id]].T) > over
+                    at_id = at_id + 1
+                    q, at_id, end = q[at_id < end], at_id[at_id < end], end[at_id < end]
+        out = np.flatnonzero(asked & some(ids[met]))
+        table = group.select(["image_id", "box_id"]).take(pa.array(out))
+        return table.append_column("best", pa.array(best[out], mask=~known[out])).append_column("n_over", pa.array(n[out]))
+
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema}
+    met = pairs.groupBy("image_id", "label", "i", "j").applyInArrow(run, f"image_id {kinds['image_id']}, box_id {kinds['box_id']}, best double, n_over long")
+    return met.groupBy("image_id", "box_id").agg(F.max("best").alias("best"), F.sum("n_over").alias("n_over"))
+
+
 def overlap_of_smaller(a: list[Column], b: list[Column]) -> Column:
     """Intersection over the smaller area, pixel-inclusive (+1)."""
     width = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]) + 1)
