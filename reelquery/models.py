@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Encoder = Callable[[Sequence], np.ndarray]
@@ -35,8 +36,22 @@ def hashed_encoder(width: int = 64) -> Encoder:
     return encode
 
 
+#: Bounds of the Arrow batches that models get: prompts, texts and images can be long.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def _small_batches() -> None:
+    """Lower the session's bounds of Arrow batches to ours, so that what a worker holds doesn't grow with its partition."""
+    spark = SparkSession.active()
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
 def encode(column: Column, encoder: Encoder) -> Column:
     """Vectors of a column of texts or bytes."""
+    _small_batches()
 
     @F.pandas_udf("array<float>")
     def run(values: pd.Series) -> pd.Series:
@@ -69,6 +84,7 @@ def with_retries(model: Model, tries: int = 5, base: float = 2.0, cap: float = 1
 
 def ask(column: Column, model: Model) -> Column:
     """Replies to a column of prompts, a batch at a time."""
+    _small_batches()
 
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
@@ -79,6 +95,7 @@ def ask(column: Column, model: Model) -> Column:
 
 def ask_or_none(column: Column, model: Model) -> Column:
     """Replies to prompts asked one by one; a call that raises has none."""
+    _small_batches()
 
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
@@ -95,6 +112,7 @@ def ask_or_none(column: Column, model: Model) -> Column:
 
 def encode_regions(column: Column, encoder: Callable[[Sequence], Sequence[np.ndarray]]) -> Column:
     """Region vectors of each image (bytes): ``encoder`` gives an array (regions, width) per image; images may have none."""
+    _small_batches()
 
     @F.pandas_udf("array<array<float>>")
     def run(images: pd.Series) -> pd.Series:

@@ -163,6 +163,27 @@ def test_head_boxes(spark):
     assert sorted((r.prior, r.label) for r in nms.head_boxes(rows, pre=1).collect()) == [(1, 1)]
 
 
+def test_models_get_batches_of_bounded_size(spark):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for key in keys:
+            spark.conf.unset(key)
+        rows = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") < 100, F.repeat(F.lit("x"), 1 << 18)).otherwise("y").alias("p"))
+
+        def model(prompts):
+            return [f"{len(prompts)} {sum(map(len, prompts))}"] * len(prompts)
+
+        def encoder(values):
+            return np.array([[len(values), sum(map(len, values))]] * len(values), float)
+
+        got = [tuple(map(int, r.r.split())) for r in rows.select(models.ask(F.col("p"), model).alias("r")).collect()] + [tuple(r.v) for r in rows.select(models.encode(F.col("p"), encoder).alias("v")).collect()]
+        assert len(got) == 6000 and all(n <= models.BATCH_ROWS and size <= models.BATCH_BYTES + (1 << 18) for n, size in got)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_judge_takes_each_text_once(spark):
     from reelquery.operators import islands
 
