@@ -116,6 +116,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in tasks of about ``each`` rows and at least one a core.
+
+    So a small table isn't written by hundreds of tasks; a large one keeps the partitions that it has.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows, because one row can hold a very long text; workers get this package's sources."""
     ship(spark)

@@ -10,9 +10,9 @@ a bucket.  MinHash signatures are banded; the members of a bucket are compared i
    similarity joins).  Documents that are alike below the threshold differ in their rare shingles, so large loose buckets
    fall apart into small ones.  Each new bucket is compared with its smallest node first;
 3. in new buckets that still hold several components, the members outside the bucket's largest component meet all
-   members of other components, in blocks of bounded size that run as separate tasks; rounds that take each member's
-   likeliest pair only come first; the full round then takes intersections of whole sets within blocks, so only pairs
-   that reach the threshold become rows.
+   members of other components, in blocks of bounded size that run as separate tasks, by intersections of whole sets;
+   a block returns no more links than join its components.  Where that would be more than ``AT_ONCE`` comparisons for
+   each member, rounds that take each member's likeliest pair only come first.
 
 A pair that shares a band is thus either compared, already connected, or excluded by its prefixes, which is all that
 components need.  Each comparison first goes through signature slices: with m of n minima equal, the pair is dropped
@@ -39,7 +39,11 @@ from . import common as C
 
 BANDS, ROWS, STEP = 30, 5, 30
 #: Block sizes of the second comparison step: how many minority members and how many others meet in one task.
-MINORITY_BLOCK, OTHERS_BLOCK = 512, 2048
+MINORITY_BLOCK, OTHERS_BLOCK = 512, 1024
+#: Comparisons of whole sets for each member up to which these need no rounds of likeliest pairs before them.
+AT_ONCE = 512
+#: Edges that a task holds at once when it joins them to stars.
+EDGES_AT_ONCE = 1 << 20
 
 
 def _log_beta_tail(m: int, n: int, t: float) -> float:
@@ -166,16 +170,18 @@ def _likeliest(steps: list[int], least: list[int]):
 
 
 def _overlapping(percent: int):
-    """Of one block, all pairs of a minority member and a member of another component that reach the threshold.
+    """Of one block, pairs of a minority member and a member of another component that reach the threshold, as many as
+    join the components that such pairs connect.
 
-    Sets are arrays of 32-bit shingle hashes; intersections of a few members with all others are one matrix product
-    over the few members' shingles.  A hash collision can only let a pair through to the exact check.
+    Sets are arrays of shingle hashes; intersections of a few members with all others are one matrix product over the
+    few members' shingles, and exact.
     """
 
     def pairs(minor: np.ndarray, doc: np.ndarray, comp: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         flat = C.texts_of(column)
-        hashed, first = flat.data.view(np.uint32), flat.offsets // 4
+        hashed, first = flat.data.view(np.uint64), flat.offsets // 8
         size = np.diff(first)
+        group = np.searchsorted(C.unique(comp), comp)
         a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
         owner = np.repeat(np.arange(len(b)), size[b])
         theirs = np.concatenate([hashed[first[i] : first[i + 1]] for i in b]) if len(b) else hashed[:0]
@@ -183,7 +189,8 @@ def _overlapping(percent: int):
             mine = a[at : at + 32]
             own = np.concatenate([hashed[first[i] : first[i + 1]] for i in mine])
             row = np.repeat(np.arange(len(mine)), size[mine])
-            known, place = np.unique(own, return_inverse=True)
+            known = C.unique(own)
+            place = np.searchsorted(known, own)
             where = np.minimum(np.searchsorted(known, theirs), max(0, len(known) - 1))
             shared = np.flatnonzero(known[where] == theirs) if len(known) else where[:0]
             both = np.zeros((len(mine), len(b)), np.float32)
@@ -196,8 +203,13 @@ def _overlapping(percent: int):
                 right[where[w] - k, owner[w]] = 1
                 both += left @ right
             union = size[mine][:, None] + size[b][None, :] - both
-            x, y = np.nonzero((100 * both >= percent * union) & (comp[mine][:, None] != comp[b][None, :]))
-            yield mine[x], b[y]
+            good = (100 * both >= percent * union) & (both > 0)
+            for i in range(len(mine)):
+                y = b[good[i] & (group[b] != group[mine[i]])]
+                if len(y):
+                    near, one = np.unique(group[y], return_index=True)
+                    group[np.isin(group, near)] = group[mine[i]]
+                    yield np.full(len(one), mine[i]), y[one]
 
     return pairs
 
@@ -245,8 +257,7 @@ def _set_bytes(size: int):
         for part, texts in C.groups(batches):
             hashed, text = C.distinct(*C.shingles(C.word_table(texts, lower=True), size))
             first = np.searchsorted(text, np.arange(part.num_rows + 1))
-            short = (hashed >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([C.unique(short[i:j]).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc", "payload"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashed[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc", "payload"])
 
     return run
 
@@ -277,19 +288,49 @@ def _verifier(percent: int, size: int):
     return verify
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (a, b) as edges from the smallest id of each piece that they connect to the piece's others."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+        ids = C.unique(np.concatenate((a, b)))
+        x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        root = np.arange(len(ids))
+        while (apart := root[x] != root[y]).any():
+            x, y = x[apart], y[apart]
+            np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[other]]), pa.array(ids[other])], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= EDGES_AT_ONCE:
+            yield joined(held)
+            held, n = [], 0
+    if n:
+        yield joined(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, comp): the smallest id reachable over the undirected edges (a, b), for every id that has one.
 
-    Minimum labels spread along edges, and each round also jumps to the label's own label, so the number of rounds is
-    logarithmic in a component's diameter.  Every round is a table in the shared folder; only a count reaches the driver.
+    Each task first joins its own edges to stars.  Minimum labels then spread along edges, and each round also jumps to
+    the label's own label, so the number of rounds is logarithmic in a component's diameter.  Every round is a table in
+    the shared folder; only a count reaches the driver.
     """
-    both = C.materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = C.materialize(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("doc")).alias("comp")), "labels")
+    stars = C.materialize(edges.select("a", "b").mapInArrow(_stars, "a long, b long"), "edges")
+    most = 2 * stars.count()
+    both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = C.materialize(C.few(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("doc")).alias("comp")), most), "labels")
     while True:
         seen = both.join(label.select(F.col("doc").alias("b"), "comp"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("near"))
         step = label.join(seen, "doc").select("doc", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = label.select(F.col("doc").alias("comp"), F.col("comp").alias("up"))
-        now = C.materialize(step.join(up, "comp").select("doc", "old", F.least("comp", "up").alias("comp")), "labels")
+        now = C.materialize(C.few(step.join(up, "comp").select("doc", "old", F.least("comp", "up").alias("comp")), most), "labels")
         label, changed = now.select("doc", "comp"), now.where("old != comp").limit(1).count()
         if not changed:
             return label
@@ -334,8 +375,9 @@ def _by_prefix(texts: DataFrame, percent: int, size: int) -> DataFrame:
 def _once(members: DataFrame) -> DataFrame:
     """Members (bucket, doc, pivot) without buckets that have the same members as another, and without the pivots' own rows."""
     marks = [F.bit_xor(F.xxhash64("doc")).alias("m1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("m2"), F.count("*").alias("n")]
-    kept = C.materialize(members.groupBy("bucket").agg(*marks).groupBy("m1", "m2", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
-    return C.materialize(members.join(kept, "bucket", "left_semi").where("doc != pivot"), "members")
+    most = members.count()
+    kept = C.materialize(C.few(members.groupBy("bucket").agg(*marks).groupBy("m1", "m2", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), most), "buckets")
+    return C.materialize(C.few(members.join(kept, "bucket", "left_semi").where("doc != pivot"), most), "members")
 
 
 def _judged(docs: DataFrame, percent: int, miss: float, bands: int, rows: int, size: int) -> DataFrame:
@@ -347,15 +389,18 @@ def _judged(docs: DataFrame, percent: int, miss: float, bands: int, rows: int, s
     least = least_matches(percent / 100, miss, steps)
 
     signed = C.materialize(docs.mapInArrow(_signer(bands, rows, size), _SIGNED), "signed")
+    most = signed.count()
     real = signed.where("node is not null and doc_id is not null")
-    reps = C.materialize(real.groupBy("node").agg(F.min_by(F.struct("doc_id", "print", "bands", "sig"), "doc_id").alias("r")).select("node", F.col("r.doc_id").alias("rep"), "r.print", "r.bands", "r.sig"), "reps")
+    reps = real.groupBy("node").agg(F.min_by(F.struct("doc_id", "print", "bands", "sig"), "doc_id").alias("r")).select("node", F.col("r.doc_id").alias("rep"), "r.print", "r.bands", "r.sig")
+    reps = C.materialize(C.few(reps, most, each=8000), "reps")
     banded = reps.select(F.explode("bands").alias("bucket"), F.col("node").alias("doc"))
-    shared = C.materialize(banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last"), "shared")
-    members = _once(C.materialize(banded.join(shared, "bucket"), "banded"))
+    shared = C.materialize(C.few(banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last"), bands * most), "shared")
+    members = _once(C.materialize(C.few(banded.join(shared, "bucket"), bands * most), "banded"))
 
     involved = members.select("doc").union(members.select("pivot")).distinct().withColumnRenamed("doc", "node").join(reps.select("node", F.col("rep").alias("doc_id"), "print"), "node")
     # the same join at every size: ids of involved documents grow with the corpus
-    texts = C.materialize(docs.where("doc_id is not null").join(involved.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("node", "text"), "texts")
+    texts = docs.where("doc_id is not null").join(involved.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("node", "text")
+    texts = C.materialize(C.few(texts, most, each=2000), "texts")
     sig = reps.select("node", "sig")
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -376,15 +421,16 @@ def _judged(docs: DataFrame, percent: int, miss: float, bands: int, rows: int, s
         """(members with their components, buckets with more than one of these)."""
         named = C.materialize(members.join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")), "named")
         size_of = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        return named, C.materialize(size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1"), "open")
+        open_ = size_of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+        return named, C.materialize(C.few(open_, named.count()), "open")
 
-    def across(members: DataFrame, label: DataFrame, best: bool, likely: DataFrame | None = None) -> DataFrame:
-        """Likely pairs between different components of ``label`` that share a bucket.
+    def across(named: DataFrame, open_: DataFrame, best: bool, likely: DataFrame | None = None) -> DataFrame:
+        """Pairs between different components that share a bucket: likely ones (``best``), or links that join all
+        components that pairs at the threshold connect.
 
-        ``likely``: the pairs of the round before.  Only members that had one can have a pair that reaches the threshold,
-        so the full round, which carries whole sets, starts from these.
+        ``likely``: the likely pairs of the same components.  Only members that had one can have a pair that reaches the
+        threshold, so whole sets are carried for these alone.
         """
-        named, open_ = opened(members, label)
         row = named.join(open_, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("small"), F.ceil((F.col("total") - F.col("top.n")) / MINORITY_BLOCK).alias("parts"), F.ceil(F.col("total") / OTHERS_BLOCK).alias("others"))
         if likely is not None:
             found = likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct().withColumn("found", F.lit(True))
@@ -398,7 +444,9 @@ def _judged(docs: DataFrame, percent: int, miss: float, bands: int, rows: int, s
         right = row.select("*", every("parts").alias("i"), own("others").alias("j"), F.lit(False).alias("minor"))
         blocks = left.unionByName(right).select(F.xxhash64("bucket", "i", "j").alias("block"), "minor", "doc", "comp", "payload")
         blocks = blocks.repartition("block").sortWithinPartitions("block")
-        return C.materialize(blocks.mapInArrow(_blocks(_likeliest(steps, least) if best else _overlapping(percent)), "a long, b long").distinct(), "pairs")
+        if best:
+            return C.materialize(blocks.mapInArrow(_blocks(_likeliest(steps, least)), "a long, b long").distinct(), "pairs")
+        return C.materialize(blocks.mapInArrow(_blocks(_overlapping(percent)), "a long, b long"), "links")
 
     edges = star(members, None)
     label = components(edges)
@@ -410,26 +458,32 @@ def _judged(docs: DataFrame, percent: int, miss: float, bands: int, rows: int, s
         if found.limit(1).count():
             edges = edges.union(found)
             label = components(edges)
-        # Members of one group that missed its pivot join it by their likeliest pairs first; what is still apart when a
-        # round links nothing more is compared in full, so no pair is skipped.
-        best, pairs = True, None
+        # Members of one group that missed its pivot join it by their likeliest pairs first, as long as the full round has
+        # many comparisons to do; what is still apart then, or when a round links nothing more, is compared in full, so no
+        # pair is skipped.
         while True:
-            pairs = across(members, label, best, None if best else pairs)
-            found = C.materialize(checked(pairs), "links") if pairs.limit(1).count() else None
-            if found is not None and found.limit(1).count():
-                edges = edges.union(found)
-                label = components(edges)
-            elif best and found is not None:
-                best = False
-                continue
-            else:
-                break
-            if not best:
+            named, open_ = opened(members, label)
+            left = open_.agg(F.sum((F.col("total") - F.col("top.n")) * F.col("total")).alias("pairs"), F.sum("total").alias("members")).first()
+            if left.members is None:
                 break
+            likely = None
+            if left.pairs > AT_ONCE * left.members:
+                likely = across(named, open_, best=True)
+                if not likely.limit(1).count():
+                    break
+                found = C.materialize(checked(likely), "links")
+                if found.limit(1).count():
+                    edges = edges.union(found)
+                    label = components(edges)
+                    continue
+            found = across(named, open_, best=False, likely=likely)
+            if found.limit(1).count():
+                label = components(edges.union(found))
+            break
 
     by_node = reps.select("node", "rep").join(label.withColumnRenamed("doc", "node"), "node", "left")
     low = by_node.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
-    names = C.materialize(by_node.join(low, "comp", "left").select("node", F.coalesce("comp", "node").alias("group"), F.coalesce("low", "rep").alias("low")), "names")
+    names = C.materialize(C.few(by_node.join(low, "comp", "left").select("node", F.coalesce("comp", "node").alias("group"), F.coalesce("low", "rep").alias("low")), most), "names")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
     return signed.select("doc_id", "node", "n_shingles").join(names, "node", "left").select("doc_id", "node", "n_shingles", "group", comp.alias("component_id"))
 
